@@ -110,3 +110,29 @@ def expand_range(df: DataFrame, low: str | Column, high: str | Column, name: str
     low = F.col(low) if isinstance(low, str) else low
     high = F.col(high) if isinstance(high, str) else high
     return df.where(low <= high).withColumn(name, F.explode(F.sequence(low, high)))
+
+
+def ranked_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Distinct values per key with their rank span (``below``, ``upto``] and the group size ``n``.
+
+    Equal values are counted before the shuffle, the rank is a streaming
+    running sum, so no group is ever collected.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_count"))
+    totals = counts.groupBy(*keys).agg(F.sum("_count").alias("n"))
+    running = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("upto", F.sum("_count").over(running))
+    return ranked.join(totals, list(keys)).withColumn("below", F.col("upto") - F.col("_count")).drop("_count")
+
+
+def at_rank(rank: Column) -> Column:
+    """Picks the row of ``ranked_values`` that holds the 1-based rank."""
+    return (F.col("below") < rank) & (F.col("upto") >= rank)
+
+
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    ranked = ranked_values(df, keys, value)
+    low, high = F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)
+    return ranked.groupBy(*keys).agg(
+        ((F.max(F.when(at_rank(low), F.col(value))) + F.max(F.when(at_rank(high), F.col(value)))) / 2).alias(name)
+    )

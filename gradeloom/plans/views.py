@@ -191,7 +191,7 @@ SELECT o_orderkey AS source_id,
        CASE WHEN o_orderkey % 7 = 0 THEN CAST(o_orderkey % 900000 + 1 AS STRING) END AS suggestion,
        CASE WHEN o_orderkey % 4 = 2 THEN 1 ELSE 0 END AS requires_review,
        CASE WHEN o_orderkey % 12 = 1 THEN NULL ELSE CAST(o_orderkey * 7 % 9000 AS DOUBLE) / 1000e0 END AS grid_residual_px,
-       CAST((o_orderkey * 11) % 1000 AS DOUBLE) / 800e0 AS alignment_confidence,
+       CAST((o_orderkey * 11) % 1000 AS DOUBLE) / 970e0 AS alignment_confidence,
        CASE WHEN o_orderkey % 15 = 2 THEN NULL ELSE CAST(600 + (o_orderkey * 13) % 400 AS DOUBLE) / 1000e0 END AS table_coverage,
        CASE WHEN o_orderkey % 14 = 3 THEN NULL ELSE CAST(500 + (o_orderkey * 17) % 500 AS DOUBLE) / 1000e0 END AS boundary_confidence,
        CAST((o_orderkey * 19) % 8000 AS DOUBLE) / 1000e0 AS grid_line_contrast,
