@@ -7,6 +7,9 @@ import importlib
 MODULES = (
     "scalars",
     "marks",
+    "grading",
+    "state",
+    "issues",
 )
 
 

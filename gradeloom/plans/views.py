@@ -82,7 +82,7 @@ SELECT o_orderkey AS source_id, CAST(o_orderkey * 10 + rev AS BIGINT) AS detecti
        CASE WHEN o_orderkey % 43 = 3 THEN 'Question-Number Strip crossed' END AS geometry_error,
        CASE WHEN o_orderkey % 29 = 3 THEN 0 ELSE 1 END AS has_registration,
        CASE WHEN o_orderkey % 31 = 4 THEN 1 ELSE 0 END AS alignment_needs_review,
-       CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_orderkey % 900000 + 1 END AS candidate,
+       CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_orderkey % 2500 + 1 END AS candidate,
        CAST((o_orderkey * 7 + rev) % 101 AS DOUBLE) AS confidence,
        CASE WHEN o_orderkey % 4 = 1 THEN NULL ELSE CAST((o_orderkey * 3 + rev) % 60 AS DOUBLE) END AS confidence_margin,
        CASE WHEN o_orderkey % 5 = 2 THEN 1 ELSE 0 END AS requires_review,
@@ -103,7 +103,7 @@ WHERE k.question = 1 AND s.archived = 0 GROUP BY k.exam_id""",
     "v_reviews": f"""
 SELECT CAST(o_orderkey * 10 + rev AS BIGINT) AS review_id, CAST(o_orderkey * 10 + rev AS BIGINT) AS seq,
        o_orderkey AS source_id,
-       CASE WHEN o_orderkey % 4 = 0 THEN o_custkey % 60 + 1 ELSE o_orderkey % 900000 + 1 END AS student_number,
+       CASE WHEN o_orderkey % 4 = 0 THEN o_custkey % 60 + 1 ELSE o_orderkey % 2500 + 1 END AS student_number,
        CASE WHEN o_orderpriority = '1-URGENT' THEN last_key - 10 ELSE last_key END AS key_id,
        CASE WHEN o_orderpriority = '2-HIGH' THEN 'teacher' ELSE 'machine_with_teacher_identity' END AS origin,
        CAST(o_orderkey * 10 + CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 7 <> 0 THEN 1 ELSE 0 END AS BIGINT) AS detection_id,
@@ -119,7 +119,7 @@ FROM v_reviews CROSS JOIN {_QUESTIONS}""",
 SELECT CAST(o_orderkey * 10 + 5 AS BIGINT) AS partial_id, CAST(o_orderkey * 10 + 5 AS BIGINT) AS seq, o_orderkey AS source_id,
        CASE WHEN o_orderkey % 24 = 1 THEN last_key - 10 ELSE last_key END AS key_id,
        CASE WHEN o_orderkey % 16 = 1 THEN 1 ELSE 0 END AS identity_confirmed,
-       CASE WHEN o_orderkey % 16 = 1 THEN o_orderkey % 900000 + 1 END AS student_number,
+       CASE WHEN o_orderkey % 16 = 1 THEN o_orderkey % 2500 + 1 END AS student_number,
        CASE WHEN o_orderkey % 16 <> 1 AND o_orderkey % 56 <> 9 THEN CAST(o_orderkey AS BIGINT) + 1 END AS unknown_ordinal,
        CASE WHEN o_orderkey % 16 = 1 THEN 'teacher_confirmed' ELSE 'unknown' END AS identity_origin,
        CAST(o_orderkey * 10 AS BIGINT) AS detection_id,
@@ -133,7 +133,7 @@ SELECT partial_id, source_id, q AS question,
 FROM v_partials CROSS JOIN {_QUESTIONS}""",
     "v_identities": """
 SELECT event_id AS seq, event_id AS source_id,
-       CASE WHEN event_id % 3 = 0 THEN user_id % 60 + 1 ELSE event_id % 900000 + 1 END AS student_number,
+       CASE WHEN event_id % 3 = 0 THEN user_id % 60 + 1 ELSE event_id % 2500 + 1 END AS student_number,
        CASE WHEN event_id % 4 = 0 THEN 'teacher_bulk' ELSE 'teacher' END AS origin,
        CASE WHEN event_id % 2 = 0 THEN ts ELSE ts - INTERVAL 40 YEAR END AS created_at
 FROM events WHERE event_type = 'signup'""",
@@ -165,9 +165,9 @@ SELECT event_id AS seq, user_id AS annotation_id,
                        WHEN 'signup' THEN 'exclude' ELSE 'reset' END AS action, event_id % 11 AS digit
 FROM events""",
     "v_candidates": """
-SELECT o_orderkey AS source_id, 1 AS pos, o_orderkey % 900000 + 1 AS candidate, CAST(o_orderkey % 101 AS DOUBLE) AS score FROM orders
+SELECT o_orderkey AS source_id, 1 AS pos, o_orderkey % 2500 + 1 AS candidate, CAST(o_orderkey % 101 AS DOUBLE) AS score FROM orders
 UNION ALL
-SELECT o_orderkey, 2, (o_orderkey + 7) % 900000 + 1, CAST(o_orderkey % 89 AS DOUBLE) FROM orders WHERE o_orderkey % 4 = 0""",
+SELECT o_orderkey, 2, (o_orderkey + 7) % 2500 + 1, CAST(o_orderkey % 89 AS DOUBLE) FROM orders WHERE o_orderkey % 4 = 0""",
     "v_recognizer_runs": """
 SELECT l_orderkey AS source_id, 'variant-' || CAST(l_linenumber AS STRING) AS variant,
        CASE WHEN l_partkey % 9 = 0 THEN NULL ELSE l_suppkey % 12 + 1 END AS candidate,
@@ -186,9 +186,9 @@ FROM lineitem GROUP BY l_orderkey, l_linenumber""",
     "v_sheet_evidence": """
 SELECT o_orderkey AS source_id,
        CASE WHEN o_orderkey % 37 = 5 THEN 1 ELSE 0 END AS failed,
-       CAST(o_orderkey % 900000 + 1 AS STRING) AS expected_number,
-       CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE CAST((o_orderkey + CASE WHEN o_orderkey % 5 = 0 THEN 3 ELSE 0 END) % 900000 + 1 AS STRING) END AS candidate,
-       CASE WHEN o_orderkey % 7 = 0 THEN CAST(o_orderkey % 900000 + 1 AS STRING) END AS suggestion,
+       CAST(o_orderkey % 2500 + 1 AS STRING) AS expected_number,
+       CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE CAST((o_orderkey + CASE WHEN o_orderkey % 5 = 0 THEN 3 ELSE 0 END) % 2500 + 1 AS STRING) END AS candidate,
+       CASE WHEN o_orderkey % 7 = 0 THEN CAST(o_orderkey % 2500 + 1 AS STRING) END AS suggestion,
        CASE WHEN o_orderkey % 4 = 2 THEN 1 ELSE 0 END AS requires_review,
        CASE WHEN o_orderkey % 12 = 1 THEN NULL ELSE CAST(o_orderkey * 7 % 9000 AS DOUBLE) / 1000e0 END AS grid_residual_px,
        CAST((o_orderkey * 11) % 1000 AS DOUBLE) / 970e0 AS alignment_confidence,
@@ -262,6 +262,16 @@ SELECT p_partkey AS row_id, CASE WHEN p_partkey % 13 = 0 THEN '  ' ELSE p_name E
        CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE CAST(p_partkey % 10100 AS INT) END AS expected_max,
        CAST(p_partkey % 7 AS INT) AS template_version
 FROM part""",
+    "v_draft_exams": """
+SELECT CAST(floor(c_custkey / 4e0) AS BIGINT) AS exam_id, CAST(20 AS INT) AS question_count FROM customer WHERE c_custkey % 4 = 0""",
+    "v_draft_indicators": """
+SELECT CAST(floor(c_custkey / 4e0) AS BIGINT) AS exam_id, c_custkey % 4 AS position,
+       CASE WHEN c_custkey % 97 = 0 THEN '  ' WHEN c_custkey % 89 = 0 THEN repeat('y', 121)
+            WHEN c_custkey % 29 < 3 THEN CASE WHEN c_custkey % 2 = 0 THEN 'same' ELSE ' SAME ' END ELSE 'ind-' || CAST(c_custkey % 4 AS STRING) END AS identifier,
+       CAST(c_custkey % 4 * 5 + 1 AS INT) AS from_question,
+       CAST(CASE WHEN c_custkey % 23 = 0 THEN 21 WHEN c_custkey % 19 = 0 THEN c_custkey % 4 * 5 WHEN c_custkey % 17 = 0 THEN c_custkey % 4 * 5 + 7
+            ELSE c_custkey % 4 * 5 + 5 END AS INT) AS to_question
+FROM customer""",
     "v_export_runs": """
 SELECT event_id AS seq, user_id % 25 AS exam_id, (user_id % 25) * 10 + user_id % 3 AS room_id,
        'run-' || CAST(event_id AS STRING) AS run_id, CASE WHEN event_id % 6 = 0 THEN 'failed' ELSE 'published' END AS status
