@@ -136,3 +136,19 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> D
     return ranked.groupBy(*keys).agg(
         ((F.max(F.when(at_rank(low), F.col(value))) + F.max(F.when(at_rank(high), F.col(value)))) / 2).alias(name)
     )
+
+
+def position_in_chunks(df: DataFrame, keys: Sequence[str], chunk: Column, order: Sequence[Column], name: str) -> DataFrame:
+    """1-based position by (chunk, order) within ``keys``; only one chunk is ever sorted in one task.
+
+    ``chunk`` must be non-decreasing in ``order``.
+    """
+    chunked = df.withColumn("_chunk", chunk)
+    totals = chunked.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_total"))
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, "_chunk", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    numbered = chunked.withColumn("_inside", F.row_number().over(inside))
+    return (
+        numbered.join(offsets, [*keys, "_chunk"]).withColumn(name, F.col("_offset") + F.col("_inside")).drop("_chunk", "_offset", "_inside")
+    )

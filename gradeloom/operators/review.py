@@ -120,11 +120,12 @@ ISSUE_COLUMNS = (
 )
 
 
-def _issue(df: DataFrame, kind: str, **columns: Column) -> DataFrame:
+def _issue(df: DataFrame, kind: str | Column, **columns: Column) -> DataFrame:
+    """Brings a branch to the common issue columns; a missing one is NULL."""
     types = {"kind": "string", "status": "string", "candidate": "string", "prefill": "string", "question": "int"}
     out = []
     for name in ISSUE_COLUMNS:
-        value = F.lit(kind) if name == "kind" else columns.get(name, F.col(name) if name in df.columns and name not in ("candidate", "status", "question") else F.lit(None))
+        value = (F.lit(kind) if isinstance(kind, str) else kind) if name == "kind" else columns.get(name, F.col(name) if name in df.columns and name not in ("candidate", "status", "question") else F.lit(None))
         out.append(value.cast(types.get(name, "bigint")).alias(name))
     return df.select(*out)
 
@@ -163,31 +164,43 @@ def issues(state: DataFrame, answers: DataFrame, key: DataFrame, rooms: DataFram
     ``effective_answers`` over the confirmed key, ``rooms`` from
     ``number_maximum``.
     """
-    sheets = with_room_facts(state.join(key.select("exam_id", "key_id"), "exam_id"), rooms)
+    away = attendance.where(F.col("status").isin("absent", "excused")).select(
+        "room_id", F.col("student_number").alias("number"), F.lit(True).alias("_away")
+    )
+    sheets = with_room_facts(state.join(key.select("exam_id", "key_id"), "exam_id"), rooms).join(away, ["room_id", "number"], "left")
     unreadable = F.col("detection_id").isNull() | F.col("failure").isNotNull()
-    readable = sheets.where(~unreadable)
     stale = yes(F.col("review_key") != F.col("key_id"))
     number_status = (
         F.when(F.col("number").isNull(), "uncertain").when(F.col("holders") > 1, "duplicate").when(F.col("number") > F.col("maximum"), "out_of_range")
     )
-    away = attendance.where(F.col("status").isin("absent", "excused")).select("room_id", F.col("student_number").alias("number"))
-    open_answers = answers.where(~unreadable & ~stale & F.col("answer").isNull())
     candidate = F.col("candidate").cast("string")
+    none = F.lit(None).cast("string")
+    # All sheet-level kinds come from one pass: an unreadable sheet is one issue, a readable one up to three.
+    entry = lambda kind, status, value, fill: F.struct(
+        F.lit(kind).alias("kind"), status.alias("status"), value.alias("candidate"), fill.alias("prefill")
+    )
+    found = F.when(unreadable, F.array(entry("image", none, none, none))).otherwise(
+        F.array_compact(
+            F.array(
+                F.when(number_status.isNotNull(), entry("number", number_status, candidate, candidate)),
+                F.when(F.col("_away"), entry("attendance", none, F.lit("pending"), none)),
+                F.when(stale, entry("stale", none, none, none)),
+            )
+        )
+    )
+    per_sheet = sheets.select("exam_id", "room_id", "source_id", "number", "key_id", "detection_id", F.inline(found))
+    open_answers = answers.where(~unreadable & ~stale & F.col("answer").isNull())
     single = F.when(F.col("state") == "single_mark", F.col("choice"))
+    confirmed_rooms = rooms.join(key.select("exam_id"), "exam_id", "left_semi")
     return (
-        _issue(sheets.where(unreadable), "image")
-        .unionByName(_issue(readable.where(number_status.isNotNull()), "number", status=number_status, candidate=candidate, prefill=candidate))
-        .unionByName(_issue(readable.join(away, ["room_id", "number"], "left_semi"), "attendance", candidate=F.lit("pending")))
-        .unionByName(_issue(readable.where(stale), "stale"))
+        _issue(per_sheet, F.col("kind"), status=F.col("status"), candidate=F.col("candidate"))
         .unionByName(
             _issue(
                 open_answers, "answer", question=F.col("question"), status=F.coalesce("state", F.lit("uncertain")), candidate=single,
                 prefill=answer_prefill(F.col("state"), F.col("choice"), F.col("auto_resolved")),
             )
         )
-        .unionByName(
-            _issue(missing_numbers(rooms.join(key.select("exam_id"), "exam_id", "left_semi"), state, attendance), "attendance", status=F.lit("missing"), candidate=F.lit("pending"))
-        )
+        .unionByName(_issue(missing_numbers(confirmed_rooms, state, attendance), "attendance", status=F.lit("missing"), candidate=F.lit("pending")))
         .unionByName(_issue(failures.join(key.select("exam_id"), "exam_id", "left_semi"), "import", failure_seq=F.col("seq")))
     )
 

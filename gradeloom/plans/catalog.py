@@ -10,6 +10,9 @@ MODULES = (
     "grading",
     "state",
     "issues",
+    "changes",
+    "checks",
+    "identity",
 )
 
 

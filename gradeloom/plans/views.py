@@ -177,6 +177,24 @@ FROM lineitem""",
 SELECT l_orderkey AS source_id, l_linenumber AS pos, l_partkey % 10 AS digit,
        CASE WHEN l_partkey % 21 = 0 THEN NULL ELSE l_quantity END AS raw_score
 FROM lineitem WHERE l_linenumber <= 6""",
+    "v_digit_positions": """
+SELECT l_orderkey AS source_id, l_linenumber AS pos,
+       CASE WHEN (l_orderkey + l_linenumber) % 23 = 0 THEN NULL ELSE max(l_partkey % 10) END AS digit,
+       CASE WHEN (l_orderkey + l_linenumber) % 6 = 0 THEN 1 WHEN (l_orderkey + l_linenumber) % 23 = 0 THEN (l_orderkey) % 10 END AS shape
+FROM lineitem WHERE l_linenumber <= 6 GROUP BY l_orderkey, l_linenumber""",
+    "v_reads": """
+SELECT o_orderkey AS source_id,
+       CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE CAST(o_custkey % 90 + 10 AS STRING) END AS processed,
+       CASE WHEN o_orderkey % 12 = 1 THEN NULL ELSE CAST((o_orderkey * 7) % 1000 AS DOUBLE) / 1000e0 END AS processed_conf,
+       CASE WHEN o_orderkey % 9 = 0 THEN NULL WHEN o_orderkey % 3 = 0 THEN CAST(o_custkey % 90 + 10 AS STRING)
+            WHEN o_orderkey % 3 = 1 THEN '1' || CAST(o_custkey % 90 + 10 AS STRING) ELSE CAST(o_custkey % 90 + 10 AS STRING) || '1' END AS gray,
+       CASE WHEN o_orderkey % 13 = 1 THEN NULL ELSE CAST((o_orderkey * 11) % 1000 AS DOUBLE) / 1000e0 END AS gray_conf,
+       CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(o_custkey % 90 + 10 AS STRING) END AS focus,
+       CAST((o_orderkey * 13) % 1000 AS DOUBLE) / 1000e0 AS focus_conf, CAST((o_orderkey * 17) % 1000 AS DOUBLE) / 1000e0 AS focus_margin,
+       CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS suppressed,
+       CASE WHEN o_orderkey % 19 = 2 THEN 1 ELSE 0 END AS merged, CASE WHEN o_orderkey % 23 = 4 THEN 0 ELSE 1 END AS complete,
+       CASE WHEN o_orderkey % 4 = 0 THEN 'default-1' ELSE 'form-' || CAST(o_orderkey % 6 AS STRING) END AS template_id
+FROM orders""",
     "v_truth": """
 SELECT l_orderkey AS source_id, l_linenumber AS question,
        CASE WHEN (l_orderkey + l_linenumber) % 13 = 0 THEN 'uncertain' WHEN (l_orderkey + l_linenumber) % 17 = 0 THEN 'blank'
