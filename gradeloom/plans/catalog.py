@@ -13,6 +13,7 @@ MODULES = (
     "changes",
     "checks",
     "identity",
+    "evaluation",
 )
 
 

@@ -160,7 +160,7 @@ FROM events WHERE event_type = 'error' OR event_type = 'view'""",
     "v_uploads": """
 SELECT event_id AS seq, user_id AS session_id, ts, CAST(floor(value * 100000e0) AS BIGINT) AS bytes FROM events""",
     "v_annotation_events": """
-SELECT event_id AS seq, user_id AS annotation_id,
+SELECT event_id AS seq, user_id AS annotation_id, 'annotator-' || CAST(event_id % 4 AS STRING) AS annotator_id,
        CASE event_type WHEN 'click' THEN 'accept_label' WHEN 'view' THEN 'correct_bbox' WHEN 'error' THEN 'mark_bad_bbox'
                        WHEN 'signup' THEN 'exclude' ELSE 'reset' END AS action, event_id % 11 AS digit
 FROM events""",
