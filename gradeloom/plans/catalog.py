@@ -14,6 +14,7 @@ MODULES = (
     "checks",
     "identity",
     "evaluation",
+    "geometry",
 )
 
 
