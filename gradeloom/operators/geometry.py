@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -247,34 +247,44 @@ def dedupe_near(candidates: DataFrame, tolerance: float) -> DataFrame:
 
     ``candidates``: image_id, candidate_id, proposal_score, method and x1..y4.
     Greedy in score order within an image. Identical proposals are merged
-    before the images are formed; a proposal is compared with kept ones only.
+    before the shuffle; the rest stream through in image and score order, and a
+    task remembers nothing but the proposals kept for its current image.
     """
     corners = [f"{axis}{i}" for i in (1, 2, 3, 4) for axis in ("x", "y")]
     merged = candidates.groupBy("image_id", *corners).agg(
         F.max("proposal_score").alias("proposal_score"), F.min("candidate_id").alias("candidate_id"), F.array_sort(F.collect_set("method")).alias("methods")
     )
 
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["proposal_score", "candidate_id"], ascending=[False, True])
-        points = pdf[corners].to_numpy(dtype=np.float64).reshape(-1, 4, 2)
-        kept: list[int] = []
-        support: list[set[str]] = []
-        for i in range(len(pdf)):
-            near = None
-            if kept:
-                distance = np.linalg.norm(points[kept] - points[i], axis=2).mean(axis=1)
-                close = np.flatnonzero(distance <= tolerance)
-                near = int(close[0]) if len(close) else None
-            if near is None:
-                kept.append(i)
-                support.append(set(pdf["methods"].iloc[i]))
-            else:
-                support[near] |= set(pdf["methods"].iloc[i])
-        out = pdf.iloc[kept][["image_id", "candidate_id", "proposal_score"]].copy()
-        out["methods"] = [",".join(sorted(item)) for item in support]
-        return out
-
-    return merged.groupBy("image_id").applyInPandas(keep, "image_id bigint, candidate_id bigint, proposal_score double, methods string")
+    def keep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        image, points, kept, support = None, [], [], []
+
+        def finished() -> list[tuple]:
+            return [(*row, ",".join(sorted(names))) for row, names in zip(kept, support)]
+
+        for frame in frames:
+            out: list[tuple] = []
+            shapes = frame[corners].to_numpy(dtype=np.float64).reshape(-1, 4, 2)
+            rows = zip(frame["image_id"], frame["candidate_id"], frame["proposal_score"], frame["methods"], shapes)
+            for current, candidate, score, methods, shape in rows:
+                if current != image:
+                    out += finished()
+                    image, points, kept, support = current, [], [], []
+                near = None
+                if points:
+                    distance = np.linalg.norm(np.stack(points) - shape, axis=2).mean(axis=1)
+                    close = np.flatnonzero(distance <= tolerance)
+                    near = int(close[0]) if len(close) else None
+                if near is None:
+                    points.append(shape)
+                    kept.append((current, candidate, score))
+                    support.append(set(methods))
+                else:
+                    support[near] |= set(methods)
+            yield pd.DataFrame(out, columns=["image_id", "candidate_id", "proposal_score", "methods"])
+        yield pd.DataFrame(finished(), columns=["image_id", "candidate_id", "proposal_score", "methods"])
+
+    ordered = merged.repartition("image_id").sortWithinPartitions("image_id", F.col("proposal_score").desc(), "candidate_id")
+    return ordered.mapInPandas(keep, "image_id bigint, candidate_id bigint, proposal_score double, methods string")
 
 
 def grid_cells(pages: DataFrame, grid: tuple[float, float, float, float], ink: tuple[float, float, float, float], size: int = 10) -> DataFrame:

@@ -14,7 +14,9 @@ MODULES = (
     "checks",
     "identity",
     "evaluation",
+    "curation",
     "geometry",
+    "files",
 )
 
 
