@@ -17,6 +17,7 @@ MODULES = (
     "curation",
     "geometry",
     "files",
+    "streams",
 )
 
 
