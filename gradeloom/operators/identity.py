@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeloom.operators.common import count_per, top, yes
+from gradeloom.session import cut
 
 # Limits of a number and of the candidate lists.
 MAX_DIGITS = 6
@@ -191,6 +192,7 @@ def decide_identity(sheets: DataFrame, runs: DataFrame, stitched: DataFrame, alt
 
     ``sheets``: source_id, boxes, complete, merged, narrow_lead, model_candidate, model_score, calibrated.
     ``model_numbers``: source_id, candidate, score. The other inputs come from the functions above.
+    Intermediates that several branches read are written once to the shared checkpoint folder.
     """
     measured = stitched.select("source_id", F.col("candidate").alias("measured"), F.col("score").alias("measured_score"))
     listed = model_numbers.select("source_id", F.col("candidate").alias("measured"), F.lit(True).alias("_listed")).distinct()
@@ -207,6 +209,7 @@ def decide_identity(sheets: DataFrame, runs: DataFrame, stitched: DataFrame, alt
     )
     votes = candidate_votes(runs.select("source_id", "variant", "candidate", "raw_score").unionByName(segment).unionByName(extra)).drop("place")
     full = votes.join(base.select("source_id", "boxes"), "source_id").withColumn("_full", (F.col("boxes") >= 2) & (F.length("candidate") == F.col("boxes")))
+    full = cut(full, "votes")
     any_full = full.groupBy("source_id").agg(F.bool_or("_full").alias("_any"))
     kept = full.join(any_full, "source_id").where(F.col("_full") | ~F.col("_any"))
     shape = shapes.select("source_id", F.col("candidate").alias("shape_candidate"), "changed_positions")
@@ -215,7 +218,7 @@ def decide_identity(sheets: DataFrame, runs: DataFrame, stitched: DataFrame, alt
         F.col("complete") & (F.length("shape_candidate") == F.col("boxes")) & (F.col("shape_candidate") != F.col("model_candidate"))
         & F.forall("changed_positions", lambda i: F.substring(F.col("shape_candidate"), i, F.lit(1)) == "1")
     )
-    base = base.withColumn("promoted", promoted)
+    base = cut(base.withColumn("promoted", promoted), "numbers")
     # the promoted number takes the first place; two leaders are enough for candidate and margin
     lead = kept.join(base.where("promoted").select("source_id", F.col("shape_candidate").alias("_skip")), "source_id", "left").where(
         F.col("_skip").isNull() | (F.col("_skip") != F.col("candidate"))
@@ -235,6 +238,7 @@ def decide_identity(sheets: DataFrame, runs: DataFrame, stitched: DataFrame, alt
         "margin",
         F.round(F.when(F.col("candidate").isNull(), 0.0).when(second.isNotNull(), F.col("confidence") - second).otherwise(100.0), 2),
     ).withColumn("several", second.isNotNull())
+    rows = cut(rows, "decided")
     independent = (
         runs.where(F.col("candidate").isNotNull() & (F.col("variant") != "digit-model-whole")).select("source_id", "candidate")
         .join(base.select("source_id", "boxes"), "source_id").where((F.col("boxes") < 1) | (F.length("candidate") == F.col("boxes"))).select("source_id", "candidate")

@@ -160,16 +160,17 @@ SELECT source_id, candidate, confidence, margin, CASE WHEN prefer THEN 'measured
 
 @query("decide_identity", "C25 A17 A18 J19 C15 C16", "SELECT * FROM o_decide")
 def decide_identity(v):
-    positions = scored(v)
-    stitched, shapes = I.stitch_segments(positions), I.shape_suggestions(positions)
+    positions = v.cut("positions", lambda: scored(v))
+    stitched, shapes = v.cut("stitched", lambda: I.stitch_segments(positions)), I.shape_suggestions(positions)
     boxes = v.digit_positions.groupBy("source_id").agg(F.count(F.lit(1)).alias("boxes"))
     measured = stitched.select("source_id", F.col("candidate").alias("_m"))
     sid = F.col("source_id")
     model = F.when(sid % 7 == 0, None).when(sid % 3 == 0, F.col("_m")).otherwise(F.col("processed"))
     joined = v.reads.join(boxes, "source_id").join(measured, "source_id", "left").withColumn("model_candidate", model)
-    sheets = joined.select(
+    sheets_plan = joined.select(
         "source_id", "boxes", (F.col("complete") == 1).alias("complete"), (F.col("merged") == 1).alias("merged"), (sid % 2 == 0).alias("narrow_lead"),
         "model_candidate", (sid % 40).cast("double").alias("model_score"), F.lit(True).alias("calibrated"), "_m")
+    sheets = v.cut("sheets", lambda: sheets_plan)
     known = sheets.where("model_candidate IS NOT NULL")
     numbers = known.select("source_id", F.col("model_candidate").alias("candidate"), F.col("model_score").alias("score")).unionByName(
         known.where(F.col("_m").isNotNull() & (sid % 2 == 0)).select("source_id", F.col("_m").alias("candidate"), (F.col("model_score") / 2).alias("score")))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from gradeloom.operators import grading as G
 from gradeloom.operators import review as R
 from gradeloom.operators.common import latest
-from gradeloom.plans.q_state import answers, confirmed, maximum, state
+from gradeloom.plans.q_state import answers_table, confirmed_table, maximum, state_table
 from gradeloom.plans.registry import SHARED, query
 
 SHARED.update(
@@ -39,7 +39,7 @@ SELECT *, CASE WHEN prefill IS NOT NULL THEN prefill WHEN kind = 'answer' AND st
 
 
 def issues(v):
-    return R.issues(state(v), answers(v), confirmed(v), maximum(v), G.attendance_state(v.attendance), R.open_failures(v.import_log))
+    return R.issues(state_table(v), answers_table(v), confirmed_table(v), maximum(v), G.attendance_state(v.attendance), R.open_failures(v.import_log))
 
 
 @query("import_failures", "S8", "SELECT seq, exam_id, path, purpose, room_id, error FROM o_open_failures")
@@ -66,7 +66,8 @@ def prefill(v):
 @query("issue_key", "P36", """
 SELECT kind, count(*) AS issues, count(DISTINCT (source_id, kind, question, number, key_id, detection_id, failure_seq)) AS keys FROM o_issues GROUP BY kind""")
 def issue_key(v):
-    keyed = issues(v).withColumn("issue_key", R.issue_key(issues(v)))
+    rows = issues(v)
+    keyed = rows.withColumn("issue_key", R.issue_key(rows))
     return keyed.groupBy("kind").agg(F.count(F.lit(1)).alias("issues"), F.count_distinct("issue_key").alias("keys"))
 
 
@@ -82,7 +83,7 @@ LEFT JOIN (SELECT s.room_id, r.student_number, count(*) AS same FROM o_students
 
 
 def _status(v):
-    return R.sheet_status(state(v), answers(v), confirmed(v), issues(v), latest(v.reviews, "source_id"))
+    return R.sheet_status(state_table(v), answers_table(v), confirmed_table(v), issues(v), latest(v.reviews, "source_id"))
 
 
 @query("sheet_status", "A4", "SELECT * FROM o_status")
@@ -107,7 +108,7 @@ SELECT t.room_id, count(*) AS sheets, count(detection_id) AS processed, CAST(rou
        coalesce(max(p.n), 0) AS pending FROM o_state t LEFT JOIN (SELECT room_id, count(DISTINCT source_id) AS n FROM o_issues WHERE source_id IS NOT NULL GROUP BY room_id) p ON p.room_id = t.room_id
 GROUP BY t.room_id""")
 def progress(v):
-    return R.progress(state(v), issues(v))
+    return R.progress(state_table(v), issues(v))
 
 
 @query("skip_summary", "A6", """
@@ -117,7 +118,7 @@ SELECT room_id, count(*) FILTER (WHERE unk) AS unconfirmed_identities, CAST(sum(
        count(*) FILTER (WHERE unk OR failure IS NOT NULL OR unclear > 0 OR NOT on_key) AS unresolved_sheets
 FROM (SELECT s.*, a.unclear, a.on_key, number IS NULL OR coalesce(holders > 1, false) OR coalesce(number > maximum, false) AS unk FROM o_sheets s JOIN a ON a.source_id = s.source_id) GROUP BY room_id""")
 def skip_summary(v):
-    return R.skip_summary(state(v), answers(v), maximum(v))
+    return R.skip_summary(state_table(v), answers_table(v), maximum(v))
 
 
 @query("union_issues", "U1", "SELECT kind, coalesce(status, '-') AS status, count(*) AS n FROM o_issues GROUP BY ALL")

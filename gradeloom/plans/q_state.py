@@ -85,12 +85,24 @@ def maximum(v):
     return G.number_maximum(v.rooms, v.exams)
 
 
+def state_table(v):
+    return v.cut("state", lambda: state(v))
+
+
+def confirmed_table(v):
+    return v.cut("confirmed", lambda: confirmed(v))
+
+
 def answers(v):
-    return R.effective_answers(state(v), confirmed(v), v.exams, v.observations, v.overrides, v.review_answers)
+    return R.effective_answers(state_table(v), confirmed_table(v), v.exams, v.observations, v.overrides, v.review_answers)
+
+
+def answers_table(v):
+    return v.cut("answers", lambda: answers(v))
 
 
 def records(v):
-    return R.choose_record(v.reviews, v.partials, confirmed(v), v.sources)
+    return v.cut("records", lambda: R.choose_record(v.reviews, v.partials, confirmed_table(v), v.sources))
 
 
 def snapshot_broken(v):
@@ -108,7 +120,7 @@ def usable_indicators(v):
 
 
 def snapshot(v):
-    key = G.key_answers(v.keys, confirmed(v))
+    key = G.key_answers(v.keys, confirmed_table(v))
     return R.snapshot(records(v), snapshot_answers(v), key, usable_indicators(v), 3, snapshot_broken(v))
 
 

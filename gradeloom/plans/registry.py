@@ -29,7 +29,7 @@ def query(name: str, ids: str, sql: str | None = None):
 
 
 def bound(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, folder: QUERIES[name](open_views(spark, folder))
+    return lambda spark, folder: QUERIES[name](open_views(spark, folder).fresh())
 
 
 def oracle(name: str) -> str:

@@ -8,9 +8,12 @@ DOUBLE, no array or JSON syntax. One logical clock (``seq``) per log.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gradeloom.session import cut
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -97,9 +100,9 @@ SELECT exam_id, source_id, CAST(source_id * 10 + rev AS BIGINT) AS key_id, CAST(
 FROM v_sources CROSS JOIN {_REVS} CROSS JOIN {_QUESTIONS}
 WHERE purpose = 'key' AND (rev = 0 OR source_id % 7 <> 0)""",
     "v_last_keys": """
-SELECT k.exam_id, max(k.key_id) AS last_key
-FROM v_keys k JOIN v_sources s ON k.source_id = s.source_id
-WHERE k.question = 1 AND s.archived = 0 GROUP BY k.exam_id""",
+SELECT c_nationkey AS exam_id, max(CAST(o_orderkey * 10 + CASE WHEN o_orderkey % 7 <> 0 THEN 1 ELSE 0 END AS BIGINT)) AS last_key
+FROM orders JOIN customer ON o_custkey = c_custkey
+WHERE o_orderkey % 50 = 0 AND NOT (o_orderstatus = 'P' AND o_orderpriority = '5-LOW') GROUP BY c_nationkey""",
     "v_reviews": f"""
 SELECT CAST(o_orderkey * 10 + rev AS BIGINT) AS review_id, CAST(o_orderkey * 10 + rev AS BIGINT) AS seq,
        o_orderkey AS source_id,
@@ -339,6 +342,19 @@ class Views:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
         self._frames: dict[str, DataFrame] = {}
+        self._cuts: dict[str, DataFrame] = {}
+
+    def fresh(self) -> Views:
+        """Same frames, no materialised intermediates: one per query call."""
+        other = Views(self.spark, self.folder)
+        other._frames = self._frames
+        return other
+
+    def cut(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """Materialise an intermediate once for all branches of a query."""
+        if name not in self._cuts:
+            self._cuts[name] = cut(build(), name)
+        return self._cuts[name]
 
     def table(self, name: str) -> DataFrame:
         if name not in self._frames:

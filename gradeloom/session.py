@@ -7,8 +7,9 @@ them except ``checkpoint_dir``.
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -39,3 +40,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", configured)
     spark.sparkContext.setCheckpointDir(configured)
     return configured
+
+
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Materialise a frame that several branches read: a table in the shared checkpoint folder.
+
+    Reliable (a lost executor re-reads files, nothing is recomputed) and
+    columnar, so that later branches still prune columns and know sizes.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -57,7 +57,7 @@ def png_size(content: Column) -> Column:
 def scan_rasters(spark: SparkSession, path: str) -> DataFrame:
     """Decoded rasters (BGR bytes); a file that does not decode is a row with width -1. EXIF rotation is not applied."""
     return spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "false").load(path).select(
-        F.col("image.origin").alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"),
+        F.regexp_replace("image.origin", "^file:/+", "file:/").alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"),
         F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"), (F.col("image.width") <= 0).alias("failed"),
     )
 
@@ -65,7 +65,7 @@ def scan_rasters(spark: SparkSession, path: str) -> DataFrame:
 def inventory(spark: SparkSession, path: str) -> DataFrame:
     """Path, hash, bytes, size, type and status of every visible file, in path order."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    visible = files.where(~file_name(F.col("path")).startswith("."))
+    visible = files.withColumn("path", F.regexp_replace("path", "^file:/+", "file:/")).where(~file_name(F.col("path")).startswith("."))
     rasters = scan_rasters(spark, path).select("path", F.col("width").alias("_w"), F.col("height").alias("_h"))
     size = png_size(F.col("content"))
     joined = visible.join(rasters, "path", "left")
