@@ -75,12 +75,12 @@ def median(values: Column) -> Column:
 
 def row_snr(cores: Column) -> Column:
     """Core densities relative to the row median: deltas, best two, winner."""
-    deltas = F.transform(cores, lambda core: core - median(cores))
+    middle = median(cores)
     return F.struct(
-        deltas.alias("deltas"),
-        F.array_max(deltas).alias("best"),
-        _second(deltas).alias("runner_up"),
-        _argmax(deltas).alias("winner"),
+        F.transform(cores, lambda core: core - middle).alias("deltas"),
+        (F.array_max(cores) - middle).alias("best"),
+        F.when(F.size(cores) > 1, _second(cores) - middle).otherwise(F.lit(0.0)).alias("runner_up"),
+        _argmax(cores).alias("winner"),
     )
 
 
@@ -128,44 +128,59 @@ def component_majority(decision: Column, cores: Column, mass: Column, area: Colu
     )
 
 
-def _custom_rescue(decision: Column, densities: Column, cores: Column, custom: Column) -> Column:
-    snr = row_snr(cores)
-    best, runner_up, winner = snr["best"], snr["runner_up"], snr["winner"]
-    peak, peak_core = F.array_max(densities), F.array_max(cores)
+# Row facts that several rules read. They are columns of their own, so that a
+# row sorts its five values once and not once per rule and cell.
+ROW_FACTS = ("_median", "_deltas", "_best", "_runner_up", "_core_winner", "_peak", "_peak_core", "_winner")
+
+
+def with_row_facts(df: DataFrame) -> DataFrame:
+    densities, cores = F.col("densities"), F.col("cores")
+    return (
+        df.withColumns({"_median": median(cores), "_peak": F.array_max(densities), "_peak_core": F.array_max(cores)})
+        .withColumns({
+            "_deltas": F.transform(cores, lambda core: core - F.col("_median")), "_best": F.col("_peak_core") - F.col("_median"),
+            "_runner_up": F.when(F.size(cores) > 1, _second(cores) - F.col("_median")).otherwise(F.lit(0.0)),
+            "_core_winner": F.array_position(cores, F.col("_peak_core")).cast("int"), "_winner": F.array_position(densities, F.col("_peak")).cast("int"),
+        })
+    )
+
+
+def _custom_rescue(decision: Column, cores: Column, custom: Column) -> Column:
+    best, runner_up, winner = F.col("_best"), F.col("_runner_up"), F.col("_core_winner")
+    peak, peak_core = F.col("_peak"), F.col("_peak_core")
     open_case = custom & decision["state"].isin("uncertain", "multiple")
     blank = (
         (F.size(decision["selected"]) == 0)
         & (peak < 0.06)
         & (((best < 0.035) & (peak_core < 0.05)) | ((peak < 0.035) & (peak_core < 0.03)))
     )
-    dominant = (best >= 0.05) & (runner_up < best * 0.45) & (F.element_at(cores, winner) >= 0.06)
+    dominant = (best >= 0.05) & (runner_up < best * 0.45) & (peak_core >= 0.06)
     competing = (best >= 0.06) & (runner_up >= best * 0.70)
     return (
         F.when(open_case & blank, _decision(_none(), "blank", "no-answer-ink"))
         .when(open_case & dominant, _decision(F.array(_letter(winner)), "single_mark", "differential-core-dominance"))
         .when(
             open_case & competing,
-            _decision(_letters_where(snr["deltas"], lambda delta: delta >= best * 0.70), "multiple", "competing-marks"),
+            _decision(_letters_where(F.col("_deltas"), lambda delta: delta >= best * 0.70), "multiple", "competing-marks"),
         )
         .otherwise(decision)
     )
 
 
 def _relative_contrast(decision: Column, densities: Column, cores: Column, refined: Column) -> Column:
-    winner = _argmax(densities)
-    peak, core = F.element_at(densities, winner), F.element_at(cores, winner)
+    peak, core = F.col("_peak"), F.element_at(cores, F.col("_winner"))
     quiet = F.zip_with(densities, cores, lambda value, other: (value < peak * 0.38) & (other < CORE))
     # the winner itself fails the test (core >= 0.08), so exactly one cell may fail
     rivals_quiet = F.size(F.filter(quiet, lambda flag: ~flag)) == 1
     applies = refined & (decision["state"] == "uncertain") & (peak >= 0.045) & (core >= CORE) & rivals_quiet
-    return F.when(applies, _decision(F.array(_letter(winner)), "single_mark", "relative-contrast-dominance")).otherwise(decision)
+    return F.when(applies, _decision(F.array(_letter(F.col("_winner"))), "single_mark", "relative-contrast-dominance")).otherwise(decision)
 
 
 def _green_core(decision: Column, cores: Column, green: Column) -> Column:
-    strong = (F.array_max(cores) >= SELECTED) & (_second(cores) < GREEN_ISOLATION)
+    strong = (F.col("_peak_core") >= SELECTED) & (_second(cores) < GREEN_ISOLATION)
     hollow = (decision["state"] == "multiple") & (F.size(F.filter(cores, lambda core: core >= CORE)) < 2)
     return (
-        F.when(green & strong, _decision(F.array(_letter(_argmax(cores))), "single_mark", "green-center-ink-dominance"))
+        F.when(green & strong, _decision(F.array(_letter(F.col("_core_winner"))), "single_mark", "green-center-ink-dominance"))
         .when(green & hollow, _decision(decision["selected"], "uncertain", "multiple-without-two-centered-marks"))
         .otherwise(decision)
     )
@@ -195,10 +210,11 @@ def refine_classification(df: DataFrame, decision: str = "decision") -> DataFram
     d = F.col(decision)
     densities, cores = F.col("densities"), F.col("cores")
     return (
-        df.withColumn(decision, _custom_rescue(d, densities, cores, F.col("custom")))
+        with_row_facts(df).withColumn(decision, _custom_rescue(d, cores, F.col("custom")))
         .withColumn(decision, _relative_contrast(d, densities, cores, F.col("refined")))
         .withColumn(decision, _green_core(d, cores, F.col("green")))
         .withColumn(decision, _single_cross(d, cores, F.col("green"), F.col("crosses"), F.col("diagonals")))
+        .drop(*ROW_FACTS)
     )
 
 
