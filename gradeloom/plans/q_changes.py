@@ -7,7 +7,7 @@ from gradeloom.operators import grading as G
 from gradeloom.operators.common import latest
 from gradeloom.plans.q_issues import issues
 from gradeloom.plans.q_state import answers_table, confirmed_table, maximum, snapshot, state_table
-from gradeloom.plans.registry import SHARED, query
+from gradeloom.plans.registry import SHARED, query, widen
 
 SHARED.update(
     o_finalize="""
@@ -239,7 +239,7 @@ def replace_indicators(v):
     from gradeloom.operators.checks import check_indicators
 
     incoming = v.draft_indicators.select("exam_id", F.col("position").cast("int").alias("position"), "identifier", "from_question", "to_question")
-    return C.replace_indicators(v.indicators, incoming, check_indicators(incoming, v.draft_exams))
+    return widen(C.replace_indicators(v.indicators, incoming, check_indicators(incoming, v.draft_exams)), "position")
 
 
 @query("fingerprint", "A19", """

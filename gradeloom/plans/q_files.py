@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gradeloom.plans.registry import SHARED, query
+from gradeloom.plans.registry import SHARED, query, widen
 from gradeloom.sources import files as S
 
 
@@ -19,7 +19,7 @@ def images(v):
 SELECT file_id, CASE file_id % 4 WHEN 0 THEN 'png' WHEN 1 THEN 'jpeg' END AS type, CASE WHEN file_id % 4 = 0 THEN 100 + file_id % 900 END AS width, CASE WHEN file_id % 4 = 0 THEN 200 + file_id % 700 END AS height FROM v_files""")
 def sniff_type(v):
     size = S.png_size(F.col("bytes"))
-    return images(v).select("file_id", S.sniff_type(F.col("bytes")).alias("type"), size["width"].alias("width"), size["height"].alias("height"))
+    return widen(images(v).select("file_id", S.sniff_type(F.col("bytes")).alias("type"), size["width"].alias("width"), size["height"].alias("height")), "width", "height")
 
 
 @query("drop_artifacts", "S3", "SELECT file_id, file_name FROM v_files WHERE lower(file_name) NOT IN ('.ds_store', 'thumbs.db')")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from gradeloom.operators import geometry as G
-from gradeloom.plans.registry import SHARED, query
+from gradeloom.plans.registry import SHARED, query, widen
 
 KEY = ["template_row"]
 
@@ -28,14 +28,15 @@ WHERE b.x0 > a.x0 + 4 * a.dx AND least(a.y0 + 5 * a.dy, b.y0 + 5 * b.dy) > great
 @query("cell_rects", "P28", """
 SELECT template_row, block_index, question, choice, x, y, w, h, x + 4 AS ix, y + 4 AS iy, w - 8 AS iw, h - 8 AS ih FROM o_cells""")
 def cell_rects(v):
-    return G.cell_rects(blocks(v), KEY)
+    return widen(G.cell_rects(blocks(v), KEY), "question", "x", "y", "ix", "iy")
 
 
 @query("shift_rects", "P29", """
 SELECT template_row, block_index, question, choice, x + 4 + CASE WHEN block_index < 3 THEN shift_x ELSE 0 END AS ix, y + 4 + CASE WHEN block_index < 3 THEN shift_y ELSE 0 END AS iy FROM o_cells""")
 def shift_rects(v):
     offsets = v.blocks.where("block_index < 3").select("template_row", "block_index", "shift_x", "shift_y")
-    return G.shift_rects(G.cell_rects(blocks(v), KEY), offsets, KEY).select("template_row", "block_index", "question", "choice", "ix", "iy")
+    shifted = G.shift_rects(G.cell_rects(blocks(v), KEY), offsets, KEY)
+    return widen(shifted.select("template_row", "block_index", "question", "choice", "ix", "iy"), "question", "ix", "iy")
 
 
 @query("question_block", "J5", """
@@ -66,7 +67,7 @@ WHERE m.w > 0 AND m.h > 0 AND greatest(m.x, s.x) < least(m.x + m.w, s.x + s.w) A
 def overlap_join(v):
     cells = moved(v).select("template_row", "question", "choice", F.col("ix").alias("x"), F.col("iy").alias("y"), F.col("iw").alias("w"), F.col("ih").alias("h"))
     pairs = G.overlap_join(cells, G.number_strips(blocks(v), KEY), KEY)
-    return pairs.select("template_row", F.col("question_l").alias("question"), F.col("choice_l").alias("choice"), F.col("block_index_r").alias("block_index"))
+    return pairs.select("template_row", F.col("question_l").cast("bigint").alias("question"), F.col("choice_l").alias("choice"), F.col("block_index_r").alias("block_index"))
 
 
 @query("check_geometry", "V7", """
@@ -75,13 +76,13 @@ WHERE m.x < b.x0 OR m.y < b.y0 OR m.x + m.w > b.x0 + 4 * b.dx OR m.y + m.h > b.y
 UNION ALL SELECT DISTINCT m.template_row, m.question, m.choice, 'overlaps_number_strip' FROM o_moved m JOIN o_strips s ON s.template_row = m.template_row
 WHERE m.w > 0 AND m.h > 0 AND greatest(m.x, s.x) < least(m.x + m.w, s.x + s.w) AND greatest(m.y, s.y) < least(m.y + m.h, s.y + s.h)""")
 def check_geometry(v):
-    return G.check_geometry(blocks(v), moved(v), G.number_strips(blocks(v), KEY), KEY)
+    return widen(G.check_geometry(blocks(v), moved(v), G.number_strips(blocks(v), KEY), KEY), "question")
 
 
-@query("geometry_drift", "V7", "SELECT template_row, question, choice, x AS ix FROM o_moved WHERE x <> (SELECT 0) AND x <> -1 AND template_row IN (SELECT template_row FROM v_blocks) EXCEPT ALL SELECT template_row, question, choice, x + 4 FROM o_cells")
+@query("geometry_drift", "V7", "SELECT template_row, question, choice, x AS ix FROM o_moved EXCEPT ALL SELECT template_row, question, choice, x + 4 FROM o_cells")
 def geometry_drift(v):
     columns = ["template_row", "question", "choice", "ix"]
-    return G.geometry_drift(moved(v).select(*columns), G.cell_rects(blocks(v), KEY))
+    return widen(G.geometry_drift(moved(v).select(*columns), G.cell_rects(blocks(v), KEY)), "question", "ix")
 
 
 @query("check_template", "V6", """

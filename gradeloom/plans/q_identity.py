@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from gradeloom.operators import identity as I
-from gradeloom.plans.registry import SHARED, query
+from gradeloom.plans.registry import SHARED, query, widen
 
 SHARED.update(
     o_votes="""
@@ -44,7 +44,7 @@ def scored(v):
 
 @query("candidate_votes", "A17", "SELECT * FROM o_votes")
 def candidate_votes(v):
-    return I.candidate_votes(votes_input(v))
+    return widen(I.candidate_votes(votes_input(v)), "place")
 
 
 def text_candidates(v):
@@ -55,7 +55,7 @@ def text_candidates(v):
 SELECT source_id, candidate, score, place, margin FROM (
   SELECT source_id, candidate, score, row_number() OVER w AS place, round(score - lead(score) OVER w, 8) AS margin FROM o_votes WINDOW w AS (PARTITION BY source_id ORDER BY score DESC, candidate)) WHERE place <= 3""")
 def topk_candidates(v):
-    return I.topk_candidates(I.candidate_votes(votes_input(v)).select("source_id", "candidate", "score"), 3)
+    return widen(I.topk_candidates(I.candidate_votes(votes_input(v)).select("source_id", "candidate", "score"), 3), "place")
 
 
 @query("constrain_candidates", "C17 J11", """
@@ -90,7 +90,7 @@ u AS (SELECT c.source_id, c.candidate, max(c.score) AS score FROM c JOIN n ON n.
 SELECT * FROM (SELECT *, row_number() OVER w AS place, round(score - lead(score) OVER w, 8) AS margin FROM u WINDOW w AS (PARTITION BY source_id ORDER BY score DESC, candidate)) WHERE place <= 12""")
 def combine_digits(v):
     best = v.digit_runs.where("raw_score IS NOT NULL").groupBy("source_id", "pos", "digit").agg(F.max("raw_score").alias("score"))
-    return I.combine_digits(best)
+    return widen(I.combine_digits(best), "place")
 
 
 @query("shape_suggestions", "C16", "SELECT source_id, candidate, changed FROM o_shapes")

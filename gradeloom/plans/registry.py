@@ -28,6 +28,11 @@ def query(name: str, ids: str, sql: str | None = None):
     return register
 
 
+def widen(df: DataFrame, *columns: str) -> DataFrame:
+    """Given columns as BIGINT, the type their SQL has."""
+    return df.withColumns({name: df[name].cast("bigint") for name in columns})
+
+
 def bound(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, folder: QUERIES[name](open_views(spark, folder).fresh())
 
