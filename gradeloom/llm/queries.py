@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm import quality, secrets, toxicity
+from gradeloom.llm import packing, quality, secrets, toxicity
 from gradeloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +57,8 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     found = secrets.secrets(table(spark, folder, "documents").select("doc_id", "text"))
     return found.select("doc_id", "secrets.n_assign", "secrets.n_access", "secrets.n_hex", F.sha2("secrets.base", 256).alias("base_sha256"), "secrets.spans", "secrets.n_layers", "secrets.n_unread")
+
+
+@query("op7_best_fit_packing")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
