@@ -12,8 +12,8 @@ After training a bucket contributes one number to the logit, so scoring a
 document is a sum over its words, and each task keeps those sums per word.
 
 Defined results: a null or empty text, and one without words, scores the
-model's bias alone; repeated rows score alike, one row each; a null doc_id is
-never held out; without any labelled document, or with one class only, every
+model's bias alone; repeated rows score alike, one row each, and teach once; a null doc_id is never
+held out; of differing labels of one document the larger counts; without any labelled document, or with one class only, every
 score is the smoothed share of toxic labels (0.5 without labels).
 """
 
@@ -236,20 +236,26 @@ def _trainer(share: float, options: dict):
     return fit
 
 
-def fit(examples: DataFrame, *, per_class: int = SAMPLE_PER_CLASS, **options) -> tuple[np.ndarray, float]:
-    """Model from (doc_id, text, label) rows; the sample is the same for the same rows in any order.
+def fit(docs: DataFrame, labels: DataFrame, *, column: str = "toxic", per_class: int = SAMPLE_PER_CLASS, **options) -> tuple[np.ndarray, float]:
+    """Model from the labelled documents that may be learnt from: labelled 0 or 1, not held out.
 
-    At most ``per_class`` documents of each class reach the one fitting task,
-    and the driver gets the fixed-size model only.
+    The sample is drawn from ids alone, at most ``per_class`` of each class, and
+    is the same for the same rows in any order; only then are its texts read,
+    by ids that are few enough to be sent to all tasks. One task fits, and the
+    driver gets the fixed-size model only.
     """
-    counts = {r.label: r["count"] for r in examples.groupBy("label").count().collect()}
+    known = labels.where(F.col(column).isin(0, 1) & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("id"), F.col(column).cast("int").alias("label"))
+    known = known.groupBy("id").agg(F.max("label").alias("label")).join(docs.select(F.col("doc_id").alias("id")), "id", "left_semi")
+    counts = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
     total = sum(counts.values())
     if not total:
         return np.zeros(options.get("buckets", BUCKETS), np.float32), 0.0
     share = (counts.get(1, 0) + 1) / (total + 2)
-    keyed = examples.select("text", "label", F.xxhash64("doc_id", "text").alias("order"))
-    parts = [keyed.where(F.col("label") == label).orderBy("order", "text").limit(per_class) for label in (0, 1)]
-    model = parts[0].unionAll(parts[1]).groupBy(F.lit(0).alias("all")).applyInPandas(_trainer(share, options), "weights binary, bias double").first()
+    keyed = known.select("id", "label", F.xxhash64("id").alias("order"))
+    parts = [keyed.where(F.col("label") == label).orderBy("order", "id").limit(per_class) for label in (0, 1)]
+    sample = F.broadcast(parts[0].unionAll(parts[1]))
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("text")).join(sample, "id").groupBy("order", "label", "id").agg(F.min("text").alias("text"))
+    model = rows.groupBy(F.lit(0).alias("all")).applyInPandas(_trainer(share, options), "weights binary, bias double").first()
     return np.frombuffer(model.weights, np.float32), model.bias
 
 
@@ -271,15 +277,9 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> DataFrame:
-    """(doc_id, text, label) of the rows that may be learnt from: labelled 0 or 1 and not held out."""
-    known = labels.where(F.col(column).isin(0, 1) & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("doc_id"), F.col(column).cast("int").alias("label"))
-    return docs.select("doc_id", "text").join(known, "doc_id")
-
-
 def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, **options) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
-    model = fit(labelled(docs, labels), **options)
+    model = fit(docs, labels, **options)
     return score(docs.select("doc_id", "text"), model).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
@@ -291,4 +291,4 @@ def kept_documents(docs: DataFrame, labels: DataFrame, *, threshold: float = THR
     name = "_toxicity"
     while name in columns:
         name += "_"
-    return score(docs, fit(labelled(docs, labels), **options), name=name).where(F.col(name) < threshold).select(*columns)
+    return score(docs, fit(docs, labels, **options), name=name).where(F.col(name) < threshold).select(*columns)
