@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm import chat, lines, packing, quality, secrets, toxicity
+from gradeloom.llm import chat, lines, packing, quality, secrets, topk, toxicity
 from gradeloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,15 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("<|im_end|><|im_start|>assistant ok").alias("text"),
     )
     return chat.digests(chat.formatted(given.unionAll(own)))
+
+
+@query("op8_voronoi_top_k", r"""
+WITH e AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i, len(v) AS n FROM e),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(sum(q.x * d.x) AS BIGINT) AS score FROM c q JOIN c d ON q.i = d.i AND q.n = d.n AND q.vec_id <> d.vec_id WHERE q.vec_id % 100 = 0 GROUP BY ALL)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+""")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    given = table(spark, folder, "embeddings").select(F.col("vec_id").cast("long").alias("id"), topk.quantized(F.col("embedding")).alias("v")).where("v IS NOT NULL")
+    return topk.top_k(given, given.where("id % 100 = 0"))
