@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm import chat, lines, packing, quality, secrets, topk, toxicity
+from gradeloom.llm import chat, lines, packing, pieces, quality, secrets, topk, toxicity
 from gradeloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,8 @@ SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_nu
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     given = table(spark, folder, "embeddings").select(F.col("vec_id").cast("long").alias("id"), topk.quantized(F.col("embedding")).alias("v")).where("v IS NOT NULL")
     return topk.top_k(given, given.where("id % 100 = 0"))
+
+
+@query("op4_sentencepiece")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.digests(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
