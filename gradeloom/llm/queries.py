@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm import chat, jaccard, lines, packing, pieces, quality, secrets, topk, toxicity
+from gradeloom.llm import chat, jaccard, lines, packing, pieces, quality, secrets, suffix, topk, toxicity
 from gradeloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +127,9 @@ SELECT w.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(
 """)
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.linked_documents(table(spark, folder, "documents"))
+
+
+@query("op2_suffix_array_dedup")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    done = suffix.dedup_substrings(table(spark, folder, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
