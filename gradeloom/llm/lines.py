@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -146,7 +147,7 @@ def _prober(least: int):
         number, shard = None, None
         for batch in batches:
             kinds, shards = batch.column("kind").to_numpy(), batch.column("shard").to_numpy()
-            h1, h2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h1", "h2"))
+            h1, h2 = (pc.fill_null(batch.column(c), 0).to_numpy().view(np.uint64) for c in ("h1", "h2"))  # null in index rows
             hit = kinds == 2
             edges = np.r_[0, np.flatnonzero((np.diff(shards) != 0) | (kinds[1:] == 0)) + 1, len(kinds)]
             for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
@@ -158,7 +159,7 @@ def _prober(least: int):
                 if len(own):
                     if shards[low] != number:
                         raise ValueError(f"no index rows of shard {shards[low]}")
-                    hit[own] = shard.documents(h1[own].astype(np.int64).view(np.uint64), h2[own].astype(np.int64).view(np.uint64)) >= least
+                    hit[own] = shard.documents(h1[own], h2[own]) >= least
             chosen = pa.array(np.flatnonzero(hit))
             yield pa.RecordBatch.from_arrays([batch.column("text_key").take(chosen), batch.column("h1").take(chosen)], ["text_key", "h1"])
 
@@ -213,7 +214,7 @@ def _cleaned(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Data
 
 
 def dedup_lines(docs: DataFrame, *, text: str = "text", min_documents: int = MIN_DOCUMENTS, shard_keys: int = SHARD_KEYS, name: str = "lines") -> DataFrame:
-    """``docs`` with a struct ``name``: n_lines, n_dropped and the kept text.
+    """``docs`` with a struct ``name`` (in place of a column so named): n_lines, n_dropped and the kept text.
 
     The text crosses the network once, by its own hash; Spark splits the
     partitions of texts with many copies. The other side is a short list for
@@ -224,4 +225,4 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", min_documents: int = MIN
     joined = rows.join(drops.hint("shuffle_hash"), F.col("_key") == F.col("text_key"), "left")
     cleaned = F.pandas_udf(_cleaned, "n_lines long, n_dropped long, kept string")
     done = joined.select("_row", cleaned(F.col("_row")[text], F.col("drop")).alias("_done"))
-    return done.select(*[F.col("_row")[c].alias(c) for c in docs.columns], F.col("_done").alias(name))
+    return done.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c != name], F.col("_done").alias(name))
