@@ -192,57 +192,53 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def local_search(bins: list[list[int]], sizes: list[int], capacity: int, tries: int = TRIES) -> list[list[int]]:
-    """Drain the emptiest bin into the other underfull ones until no step raises the sum of squared fills.
-
-    A step for an item of the emptiest bin is, in this order: a move into the
-    bin that it fills best; a swap with a smaller item of a fuller bin; two
-    items of the emptiest bin against one smaller item. Each carries size from
-    the emptiest bin to a fuller one, which raises the sum. The search stops at
-    the least number of bins that the total allows.
+    """Exchange items between underfull bins as long as that raises the sum of squared fills.
+
+    The emptiest bin gives first, then the next ones. Steps for an item of the
+    giving bin are, in this order: a move into the bin that it fills best; a
+    swap with a smaller item of a fuller bin; two items against one smaller
+    item. Each carries size to a bin at least as full, which raises the sum, so
+    the search ends; after each the emptiest bin has its turn again. It stops
+    at the least number of bins that the total allows.
     """
     least = -(-sum(sizes) // capacity)
     fill = [sum(sizes[i] for i in b) for b in bins]
     items = [sorted((sizes[i], i) for i in b) for b in bins]
     under = sorted((fill[k], k) for k in range(len(bins)) if fill[k] < capacity)
-    alive = len(bins)
-    while len(under) > 1 and alive > least:
-        _, low = under.pop(0)
-        stuck = False
-        while items[low] and not stuck:
-            stuck = True
-            for size, item in reversed(items[low]):
-                # Move: the fullest bin with room for the item.
-                at = bisect_left(under, (capacity - size + 1,)) - 1
-                if at >= 0:
-                    _exchange(items, fill, under, low, under[at][1], [(size, item)], [], capacity)
-                    stuck = False
-                    break
-                singles = [((size, item),)]
-                pairs = [((size, item), other) for other in items[low] if other[1] != item][:4]
-                for give in (*singles, *pairs):
-                    step = _swap(items, fill, under, give, capacity, tries)
-                    if step is not None:
-                        other, take = step
-                        _exchange(items, fill, under, low, other, list(give), [take], capacity)
-                        stuck = False
-                        break
-                if not stuck:
-                    break
-            if not stuck and items[low] and under and fill[low] > under[0][0]:
-                break
-        if not items[low]:
-            alive -= 1
-        elif stuck:
-            break  # nothing leaves the emptiest bin any more
+    alive, turn = len(bins), 0
+    while turn < len(under) - 1 and alive > least:
+        _, own = under.pop(turn)
+        step = _step(items[own], items, fill, under, turn, capacity, tries)
+        if step is None:
+            insort(under, (fill[own], own))
+            turn += 1
+            continue
+        _exchange(items, fill, under, own, *step, capacity)
+        if items[own]:
+            insort(under, (fill[own], own))
         else:
-            insort(under, (fill[low], low))
+            alive -= 1
+        turn = 0
     return [[i for _, i in own] for own in items if own]
 
 
-def _swap(items, fill, under, give, capacity, tries):
+def _step(own, items, fill, under, turn, capacity, tries):
+    """(other bin, items given, items taken) of the first step that helps; bins from place ``turn`` on are as full as the giving one."""
+    for size, item in reversed(own):
+        at = bisect_left(under, (capacity - size + 1,)) - 1
+        if at >= turn:
+            return under[at][1], [(size, item)], []
+        for give in ([(size, item)], *([(size, item), other] for other in own[:4] if other[1] != item)):
+            found = _swap(items, under[max(turn, len(under) - tries) :], give, capacity)
+            if found is not None:
+                return found[0], give, [found[1]]
+    return None
+
+
+def _swap(items, fuller, give, capacity):
     """The fuller bin and its item whose exchange for ``give`` fills that bin best."""
     size, best = sum(s for s, _ in give), None
-    for full, other in under[-tries:]:
+    for full, other in fuller:
         room = capacity - full
         at = bisect_left(items[other], (size - room,))
         if at < len(items[other]) and items[other][at][0] < size:
@@ -256,7 +252,7 @@ def _swap(items, fill, under, give, capacity, tries):
 
 
 def _exchange(items, fill, under, low, other, give, take, capacity):
-    """Move ``give`` from bin low to bin other and ``take`` back; ``low`` isn't among the underfull bins meanwhile."""
+    """Move ``give`` from bin low to bin other and ``take`` back; bin low isn't listed as underfull meanwhile."""
     del under[bisect_left(under, (fill[other], other))]
     for source, target, moved in ((low, other, give), (other, low, take)):
         for entry in moved:
@@ -280,7 +276,7 @@ def pack(rows: DataFrame, *, capacity: int = LENGTH, group_pieces: int = GROUP_P
     schema = [*[f for f in rows.schema.fields if f.name != "_row"]]
     names = [f.name for f in schema]
 
-    def packed(key, own: pd.DataFrame) -> pd.DataFrame:
+    def packed(key, own):
         own = own.sort_values("_row", ignore_index=True)
         sizes = own["length"].astype(int).tolist()
         bins = local_search(best_fit(sizes, capacity), sizes, capacity)
