@@ -17,8 +17,8 @@ one class alone has are dropped by a count, combined before it is shuffled.
 of a star per digest, so linear in rows). Each cluster's sets are sent once; a
 cluster larger than one block is split, and pairs of blocks are compared. A
 block counts the overlaps of its pairs fragment by fragment through an inverted
-list and sums them per pair; pairs themselves are never rows: a block gives the
-spanning edges of its links, at most one per document.
+list and sums them per pair; pairs themselves are never rows: a block gives
+what its links connect as stars, at most one row per document.
 
 Defined results: a null or empty text, or one without words, is the empty set
 and links with nothing, its copies included; with fewer words than n, the words
@@ -205,22 +205,20 @@ class Forest:
             i = self.up[i]
         return i
 
-    def join(self, i: int, j: int) -> bool:
+    def join(self, i: int, j: int) -> None:
         i, j = self.top(i), self.top(j)
         self.up[max(i, j)] = min(i, j)
-        return i != j
 
 
 def links_of(sets: list[np.ndarray], left: range, right: range, percent: int) -> list[tuple[int, int]]:
-    """Spanning edges of the links between two ranges of sets (one range twice: within it)."""
+    """What the links between two ranges of sets connect (one range twice: within it), as stars around the first set of each part."""
     sizes = np.asarray([len(s) for s in sets])
-    forest, edges = Forest(len(sets)), []
+    forest = Forest(len(sets))
     for i, counts in overlaps(sets, left, right):
         union = sizes[i] + sizes[right.start : right.stop] - counts
         for j in (np.flatnonzero(100 * counts >= percent * union) + right.start).tolist():
-            if i != j and forest.join(i, j):
-                edges.append((i, j))
-    return edges
+            forest.join(i, j)
+    return [(i, top) for i in range(len(sets)) if (top := forest.top(i)) != i]
 
 
 def _linker(percent: int):
