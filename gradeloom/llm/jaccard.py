@@ -263,8 +263,8 @@ def similar_sets(docs: DataFrame, *, n: int = 3, percent: int = 90, text: str =
     classes = signed.where("n > 0").groupBy("set_key", "id").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
     placed = stored(classes.join(clusters, F.col("id") == F.col("node")).select("doc_id", "set_key", "n", F.col("component").alias("cluster")), "clustered")
     sizes = placed.groupBy("cluster").agg(F.ceil(F.sum("n") / block_hashes).alias("blocks"))
-    # The set of a class is read again from its first document; Spark sends the ids to all tasks only if they are small.
-    texts = given.join(placed.select("doc_id", "set_key", "cluster"), "doc_id").select("text", "cluster", "set_key")
+    # The set of a class is read again from its first document. The plan is the same at every size: texts meet their ids by shuffle.
+    texts = given.join(placed.select("doc_id", "set_key", "cluster").hint("shuffle_hash"), "doc_id").select("text", "cluster", "set_key")
     sets = texts.mapInArrow(_setter(n), "cluster long, set_key binary, hashes binary")
     sets = sets.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))
@@ -288,4 +288,4 @@ def linked_documents(docs: DataFrame, *, n: int = 3, percent: int = 90, text: st
 def first_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document of each component, that with the smallest id; rows of one id stay or go together."""
     gone = linked_documents(docs, **options).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
