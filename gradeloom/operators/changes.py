@@ -305,14 +305,3 @@ def uniform_edit(issues: DataFrame, selection: DataFrame, value: str) -> DataFra
         allowed = F.col("kind").isin("image", "import")
         return chosen.withColumn("value", F.lit(value)).withColumn("error", F.when(~allowed, "not_dismissable"))
     return chosen.withColumn("value", F.lit(value)).withColumn("error", F.lit(None).cast("string"))
-
-
-def choice_only(value: Column) -> Column:
-    return yes(value.isin(*CHOICES))
-
-
-def first_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    return top(df, keys, order)
-
-
-RESOLVED_ANSWERS = RESOLVED

@@ -208,8 +208,3 @@ def set_equal(left: DataFrame, right: DataFrame) -> DataFrame:
         left.distinct().exceptAll(right.distinct()).withColumn("side", F.lit("left"))
         .unionByName(right.distinct().exceptAll(left.distinct()).withColumn("side", F.lit("right")))
     )
-
-
-def broken(df: DataFrame, keys: list[str], rules: dict) -> DataFrame:
-    """Rule names as one array column; rows without violations are kept."""
-    return df.select(*keys, reasons(rules).alias("rules"))

@@ -184,11 +184,3 @@ def training_ready(records: DataFrame, crops: DataFrame) -> DataFrame:
         .when(~checks.valid_bbox(F.col("bbox")), "bad_bbox").when(~checks.inside_bbox(F.col("bbox"), F.col("crop_width"), F.col("crop_height")), "bbox_outside_crop")
     )
     return rows.select("row_id", "label", F.lit("seed_only").alias("split"), reason.alias("rejected"))
-
-
-def annotation_worklist(samples: DataFrame) -> DataFrame:
-    return propose_digit_boxes(samples)
-
-
-def has_label(status: Column) -> Column:
-    return yes(status == "accepted")

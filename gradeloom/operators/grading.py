@@ -159,7 +159,3 @@ def order_results(results: DataFrame) -> DataFrame:
     return results.orderBy(
         "room_id", F.coalesce("number", F.lit(10**9)), F.when(F.col("number").isNull(), F.coalesce("unknown_ordinal", F.lit(10**9))).otherwise(0), "source_id"
     )
-
-
-def is_choice(answer):
-    return answer.isin(*CHOICES)

@@ -33,16 +33,22 @@ def candidate_votes(runs: DataFrame) -> DataFrame:
         F.greatest(F.coalesce(F.max(_finite(F.col("raw_score"))), F.lit(0.0)), F.lit(0.0)).alias("_best"),
     )
     bonus = F.least(F.lit(MAX_BONUS_VOTES), F.col("votes") - 1) * VOTE_BONUS
-    scored = votes.withColumn("score", F.round(F.col("_best") + bonus, 2)).drop("_best")
-    order = Window.partitionBy("source_id").orderBy(F.col("score").desc(), F.col("votes").desc(), "candidate")
-    return scored.withColumn("place", F.row_number().over(order))
+    scored = votes.withColumn("_score", F.col("_best") + bonus)
+    order = Window.partitionBy("source_id").orderBy(F.col("_score").desc(), F.col("votes").desc(), "candidate")
+    ranked = scored.withColumn("place", F.row_number().over(order))
+    return ranked.select("source_id", "candidate", "votes", F.round("_score", 2).alias("score"), "place")
 
 
-def topk_candidates(candidates: DataFrame, k: int) -> DataFrame:
-    """Best ``k`` candidates per sheet with the margin of each to its runner-up."""
+def topk_candidates(candidates: DataFrame, k: int, lone_margin: bool = False) -> DataFrame:
+    """Best ``k`` candidates per sheet with the margin of each to its runner-up.
+
+    The last one has no runner-up: its margin is NULL, or its own score with ``lone_margin``.
+    """
     kept = top(candidates, ["source_id"], [F.col("score").desc(), F.col("candidate")], k + 1, rank="place")
     order = Window.partitionBy("source_id").orderBy("place")
-    return kept.withColumn("margin", F.round(F.col("score") - F.lead("score").over(order), 8)).where(F.col("place") <= k)
+    runner_up = F.lead("score").over(order)
+    runner_up = F.coalesce(runner_up, F.lit(0.0)) if lone_margin else runner_up
+    return kept.withColumn("margin", F.round(F.col("score") - runner_up, 8)).where(F.col("place") <= k)
 
 
 def constrain_candidates(candidates: DataFrame, sheets: DataFrame) -> DataFrame:
@@ -56,31 +62,33 @@ def constrain_candidates(candidates: DataFrame, sheets: DataFrame) -> DataFrame:
     return raw.join(first, "source_id", "left")
 
 
-def _bounded(positions: DataFrame) -> DataFrame:
-    """Sheets with 2 to 6 digit positions; larger groups are left out before anything is collected."""
-    sizes = count_per(positions, ["source_id"], "_positions").where(F.col("_positions").between(2, MAX_DIGITS))
-    return positions.join(sizes, "source_id")
-
-
 def position_scores(positions: DataFrame, runs: DataFrame) -> DataFrame:
-    """Per (sheet, position): primary digit with its direct score, and the best measured other digit.
+    """Per (sheet, position): primary digit with its direct score, the best measured other digit, and the sheet's number of positions.
 
     ``positions``: source_id, pos, digit, shape; ``runs``: source_id, pos, digit, raw_score.
+    Runs become one best score per (sheet, position, digit), of which there are
+    ten at most for a position; primary and alternative are two maxima over them.
     """
-    best = runs.where(_finite(F.col("raw_score")).isNotNull()).groupBy("source_id", "pos", "digit").agg(F.max("raw_score").alias("score"))
-    primary = best.select("source_id", "pos", F.col("digit"), F.col("score").alias("primary_score"))
-    rows = _bounded(positions).join(primary, ["source_id", "pos", "digit"], "left")
-    others = best.withColumnRenamed("digit", "_other").join(rows.select("source_id", "pos", "digit"), ["source_id", "pos"])
-    alternative = top(
-        others.where(F.col("_other") != F.col("digit")), ["source_id", "pos"], [F.col("score").desc(), F.col("_other")]
-    ).select("source_id", "pos", F.col("_other").alias("alt_digit"), F.col("score").alias("alt_score"))
-    return rows.join(alternative, ["source_id", "pos"], "left")
+    best = runs.where(_finite(F.col("raw_score")).isNotNull()).groupBy("source_id", "pos", "digit").agg(F.max("raw_score").alias("_score"))
+    told = positions.select("source_id", "pos", F.col("digit").alias("_digit"), "shape").join(best, ["source_id", "pos"], "left")
+    other = F.when(F.col("digit") != F.col("_digit"), F.struct(F.col("_score").alias("score"), (-F.col("digit")).alias("minus")))
+    rows = told.groupBy("source_id", "pos", F.col("_digit").alias("digit"), "shape").agg(
+        F.max(F.when(F.col("digit") == F.col("_digit"), F.col("_score"))).alias("primary_score"), F.max(other).alias("_other")
+    )
+    rows = rows.select("source_id", "pos", "digit", "shape", "primary_score", (-F.col("_other.minus")).alias("alt_digit"), F.col("_other.score").alias("alt_score"))
+    return rows.withColumn("positions", F.count(F.lit(1)).over(Window.partitionBy("source_id")))
+
+
+def refused_segments(scored: DataFrame) -> DataFrame:
+    """Sheets that give no stitched number because of their number of positions, with the reason."""
+    reason = F.when(F.col("positions") < 2, "too_few_digits").when(F.col("positions") > MAX_DIGITS, "too_many_digits")
+    return scored.select("source_id", "positions", reason.alias("reason")).where("reason IS NOT NULL").distinct()
 
 
 def _gather(scored: DataFrame) -> DataFrame:
-    """One row per sheet: its 2 to 6 positions as an ordered array."""
+    """One row per sheet with 2 to 6 positions, as an ordered array; ``refused_segments`` has the others."""
     item = F.struct("pos", "digit", "shape", "primary_score", "alt_digit", "alt_score")
-    return scored.groupBy("source_id").agg(F.array_sort(F.collect_list(item)).alias("p"))
+    return scored.where(F.col("positions").between(2, MAX_DIGITS)).groupBy("source_id").agg(F.array_sort(F.collect_list(item)).alias("p"))
 
 
 def _join_digits(values: Column) -> Column:
@@ -112,14 +120,18 @@ def segment_alternatives(scored: DataFrame) -> DataFrame:
     return out.where(F.col("candidate").rlike("[1-9]")).groupBy("source_id", "candidate").agg(F.max("score").alias("score"))
 
 
-def combine_digits(options: DataFrame) -> DataFrame:
-    """Best numbers from the top digits of every position (at most 3 to the 6th per sheet)."""
-    kept = top(options, ["source_id", "pos"], [F.col("score").desc(), F.col("digit")], KEPT_DIGITS)
+def combine_digits(options: DataFrame, digits: int = KEPT_DIGITS, numbers: int = KEPT_NUMBERS) -> DataFrame:
+    """Best ``numbers`` numbers from the best ``digits`` digits of every position, and how many more there were (``left_out``).
+
+    Sheets with more than 6 positions give one row with a reason and no candidate.
+    """
+    kept = top(options, ["source_id", "pos"], [F.col("score").desc(), F.col("digit")], digits)
     per_position = kept.groupBy("source_id", "pos").agg(
         F.collect_list(F.struct(F.col("digit").cast("string").alias("text"), F.col("score").cast("double").alias("score"))).alias("choices")
     )
-    sizes = count_per(per_position, ["source_id"], "_positions").where(F.col("_positions") <= MAX_DIGITS)
-    gathered = per_position.join(sizes, "source_id").groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("pos", "choices"))).alias("p"))
+    sizes = count_per(per_position, ["source_id"], "_positions")
+    within = sizes.where(F.col("_positions") <= MAX_DIGITS)
+    gathered = per_position.join(within, "source_id").groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("pos", "choices"))).alias("p"))
     start = F.array(F.struct(F.lit("").alias("text"), F.lit(float("inf")).alias("score")))
     product = F.aggregate(
         "p", start,
@@ -134,7 +146,11 @@ def combine_digits(options: DataFrame) -> DataFrame:
         ),
     )
     exploded = gathered.select("source_id", F.inline(product)).withColumnRenamed("text", "candidate")
-    return topk_candidates(exploded.groupBy("source_id", "candidate").agg(F.max("score").alias("score")), KEPT_NUMBERS)
+    found = exploded.groupBy("source_id", "candidate").agg(F.max("score").alias("score"))
+    more = found.groupBy("source_id").agg(F.greatest(F.count(F.lit(1)) - numbers, F.lit(0)).alias("left_out"))
+    best = topk_candidates(found, numbers, lone_margin=True).join(more, "source_id").withColumn("reason", F.lit(None).cast("string"))
+    refused = sizes.where(F.col("_positions") > MAX_DIGITS).select("source_id", F.lit("too_many_digits").alias("reason"))
+    return best.unionByName(refused, allowMissingColumns=True)
 
 
 def shape_suggestions(scored: DataFrame) -> DataFrame:
@@ -330,17 +346,17 @@ def centroids(vectors: DataFrame) -> DataFrame:
 
 
 def nearest_centroid(queries: DataFrame, centers: DataFrame) -> DataFrame:
-    """Closest centre; the centres are at most ten digits and travel as one row."""
-    packed = centers.where(F.col("label").between(0, 9)).agg(F.array_sort(F.collect_list(F.struct("label", "centroid"))).alias("centers"))
-    rows = queries.crossJoin(F.broadcast(packed))
-    distance = lambda center: F.sqrt(
-        F.aggregate(
-            F.zip_with("vector", center["centroid"], lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x
-        )
-    )
-    best = F.array_min(F.transform("centers", lambda c: F.struct(distance(c).alias("distance"), c["label"].alias("label"))))
-    return rows.select("query_id", best.alias("b")).select(
+    """Closest centre over all labels; equal distances go to the smaller label.
+
+    Query components meet the centres' components by position, so neither side
+    is packed into one row whatever the number of labels.
+    """
+    parts = queries.select("query_id", F.posexplode("vector").alias("pos", "x"))
+    means = centers.select("label", F.posexplode("centroid").alias("pos", "mean"))
+    gap = F.col("x").cast("double") - F.col("mean")
+    distance = parts.join(means, "pos").groupBy("query_id", "label").agg(F.sqrt(F.sum(gap * gap)).alias("distance"))
+    best = distance.groupBy("query_id").agg(F.min(F.struct("distance", "label")).alias("b"))
+    return best.select(
         "query_id", F.col("b.label").alias("label"),
         F.when(F.col("b.distance") == 0, 100.0).otherwise(F.round(100.0 / (1.0 + F.col("b.distance")), 4)).alias("score"),
     )
-

@@ -379,9 +379,5 @@ def resolved(answer: Column) -> Column:
     return yes(answer.isin(*RESOLVED))
 
 
-def correct(answer: Column, accepted: Column) -> Column:
-    return score_answer(answer, accepted)
-
-
 def is_letter(answer: Column) -> Column:
     return yes(answer.isin(*CHOICES))

@@ -6,7 +6,7 @@ from gradeloom.operators import changes as C
 from gradeloom.operators import grading as G
 from gradeloom.operators.common import latest
 from gradeloom.plans.q_issues import issues
-from gradeloom.plans.q_state import answers_table, confirmed_table, maximum, snapshot, state_table
+from gradeloom.plans.q_state import answers, answers_table, confirmed_table, maximum, snapshot, state, state_table
 from gradeloom.plans.registry import SHARED, query, widen
 
 SHARED.update(
@@ -43,7 +43,7 @@ SELECT u.kind, u.room_id, u.source_id, u.question, u.failure_seq, u.number, u.va
 
 @query("finalize", "C4", "SELECT * FROM o_finalize")
 def finalize(v):
-    return C.finalize(state_table(v), answers_table(v), maximum(v))
+    return C.finalize(state_table(v), answers(v), maximum(v))
 
 
 @query("adopt_numbers", "C5 J15", "SELECT * FROM o_adopt")
@@ -93,7 +93,7 @@ FROM (SELECT event_id, user_id, ['answer', 'attendance', 'number', 'stale', 'imp
              WHEN 2 THEN CASE WHEN event_id % 3 = 0 THEN 'x1' ELSE '12' END ELSE 'reuse' END AS value FROM events) e
 JOIN v_sources s ON s.source_id = e.event_id JOIN o_confirmed_key k ON k.exam_id = s.exam_id LEFT JOIN o_state t ON t.source_id = s.source_id""")
 def bulk_resolve(v):
-    return C.bulk_resolve(_operations(v), confirmed_table(v), state_table(v), v.exams, v.review_answers)
+    return C.bulk_resolve(_operations(v), confirmed_table(v), state(v), v.exams, v.review_answers)
 
 
 @query("bulk_dismiss", "C8", """
@@ -108,7 +108,7 @@ def bulk_dismiss(v):
 SELECT seq, room_id, student_number, status, CASE WHEN status <> 'pending' AND EXISTS (SELECT 1 FROM o_state t WHERE t.room_id = a.room_id AND t.number = a.student_number)
        THEN 'sheet_exists' ELSE 'applied' END AS result FROM v_attendance a""")
 def set_attendance(v):
-    return C.set_attendance(v.attendance, state_table(v))
+    return C.set_attendance(v.attendance, state(v))
 
 
 @query("skip_missing", "C10", "SELECT room_id, number AS student_number, 'skipped' AS status FROM o_issues WHERE kind = 'attendance' AND source_id IS NULL")
@@ -154,7 +154,7 @@ WITH e AS (SELECT l.source_id, l.question, max_by(l.answer, l.seq) AS answer, t.
 SELECT a.source_id, a.review_id, a.question, coalesce(e.answer, a.answer) AS answer, e.answer IS NOT NULL AS edited
 FROM v_review_answers a LEFT JOIN e ON e.review_id = a.review_id AND e.question = a.question WHERE a.review_id IN (SELECT review_id FROM e)""")
 def resolve_answer(v):
-    return C.resolve_answer(v.overrides, G.current_key(v.keys, v.sources), state_table(v), v.sources, v.review_answers)
+    return C.resolve_answer(v.overrides, G.current_key(v.keys, v.sources), state(v), v.sources, v.review_answers)
 
 
 @query("assign_unknown_labels", "W6", """

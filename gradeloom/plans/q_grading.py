@@ -167,9 +167,6 @@ def attendance_conflict(v):
     return G.attendance_conflict(sheet_numbers(v), G.attendance_state(v.attendance)).select("room_id", "number", "source_id", "status")
 
 
-SHARED["o_small_numbers"] = "SELECT * FROM o_sheet_numbers WHERE number <= 5000"
-
-
 @query("roster_gaps", "J7", """
 WITH span AS (SELECT room_id, min(number) AS low, max(number) AS high FROM o_sheet_numbers GROUP BY room_id)
 SELECT room_id, number, kind FROM (

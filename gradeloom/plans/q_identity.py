@@ -8,7 +8,7 @@ from gradeloom.plans.registry import SHARED, query, widen
 SHARED.update(
     o_votes="""
 SELECT source_id, candidate, votes, round(best + least(2, votes - 1) * 5, 2) AS score,
-       row_number() OVER (PARTITION BY source_id ORDER BY round(best + least(2, votes - 1) * 5, 2) DESC, votes DESC, candidate) AS place
+       row_number() OVER (PARTITION BY source_id ORDER BY best + least(2, votes - 1) * 5 DESC, votes DESC, candidate) AS place
 FROM (SELECT source_id, CAST(candidate AS VARCHAR) AS candidate, count(DISTINCT variant) AS votes, greatest(coalesce(max(raw_score), 0), 0) AS best
       FROM v_recognizer_runs WHERE candidate IS NOT NULL GROUP BY ALL)""",
     o_best_digit="SELECT source_id, pos, digit, max(raw_score) AS score FROM v_digit_runs WHERE raw_score IS NOT NULL GROUP BY ALL",
@@ -83,14 +83,23 @@ def segment_alternatives(v):
 @query("combine_digits", "J19", """
 WITH RECURSIVE d AS (SELECT source_id, digit, score, dense_rank() OVER (PARTITION BY source_id ORDER BY pos) AS i FROM (
     SELECT *, row_number() OVER (PARTITION BY source_id, pos ORDER BY score DESC, digit) AS rn FROM o_best_digit) WHERE rn <= 3),
-n AS (SELECT source_id, max(i) AS n FROM d GROUP BY source_id),
-c(source_id, i, candidate, score) AS (SELECT source_id, 1, CAST(digit AS VARCHAR), CAST(score AS DOUBLE) FROM d WHERE i = 1
+z AS (SELECT source_id, max(i) AS n FROM d GROUP BY source_id),
+n AS (SELECT * FROM z WHERE n <= 6),
+c(source_id, i, candidate, score) AS (SELECT source_id, 1, CAST(digit AS VARCHAR), CAST(score AS DOUBLE) FROM d WHERE i = 1 AND source_id IN (SELECT source_id FROM n)
   UNION ALL SELECT c.source_id, c.i + 1, c.candidate || d.digit, least(c.score, d.score) FROM c JOIN d ON d.source_id = c.source_id AND d.i = c.i + 1),
 u AS (SELECT c.source_id, c.candidate, max(c.score) AS score FROM c JOIN n ON n.source_id = c.source_id AND n.n = c.i GROUP BY ALL)
-SELECT * FROM (SELECT *, row_number() OVER w AS place, round(score - lead(score) OVER w, 8) AS margin FROM u WINDOW w AS (PARTITION BY source_id ORDER BY score DESC, candidate)) WHERE place <= 12""")
+SELECT * FROM (SELECT *, row_number() OVER w AS place, round(score - coalesce(lead(score) OVER w, 0), 8) AS margin, greatest(count(*) OVER (PARTITION BY source_id) - 12, 0) AS left_out, CAST(NULL AS VARCHAR) AS reason
+               FROM u WINDOW w AS (PARTITION BY source_id ORDER BY score DESC, candidate)) WHERE place <= 12
+UNION ALL SELECT source_id, NULL, NULL, NULL, NULL, NULL, 'too_many_digits' FROM z WHERE n > 6""")
 def combine_digits(v):
     best = v.digit_runs.where("raw_score IS NOT NULL").groupBy("source_id", "pos", "digit").agg(F.max("raw_score").alias("score"))
-    return widen(I.combine_digits(best), "place")
+    return widen(I.combine_digits(best), "place", "left_out")
+
+
+@query("refused_segments", "A18 J19", """
+SELECT source_id, count(*) AS positions, CASE WHEN count(*) < 2 THEN 'too_few_digits' ELSE 'too_many_digits' END AS reason FROM v_digit_positions GROUP BY source_id HAVING count(*) NOT BETWEEN 2 AND 6""")
+def refused_segments(v):
+    return I.refused_segments(scored(v))
 
 
 @query("shape_suggestions", "C16", "SELECT source_id, candidate, changed FROM o_shapes")
@@ -193,11 +202,12 @@ t AS (SELECT query_id, label, count(*) AS votes, min(dist) AS near FROM d WHERE
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, near, label) AS place FROM t)
 SELECT a.query_id, a.label, round(20e0 * a.votes, 4) AS score, CASE WHEN b.votes IS NULL THEN 100e0 ELSE round(20e0 * (a.votes - b.votes), 4) END AS margin
 FROM k a LEFT JOIN k b ON b.query_id = a.query_id AND b.place = 2 WHERE a.place = 1""",
-    o_centroids="SELECT label, pos, avg(x) AS mean FROM (SELECT label, unnest(range(1, 65)) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings WHERE vec_id % 5 <> 0) GROUP BY ALL",
+    o_centroids="SELECT label, pos, avg(x) AS mean FROM (SELECT label, unnest(range(1, 65)) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY ALL",
+    o_train_centroids="SELECT label, pos, avg(x) AS mean FROM (SELECT label, unnest(range(1, 65)) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings WHERE vec_id % 5 <> 0) GROUP BY ALL",
     o_nearest="""
 SELECT query_id, arg_min(label, dist) AS label, round(100e0 / (1e0 + min(dist)), 4) AS score FROM (
   SELECT q.query_id, c.label, sqrt(sum((q.x - c.mean) * (q.x - c.mean))) AS dist FROM (SELECT vec_id AS query_id, unnest(range(1, 65)) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings WHERE vec_id % 5 = 0) q
-  JOIN o_centroids c ON c.pos = q.pos GROUP BY ALL) GROUP BY query_id""",
+  JOIN o_train_centroids c ON c.pos = q.pos GROUP BY ALL) GROUP BY query_id""",
 )
 
 
@@ -208,7 +218,7 @@ def knn(v):
 
 @query("centroids", "A16", "SELECT label, pos - 1 AS pos, round(mean, 6) AS mean FROM o_centroids")
 def centroids(v):
-    return I.centroids(training(v)).select("label", F.posexplode("centroid")).select("label", F.col("pos").cast("bigint").alias("pos"), F.round("col", 6).alias("mean"))
+    return I.centroids(v.embeddings.select(F.col("embedding").alias("vector"), "label")).select("label", F.posexplode("centroid")).select("label", F.col("pos").cast("bigint").alias("pos"), F.round("col", 6).alias("mean"))
 
 
 @query("nearest_centroid", "A16", "SELECT * FROM o_nearest")

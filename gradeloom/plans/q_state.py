@@ -90,7 +90,7 @@ def state_table(v):
 
 
 def confirmed_table(v):
-    return v.cut("confirmed", lambda: confirmed(v))
+    return confirmed(v)
 
 
 def answers(v):

@@ -10,7 +10,6 @@ from gradeloom.operators.common import latest
 from gradeloom.operators.quota import Limits, quota, quota_exact
 from gradeloom.plans.registry import SHARED, query
 from gradeloom.session import checkpoint_dir
-from gradeloom.sources import images as P
 from gradeloom.streaming import jobs as J
 
 LIMITS = Limits(file_bytes=9_000_000, session_bytes=100_000_000, files=30, seconds=30 * 86400)
@@ -96,22 +95,3 @@ def stream_guard(v):
     writer = J.guard_writer(f"{folder}/applied", f"{folder}/rejected", G.current_key(v.keys, v.sources), latest(v.detections, "source_id"), v.sources)
     J.run_batches(replay(v, v.overrides, folder), writer, f"{folder}/check")
     return read(v, f"{folder}/applied").unionByName(read(v, f"{folder}/rejected")).select("seq", "source_id", "question", "outcome")
-
-
-def rasters(v):
-    """Every document's whole text as a grey raster 64 wide; as many lines as the text needs."""
-    body = F.encode("text", "UTF-8")
-    lines = F.greatest(F.lit(64), F.ceil(F.octet_length(body) / 64)).cast("int")
-    padded = F.rpad(body, lines * 64, F.unhex(F.lit("FF")))
-    return v.documents.select(F.col("doc_id").cast("string").alias("path"), F.lit(64).alias("width"), lines.alias("height"), F.lit(1).alias("channels"), padded.alias("data"))
-
-
-@query("cell_features", "C22")
-def cell_features(v):
-    cells = [(q, c, 4 + 12 * i, 4 + 12 * (q - 1), 10, 10) for q in range(1, 6) for i, c in enumerate("ABCDE")]
-    return P.cell_features(rasters(v), cells)
-
-
-@query("digit_features", "C23")
-def digit_features(v):
-    return P.digit_features(rasters(v))

@@ -179,12 +179,12 @@ FROM lineitem""",
     "v_digit_runs": """
 SELECT l_orderkey AS source_id, l_linenumber AS pos, l_partkey % 10 AS digit,
        CASE WHEN l_partkey % 21 = 0 THEN NULL ELSE l_quantity END AS raw_score
-FROM lineitem WHERE l_linenumber <= 6""",
+FROM lineitem""",
     "v_digit_positions": """
 SELECT l_orderkey AS source_id, l_linenumber AS pos,
        CASE WHEN (l_orderkey + l_linenumber) % 23 = 0 THEN NULL ELSE max(l_partkey % 10) END AS digit,
        CASE WHEN (l_orderkey + l_linenumber) % 6 = 0 THEN 1 WHEN (l_orderkey + l_linenumber) % 23 = 0 THEN (l_orderkey) % 10 END AS shape
-FROM lineitem WHERE l_linenumber <= 6 GROUP BY l_orderkey, l_linenumber""",
+FROM lineitem GROUP BY l_orderkey, l_linenumber""",
     "v_reads": """
 SELECT o_orderkey AS source_id,
        CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE CAST(o_custkey % 90 + 10 AS STRING) END AS processed,

@@ -133,7 +133,3 @@ def orphan_blobs(sources: DataFrame, exams: DataFrame) -> DataFrame:
 def append_detections(detections: DataFrame, path: str) -> None:
     """Append detection rows without their raster column, one folder per exam."""
     detections.drop("aligned").write.mode("append").partitionBy("exam_id").parquet(path)
-
-
-def first_of(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    return top(df, list(keys), list(order))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from gradeloom.functions import marks, scalars
 from gradeloom.operators import changes, checks, curation, evaluate, geometry, identity, quota, review
 from gradeloom.operators.common import dense_number, exact_median, latest, running_sum
-from gradeloom.sources import exports, files, images, publish
+from gradeloom.sources import exports, files, publish
 from gradeloom.streaming import jobs
 
 
@@ -288,17 +288,6 @@ def test_export_readers(spark, tmp_path):
     assert rows(blocks.select("block_index", "question_start", "question_end", "choice_count")) == [(0, 1, 3, 2), (1, 4, 6, 2)]
 
 
-def test_image_jobs(spark):
-    image = np.full((120, 120), 255, dtype=np.uint8)
-    image[22:30, 22:30] = 0
-    df = spark.createDataFrame([("p", 120, 120, 1, bytearray(image.tobytes()))], "path string, width int, height int, channels int, data binary")
-    got = {r.choice: r for r in images.cell_features(df, [(1, "A", 20, 20, 12, 12), (1, "B", 60, 60, 12, 12)]).collect()}
-    assert got["A"].ink == pytest.approx(64 / 144) and got["A"].core == 1.0 and got["B"].ink == 0.0 and got["A"].theme == "monochrome"
-    digit = images.digit_features(df).first()
-    assert len(digit.vector) == 784 and digit.ink_fraction == pytest.approx(64 / 14400, abs=1e-6) and not digit.looks_nonempty
-    assert max(digit.vector) == 1.0 and sum(v > 0 for v in digit.vector) == 24 * 24
-
-
 def test_streaming_latest_is_idempotent_and_compacts(spark, tmp_path):
     log = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 3, "c")], "source_id int, seq int, v string")
     target = str(tmp_path / "log")
