@@ -193,8 +193,8 @@ def resolve_answer(decisions: DataFrame, key_now: DataFrame, state: DataFrame, s
 
 
 def assign_unknown_labels(new_sheets: DataFrame, previous: DataFrame, order: str = "source_id") -> DataFrame:
-    """Keep the ordinal of a sheet that had one; number the others after the global maximum, in sheet order."""
-    kept = latest(previous.where(F.col("unknown_ordinal").isNotNull()), "source_id").select("source_id", F.col("unknown_ordinal").alias("_kept"))
+    """Keep the ordinal of a sheet whose newest partial has one; number the others after the global maximum, in sheet order."""
+    kept = latest(previous, "source_id").where(F.col("unknown_ordinal").isNotNull()).select("source_id", F.col("unknown_ordinal").alias("_kept"))
     top_used = previous.agg(F.coalesce(F.max("unknown_ordinal"), F.lit(0)).alias("_top"))
     rows = new_sheets.join(kept, "source_id", "left")
     fresh = dense_number(rows.where(F.col("_kept").isNull()), [], order, "_n").crossJoin(F.broadcast(top_used))

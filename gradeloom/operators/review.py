@@ -292,36 +292,44 @@ def answer_provenance(rows: DataFrame) -> DataFrame:
     return rows.groupBy("source_id").agg(*[count_when(F.col("origin") == kind).alias(kind) for kind in kinds])
 
 
-def snapshot(records: DataFrame, answers: DataFrame, key: DataFrame, indicators: DataFrame, positions: int, broken: DataFrame) -> DataFrame:
-    """Scores of every sheet of every room in one pass over the answers.
+def snapshot(records: DataFrame, answers: DataFrame, key: DataFrame, indicators: DataFrame, broken: DataFrame) -> DataFrame:
+    """Scores of every sheet of every room; ``indicators`` maps each indicator position to its points.
 
-    Indicator sums are conditional sums in the same aggregation as the total,
-    so the answers are shuffled once.
+    Any number of positions: points are summed per (sheet, position) on the map
+    side, and the few positions of a sheet become its map.
     """
     scored = G.grade(answers, key.drop("key_id"))
-    ranged = scored.join(G.question_indicators(indicators), ["exam_id", "question"], "left")
-    sums = [F.sum(F.when(F.col("position") == p, F.col("points"))).alias(f"i{p}") for p in range(positions)]
-    totals = ranged.groupBy("source_id").agg(F.sum("points").alias("score"), F.count(F.lit(1)).alias("max"), *sums)
+    mapped = scored.join(G.question_indicators(indicators), ["exam_id", "question"])
+    per_position = mapped.groupBy("source_id", "position").agg(F.sum("points").cast("bigint").alias("points"))
+    maps = per_position.groupBy("source_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("position", "points")))).alias("indicators"))
+    totals = scored.groupBy("source_id").agg(F.sum("points").alias("score"), F.count(F.lit(1)).alias("max"))
     blocked = broken.select("room_id").distinct().withColumn("blocked", F.lit(True))
     return (
-        records.where(F.col("record_type").isNotNull()).join(totals, "source_id", "left").join(blocked, "room_id", "left")
+        records.where(F.col("record_type").isNotNull()).join(totals, "source_id", "left").join(maps, "source_id", "left").join(blocked, "room_id", "left")
         .withColumn("blocked", F.coalesce("blocked", F.lit(False)))
-        .select("exam_id", "room_id", "source_id", "original_name", "number", "unknown_ordinal", "identity_confirmed", "identity_origin", "record_type", "record_id", "status", "score", "max", *[f"i{p}" for p in range(positions)], "blocked")
+        .select("exam_id", "room_id", "source_id", "original_name", "number", "unknown_ordinal", "identity_confirmed", "identity_origin", "record_type", "record_id", "status", "score", "max", "indicators", "blocked")
     )
 
 
-def sheet_status(state: DataFrame, answers: DataFrame, key: DataFrame, open_issues: DataFrame, newest_review: DataFrame) -> DataFrame:
-    """ready / must review again / prefilled / must review / unreadable per active sheet."""
-    decided = answers.groupBy("source_id").agg(F.bool_and(yes(F.col("auto_resolved"))).alias("all_resolved"))
+def sheet_status(state: DataFrame, newest: DataFrame, exams: DataFrame, key: DataFrame, open_issues: DataFrame, newest_review: DataFrame) -> DataFrame:
+    """ready / must review again / prefilled / must review / unreadable per active sheet.
+
+    Read against the current key of the exam, a machine key too. A sheet needs
+    a decision unless its newest observations resolve every question of the exam.
+    """
+    counted = (
+        newest.where("auto_resolved").join(state.select("source_id", "exam_id"), "source_id").join(exams.select("exam_id", "question_count"), "exam_id")
+        .where(F.col("question").between(1, F.col("question_count"))).groupBy("source_id").agg(F.count(F.lit(1)).alias("resolved"))
+    )
     flagged = open_issues.where(F.col("source_id").isNotNull()).select("source_id").distinct().withColumn("has_issue", F.lit(True))
     last = newest_review.select("source_id", F.col("key_id").alias("last_key"), F.col("student_number").alias("last_number"))
     repeated = count_per(state.select("source_id", "room_id").join(last, "source_id"), ["room_id", "last_number"], "same")
     joined = (
-        state.join(key.select("exam_id", "key_id"), "exam_id", "left").join(decided, "source_id", "left").join(flagged, "source_id", "left")
-        .join(last, "source_id", "left").join(repeated, ["room_id", "last_number"], "left")
+        state.join(key.select("exam_id", "key_id"), "exam_id", "left").join(exams.select("exam_id", "question_count"), "exam_id", "left").join(counted, "source_id", "left")
+        .join(flagged, "source_id", "left").join(last, "source_id", "left").join(repeated, ["room_id", "last_number"], "left")
     )
     issue = yes(F.col("has_issue"))
-    needs = F.col("detection_id").isNull() | F.col("failure").isNotNull() | ~yes(F.col("all_resolved")) | issue
+    needs = F.col("detection_id").isNull() | F.col("failure").isNotNull() | ~yes(F.col("resolved") == F.col("question_count")) | issue
     status = (
         F.when(yes(F.col("last_key") == F.col("key_id")) & ~issue, "ready")
         .when(F.col("last_key").isNotNull(), "review_again")

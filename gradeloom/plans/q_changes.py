@@ -158,7 +158,7 @@ def resolve_answer(v):
 
 
 @query("assign_unknown_labels", "W6", """
-WITH kept AS (SELECT source_id, max_by(unknown_ordinal, seq) AS ordinal FROM v_partials WHERE unknown_ordinal IS NOT NULL GROUP BY source_id)
+WITH kept AS (SELECT source_id, unknown_ordinal AS ordinal FROM o_partial WHERE unknown_ordinal IS NOT NULL)
 SELECT s.source_id, coalesce(k.ordinal, (SELECT max(unknown_ordinal) FROM v_partials) + row_number() OVER (PARTITION BY k.ordinal IS NULL ORDER BY s.source_id)) AS ordinal
 FROM o_state s LEFT JOIN kept k ON k.source_id = s.source_id WHERE s.number IS NULL""")
 def assign_unknown_labels(v):
@@ -174,7 +174,7 @@ q AS (SELECT p.*, w.status IS NOT NULL AS away, coalesce(s.holders > 1, false) A
 r AS (SELECT *, number IS NOT NULL AND NOT conflict AND NOT outside AS valid FROM q),
 t AS (SELECT *, CASE WHEN conflict THEN 'identity_conflict' WHEN outside THEN 'identity_out_of_range' WHEN NOT valid THEN 'identity_unknown' WHEN away THEN 'attendance_conflict' END AS ident FROM r),
 u AS (SELECT * FROM t WHERE NOT on_key OR failure IS NOT NULL OR open IS NOT NULL OR ident IS NOT NULL),
-kept AS (SELECT source_id, max_by(unknown_ordinal, seq) AS ordinal FROM v_partials WHERE unknown_ordinal IS NOT NULL GROUP BY source_id)
+kept AS (SELECT source_id, unknown_ordinal AS ordinal FROM o_partial WHERE unknown_ordinal IS NOT NULL)
 SELECT u.source_id, exam_id, room_id, key_id, detection_id, CASE WHEN valid THEN number END AS number, valid AS identity_confirmed,
   CASE WHEN valid THEN coalesce(identity_origin, 'teacher_confirmed') ELSE 'unknown' END AS identity_origin,
   concat_ws(';', 'review_skipped', CASE WHEN failure IS NOT NULL THEN 'alignment_needs_review' END, open, ident) AS review_issues, answers,
@@ -245,8 +245,9 @@ def replace_indicators(v):
 @query("fingerprint", "A19", """
 WITH j AS (SELECT room_id, sha256('{"number":' || coalesce(CAST(number AS VARCHAR), 'null') || ',"room_id":' || room_id || ',"score":' || score || ',"source_id":' || source_id || ',"status":"' || status || '"}') AS h FROM o_snapshot),
 b AS (SELECT j.room_id, CAST('0x' || substr(h, 1, 8) AS BIGINT) % s.n AS bucket, h FROM j JOIN (SELECT room_id, CAST(greatest(1, ceil(count(*) / 8e0)) AS BIGINT) AS n FROM j GROUP BY room_id) s ON s.room_id = j.room_id),
-d AS (SELECT room_id, bucket, sha256(string_agg(h, '' ORDER BY h)) AS digest, count(*) AS n FROM b GROUP BY ALL)
-SELECT room_id, sha256(string_agg(digest, '' ORDER BY bucket)) AS fingerprint, CAST(sum(n) AS BIGINT) AS rows FROM d GROUP BY room_id""")
+d AS (SELECT room_id, bucket, sha256(string_agg(h, '' ORDER BY h)) AS digest, count(*) AS n FROM b GROUP BY ALL),
+m AS (SELECT room_id, bucket // 8 AS above, sha256(string_agg(digest, '' ORDER BY bucket)) AS digest, sum(n) AS n FROM d GROUP BY ALL)
+SELECT room_id, CASE WHEN count(*) = 1 THEN min(digest) ELSE sha256(string_agg(digest, '' ORDER BY above)) END AS fingerprint, CAST(sum(n) AS BIGINT) AS rows FROM m GROUP BY room_id""")
 def fingerprint(v):
     from gradeloom.sources.publish import fingerprint as fold
 

@@ -53,11 +53,11 @@ def propose_digit_boxes(v):
 
 
 @query("stratified_split", "W12", """
-WITH h AS (SELECT vec_id AS ref_id, label, sha256('1729:' || CAST(vec_id AS VARCHAR)) AS h FROM embeddings WHERE vec_id % 5 <> 0),
+WITH h AS (SELECT vec_id AS ref_id, label, sha256('1729:' || CAST(vec_id AS VARCHAR)) AS h FROM embeddings),
 n AS (SELECT label, greatest(1, CAST(round_even(count(*) * 0.2e0, 0) AS BIGINT)) AS take FROM h GROUP BY label)
 SELECT h.ref_id, h.label, CASE WHEN row_number() OVER (PARTITION BY h.label ORDER BY h.h, h.ref_id) <= n.take THEN 'validation' ELSE 'train' END AS split FROM h JOIN n ON n.label = h.label""")
 def stratified_split(v):
-    return C.stratified_split(training(v).select("ref_id", "label"), "ref_id")
+    return C.stratified_split(v.embeddings.select(F.col("vec_id").alias("ref_id"), "label"), "ref_id")
 
 
 @query("golden_labels", "C18 J17", """

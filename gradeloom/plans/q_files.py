@@ -90,27 +90,42 @@ def export_runs(v):
 
 
 @query("unique_filenames", "W11", """
-SELECT room_id, source_id, number, CASE WHEN number BETWEEN 1 AND 999999 THEN 'no-' || CASE WHEN length(CAST(number AS VARCHAR)) < 2 THEN '0' ELSE '' END || number ELSE 'unknown-' || CASE WHEN length(CAST(coalesce(unknown_ordinal, 1) AS VARCHAR)) < 2 THEN '0' ELSE '' END || coalesce(unknown_ordinal, 1) END
-  || CASE WHEN n > 1 THEN '_' || CASE WHEN n < 10 THEN '0' ELSE '' END || n ELSE '' END || '.jpg' AS file_name
-FROM (SELECT *, row_number() OVER (PARTITION BY room_id, number, CASE WHEN number IS NULL THEN unknown_ordinal END ORDER BY source_id) AS n FROM o_record WHERE record_type IS NOT NULL AND NOT (number IS NULL AND unknown_ordinal IS NULL))""")
+WITH RECURSIVE u AS (SELECT room_id, source_id, number, coalesce(unknown_ordinal, 1) AS asked, row_number() OVER (PARTITION BY room_id ORDER BY source_id) AS i
+  FROM o_record WHERE record_type IS NOT NULL AND NOT coalesce(number BETWEEN 1 AND 999999, false)),
+p(room_id, i, place, used) AS (SELECT room_id, i, asked, [asked] FROM u WHERE i = 1
+  UNION ALL SELECT u.room_id, u.i, x.place, list_append(p.used, x.place) FROM p JOIN u ON u.room_id = p.room_id AND u.i = p.i + 1,
+    LATERAL (SELECT min(c) AS place FROM (SELECT unnest(range(u.asked, u.asked + len(p.used) + 1)) AS c) WHERE NOT list_contains(p.used, c)) x)
+SELECT room_id, source_id, number, 'no-' || CASE WHEN number < 10 THEN '0' ELSE '' END || number || CASE WHEN n > 1 THEN '_' || CASE WHEN n < 10 THEN '0' ELSE '' END || n ELSE '' END || '.jpg' AS file_name
+FROM (SELECT *, row_number() OVER (PARTITION BY room_id, number ORDER BY source_id) AS n FROM o_record WHERE record_type IS NOT NULL AND number BETWEEN 1 AND 999999)
+UNION ALL SELECT u.room_id, u.source_id, u.number, 'unknown-' || CASE WHEN p.place < 10 THEN '0' ELSE '' END || p.place || '.jpg' FROM u JOIN p ON p.room_id = u.room_id AND p.i = u.i""")
 def unique_filenames(v):
     from gradeloom.plans.q_state import records
     from gradeloom.sources.publish import unique_filenames as names
 
-    return names(records(v).where("record_type IS NOT NULL AND NOT (number IS NULL AND unknown_ordinal IS NULL)"))
+    return names(records(v).where("record_type IS NOT NULL"))
 
 
 @query("snapshot_documents", "S17", """
-SELECT room_id, source_id, '{"room_id":' || room_id || ',"score":' || score || ',"source_id":' || source_id || ',"status":"' || status || '"}' AS document FROM o_snapshot""")
+SELECT exam_id, room_id, source_id, '{"exam_id":' || exam_id || ',"room_id":' || room_id || ',"score":' || coalesce(CAST(score AS VARCHAR), 'null') || ',"source_id":' || source_id || ',"status":"' || status || '"}' AS document FROM o_snapshot""")
 def snapshot_documents(v):
     from gradeloom.plans.q_state import snapshot
+    from gradeloom.sources.publish import snapshot_documents as documents
 
-    rows = snapshot(v).select("room_id", "score", "source_id", "status")
-    return rows.select("room_id", "source_id", F.to_json(F.struct("room_id", "score", "source_id", "status")).alias("document"))
+    return documents(snapshot(v).select("exam_id", "room_id", "score", "source_id", "status"))
 
 
 @query("append_detections", "S15", "SELECT source_id, detection_id, exam_id, pipeline_version FROM v_detections JOIN v_sources USING (source_id)")
 def append_detections(v):
-    """The rows that the append writes: no raster column."""
+    """Appended to the shared folder in two batches, and read back: no raster column is kept."""
+    from uuid import uuid4
+
+    from gradeloom.session import checkpoint_dir
+
     rows = v.detections.join(v.sources.select("source_id", "exam_id"), "source_id").withColumn("aligned", F.lit(None).cast("binary"))
-    return rows.drop("aligned").select("source_id", "detection_id", "exam_id", "pipeline_version")
+    path = f"{checkpoint_dir(v.spark)}/detections-{uuid4().hex}"
+    for batch in ("detection_id % 2 = 0", "detection_id % 2 <> 0"):
+        S.append_detections(rows.where(batch), path)
+    written = v.spark.read.parquet(path)
+    if "aligned" in written.columns:
+        raise ValueError("the raster column was written")
+    return written.select("source_id", "detection_id", F.col("exam_id").cast(rows.schema["exam_id"].dataType).alias("exam_id"), "pipeline_version")

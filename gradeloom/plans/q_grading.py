@@ -128,8 +128,9 @@ def indicator_scores(v):
 SELECT exam_id, source_id, CAST(sum(points) FILTER (WHERE position = 0) AS BIGINT) AS i0, CAST(sum(points) FILTER (WHERE position = 1) AS BIGINT) AS i1,
        CAST(sum(points) FILTER (WHERE position = 2) AS BIGINT) AS i2 FROM o_indicator_scores GROUP BY ALL""")
 def indicator_scores_wide(v):
-    wide = G.pivot_indicators(_indicator_scores(v), ["exam_id", "source_id"], [0, 1, 2])
-    return wide.withColumnsRenamed({"0": "i0", "1": "i1", "2": "i2"})
+    positions = sorted(row.position for row in v.indicators.select("position").distinct().collect())
+    wide = G.pivot_indicators(_indicator_scores(v), ["exam_id", "source_id"], positions)
+    return wide.withColumnsRenamed({str(p): f"i{p}" for p in positions})
 
 
 @query("number_maximum", "J11", "SELECT * FROM o_maximum")

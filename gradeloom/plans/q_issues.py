@@ -76,14 +76,15 @@ SELECT t.source_id, t.exam_id, t.room_id, CASE WHEN r.key_id = t.key_id AND NOT
          WHEN t.detection_id IS NOT NULL AND t.failure IS NULL AND t.decided AND NOT issue THEN 'prefilled' ELSE 'must_review' END AS status,
        t.failure IS NOT NULL AS unreadable, coalesce(h.same > 1, false) AS duplicate
 FROM (SELECT s.*, k.key_id, coalesce(a.decided, false) AS decided, s.source_id IN (SELECT source_id FROM o_issues WHERE source_id IS NOT NULL) AS issue
-      FROM o_state s LEFT JOIN o_confirmed_key k ON k.exam_id = s.exam_id
-      LEFT JOIN (SELECT source_id, bool_and(coalesce(auto_resolved, false)) AS decided FROM o_answers GROUP BY source_id) a ON a.source_id = s.source_id) t
+      FROM o_state s LEFT JOIN o_current_key k ON k.exam_id = s.exam_id
+      LEFT JOIN (SELECT s.source_id, count(*) FILTER (WHERE b.auto_resolved AND b.question BETWEEN 1 AND e.question_count) = any_value(e.question_count) AS decided
+                 FROM o_state s JOIN v_exams e ON e.exam_id = s.exam_id JOIN o_observed b ON b.source_id = s.source_id GROUP BY s.source_id) a ON a.source_id = s.source_id) t
 LEFT JOIN o_review r ON r.source_id = t.source_id
 LEFT JOIN (SELECT s.room_id, r.student_number, count(*) AS same FROM o_students s JOIN o_review r ON r.source_id = s.source_id GROUP BY ALL) h ON h.room_id = t.room_id AND h.student_number = r.student_number"""
 
 
 def _status(v):
-    return R.sheet_status(state_table(v), answers_table(v), confirmed_table(v), issues(v), latest(v.reviews, "source_id"))
+    return R.sheet_status(state_table(v), R.newest_observations(v.observations), v.exams, G.current_key(v.keys, v.sources), issues(v), latest(v.reviews, "source_id"))
 
 
 @query("sheet_status", "A4", "SELECT * FROM o_status")

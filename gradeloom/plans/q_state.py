@@ -61,15 +61,18 @@ UNION ALL SELECT c.room_id, c.source_id, 'attendance_conflict' FROM o_record c J
   WHERE c.record_type = 'complete_review' AND a.status <> 'pending'
 UNION ALL SELECT c.room_id, c.source_id, 'duplicate_number' FROM o_record c JOIN h ON h.room_id = c.room_id AND h.number = c.number WHERE h.holders > 1
 UNION ALL SELECT room_id, source_id, 'malformed_partial' FROM o_record WHERE record_type = 'partial_review' AND number IS NULL AND unknown_ordinal IS NULL""",
+    o_snapshot_indicators="""
+SELECT a.source_id, i.position, CAST(sum(CASE WHEN a.answer IN (k.choice1, k.choice2) THEN 1 ELSE 0 END) AS BIGINT) AS n
+FROM o_snapshot_answers a JOIN o_key_set k ON k.exam_id = a.exam_id AND k.question = a.question
+JOIN v_indicators i ON i.exam_id = a.exam_id AND a.question BETWEEN i.from_question AND i.to_question AND i.exam_id NOT IN (SELECT exam_id FROM o_bad_indicators) GROUP BY ALL""",
     o_snapshot="""
 SELECT c.exam_id, c.room_id, c.source_id, c.original_name, c.number, c.unknown_ordinal, c.identity_confirmed, c.identity_origin, c.record_type, c.record_id, c.status,
-       t.score, t.max, t.i0, t.i1, t.i2, c.room_id IN (SELECT room_id FROM o_snapshot_broken) AS blocked
+       t.score, t.max, x.indicators, c.room_id IN (SELECT room_id FROM o_snapshot_broken) AS blocked
 FROM o_record c LEFT JOIN (
-  SELECT a.source_id, CAST(sum(p) AS BIGINT) AS score, count(*) AS max, CAST(sum(p) FILTER (WHERE i.position = 0) AS BIGINT) AS i0,
-         CAST(sum(p) FILTER (WHERE i.position = 1) AS BIGINT) AS i1, CAST(sum(p) FILTER (WHERE i.position = 2) AS BIGINT) AS i2
+  SELECT a.source_id, CAST(sum(p) AS BIGINT) AS score, count(*) AS max
   FROM (SELECT a.*, CASE WHEN a.answer IN (k.choice1, k.choice2) THEN 1 ELSE 0 END AS p FROM o_snapshot_answers a JOIN o_key_set k ON k.exam_id = a.exam_id AND k.question = a.question) a
-  LEFT JOIN v_indicators i ON i.exam_id = a.exam_id AND a.question BETWEEN i.from_question AND i.to_question AND i.exam_id NOT IN (SELECT exam_id FROM o_bad_indicators)
-  GROUP BY a.source_id) t ON t.source_id = c.source_id WHERE c.record_type IS NOT NULL""",
+  GROUP BY a.source_id) t ON t.source_id = c.source_id
+LEFT JOIN (SELECT source_id, string_agg(position || ':' || n, ',' ORDER BY position) AS indicators FROM o_snapshot_indicators GROUP BY source_id) x ON x.source_id = c.source_id WHERE c.record_type IS NOT NULL""",
 )
 
 
@@ -121,7 +124,7 @@ def usable_indicators(v):
 
 def snapshot(v):
     key = G.key_answers(v.keys, confirmed_table(v))
-    return R.snapshot(records(v), snapshot_answers(v), key, usable_indicators(v), 3, snapshot_broken(v))
+    return R.snapshot(records(v), snapshot_answers(v), key, usable_indicators(v), snapshot_broken(v))
 
 
 STATE = ["source_id", "exam_id", "room_id", "detection_id", "failure", "review_id", "review_key", "number"]
@@ -135,11 +138,12 @@ def review_state(v):
 @query("machine_answers", "P22", """
 SELECT t.source_id, CAST(q.question AS INT) AS question, CASE WHEN t.pipeline_version = 'v10' AND t.has_registration = 1 AND b.auto_resolved
          THEN CASE b.state WHEN 'single_mark' THEN b.choice ELSE 'blank' END END AS answer
-FROM o_detection t CROSS JOIN range(1, 8) q(question) LEFT JOIN o_observed b ON b.source_id = t.source_id AND b.question = q.question""")
+FROM o_detection t JOIN v_sources s ON s.source_id = t.source_id JOIN v_exams e ON e.exam_id = s.exam_id, unnest(range(1, e.question_count + 1)) q(question) LEFT JOIN o_observed b ON b.source_id = t.source_id AND b.question = q.question""")
 def machine_answers(v):
     from gradeloom.operators.common import expand_range
 
-    grid = expand_range(latest(v.detections, "source_id"), F.lit(1), F.lit(7), "question")
+    counts = v.sources.select("source_id", "exam_id").join(v.exams.select("exam_id", "question_count"), "exam_id")
+    grid = expand_range(latest(v.detections, "source_id").join(counts.drop("exam_id"), "source_id"), F.lit(1), F.col("question_count"), "question")
     rows = grid.join(R.newest_observations(v.observations), ["source_id", "question"], "left")
     usable = R.is_current(F.col("pipeline_version")) & (F.col("has_registration") == 1)
     return rows.select("source_id", "question", R.machine_answer(F.col("state"), F.col("choice"), F.col("auto_resolved"), usable).alias("answer"))
@@ -180,7 +184,8 @@ def check_snapshot(v):
 
 @query("snapshot", "C2 A1 A2", "SELECT * FROM o_snapshot")
 def snapshot_query(v):
-    return snapshot(v)
+    listed = F.transform(F.array_sort(F.map_entries("indicators")), lambda x: F.concat_ws(":", x["key"].cast("string"), x["value"].cast("string")))
+    return snapshot(v).withColumn("indicators", F.array_join(listed, ","))
 
 
 @query("order_results", "O1", "SELECT room_id, source_id, number, unknown_ordinal, score FROM o_snapshot")
@@ -196,12 +201,15 @@ def answer_provenance(v):
 
 
 @query("append_attendance", "U2 S16", """
-SELECT room_id, CAST(number AS BIGINT) AS number, CASE WHEN number IS NULL THEN 'unknown #' || unknown_ordinal END AS number_label, i0, i1, i2, score, max, status, original_name FROM o_snapshot
-UNION ALL SELECT room_id, student_number, NULL, NULL, NULL, NULL, NULL, 7, status, NULL FROM o_attendance WHERE status IN ('absent', 'excused')""")
+SELECT s.exam_id, room_id, CAST(number AS BIGINT) AS number, CASE WHEN number IS NULL THEN 'unknown #' || unknown_ordinal END AS number_label, i.i0, i.i1, i.i2, score, max, status, original_name FROM o_snapshot s
+LEFT JOIN (SELECT source_id, max(n) FILTER (WHERE position = 0) AS i0, max(n) FILTER (WHERE position = 1) AS i1, max(n) FILTER (WHERE position = 2) AS i2 FROM o_snapshot_indicators GROUP BY source_id) i ON i.source_id = s.source_id
+UNION ALL SELECT r.exam_id, a.room_id, student_number, NULL, NULL, NULL, NULL, NULL, e.question_count, status, NULL FROM o_attendance a JOIN v_rooms r ON r.room_id = a.room_id JOIN v_exams e ON e.exam_id = r.exam_id
+WHERE status IN ('absent', 'excused')""")
 def append_attendance(v):
-    from gradeloom.sources.publish import score_sheet
+    from gradeloom.sources.publish import score_sheet, wide_scores
 
-    return score_sheet(snapshot(v), G.attendance_state(v.attendance), 3, F.lit(7)).drop("exam_id")
+    positions = sorted(row.position for row in v.indicators.select("position").distinct().collect())
+    return wide_scores(score_sheet(snapshot(v), G.attendance_state(v.attendance), v.rooms, v.exams), positions)
 
 
 @query("purge_preview", "J18", """

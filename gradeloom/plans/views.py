@@ -128,7 +128,15 @@ SELECT CAST(o_orderkey * 10 + 5 AS BIGINT) AS partial_id, CAST(o_orderkey * 10 +
        CAST(o_orderkey * 10 AS BIGINT) AS detection_id,
        CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate - INTERVAL 2 DAY ELSE o_orderdate + INTERVAL 2 DAY END AS created_at
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN v_last_keys ON exam_id = c_nationkey
-WHERE o_orderkey % 8 = 1 AND o_orderkey % 50 <> 0""",
+WHERE o_orderkey % 8 = 1 AND o_orderkey % 50 <> 0
+UNION ALL
+SELECT CAST(o_orderkey * 10 + 6 AS BIGINT), CAST(o_orderkey * 10 + 6 AS BIGINT), o_orderkey, last_key,
+       CASE WHEN o_orderkey % 48 = 25 THEN 0 ELSE 1 END, CASE WHEN o_orderkey % 48 = 25 THEN NULL ELSE o_orderkey % 2500 + 1 END,
+       CASE WHEN o_orderkey % 48 = 25 THEN CAST(o_orderkey AS BIGINT) + 2 END,
+       CASE WHEN o_orderkey % 48 = 25 THEN 'unknown' ELSE 'teacher_confirmed' END,
+       CAST(o_orderkey * 10 AS BIGINT), o_orderdate + INTERVAL 3 DAY
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN v_last_keys ON exam_id = c_nationkey
+WHERE o_orderkey % 24 = 1 AND o_orderkey % 50 <> 0""",
     "v_partial_answers": f"""
 SELECT partial_id, source_id, q AS question,
        CASE WHEN (partial_id + q) % 4 = 0 THEN 'unresolved'

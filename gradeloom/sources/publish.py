@@ -2,34 +2,43 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from gradeloom.functions.scalars import prevent_formula
 from gradeloom.operators.common import dense_number
 
 
-def score_sheet(results: DataFrame, attendance: DataFrame, indicators: int, maximum: Column) -> DataFrame:
-    """Result rows, then one row per absent or excused number (missing columns are NULL)."""
-    positions = [f"i{p}" for p in range(indicators)]
+def score_sheet(results: DataFrame, attendance: DataFrame, rooms: DataFrame, exams: DataFrame) -> DataFrame:
+    """Result rows, then one row per absent or excused number (missing columns are NULL).
+
+    ``indicators`` of a result is a map from position to points; ``wide_scores`` gives one column for each.
+    """
     label = F.when(F.col("number").isNull(), F.concat(F.lit("unknown #"), F.col("unknown_ordinal").cast("string")))
     rows = results.select(
-        "exam_id", "room_id", F.col("number").cast("bigint").alias("number"), label.alias("number_label"), *positions, "score",
+        "exam_id", "room_id", F.col("number").cast("bigint").alias("number"), label.alias("number_label"), "indicators", "score",
         F.col("max").cast("bigint").alias("max"), "status", prevent_formula(F.col("original_name")).alias("original_name"),
     )
-    away = attendance.where(F.col("status").isin("absent", "excused")).select(
-        F.floor(F.col("room_id") / 10).cast("int").alias("exam_id"), "room_id", F.col("student_number").alias("number"),
-        maximum.cast("bigint").alias("max"), "status",
+    places = rooms.select("room_id", "exam_id").join(exams.select("exam_id", F.col("question_count").cast("bigint").alias("max")), "exam_id")
+    away = attendance.where(F.col("status").isin("absent", "excused")).join(places, "room_id").select(
+        "exam_id", "room_id", F.col("student_number").alias("number"), "max", "status"
     )
     return rows.unionByName(away, allowMissingColumns=True)
 
 
+def wide_scores(sheet: DataFrame, positions: list[int]) -> DataFrame:
+    """The sheet with one column per indicator position in place of the map."""
+    wide = [F.element_at("indicators", F.lit(p)).alias(f"i{p}") for p in positions]
+    return sheet.select(*[c for c in sheet.columns if c != "indicators"], *wide)
+
+
 def write_scores(sheet: DataFrame, path: str, fmt: str = "csv") -> None:
-    """One folder per room, rows in number order."""
-    ordered = sheet.repartition("room_id", F.pmod(F.coalesce("number", F.lit(0)), F.lit(16))).sortWithinPartitions("room_id", F.coalesce("number", F.lit(10**9)))
+    """One folder per room, its files and their rows in number order, numberless rows last."""
+    last = F.col("number").isNull()
+    ordered = sheet.repartitionByRange("room_id", last, "number").sortWithinPartitions("room_id", last, "number")
     writer = ordered.write.mode("errorifexists").partitionBy("room_id")
     writer.option("header", True).csv(path) if fmt == "csv" else writer.format(fmt).save(path)
 
@@ -40,11 +49,11 @@ def row_digest(df: DataFrame) -> Column:
 
 
 def fingerprint(df: DataFrame, keys: list[str], width: int = 4096) -> DataFrame:
-    """Order-independent sha256 per key, folded as a two-level hash tree.
+    """Order-independent sha256 per key, folded as a hash tree.
 
-    Row digests are sorted inside small hash buckets, bucket digests inside the
-    key. A bucket holds about ``width`` rows whatever the size of the room, so
-    no task ever collects a room whole.
+    Row digests are sorted inside hash buckets of about ``width`` rows, and
+    their digests inside the key, level by level: three levels of at most
+    ``width`` each, whatever the size of the key, so none is collected whole.
     """
     hashed = df.select(*keys, row_digest(df).alias("_row"))
     sizes = hashed.groupBy(*keys).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / width)).alias("_buckets"))
@@ -52,10 +61,12 @@ def fingerprint(df: DataFrame, keys: list[str], width: int = 4096) -> DataFrame:
     folded = bucketed.groupBy(*keys, "_bucket").agg(
         F.sha2(F.array_join(F.array_sort(F.collect_list("_row")), ""), 256).alias("_digest"), F.count(F.lit(1)).alias("_n")
     )
-    return folded.groupBy(*keys).agg(
-        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_bucket", "_digest"))), lambda item: item["_digest"]), ""), 256).alias("fingerprint"),
-        F.sum("_n").alias("rows"),
-    )
+    listed = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_bucket", "_digest"))), lambda item: item["_digest"]), ""), 256)
+    above = folded.withColumn("_above", F.floor(F.col("_bucket") / width))
+    middle = above.groupBy(*keys, "_above").agg(listed.alias("_digest"), F.sum("_n").alias("_n"))
+    middle = middle.withColumnRenamed("_above", "_bucket")
+    alone = F.count(F.lit(1)) == 1
+    return middle.groupBy(*keys).agg(F.when(alone, F.first("_digest")).otherwise(listed).alias("fingerprint"), F.sum("_n").alias("rows"))
 
 
 def snapshot_documents(results: DataFrame) -> DataFrame:
@@ -74,10 +85,10 @@ def artifact_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def committed_runs(spark: SparkSession, root: str) -> DataFrame:
-    try:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/export_runs")
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return spark.read.parquet(f"{root}/export_runs")
-    except AnalysisException:
-        return spark.createDataFrame([], "run_id string, fingerprint string, rows bigint, status string")
+    return spark.createDataFrame([], "run_id string, fingerprint string, rows bigint, status string")
 
 
 class SnapshotChanged(ValueError):
@@ -108,7 +119,7 @@ def publish(build: Callable[[], DataFrame], spark: SparkSession, root: str, run_
 def published(spark: SparkSession, root: str) -> DataFrame:
     """Rows of committed runs only."""
     runs = committed_runs(spark, root).where("status = 'published'").select("run_id")
-    return spark.read.option("basePath", f"{root}/runs").parquet(f"{root}/runs").join(F.broadcast(runs), "run_id", "left_semi")
+    return spark.read.option("basePath", f"{root}/runs").parquet(f"{root}/runs").join(runs, "run_id", "left_semi")
 
 
 def export_runs(runs: DataFrame) -> DataFrame:
@@ -116,16 +127,43 @@ def export_runs(runs: DataFrame) -> DataFrame:
     return runs.orderBy(F.col("seq").desc(), "run_id")
 
 
+def _probed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows by (room, sheet): each takes its number, or the next one that is free in its room."""
+    room, after = None, {}
+    for frame in frames:
+        places = []
+        for own, asked in zip(frame["room_id"].tolist(), frame["asked"].tolist(), strict=True):
+            if own != room:
+                room, after = own, {}
+            place, path = asked, []
+            while place in after:
+                path.append(place)
+                place = after[place]
+            after[place] = place + 1
+            for passed in path:
+                after[passed] = place + 1
+            places.append(place)
+        yield frame.assign(place=places)[["room_id", "source_id", "number", "place"]]
+
+
 def unique_filenames(results: DataFrame) -> DataFrame:
-    """``no-07``, ``no-07_02``, … per room and number; unknown sheets take the next free sequence."""
+    """``no-07``, ``no-07_02``, … per room and number; an unknown sheet takes its ordinal, or the next free sequence of its room, in sheet order.
+
+    Names of unknown sheets follow from those before them, so the unknown
+    sheets of a room (only those) stream through one task.
+    """
     pad = lambda digits: F.when(F.length(digits) < 2, F.lpad(digits, 2, "0")).otherwise(digits)
-    known = dense_number(results.where(F.col("number").between(1, 999999)), ["room_id", "number"], "source_id", "_n")
-    stem = F.concat(F.lit("no-"), pad(F.col("number").cast("string")))
+    valid = F.coalesce(F.col("number").between(1, 999999), F.lit(False))
+    known = dense_number(results.where(valid), ["room_id", "number"], "source_id", "_n")
     suffix = F.when(F.col("_n") > 1, F.concat(F.lit("_"), pad(F.col("_n").cast("string")))).otherwise("")
-    unknown = dense_number(results.where(~F.coalesce(F.col("number").between(1, 999999), F.lit(False))), ["room_id", "unknown_ordinal"], "source_id", "_n")
-    named = F.concat(F.lit("unknown-"), pad(F.coalesce("unknown_ordinal", F.lit(1)).cast("string")))
-    repeat = F.when(F.col("_n") > 1, F.concat(F.lit("_"), pad(F.col("_n").cast("string")))).otherwise("")
-    columns = ["room_id", "source_id", "number"]
-    return known.select(*columns, F.concat(stem, suffix, F.lit(".jpg")).alias("file_name")).unionByName(
-        unknown.select(*columns, F.concat(named, repeat, F.lit(".jpg")).alias("file_name"))
+    named = F.concat(F.lit("no-"), pad(F.col("number").cast("string")), suffix, F.lit(".jpg"))
+    unknown = results.where(~valid).select(
+        F.col("room_id").cast("long").alias("room_id"), F.col("source_id").cast("long").alias("source_id"), F.col("number").cast("double").alias("number"),
+        F.coalesce("unknown_ordinal", F.lit(1)).cast("long").alias("asked"),
+    )
+    placed = unknown.repartition("room_id").sortWithinPartitions("room_id", "source_id").mapInPandas(_probed, "room_id long, source_id long, number double, place long")
+    kinds = {name: results.schema[name].dataType for name in ("room_id", "source_id", "number")}
+    file_name = F.concat(F.lit("unknown-"), pad(F.col("place").cast("string")), F.lit(".jpg"))
+    return known.select(*kinds, named.alias("file_name")).unionByName(
+        placed.select(*[F.col(name).cast(kind).alias(name) for name, kind in kinds.items()], file_name.alias("file_name"))
     )
