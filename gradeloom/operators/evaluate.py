@@ -29,6 +29,13 @@ def score_flags(sheets: DataFrame, answers: DataFrame, key: DataFrame) -> DataFr
 # ---- truth against prediction ----------------------------------------------
 
 
+def truth_text(values: Column) -> Column:
+    """Truth given as a list of choices, as the text that ``truth_state`` reads: none is blank, several are multiple."""
+    clean = F.array_distinct(F.filter(F.transform(values, lambda x: F.upper(F.trim(x))), lambda x: x != ""))
+    return F.when(F.size(clean) == 0, "blank").when(F.size(clean) > 1, "multiple").otherwise(F.get(clean, 0))
+
+
+# The words of truth and the names of outcomes.
 def truth_state(value: Column) -> Column:
     """single / multiple / blank / uncertain / unknown, with the exact choice of a single."""
     upper, lower = F.upper(F.trim(value)), F.lower(F.trim(value))
@@ -83,7 +90,9 @@ def truth_join(truth: DataFrame, predictions: DataFrame, failed: DataFrame) -> D
     unsafe = yes(~open_truth & (F.col("state_match") == F.lit(False)) & F.col("auto_resolved"))
     return rows.select(
         "source_id", "question", expected.alias("expected_state"), F.col("_t.choice").alias("expected_choice"),
-        F.when(F.col("_failed").isNull(), predicted).alias("predicted_state"), "outcome", "state_match", unsafe.alias("unsafe"), yes(F.col("_failed")).alias("failed"),
+        F.when(F.col("_failed").isNull(), predicted).alias("predicted_state"),
+        F.when(F.col("_failed").isNull() & (predicted == "single"), F.get("_p.choices", 0)).alias("predicted_choice"),
+        "outcome", "state_match", unsafe.alias("unsafe"), yes(F.col("_failed")).alias("failed"),
     )
 
 
@@ -270,12 +279,13 @@ def registration_report(sheets: DataFrame) -> DataFrame:
 
 
 def confusion_matrix(df: DataFrame, truth: str, prediction: str, labels: Sequence[str]) -> DataFrame:
-    """Counts per truth (rows, plus a total row) and prediction (columns, plus a total column)."""
+    """Counts per truth (rows, plus a total row) and prediction (columns; ``p_rest`` has what isn't in ``labels``; plus a total column)."""
     counted = df.groupBy(truth, prediction).agg(F.count(F.lit(1)).alias("n"))
     rows = counted.rollup(truth).agg(
-        F.grouping(truth).alias("_all"), *[F.coalesce(F.sum(F.when(F.col(prediction) == p, F.col("n"))), F.lit(0)).alias(f"p_{p}") for p in labels], F.sum("n").alias("total"),
+        F.grouping(truth).alias("_all"), *[F.coalesce(F.sum(F.when(F.col(prediction) == p, F.col("n"))), F.lit(0)).alias(f"p_{p}") for p in labels],
+        F.coalesce(F.sum(F.when(~yes(F.col(prediction).isin(*labels)), F.col("n"))), F.lit(0)).alias("p_rest"), F.sum("n").alias("total"),
     )
-    return rows.select(F.when(F.col("_all") == 1, "total").otherwise(F.col(truth)).alias("truth"), *[f"p_{p}" for p in labels], "total")
+    return rows.select(F.when(F.col("_all") == 1, "total").otherwise(F.col(truth)).alias("truth"), *[f"p_{p}" for p in labels], "p_rest", "total")
 
 
 def label_counts(df: DataFrame) -> DataFrame:

@@ -206,7 +206,7 @@ def issues(state: DataFrame, answers: DataFrame, key: DataFrame, rooms: DataFram
 
 
 def order_issues(rows: DataFrame) -> DataFrame:
-    return rows.orderBy(F.coalesce("number", F.lit(10**9)), F.coalesce("question", F.lit(0)), "source_id", "kind")
+    return rows.orderBy(F.coalesce("number", F.lit(10**9)), F.coalesce("question", F.lit(0)), "source_id", "kind", *(["failure_seq"] if "failure_seq" in rows.columns else []))
 
 
 def issue_key(rows: DataFrame) -> Column:

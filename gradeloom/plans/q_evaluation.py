@@ -12,7 +12,7 @@ from gradeloom.plans.registry import SHARED, query
 SHARED.update(
     o_predicted="SELECT source_id, question, state, CASE WHEN state = 'single_mark' THEN choice END AS choice, auto_resolved FROM o_observed",
     o_compared="""
-SELECT source_id, question, es AS expected_state, CASE WHEN es = 'single' THEN truth END AS expected_choice, CASE WHEN NOT failed THEN ps END AS predicted_state, outcome,
+SELECT source_id, question, es AS expected_state, CASE WHEN es = 'single' THEN truth END AS expected_choice, CASE WHEN NOT failed THEN ps END AS predicted_state, CASE WHEN NOT failed AND ps = 'single' THEN choice END AS predicted_choice, outcome,
   CASE WHEN failed OR es = 'uncertain' THEN NULL ELSE outcome IN ('blank_state_match', 'multiple_state_match_choice_subset_unavailable', 'exact_choice_match') END AS state_match,
   es <> 'uncertain' AND NOT failed AND outcome NOT IN ('blank_state_match', 'multiple_state_match_choice_subset_unavailable', 'exact_choice_match') AND coalesce(auto_resolved, false) AS unsafe, failed
 FROM (SELECT *, CASE WHEN failed THEN 'not_run_registration_failed' WHEN es = 'uncertain' THEN CASE WHEN ps = 'uncertain' THEN 'safe_uncertain_on_unresolved_truth' ELSE 'unsafe_decision_on_unresolved_truth' END
@@ -47,6 +47,16 @@ def truth_states(v):
     return v.truth.select("source_id", "question", t["state"].alias("truth_state"), t["choice"].alias("truth_choice"))
 
 
+@query("truth_lists", "P25", """
+SELECT source_id, question, CASE WHEN truth = 'blank' THEN 'blank' WHEN truth = 'multiple' THEN 'multiple' WHEN length(truth) = 1 THEN 'single' ELSE 'uncertain' END AS truth_state, CASE WHEN length(truth) = 1 THEN truth END AS truth_choice FROM v_truth""")
+def truth_lists(v):
+    """Every truth given as a list of choices: none, one or several."""
+    t = F.col("truth")
+    listed = F.when(t == "blank", F.array().cast("array<string>")).when(t == "multiple", F.array(F.lit("a "), F.lit("B"))).otherwise(F.array(t, F.concat(F.lit(" "), F.lower(t))))
+    state = E.truth_state(E.truth_text(listed))
+    return v.truth.select("source_id", "question", state["state"].alias("truth_state"), state["choice"].alias("truth_choice"))
+
+
 @query("outcome_counts", "A7", """
 SELECT source_id, outcome, count(*) AS n FROM o_compared GROUP BY ALL UNION ALL SELECT NULL, outcome, count(*) FROM o_compared GROUP BY outcome""")
 def outcome_counts(v):
@@ -155,10 +165,20 @@ def registration_report(v):
 
 @query("confusion_matrix", "A22", """
 SELECT CASE WHEN grouping(expected_state) = 1 THEN 'total' ELSE expected_state END AS truth, count(*) FILTER (WHERE predicted_state = 'single') AS p_single, count(*) FILTER (WHERE predicted_state = 'multiple') AS p_multiple,
-  count(*) FILTER (WHERE predicted_state = 'blank') AS p_blank, count(*) FILTER (WHERE predicted_state = 'uncertain') AS p_uncertain, count(*) FILTER (WHERE predicted_state = 'boundary_cross') AS p_boundary_cross, count(*) AS total
+  count(*) FILTER (WHERE predicted_state = 'blank') AS p_blank, count(*) FILTER (WHERE predicted_state = 'uncertain') AS p_uncertain, count(*) FILTER (WHERE predicted_state = 'boundary_cross') AS p_boundary_cross, count(*) FILTER (WHERE predicted_state = 'other') AS p_other,
+  count(*) FILTER (WHERE predicted_state = 'invalid_prediction') AS p_invalid_prediction, CAST(0 AS BIGINT) AS p_rest, count(*) AS total
 FROM o_compared WHERE NOT failed GROUP BY ROLLUP(expected_state)""")
 def confusion_matrix(v):
-    return E.confusion_matrix(compared(v).where("NOT failed"), "expected_state", "predicted_state", ["single", "multiple", "blank", "uncertain", "boundary_cross"])
+    return E.confusion_matrix(compared(v).where("NOT failed"), "expected_state", "predicted_state", ["single", "multiple", "blank", "uncertain", "boundary_cross", "other", "invalid_prediction"])
+
+
+@query("choice_confusion", "A22", """
+SELECT CASE WHEN grouping(expected_choice) = 1 THEN 'total' ELSE expected_choice END AS truth, count(*) FILTER (WHERE predicted_choice = 'A') AS p_A, count(*) FILTER (WHERE predicted_choice = 'B') AS p_B,
+  count(*) FILTER (WHERE predicted_choice = 'C') AS p_C, count(*) FILTER (WHERE predicted_choice = 'D') AS p_D, count(*) FILTER (WHERE predicted_choice = 'E') AS p_E,
+  count(*) FILTER (WHERE predicted_choice IS NULL) AS p_rest, count(*) AS total
+FROM o_compared WHERE NOT failed AND expected_choice IS NOT NULL GROUP BY ROLLUP(expected_choice)""")
+def choice_confusion(v):
+    return E.confusion_matrix(compared(v).where("NOT failed AND expected_choice IS NOT NULL"), "expected_choice", "predicted_choice", list("ABCDE"))
 
 
 @query("label_counts", "A15", "SELECT label, count(*) AS n FROM embeddings GROUP BY label")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gradeloom.plans.registry import SHARED, query, widen
+from gradeloom.plans.registry import SHARED, placed, query, widen
 from gradeloom.sources import files as S
 
 
@@ -56,14 +56,14 @@ def ingest_sources(v):
     return S.ingest_sources(batch, known)
 
 
-@query("list_sources", "S6", "SELECT source_id, exam_id, purpose, room_id FROM o_active")
+@query("list_sources", "S6", "SELECT source_id, exam_id, purpose, room_id, row_number() OVER (PARTITION BY exam_id ORDER BY created_at, source_id) AS place FROM o_active")
 def list_sources(v):
-    return S.list_sources(v.sources).select("source_id", "exam_id", "purpose", "room_id")
+    return placed(S.list_sources(v.sources).select("source_id", "exam_id", "purpose", "room_id"), "exam_id")
 
 
-@query("list_archived_sources", "S7", "SELECT source_id, exam_id, purpose, room_id FROM v_sources WHERE archived = 1 AND purpose = 'student'")
+@query("list_archived_sources", "S7", "SELECT source_id, exam_id, purpose, room_id, row_number() OVER (PARTITION BY exam_id ORDER BY created_at DESC, source_id) AS place FROM v_sources WHERE archived = 1 AND purpose = 'student'")
 def list_archived(v):
-    return S.list_sources(v.sources, archived=True, purpose="student").select("source_id", "exam_id", "purpose", "room_id")
+    return placed(S.list_sources(v.sources, archived=True, purpose="student").select("source_id", "exam_id", "purpose", "room_id"), "exam_id")
 
 
 @query("verify_integrity", "S9", """
@@ -82,11 +82,11 @@ def orphan_blobs(v):
     return S.orphan_blobs(hashed, v.files.where("exam_id % 5 = 0").select("exam_id"))
 
 
-@query("export_runs", "S20", "SELECT seq, exam_id, room_id, run_id, status FROM v_export_runs")
+@query("export_runs", "S20", "SELECT seq, exam_id, room_id, run_id, status, row_number() OVER (PARTITION BY exam_id ORDER BY seq DESC, run_id) AS place FROM v_export_runs")
 def export_runs(v):
     from gradeloom.sources.publish import export_runs as history
 
-    return history(v.export_runs)
+    return placed(history(v.export_runs), "exam_id")
 
 
 @query("unique_filenames", "W11", """

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.operators import checks, grading as G
 from gradeloom.operators.common import count_when, latest
-from gradeloom.plans.registry import SHARED, query
+from gradeloom.plans.registry import SHARED, placed, query
 
 SHARED.update(
     o_active="SELECT * FROM v_sources WHERE archived = 0",
@@ -200,17 +200,18 @@ def exam_summary(v):
 
 @query("exam_list", "A24 O3", """
 SELECT e.exam_id, e.name, e.subject, (SELECT count(*) FROM v_rooms r WHERE r.exam_id = e.exam_id) AS rooms,
-       (SELECT count(*) FROM v_sources s WHERE s.exam_id = e.exam_id) AS images FROM v_exams e WHERE archived = 0""")
+       (SELECT count(*) FROM v_sources s WHERE s.exam_id = e.exam_id) AS images, row_number() OVER (PARTITION BY subject ORDER BY created_seq DESC, exam_id) AS place FROM v_exams e WHERE archived = 0""")
 def exam_list(v):
     rooms = v.rooms.groupBy("exam_id").agg(F.count(F.lit(1)).alias("rooms"))
     images = v.sources.groupBy("exam_id").agg(F.count(F.lit(1)).alias("images"))
     listed = v.exams.where("archived = 0").join(rooms, "exam_id", "left").join(images, "exam_id", "left")
-    return listed.select("exam_id", "name", "subject", "rooms", "images", "created_seq").orderBy(F.col("created_seq").desc(), "exam_id").drop("created_seq")
+    ordered = listed.select("exam_id", "name", "subject", "rooms", "images", "created_seq").orderBy(F.col("created_seq").desc(), "exam_id")
+    return placed(ordered, "subject").drop("created_seq")
 
 
-@query("order_sheets", "O3", "SELECT source_id, room_id, number FROM o_sheet_numbers")
+@query("order_sheets", "O3", "SELECT source_id, room_id, number, row_number() OVER (PARTITION BY room_id ORDER BY number DESC NULLS LAST, source_id) AS place FROM o_sheet_numbers")
 def order_sheets(v):
-    return sheet_numbers(v).select("source_id", "room_id", "number").orderBy(F.col("number").desc(), "source_id")
+    return placed(sheet_numbers(v).select("source_id", "room_id", "number").orderBy(F.col("number").desc(), "source_id"), "room_id")
 
 
 @query("score_flags", "P33", """

@@ -6,7 +6,7 @@ from gradeloom.operators import grading as G
 from gradeloom.operators import review as R
 from gradeloom.operators.common import latest
 from gradeloom.plans.q_state import answers_table, confirmed_table, maximum, state_table
-from gradeloom.plans.registry import SHARED, query
+from gradeloom.plans.registry import SHARED, placed, query
 
 SHARED.update(
     o_open_failures="""
@@ -52,9 +52,9 @@ def issues_query(v):
     return issues(v)
 
 
-@query("order_issues", "O2", "SELECT kind, source_id, number, question FROM o_issues")
+@query("order_issues", "O2", "SELECT room_id, kind, source_id, number, question, row_number() OVER (PARTITION BY room_id ORDER BY coalesce(number, 1000000000), coalesce(question, 0), source_id NULLS FIRST, kind, failure_seq) AS place FROM o_issues")
 def order_issues(v):
-    return R.order_issues(issues(v).select("kind", "source_id", "number", "question"))
+    return placed(R.order_issues(issues(v).select("room_id", "kind", "source_id", "number", "question", "failure_seq")), "room_id").drop("failure_seq")
 
 
 @query("prefill", "P24", "SELECT kind, room_id, source_id, number, question, failure_seq, value FROM o_prefilled")

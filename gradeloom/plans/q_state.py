@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from gradeloom.operators import grading as G
 from gradeloom.operators import review as R
 from gradeloom.operators.common import latest
-from gradeloom.plans.registry import SHARED, query
+from gradeloom.plans.registry import SHARED, placed, query
 
 SHARED.update(
     o_detection="SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY seq DESC) AS rn FROM v_detections) WHERE rn = 1",
@@ -188,9 +188,9 @@ def snapshot_query(v):
     return snapshot(v).withColumn("indicators", F.array_join(listed, ","))
 
 
-@query("order_results", "O1", "SELECT room_id, source_id, number, unknown_ordinal, score FROM o_snapshot")
+@query("order_results", "O1", "SELECT room_id, source_id, number, unknown_ordinal, score, row_number() OVER (PARTITION BY room_id ORDER BY number NULLS LAST, unknown_ordinal NULLS LAST, source_id) AS place FROM o_snapshot")
 def order_results(v):
-    return G.order_results(snapshot(v).select("room_id", "source_id", "number", "unknown_ordinal", "score"))
+    return placed(G.order_results(snapshot(v).select("room_id", "source_id", "number", "unknown_ordinal", "score")), "room_id")
 
 
 @query("answer_provenance", "C3", """

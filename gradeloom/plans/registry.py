@@ -33,6 +33,15 @@ def widen(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({name: df[name].cast("bigint") for name in columns})
 
 
+def placed(df: DataFrame, *group: str) -> DataFrame:
+    """Rows of an ordered frame with their place within a group, as the frame gives them out."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    numbered = df.withColumn("_at", F.monotonically_increasing_id())
+    return numbered.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy("_at")).cast("bigint")).drop("_at")
+
+
 def bound(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, folder: QUERIES[name](open_views(spark, folder).fresh())
 
