@@ -18,6 +18,7 @@ RESOLVED = (*CHOICES, "blank", "multiple", "boundary_cross")
 
 # Rows of one key that a running helper lets a single task hold.
 CHUNK_WIDTH = 1 << 16
+SPAN_CHUNKS = 1 << 24
 
 
 def top(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = 1, rank: str | None = None) -> DataFrame:
@@ -75,28 +76,29 @@ def enforce(broken: DataFrame, limit: int = 5) -> None:
         raise ConstraintError("; ".join(str(row.asDict()) for row in found))
 
 
-def _chunks(df: DataFrame, order: str, width: int) -> DataFrame:
-    return df.withColumn("_chunk", F.floor(F.col(order) / F.lit(width)))
-
-
 def running_sum(
     df: DataFrame, keys: Sequence[str], order: str, value: str, name: str, width: int = CHUNK_WIDTH
 ) -> DataFrame:
     """Inclusive running sum of ``value`` by the unique integer clock ``order``.
 
-    Exact for any key size: sums inside chunks of ``width`` clock ticks, plus
-    the running sum of the (few) chunk totals. No task sees a whole hot key.
+    Exact for any key size and any spread of the clock: sums inside chunks of
+    ``width`` ticks, sums of chunks inside spans of ``SPAN_CHUNKS`` chunks, and
+    sums of spans, of which a 64-bit clock has no more than that. No task
+    orders a whole hot key, or all sparse ticks of a table.
     """
-    chunked = _chunks(df, order, width)
-    totals = chunked.groupBy(*keys, "_chunk").agg(F.sum(value).alias("_total"))
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_chunk", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
+    chunked = df.withColumn("_chunk", F.expr(f"`{order}` div {width}")).withColumn("_span", F.expr(f"_chunk div {SPAN_CHUNKS}"))
+    chunks = chunked.groupBy(*keys, "_span", "_chunk").agg(F.sum(value).alias("_total"))
+    spans = chunks.groupBy(*keys, "_span").agg(F.sum("_total").alias("_total"))
+    before = lambda part, by: F.coalesce(F.sum("_total").over(Window.partitionBy(*part).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    above = spans.select(*keys, "_span", before(keys, "_span").alias("_above"))
+    chunks = chunks.select(*keys, "_span", "_chunk", before([*keys, "_span"], "_chunk").alias("_below"))
+    offsets = chunks.join(above, [*keys, "_span"]).select(*keys, "_chunk", (F.col("_above") + F.col("_below")).alias("_offset"))
     inside = Window.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     summed = chunked.withColumn("_inside", F.sum(value).over(inside))
     return (
         summed.join(offsets, [*keys, "_chunk"])
         .withColumn(name, F.col("_offset") + F.col("_inside"))
-        .drop("_chunk", "_offset", "_inside")
+        .drop("_chunk", "_span", "_offset", "_inside")
     )
 
 

@@ -283,46 +283,97 @@ def decide_identity(sheets: DataFrame, runs: DataFrame, stitched: DataFrame, alt
 # ---- reference vectors ----------------------------------------------------
 
 
-def _block(name: str, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(name), F.lit(blocks)).cast("int")
+# Bounds of what a nearest-neighbour task holds and of what is sent to all tasks.
+MAX_PIVOTS = 1024
+CELL_ROWS = 4096
+QUERY_ROWS = 2048
 
 
-def knn(queries: DataFrame, reference: DataFrame, k: int = 5, block_rows: int = 4096) -> DataFrame:
-    """Exact ``k`` nearest reference vectors per query, any size on either side.
+def _gaps(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((x**2).sum(1)[:, None] - 2 * (x @ pivots.T) + (pivots**2).sum(1), 0))
+
+
+def _stack(values: pd.Series) -> np.ndarray:
+    return np.stack(values.to_numpy()).astype(np.float64)
 
-    Both sides are cut into hash blocks of about ``block_rows``; a task holds
-    one block of each and keeps the best ``k`` per query, so no pair leaves a
-    task and no side is broadcast. ``queries``: query_id, vector;
-    ``reference``: ref_id, label, vector.
-    """
-    query_blocks = max(1, -(-queries.count() // block_rows))
-    reference_blocks = max(1, -(-reference.count() // block_rows))
-    left = queries.select("query_id", "vector", _block("query_id", query_blocks).alias("qb")).withColumn(
-        "rb", F.explode(F.sequence(F.lit(0), F.lit(reference_blocks - 1)))
-    )
-    right = reference.select("ref_id", "label", "vector", _block("ref_id", reference_blocks).alias("rb")).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))
-    )
 
+def _nearest(k: int):
     def nearest(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         columns = {"query_id": [], "ref_id": [], "label": [], "distance": []}
         if len(q) and len(r):
             r = r.sort_values("ref_id")
-            refs = np.stack(r["vector"].to_numpy()).astype(np.float64)
-            ids, labels = r["ref_id"].to_numpy(), r["label"].to_numpy()
-            take = min(k, len(ids))
-            for query_id, vector in zip(q["query_id"], q["vector"]):
+            refs, ids, labels = _stack(r["vector"]), r["ref_id"].to_numpy(), r["label"].to_numpy()
+            for query_id, vector, reach in zip(q["query_id"], q["vector"], q["reach"], strict=True):
                 distance = np.sqrt(((refs - np.asarray(vector, dtype=np.float64)) ** 2).sum(axis=1))
-                best = np.argsort(distance, kind="stable")[:take]
-                columns["query_id"] += [query_id] * take
+                best = np.argsort(distance, kind="stable")[:k]
+                best = best[distance[best] <= reach]
+                columns["query_id"] += [query_id] * len(best)
                 columns["ref_id"] += ids[best].tolist()
                 columns["label"] += labels[best].tolist()
                 columns["distance"] += distance[best].tolist()
         return pd.DataFrame(columns)
 
-    partial = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInPandas(
-        nearest, "query_id bigint, ref_id bigint, label int, distance double"
-    )
+    return nearest
+
+
+def knn(queries: DataFrame, reference: DataFrame, k: int = 5, cell_rows: int = CELL_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+    """Exact ``k`` nearest reference vectors per query, any size on either side.
+
+    Reference vectors belong to the cell of their nearest pivot. By the triangle
+    inequality a cell's pivot, radius and smallest pivot distances bound how far
+    its vectors can be from a query, so a query visits only cells that can hold
+    a neighbour. Pivots are reference vectors, at most ``MAX_PIVOTS``; they and
+    their summaries alone are sent to all tasks. Cells are cut into blocks by a
+    hash, so a hot cell is no hot task. ``queries``: query_id, vector;
+    ``reference``: ref_id, label, vector.
+    """
+    rows = reference.count()
+    wanted = min(MAX_PIVOTS, max(1, -(-rows // cell_rows)))
+    chosen = reference.where("vector IS NOT NULL").orderBy(F.xxhash64("ref_id"), "ref_id").limit(wanted).select("vector").collect()
+    shape = "query_id bigint, ref_id bigint, label int, distance double"
+    if not chosen:
+        return queries.sparkSession.createDataFrame([], f"{shape}, place int")
+    pivots = np.asarray([row.vector for row in chosen], dtype=np.float64)
+
+    def assign(frames):
+        for frame in frames:
+            if len(frame):
+                gaps = _gaps(_stack(frame["vector"]), pivots)
+                near = gaps.argmin(1)
+                yield frame.assign(cell=near, gap=gaps[np.arange(len(near)), near] * (1 + 1e-9) + 1e-6)
+
+    vector = reference.schema["vector"].dataType.simpleString()
+    cells = reference.where("vector IS NOT NULL").select(F.col("ref_id").cast("bigint").alias("ref_id"), F.col("label").cast("int").alias("label"), "vector")
+    cells = cut(cells.mapInPandas(assign, f"ref_id bigint, label int, vector {vector}, cell int, gap double"), "cells")
+    near = top(cells.select("cell", "gap", "ref_id"), ["cell"], [F.col("gap"), F.col("ref_id")], k).groupBy("cell").agg(F.array_sort(F.collect_list("gap")).alias("near"))
+    facts = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.max("gap").alias("radius")).join(near, "cell").collect()
+    index = np.asarray([f.cell for f in facts])
+    radius = np.asarray([f.radius for f in facts])
+    closest = [(f.cell, gap) for f in facts for gap in f.near]
+    blocks = {f.cell: -(-f["rows"] // cell_rows) for f in facts}
+
+    def route(frames):
+        for frame in frames:
+            if len(frame):
+                to_pivot = _gaps(_stack(frame["vector"]), pivots)
+                most = to_pivot[:, [c for c, _ in closest]] + np.asarray([gap for _, gap in closest])
+                reach = np.partition(most, k - 1, axis=1)[:, k - 1] if most.shape[1] >= k else np.full(len(frame), np.inf)
+                reach = reach * (1 + 1e-9) + 1e-6
+                at, cell = np.nonzero(to_pivot[:, index] - radius <= reach[:, None])
+                yield pd.DataFrame({"query_id": frame["query_id"].to_numpy()[at], "vector": frame["vector"].to_numpy()[at], "cell": index[cell], "reach": reach[at]})
+
+    asked = queries.where("vector IS NOT NULL").select(F.col("query_id").cast("bigint").alias("query_id"), "vector")
+    own = queries.schema["vector"].dataType.simpleString()
+    routed = cut(asked.mapInPandas(route, f"query_id bigint, vector {own}, cell int, reach double"), "routed")
+    visits = {row.cell: -(-row["count"] // query_rows) for row in routed.groupBy("cell").count().collect()}
+    if not visits:
+        return queries.sparkSession.createDataFrame([], f"{shape}, place int")
+    number = lambda of: F.element_at(F.create_map(*[F.lit(x) for pair in of.items() for x in pair]), F.col("cell"))
+    part = lambda of, name: F.pmod(F.xxhash64(name), number(of))
+    every = lambda of: F.explode(F.sequence(F.lit(0).cast("bigint"), number(of).cast("bigint") - 1))
+    left = routed.withColumn("qb", part(visits, "query_id")).withColumn("rb", every(blocks))
+    right = cells.where(F.col("cell").isin(list(visits))).drop("gap").withColumn("rb", part(blocks, "ref_id")).withColumn("qb", every(visits))
+    partial = left.groupBy("cell", "qb", "rb").cogroup(right.groupBy("cell", "qb", "rb")).applyInPandas(_nearest(k), shape)
     return top(partial, ["query_id"], [F.col("distance"), F.col("ref_id")], k, rank="place")
 
 

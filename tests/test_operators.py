@@ -126,7 +126,7 @@ def test_knn_over_many_blocks_equals_one_block(spark):
     vectors = rng.normal(size=(120, 6)).astype("float32")
     ref = spark.createDataFrame([(i, int(i % 3), vectors[i].tolist()) for i in range(90)], "ref_id bigint, label int, vector array<float>")
     query = spark.createDataFrame([(i, vectors[i].tolist()) for i in range(90, 120)], "query_id bigint, vector array<float>")
-    small = rows(identity.knn(query, ref, 5, block_rows=16).select("query_id", "ref_id", "place"))
+    small = rows(identity.knn(query, ref, 5, cell_rows=16, query_rows=7).select("query_id", "ref_id", "place"))
     want = []
     for i in range(90, 120):
         distance = np.sqrt(((vectors[:90].astype(float) - vectors[i].astype(float)) ** 2).sum(axis=1))
@@ -315,3 +315,48 @@ def test_prefill_never_invents_a_value(spark):
     df = spark.createDataFrame([("answer", "uncertain", None, None), ("answer", "single_mark", None, "B"), ("number", "uncertain", "12", "12")], "kind string, status string, prefill string, candidate string")
     got = [r[0] for r in df.select(review.prefilled_value(*[F.col(c) for c in df.columns])).collect()]
     assert got == [None, "B", "12"]
+
+
+def test_running_helpers_take_sparse_and_negative_clocks(spark):
+    rng = random.Random(3)
+    clock = sorted({rng.randrange(-(1 << 62), 1 << 62) for _ in range(300)} | set(range(-40, 40)))
+    df = spark.createDataFrame([(c, c % 7) for c in rng.sample(clock, len(clock))], "seq long, value long")
+    total, want = 0, []
+    for c in clock:
+        total += c % 7
+        want.append((c, c % 7, total))
+    assert rows(running_sum(df, [], "seq", "value", "total", width=16)) == want
+
+
+def test_intermediates_need_a_shared_folder_and_can_be_forgotten(spark):
+    import os
+
+    from gradeloom.session import checkpoint_dir, cut, forget
+
+    class Unset:
+        conf = type("Conf", (), {"get": staticmethod(lambda name, default=None: default)})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_dir(Unset)
+    assert cut(spark.range(10)).count() == 10 and os.path.isdir(checkpoint_dir(spark))
+    forget(spark)
+    assert not os.path.exists(checkpoint_dir(spark))
+
+
+def test_unknown_sheets_take_the_next_free_name(spark):
+    given = [(1, 10, None, 3), (1, 11, None, 3), (1, 12, None, 4), (1, 13, None, None), (1, 14, None, 1), (2, 15, None, 3), (1, 16, 7, None), (1, 17, 7, None)]
+    df = spark.createDataFrame(given, "room_id int, source_id long, number int, unknown_ordinal long")
+    names = {r.source_id: r.file_name for r in publish.unique_filenames(df).collect()}
+    assert names == {10: "unknown-03.jpg", 11: "unknown-04.jpg", 12: "unknown-05.jpg", 13: "unknown-01.jpg", 14: "unknown-02.jpg", 15: "unknown-03.jpg", 16: "no-07.jpg", 17: "no-07_02.jpg"}
+
+
+def test_confusion_counts_what_is_not_listed(spark):
+    df = spark.createDataFrame([("a", "a"), ("a", "z"), ("b", None), ("b", "a")], "t string, p string")
+    got = {r.truth: (r.p_a, r.p_b, r.p_rest, r.total) for r in evaluate.confusion_matrix(df, "t", "p", ["a", "b"]).collect()}
+    assert got == {"a": (1, 0, 1, 2), "b": (1, 0, 1, 2), "total": (2, 0, 2, 4)}
+
+
+def test_lone_candidates_and_long_numbers_are_told(spark):
+    df = spark.createDataFrame([(1, p, 3, 5.0) for p in range(3)] + [(2, p, 3, 5.0) for p in range(7)], "source_id long, pos int, digit int, score double")
+    got = {r.source_id: (r.candidate, r.margin, r.left_out, r.reason) for r in identity.combine_digits(df).collect()}
+    assert got == {1: ("333", 5.0, 0, None), 2: (None, None, None, "too_many_digits")}
