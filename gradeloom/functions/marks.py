@@ -7,6 +7,9 @@ steps run in order, each replacing the decision only where its rule holds.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,10 +32,26 @@ def _letters() -> Column:
     return F.array(*[F.lit(choice) for choice in CHOICES])
 
 
+def _each(test, *arrays: Column) -> list[Column]:
+    """``test`` of every cell; a row has at most as many cells as there are letters, and a missing cell fails.
+
+    Spelled out per cell, so that it compiles into plain comparisons.
+    """
+    return [yes(test(*[F.get(values, i) for values in arrays])) for i in range(len(CHOICES))]
+
+
+def _any(tests: list[Column]) -> Column:
+    return reduce(or_, tests)
+
+
+def _count(tests: list[Column]) -> Column:
+    return reduce(add, [F.when(test, 1).otherwise(0) for test in tests])
+
+
 def _letters_where(values: Column, keep) -> Column:
     """Choice letters whose value satisfies ``keep``."""
-    marked = F.zip_with(values, _letters(), lambda value, letter: F.when(keep(value), letter))
-    return F.filter(F.slice(marked, F.lit(1), F.size(values)), lambda letter: letter.isNotNull())
+    marked = [F.when(test, F.lit(letter)) for test, letter in zip(_each(keep, values), CHOICES, strict=True)]
+    return F.array_except(F.array(*marked), F.array(F.lit(None).cast("string")))
 
 
 def _ranked(values: Column) -> Column:
@@ -89,15 +108,10 @@ def classify_ink(densities: Column, cores: Column) -> Column:
     peak = F.array_max(densities)
     selected = _letters_where(densities, lambda value: value >= SELECTED)
     any_selected = F.size(selected) > 0
-    weak = F.exists(densities, lambda value: (value >= UNCERTAIN) & (value < SELECTED))
-    spill = F.zip_with(
-        densities,
-        cores,
-        lambda value, core: (value >= UNCERTAIN)
-        & (value < SELECTED)
-        & ~(any_selected & (value < SPILL_DENSITY) & (value < peak * SPILL_SHARE) & (core < CORE)),
-    )
-    unresolved = F.exists(spill, lambda flag: flag)
+    faint = lambda value: (value >= UNCERTAIN) & (value < SELECTED)
+    weak = _any(_each(faint, densities))
+    spilled = lambda value, core: any_selected & (value < SPILL_DENSITY) & (value < peak * SPILL_SHARE) & (core < CORE)
+    unresolved = _any(_each(lambda value, core: faint(value) & ~spilled(value, core), densities, cores))
     return (
         F.when(unresolved | (~any_selected & (peak >= TRACE)), _decision(selected, "uncertain", "faint-or-competing-ink"))
         .when(~any_selected, _decision(_none(), "blank", "no-answer-ink"))
@@ -118,7 +132,7 @@ def component_majority(decision: Column, cores: Column, mass: Column, area: Colu
         & (F.array_max(cores) < CORE)
         & (area > 100)
         & (other_area < area * 0.3)
-        & (F.size(F.filter(mass, lambda part: part > 0)) > 1)
+        & (_count(_each(lambda part: part > 0, mass)) > 1)
     )
     majority = F.array_max(mass) / area >= 0.6
     return (
@@ -130,7 +144,7 @@ def component_majority(decision: Column, cores: Column, mass: Column, area: Colu
 
 # Row facts that several rules read. They are columns of their own, so that a
 # row sorts its five values once and not once per rule and cell.
-ROW_FACTS = ("_median", "_deltas", "_best", "_runner_up", "_core_winner", "_peak", "_peak_core", "_winner")
+ROW_FACTS = ("_median", "_best", "_runner_up", "_core_winner", "_peak", "_peak_core", "_winner")
 
 
 def with_row_facts(df: DataFrame) -> DataFrame:
@@ -138,7 +152,7 @@ def with_row_facts(df: DataFrame) -> DataFrame:
     return (
         df.withColumns({"_median": median(cores), "_peak": F.array_max(densities), "_peak_core": F.array_max(cores)})
         .withColumns({
-            "_deltas": F.transform(cores, lambda core: core - F.col("_median")), "_best": F.col("_peak_core") - F.col("_median"),
+            "_best": F.col("_peak_core") - F.col("_median"),
             "_runner_up": F.when(F.size(cores) > 1, _second(cores) - F.col("_median")).otherwise(F.lit(0.0)),
             "_core_winner": F.array_position(cores, F.col("_peak_core")).cast("int"), "_winner": F.array_position(densities, F.col("_peak")).cast("int"),
         })
@@ -161,7 +175,7 @@ def _custom_rescue(decision: Column, cores: Column, custom: Column) -> Column:
         .when(open_case & dominant, _decision(F.array(_letter(winner)), "single_mark", "differential-core-dominance"))
         .when(
             open_case & competing,
-            _decision(_letters_where(F.col("_deltas"), lambda delta: delta >= best * 0.70), "multiple", "competing-marks"),
+            _decision(_letters_where(cores, lambda core: core - F.col("_median") >= best * 0.70), "multiple", "competing-marks"),
         )
         .otherwise(decision)
     )
@@ -169,16 +183,15 @@ def _custom_rescue(decision: Column, cores: Column, custom: Column) -> Column:
 
 def _relative_contrast(decision: Column, densities: Column, cores: Column, refined: Column) -> Column:
     peak, core = F.col("_peak"), F.element_at(cores, F.col("_winner"))
-    quiet = F.zip_with(densities, cores, lambda value, other: (value < peak * 0.38) & (other < CORE))
-    # the winner itself fails the test (core >= 0.08), so exactly one cell may fail
-    rivals_quiet = F.size(F.filter(quiet, lambda flag: ~flag)) == 1
+    # the winner itself isn't quiet (core >= 0.08), so exactly one cell may be loud
+    rivals_quiet = _count(_each(lambda value, other: (value >= peak * 0.38) | (other >= CORE), densities, cores)) == 1
     applies = refined & (decision["state"] == "uncertain") & (peak >= 0.045) & (core >= CORE) & rivals_quiet
     return F.when(applies, _decision(F.array(_letter(F.col("_winner"))), "single_mark", "relative-contrast-dominance")).otherwise(decision)
 
 
 def _green_core(decision: Column, cores: Column, green: Column) -> Column:
     strong = (F.col("_peak_core") >= SELECTED) & (_second(cores) < GREEN_ISOLATION)
-    hollow = (decision["state"] == "multiple") & (F.size(F.filter(cores, lambda core: core >= CORE)) < 2)
+    hollow = (decision["state"] == "multiple") & (_count(_each(lambda core: core >= CORE, cores)) < 2)
     return (
         F.when(green & strong, _decision(F.array(_letter(F.col("_core_winner"))), "single_mark", "green-center-ink-dominance"))
         .when(green & hollow, _decision(decision["selected"], "uncertain", "multiple-without-two-centered-marks"))
@@ -200,19 +213,25 @@ def _single_cross(decision: Column, cores: Column, green: Column, crosses: Colum
     return F.when(yes(applies), _decision(F.array(letter), "single_mark", "centered-cross-geometry")).otherwise(decision)
 
 
-def refine_classification(df: DataFrame, decision: str = "decision") -> DataFrame:
+def refine_classification(df: DataFrame, decision: str = "decision", strokes: bool = False) -> DataFrame:
     """Apply the refinement rules in order.
 
     Needs ``densities``, ``cores``, the flags ``custom``, ``refined``,
     ``green`` and, per sheet row, ``crosses`` / ``diagonals`` (1-based cell
-    positions) next to the decision column.
+    positions) next to the decision column. With ``strokes`` also ``mass``,
+    ``area`` and ``other_area`` of the largest connected stroke, whose rule
+    comes after relative contrast, on refined sheets only.
     """
     d = F.col(decision)
     densities, cores = F.col("densities"), F.col("cores")
+    rows = with_row_facts(df).withColumn(decision, _custom_rescue(d, cores, F.col("custom"))).withColumn(
+        decision, _relative_contrast(d, densities, cores, F.col("refined"))
+    )
+    if strokes:
+        stroke = component_majority(d, cores, F.col("mass"), F.col("area"), F.col("other_area"))
+        rows = rows.withColumn(decision, F.when(F.col("refined"), stroke).otherwise(d))
     return (
-        with_row_facts(df).withColumn(decision, _custom_rescue(d, cores, F.col("custom")))
-        .withColumn(decision, _relative_contrast(d, densities, cores, F.col("refined")))
-        .withColumn(decision, _green_core(d, cores, F.col("green")))
+        rows.withColumn(decision, _green_core(d, cores, F.col("green")))
         .withColumn(decision, _single_cross(d, cores, F.col("green"), F.col("crosses"), F.col("diagonals")))
         .drop(*ROW_FACTS)
     )

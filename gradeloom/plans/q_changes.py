@@ -97,11 +97,14 @@ def bulk_resolve(v):
 
 
 @query("bulk_dismiss", "C8", """
-SELECT kind, room_id, source_id, question, number, failure_seq, CASE WHEN kind = 'import' THEN 'failure_resolved' WHEN kind = 'image' THEN 'sheet_archived' ELSE 'not_dismissable' END AS result FROM o_issues""")
+SELECT kind, room_id, source_id, question, number, failure_seq, CASE WHEN kind = 'import' THEN CASE WHEN failure_seq % 5 = 0 THEN 'already_changed' ELSE 'failure_resolved' END
+  WHEN kind = 'image' THEN CASE WHEN source_id % 4 = 0 THEN 'already_changed' ELSE 'sheet_archived' END ELSE 'not_dismissable' END AS result FROM o_issues""")
 def bulk_dismiss(v):
+    """A fifth of the failures is resolved and a quarter of the sheets archived between selection and dismissal."""
     from gradeloom.operators.review import open_failures
 
-    return C.bulk_dismiss(issues(v), open_failures(v.import_log), v.sources)
+    later = v.sources.withColumn("archived", F.when(F.col("source_id") % 4 == 0, 1).otherwise(F.col("archived")))
+    return C.bulk_dismiss(issues(v), open_failures(v.import_log).where("seq % 5 <> 0"), later)
 
 
 @query("set_attendance", "C10", """

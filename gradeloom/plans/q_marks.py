@@ -183,12 +183,12 @@ SELECT source_id, round(a, 4) AS alignment, round(fit, 4) AS grid_fit_score, rou
 FROM (SELECT *, 0.50 * a + 0.20 * least(1e0, cov) + 0.20 * exp(-res / 3e0) + 0.10 * least(1e0, con / 8e0) AS fit
       FROM (SELECT *, 0.45 * cov + 0.40 * exp(-res / 5e0) + 0.15 * least(1e0, con / 10e0) AS a, greatest(0e0, 1e0 - pen / 0.45) AS geo
             FROM (SELECT source_id, grid_line_coverage AS cov, grid_residual_px AS res, grid_line_contrast AS con,
-                         CAST(inliers AS DOUBLE) / 300e0 AS pen, inlier_ratio AS prior FROM v_sheet_evidence WHERE grid_residual_px IS NOT NULL)))""")
+                         CAST(inliers AS DOUBLE) / 300e0 AS pen, inlier_ratio AS prior FROM v_sheet_evidence)))""")
 def alignment_confidence(v):
     cov, res, con = F.col("grid_line_coverage"), F.col("grid_residual_px"), F.col("grid_line_contrast")
     a = R.alignment_confidence(cov, res, con)
     scores = R.candidate_scores(a, cov, res, con, F.col("inliers").cast("double") / 300.0, F.col("inlier_ratio"))
-    return v.sheet_evidence.where(res.isNotNull()).select("source_id", F.round(a, 4).alias("alignment"), scores.alias("s")).select("source_id", "alignment", "s.*")
+    return v.sheet_evidence.select("source_id", F.round(a, 4).alias("alignment"), scores.alias("s")).select("source_id", "alignment", "s.*")
 
 
 @query("manual_intervention", "P26", """

@@ -360,3 +360,15 @@ def test_lone_candidates_and_long_numbers_are_told(spark):
     df = spark.createDataFrame([(1, p, 3, 5.0) for p in range(3)] + [(2, p, 3, 5.0) for p in range(7)], "source_id long, pos int, digit int, score double")
     got = {r.source_id: (r.candidate, r.margin, r.left_out, r.reason) for r in identity.combine_digits(df).collect()}
     assert got == {1: ("333", 5.0, 0, None), 2: (None, None, None, "too_many_digits")}
+
+
+def test_connected_strokes_decide_after_contrast_on_refined_sheets_only(spark):
+    df = spark.createDataFrame(
+        [(1, True), (2, False)], "row_id int, refined boolean"
+    ).selectExpr(
+        "row_id", "refined", "false AS custom", "false AS green", "array(0.05D, 0.04D, 0D) AS densities", "array(0.05D, 0.04D, 0D) AS cores", "array(0.8D, 0.2D, 0D) AS shares",
+        "array(160, 40, 0) AS mass", "200 AS area", "10 AS other_area", "cast(array() AS array<int>) AS crosses", "cast(array() AS array<int>) AS diagonals",
+        "named_struct('selected', cast(array() AS array<string>), 'state', 'uncertain', 'reason', 'faint-or-competing-ink') AS decision",
+    )
+    got = {r.row_id: (r.decision.state, list(r.decision.selected)) for r in marks.refine_classification(df, strokes=True).collect()}
+    assert got == {1: ("single_mark", ["A"]), 2: ("uncertain", [])}
