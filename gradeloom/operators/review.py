@@ -210,9 +210,9 @@ def order_issues(rows: DataFrame) -> DataFrame:
 
 
 def issue_key(rows: DataFrame) -> Column:
-    """Stable 64-bit key of an issue; NULL fields count as values."""
+    """Stable sha256 key of an issue; NULL fields count as values."""
     fields = ["source_id", "kind", "question", "number", "key_id", "detection_id", "failure_seq"]
-    return F.xxhash64(F.to_json(F.struct(*[F.col(name) for name in fields])))
+    return F.sha2(F.to_json(F.struct(*[F.col(name) for name in fields]), {"ignoreNullFields": "false"}), 256)
 
 
 def choose_record(reviews: DataFrame, partials: DataFrame, key: DataFrame, sources: DataFrame) -> DataFrame:

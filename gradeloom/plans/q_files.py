@@ -1,11 +1,22 @@
 """File level queries over the document table: every document is a file."""
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from gradeloom.plans.registry import SHARED, placed, query, widen
+from gradeloom.session import checkpoint_dir
+from gradeloom.sources import exports, publish
 from gradeloom.sources import files as S
 
 
+def written(v, name: str, rows, key: str) -> str:
+    """A folder in the shared place with one text file for each value of ``key``; rows come in order."""
+    path = f"{checkpoint_dir(v.spark)}/{name}-{uuid4().hex}"
+    rows.write.partitionBy(key).text(path)
+    return path
+
+
 def images(v):
     """Documents as image bytes: a PNG header with the size in it, a JPEG header, or plain text."""
     k = F.col("file_id") % 4
@@ -129,3 +140,90 @@ def append_detections(v):
     if "aligned" in written.columns:
         raise ValueError("the raster column was written")
     return written.select("source_id", "detection_id", F.col("exam_id").cast(rows.schema["exam_id"].dataType).alias("exam_id"), "pipeline_version")
+
+
+def customer_files(v) -> str:
+    """One file of customer names for each nation, in customer order."""
+    rows = v.customer.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey").select("c_nationkey", F.col("c_name").alias("value"))
+    return written(v, "customers", rows, "c_nationkey")
+
+
+SHARED["o_customer_files"] = """
+SELECT c_nationkey AS nation, string_agg(c_name || chr(10), '' ORDER BY c_custkey) AS content FROM customer GROUP BY c_nationkey"""
+
+
+def of_nation(files):
+    return files.withColumn("nation", F.regexp_extract("path", "c_nationkey=([0-9]+)", 1).cast("int"))
+
+
+@query("scan_files", "S1", "SELECT nation, CAST(strlen(content) AS BIGINT) AS length, true AS has_extension FROM o_customer_files")
+def scan_files(v):
+    found = S.scan_files(v.spark, customer_files(v), extensions=("txt",))
+    return of_nation(found).select("nation", "length", "has_extension")
+
+
+@query("inventory", "S10", "SELECT nation, sha256(content) AS sha256, CAST(strlen(content) AS BIGINT) AS length, 'error' AS status FROM o_customer_files")
+def inventory(v):
+    return of_nation(S.inventory(v.spark, customer_files(v))).select("nation", "sha256", "length", "status")
+
+
+@query("artifact_manifest", "S18", "SELECT nation, sha256(content) AS sha256, CAST(strlen(content) AS BIGINT) AS length FROM o_customer_files")
+def artifact_manifest(v):
+    return of_nation(publish.artifact_manifest(v.spark, customer_files(v))).select("nation", "sha256", "length")
+
+
+@query("publish", "S19", "SELECT o_orderkey AS source_id, o_custkey, o_orderstatus FROM orders")
+def publish_query(v):
+    """Orders published in two runs, of which the second fails its check and stays invisible."""
+    root = f"{checkpoint_dir(v.spark)}/published-{uuid4().hex}"
+    rows = v.orders.select(F.col("o_orderkey").alias("source_id"), "o_custkey", "o_orderstatus")
+    publish.publish(lambda: rows, v.spark, root, "first")
+    moving = iter((rows, rows.where("source_id % 7 <> 1")))  # a table that changes between writing and checking
+    try:
+        publish.publish(lambda: next(moving), v.spark, root, "second")
+    except publish.SnapshotChanged:
+        pass
+    return publish.published(v.spark, root).drop("run_id")
+
+
+@query("read_answer_keys", "S13", "SELECT CAST(key_id AS VARCHAR) AS key_id, CAST(question AS INT) AS question, choice1 AS choice FROM v_keys")
+def read_answer_keys(v):
+    """The first choice of every key, written as one document for each exam and read back."""
+    answers = v.keys.groupBy("exam_id", "key_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("question").cast("string"), "choice1"))).alias("answers"))
+    one = answers.groupBy("exam_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("key_id").cast("string"), "answers"))).alias("keys"))
+    return exports.read_answer_keys(v.spark, written(v, "keys", one.select("exam_id", F.to_json("keys").alias("value")), "exam_id"))
+
+
+def result_documents(v) -> str:
+    """One results document for each room: its active sheets, each with the newest observations of its first questions."""
+    from gradeloom.operators import grading as G
+    from gradeloom.operators.review import newest_observations
+
+    item = F.struct("question", F.col("state").alias("classification"), F.array("choice").alias("selected"), "auto_resolved")
+    seen = newest_observations(v.observations).groupBy("source_id").agg(F.array_sort(F.collect_list(item)).alias("answers"))
+    sheets = G.active_sources(v.sources, "student").join(seen, "source_id", "left").join(v.exams.select("exam_id", "question_count"), "exam_id")
+    result = F.struct(
+        F.struct(F.col("source_id").cast("string").alias("id"), "original_name").alias("source"), F.lit("teacher_reviewed").alias("status"),
+        F.struct(F.lit("v10").alias("pipeline_version"), "answers").alias("detection"),
+    )
+    rooms = sheets.groupBy("room_id", "exam_id", "question_count").agg(F.collect_list(result).alias("results"))
+    document = F.struct(
+        F.lit(2).alias("schema_version"), F.lit("run").alias("run_id"), F.struct(F.col("exam_id").cast("string").alias("id"), "question_count").alias("exam"),
+        F.struct(F.col("room_id").cast("string").alias("id")).alias("room"), "results",
+    )
+    return written(v, "results", rooms.select("room_id", F.to_json(document).alias("value")), "room_id")
+
+
+@query("read_export_results", "S12", """
+SELECT CAST(exam_id AS VARCHAR) AS exam_id, CAST(room_id AS VARCHAR) AS room_id, CAST(source_id AS VARCHAR) AS source_id, original_name, 'teacher_reviewed' AS status FROM o_students""")
+def read_export_results(v):
+    return exports.read_export_results(v.spark, result_documents(v))[0].select("exam_id", "room_id", "source_id", "original_name", "status")
+
+
+@query("read_export_observations", "S12", """
+SELECT source_id, CAST(question AS INT) AS question, state, choice, auto_resolved FROM (
+  SELECT CAST(b.source_id AS VARCHAR) AS source_id, row_number() OVER (PARTITION BY b.source_id ORDER BY b.question) AS question, b.state, b.choice, b.auto_resolved, e.question_count
+  FROM o_observed b JOIN o_students s ON s.source_id = b.source_id JOIN v_exams e ON e.exam_id = s.exam_id) WHERE question <= question_count""")
+def read_export_observations(v):
+    observations = exports.read_export_results(v.spark, result_documents(v))[1]
+    return observations.select("source_id", "question", "state", F.get("selected", F.lit(0)).alias("choice"), "auto_resolved")
