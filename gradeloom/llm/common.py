@@ -26,8 +26,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def lowered(text: Column) -> Column:
-    """A-Z to a-z, nothing else."""
-    return F.translate(text, UPPER, UPPER.lower())
+    """A-Z to a-z, nothing else. Texts of ASCII alone take the quicker function, which does the same for them."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
