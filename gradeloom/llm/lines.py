@@ -216,11 +216,11 @@ def _cleaned(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Data
 def dedup_lines(docs: DataFrame, *, text: str = "text", min_documents: int = MIN_DOCUMENTS, shard_keys: int = SHARD_KEYS, name: str = "lines") -> DataFrame:
     """``docs`` with a struct ``name`` (in place of a column so named): n_lines, n_dropped and the kept text.
 
-    The text crosses the network once, by its own hash; Spark splits the
-    partitions of texts with many copies. The other side is a short list for
-    each text that loses lines.
+    The text crosses the network once, by its own hash. The other side is a
+    short list for each text that loses lines; it is a table of its own, so
+    that Spark may split the partition of a text with many copies.
     """
-    drops = frequent_lines(docs, text=text, min_documents=min_documents, shard_keys=shard_keys)
+    drops = stored(frequent_lines(docs, text=text, min_documents=min_documents, shard_keys=shard_keys), "dropped-lines")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), _text_key(F.col(text)).alias("_key"))
     joined = rows.join(drops.hint("shuffle_hash"), F.col("_key") == F.col("text_key"), "left")
     cleaned = F.pandas_udf(_cleaned, "n_lines long, n_dropped long, kept string")
