@@ -227,6 +227,7 @@ def choose_record(reviews: DataFrame, partials: DataFrame, key: DataFrame, sourc
     p = latest(partials, "source_id").select(
         "source_id", "partial_id", F.col("key_id").alias("p_key"), F.col("student_number").alias("p_number"), "unknown_ordinal",
         "identity_confirmed", F.col("identity_origin").alias("p_identity"), F.col("detection_id").alias("p_detection"), F.col("created_at").alias("p_at"),
+        *([F.col("review_issues").alias("p_issues")] if "review_issues" in partials.columns else [F.lit(None).cast("string").alias("p_issues")]),
     )
     joined = sheets.join(r, "source_id", "left").join(p, "source_id", "left")
     partial = yes((F.col("p_key") == F.col("key_id")) & (F.col("review_id").isNull() | (F.col("p_at") > F.col("r_at"))))
@@ -242,6 +243,7 @@ def choose_record(reviews: DataFrame, partials: DataFrame, key: DataFrame, sourc
         F.when(partial, F.col("identity_confirmed") == 1).otherwise(F.when(complete, F.lit(True))).alias("identity_confirmed"),
         F.when(partial, F.col("p_identity")).otherwise(F.when(complete, "teacher_confirmed")).alias("identity_origin"),
         F.when(partial, "review_skipped").when(complete & (F.col("r_origin") == "teacher"), "teacher_reviewed").when(complete, F.col("r_origin")).alias("status"),
+        F.when(partial, F.col("p_issues")).alias("review_issues"),
     )
 
 
@@ -293,21 +295,25 @@ def answer_provenance(rows: DataFrame) -> DataFrame:
 
 
 def snapshot(records: DataFrame, answers: DataFrame, key: DataFrame, indicators: DataFrame, broken: DataFrame) -> DataFrame:
-    """Scores of every sheet of every room; ``indicators`` maps each indicator position to its points.
+    """Scores and evidence of every sheet of every room.
 
-    Any number of positions: points are summed per (sheet, position) on the map
-    side, and the few positions of a sheet become its map.
+    ``indicators`` maps each indicator position to its points, any number of
+    positions: points are summed per (sheet, position) on the map side, and the
+    few positions of a sheet become its map. ``answers`` lists question, answer
+    and where it came from (at most 60 of a sheet); ``key_id``,
+    ``detection_id`` and ``review_issues`` name what the score rests on.
     """
     scored = G.grade(answers, key.drop("key_id"))
     mapped = scored.join(G.question_indicators(indicators), ["exam_id", "question"])
     per_position = mapped.groupBy("source_id", "position").agg(F.sum("points").cast("bigint").alias("points"))
     maps = per_position.groupBy("source_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("position", "points")))).alias("indicators"))
     totals = scored.groupBy("source_id").agg(F.sum("points").alias("score"), F.count(F.lit(1)).alias("max"))
+    told = answers.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("question", "answer", "origin"))).alias("answers"))
     blocked = broken.select("room_id").distinct().withColumn("blocked", F.lit(True))
     return (
-        records.where(F.col("record_type").isNotNull()).join(totals, "source_id", "left").join(maps, "source_id", "left").join(blocked, "room_id", "left")
+        records.where(F.col("record_type").isNotNull()).join(totals, "source_id", "left").join(maps, "source_id", "left").join(told, "source_id", "left").join(blocked, "room_id", "left")
         .withColumn("blocked", F.coalesce("blocked", F.lit(False)))
-        .select("exam_id", "room_id", "source_id", "original_name", "number", "unknown_ordinal", "identity_confirmed", "identity_origin", "record_type", "record_id", "status", "score", "max", "indicators", "blocked")
+        .select("exam_id", "room_id", "source_id", "original_name", "number", "unknown_ordinal", "identity_confirmed", "identity_origin", "record_type", "record_id", "status", "score", "max", "indicators", "blocked", "key_id", "detection_id", "review_issues", "answers")
     )
 
 

@@ -39,10 +39,10 @@ SELECT s.source_id, s.exam_id, s.room_id, s.original_name, k.key_id, r.created_a
        CASE WHEN part AND NOT p_confirmed THEN unknown_ordinal END AS unknown_ordinal,
        CASE WHEN part THEN p_confirmed WHEN comp THEN true END AS identity_confirmed,
        CASE WHEN part THEN p_origin WHEN comp THEN 'teacher_confirmed' END AS identity_origin,
-       CASE WHEN part THEN 'review_skipped' WHEN comp AND r.origin = 'teacher' THEN 'teacher_reviewed' WHEN comp THEN r.origin END AS status
+       CASE WHEN part THEN 'review_skipped' WHEN comp AND r.origin = 'teacher' THEN 'teacher_reviewed' WHEN comp THEN r.origin END AS status, CASE WHEN part THEN p_issues END AS review_issues
 FROM (SELECT s.*, k.key_id, r.created_at, coalesce(p.key_id = k.key_id AND (r.review_id IS NULL OR p.created_at > r.created_at), false) AS part,
              coalesce(r.key_id = k.key_id, false) AS comp, p.partial_id, p.detection_id AS p_detection, p.student_number AS p_number, p.unknown_ordinal,
-             p.identity_confirmed = 1 AS p_confirmed, p.identity_origin AS p_origin
+             p.identity_confirmed = 1 AS p_confirmed, p.identity_origin AS p_origin, p.review_issues AS p_issues
       FROM o_students s JOIN o_confirmed_key k ON k.exam_id = s.exam_id LEFT JOIN o_review r ON r.source_id = s.source_id LEFT JOIN o_partial p ON p.source_id = s.source_id) s
 JOIN o_confirmed_key k ON k.exam_id = s.exam_id LEFT JOIN o_review r ON r.source_id = s.source_id""",
     o_logged="SELECT review_id AS record_id, question, answer FROM v_review_answers UNION ALL SELECT partial_id, question, answer FROM v_partial_answers",
@@ -67,12 +67,13 @@ FROM o_snapshot_answers a JOIN o_key_set k ON k.exam_id = a.exam_id AND k.questi
 JOIN v_indicators i ON i.exam_id = a.exam_id AND a.question BETWEEN i.from_question AND i.to_question AND i.exam_id NOT IN (SELECT exam_id FROM o_bad_indicators) GROUP BY ALL""",
     o_snapshot="""
 SELECT c.exam_id, c.room_id, c.source_id, c.original_name, c.number, c.unknown_ordinal, c.identity_confirmed, c.identity_origin, c.record_type, c.record_id, c.status,
-       t.score, t.max, x.indicators, c.room_id IN (SELECT room_id FROM o_snapshot_broken) AS blocked
+       t.score, t.max, x.indicators, c.room_id IN (SELECT room_id FROM o_snapshot_broken) AS blocked, c.key_id, c.detection_id, c.review_issues, w.answers
 FROM o_record c LEFT JOIN (
   SELECT a.source_id, CAST(sum(p) AS BIGINT) AS score, count(*) AS max
   FROM (SELECT a.*, CASE WHEN a.answer IN (k.choice1, k.choice2) THEN 1 ELSE 0 END AS p FROM o_snapshot_answers a JOIN o_key_set k ON k.exam_id = a.exam_id AND k.question = a.question) a
   GROUP BY a.source_id) t ON t.source_id = c.source_id
-LEFT JOIN (SELECT source_id, string_agg(position || ':' || n, ',' ORDER BY position) AS indicators FROM o_snapshot_indicators GROUP BY source_id) x ON x.source_id = c.source_id WHERE c.record_type IS NOT NULL""",
+LEFT JOIN (SELECT source_id, string_agg(position || ':' || n, ',' ORDER BY position) AS indicators FROM o_snapshot_indicators GROUP BY source_id) x ON x.source_id = c.source_id
+LEFT JOIN (SELECT source_id, string_agg(question || ':' || answer || ':' || origin, ',' ORDER BY question) AS answers FROM o_snapshot_answers GROUP BY source_id) w ON w.source_id = c.source_id WHERE c.record_type IS NOT NULL""",
 )
 
 
@@ -185,7 +186,8 @@ def check_snapshot(v):
 @query("snapshot", "C2 A1 A2", "SELECT * FROM o_snapshot")
 def snapshot_query(v):
     listed = F.transform(F.array_sort(F.map_entries("indicators")), lambda x: F.concat_ws(":", x["key"].cast("string"), x["value"].cast("string")))
-    return snapshot(v).withColumn("indicators", F.array_join(listed, ","))
+    told = F.transform("answers", lambda x: F.concat_ws(":", x["question"].cast("string"), x["answer"], x["origin"]))
+    return snapshot(v).withColumn("indicators", F.array_join(listed, ",")).withColumn("answers", F.array_join(told, ","))
 
 
 @query("order_results", "O1", "SELECT room_id, source_id, number, unknown_ordinal, score, row_number() OVER (PARTITION BY room_id ORDER BY number NULLS LAST, unknown_ordinal NULLS LAST, source_id) AS place FROM o_snapshot")
@@ -201,9 +203,9 @@ def answer_provenance(v):
 
 
 @query("append_attendance", "U2 S16", """
-SELECT s.exam_id, room_id, CAST(number AS BIGINT) AS number, CASE WHEN number IS NULL THEN 'unknown #' || unknown_ordinal END AS number_label, i.i0, i.i1, i.i2, score, max, status, original_name FROM o_snapshot s
+SELECT s.exam_id, room_id, CAST(number AS BIGINT) AS number, CASE WHEN number IS NULL THEN 'unknown #' || unknown_ordinal END AS number_label, i.i0, i.i1, i.i2, score, max, status, replace(s.review_issues, ';', '; ') AS review_issues, original_name FROM o_snapshot s
 LEFT JOIN (SELECT source_id, max(n) FILTER (WHERE position = 0) AS i0, max(n) FILTER (WHERE position = 1) AS i1, max(n) FILTER (WHERE position = 2) AS i2 FROM o_snapshot_indicators GROUP BY source_id) i ON i.source_id = s.source_id
-UNION ALL SELECT r.exam_id, a.room_id, student_number, NULL, NULL, NULL, NULL, NULL, e.question_count, status, NULL FROM o_attendance a JOIN v_rooms r ON r.room_id = a.room_id JOIN v_exams e ON e.exam_id = r.exam_id
+UNION ALL SELECT r.exam_id, a.room_id, student_number, NULL, NULL, NULL, NULL, NULL, e.question_count, status, NULL, NULL FROM o_attendance a JOIN v_rooms r ON r.room_id = a.room_id JOIN v_exams e ON e.exam_id = r.exam_id
 WHERE status IN ('absent', 'excused')""")
 def append_attendance(v):
     from gradeloom.sources.publish import score_sheet, wide_scores

@@ -126,7 +126,8 @@ SELECT CAST(o_orderkey * 10 + 5 AS BIGINT) AS partial_id, CAST(o_orderkey * 10 +
        CASE WHEN o_orderkey % 16 <> 1 AND o_orderkey % 56 <> 9 THEN CAST(o_orderkey AS BIGINT) + 1 END AS unknown_ordinal,
        CASE WHEN o_orderkey % 16 = 1 THEN 'teacher_confirmed' ELSE 'unknown' END AS identity_origin,
        CAST(o_orderkey * 10 AS BIGINT) AS detection_id,
-       CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate - INTERVAL 2 DAY ELSE o_orderdate + INTERVAL 2 DAY END AS created_at
+       CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate - INTERVAL 2 DAY ELSE o_orderdate + INTERVAL 2 DAY END AS created_at,
+       CASE WHEN o_orderkey % 16 = 1 THEN 'review_skipped' ELSE 'review_skipped;Q' || CAST(o_orderkey % 7 + 1 AS STRING) || ' unresolved;identity_unknown' END AS review_issues
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN v_last_keys ON exam_id = c_nationkey
 WHERE o_orderkey % 8 = 1 AND o_orderkey % 50 <> 0
 UNION ALL
@@ -134,7 +135,7 @@ SELECT CAST(o_orderkey * 10 + 6 AS BIGINT), CAST(o_orderkey * 10 + 6 AS BIGINT),
        CASE WHEN o_orderkey % 48 = 25 THEN 0 ELSE 1 END, CASE WHEN o_orderkey % 48 = 25 THEN NULL ELSE o_orderkey % 2500 + 1 END,
        CASE WHEN o_orderkey % 48 = 25 THEN CAST(o_orderkey AS BIGINT) + 2 END,
        CASE WHEN o_orderkey % 48 = 25 THEN 'unknown' ELSE 'teacher_confirmed' END,
-       CAST(o_orderkey * 10 AS BIGINT), o_orderdate + INTERVAL 3 DAY
+       CAST(o_orderkey * 10 AS BIGINT), o_orderdate + INTERVAL 3 DAY, 'review_skipped'
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN v_last_keys ON exam_id = c_nationkey
 WHERE o_orderkey % 24 = 1 AND o_orderkey % 50 <> 0""",
     "v_partial_answers": f"""

@@ -20,7 +20,7 @@ def score_sheet(results: DataFrame, attendance: DataFrame, rooms: DataFrame, exa
     label = F.when(F.col("number").isNull(), F.concat(F.lit("unknown #"), F.col("unknown_ordinal").cast("string")))
     rows = results.select(
         "exam_id", "room_id", F.col("number").cast("bigint").alias("number"), label.alias("number_label"), "indicators", "score",
-        F.col("max").cast("bigint").alias("max"), "status", prevent_formula(F.col("original_name")).alias("original_name"),
+        F.col("max").cast("bigint").alias("max"), "status", prevent_formula(F.replace(F.col("review_issues"), F.lit(";"), F.lit("; "))).alias("review_issues"), prevent_formula(F.col("original_name")).alias("original_name"),
     )
     places = rooms.select("room_id", "exam_id").join(exams.select("exam_id", F.col("question_count").cast("bigint").alias("max")), "exam_id")
     away = attendance.where(F.col("status").isin("absent", "excused")).join(places, "room_id").select(
