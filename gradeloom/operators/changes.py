@@ -179,6 +179,23 @@ def late_decisions(decisions: DataFrame, key_now: DataFrame, detection_now: Data
     return rows.select(*[c for c in decisions.columns], outcome.alias("outcome"))
 
 
+def set_number(requests: DataFrame, detection_now: DataFrame, sources: DataFrame) -> DataFrame:
+    """Number edits with an optimistic guard; ``applied`` rows are the identities to append.
+
+    ``requests``: seq, source_id, value, detection_id (the one the teacher saw).
+    The first failing check names the outcome: a number that can't be read, a
+    newer detection, a sheet that isn't active.
+    """
+    active = sources.where((F.col("archived") == 0) & (F.col("purpose") == "student")).select("source_id", "exam_id", "room_id")
+    rows = requests.join(detection_now.select("source_id", F.col("detection_id").alias("_now")), "source_id", "left").join(active, "source_id", "left")
+    number = normalize_number(F.col("value"))
+    outcome = (
+        F.when(number.isNull(), "bad_number").when(~F.col("detection_id").eqNullSafe(F.col("_now")), "detection_changed")
+        .when(F.col("exam_id").isNull(), "inactive_sheet").otherwise("applied")
+    )
+    return rows.select("seq", "source_id", "detection_id", number.alias("student_number"), outcome.alias("outcome"))
+
+
 def resolve_answer(decisions: DataFrame, key_now: DataFrame, state: DataFrame, sources: DataFrame, review_answers: DataFrame) -> DataFrame:
     """New review revisions: an accepted edit of a complete review replaces exactly one answer."""
     accepted = late_decisions(decisions, key_now, state, sources).where("outcome = 'applied'")

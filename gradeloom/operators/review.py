@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.functions.scalars import score_answer
+from gradeloom.functions.scalars import normalize_number
 from gradeloom.operators import grading as G
 from gradeloom.operators.common import CHOICES, RESOLVED, count_per, count_when, expand_range, latest, yes
 
@@ -371,15 +371,31 @@ def needs_processing(sources: DataFrame, detections: DataFrame, confirmed: DataF
     return rows.where(allowed & work.isNotNull()).select("source_id", "exam_id", "purpose", work.alias("work"))
 
 
-def skip_summary(state: DataFrame, answers: DataFrame, maximum: DataFrame) -> DataFrame:
-    """Per room: unknown identities, unclear answers and unresolved sheets."""
+def skip_summary(
+    state: DataFrame, answers: DataFrame, maximum: DataFrame, answer_edits: DataFrame | None = None, identity_edits: DataFrame | None = None
+) -> DataFrame:
+    """Per room: unknown identities, unclear answers and unresolved sheets.
+
+    Draft edits count as made: ``identity_edits`` (source_id, value), where a
+    value that can't be read leaves the sheet unknown, and ``answer_edits``
+    (source_id, question), whose answers are no longer unclear.
+    """
+    if identity_edits is not None:
+        drafts = identity_edits.select("source_id", normalize_number(F.col("value")).alias("_draft"), F.lit(True).alias("_edited"))
+        state = state.join(drafts, "source_id", "left").withColumn("number", F.when(F.col("_edited"), F.col("_draft")).otherwise(F.col("number"))).drop("_draft", "_edited")
+    if answer_edits is not None:
+        made = answer_edits.select("source_id", "question", F.lit(True).alias("_made")).distinct()
+        answers = answers.join(made, ["source_id", "question"], "left")
+    else:
+        answers = answers.withColumn("_made", F.lit(False))
     sheets = with_room_facts(state.where(F.col("exam_id").isNotNull()), maximum)
     unknown = F.col("number").isNull() | yes(F.col("holders") > 1) | yes(F.col("number") > F.col("maximum"))
     reviewed = yes(F.col("review_key") == F.col("key_id"))
     per_answer = answers.withColumn(
         "_unclear",
         ~((reviewed & yes(F.col("review_origin") == "teacher")) | F.col("overridden"))
-        & (F.col("answer").isNull() | yes(F.col("state").isin("uncertain", "multiple"))),
+        & (F.col("answer").isNull() | yes(F.col("state").isin("uncertain", "multiple")))
+        & ~yes(F.col("_made")),
     )
     per_sheet = per_answer.groupBy("source_id").agg(count_when(F.col("_unclear")).alias("unclear"), F.bool_and(reviewed).alias("on_key"))
     joined = sheets.join(per_sheet, "source_id")

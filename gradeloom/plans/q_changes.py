@@ -160,6 +160,22 @@ def resolve_answer(v):
     return C.resolve_answer(v.overrides, G.current_key(v.keys, v.sources), state(v), v.sources, v.review_answers)
 
 
+@query("set_number", "C12", """
+WITH r AS (SELECT e.event_id AS seq, e.event_id AS source_id, CASE WHEN e.event_id % 5 = 0 THEN 'x1' ELSE CAST(e.user_id % 40 AS VARCHAR) END AS value,
+    CASE WHEN e.event_id % 4 = 0 THEN d.detection_id - 1 ELSE d.detection_id END AS detection_id, d.detection_id AS now, s.source_id IS NOT NULL AS active
+  FROM events e LEFT JOIN o_detection d ON d.source_id = e.event_id LEFT JOIN o_students s ON s.source_id = e.event_id),
+n AS (SELECT *, CASE WHEN value <> 'x1' AND value <> '0' THEN CAST(value AS BIGINT) END AS student_number FROM r)
+SELECT seq, source_id, detection_id, student_number, CASE WHEN student_number IS NULL THEN 'bad_number' WHEN detection_id IS DISTINCT FROM now THEN 'detection_changed'
+  WHEN NOT active THEN 'inactive_sheet' ELSE 'applied' END AS outcome FROM n""")
+def set_number(v):
+    """An edit per event on the sheet it names; a fifth can't be read, a quarter saw an older detection."""
+    event, now = F.col("event_id"), latest(v.detections, "source_id").select("source_id", "detection_id")
+    value = F.when(event % 5 == 0, "x1").otherwise((F.col("user_id") % 40).cast("string"))
+    seen = v.events.select(event.alias("seq"), event.alias("source_id"), value.alias("value")).join(now, "source_id", "left")
+    requests = seen.withColumn("detection_id", F.when(F.col("seq") % 4 == 0, F.col("detection_id") - 1).otherwise(F.col("detection_id")))
+    return widen(C.set_number(requests, now, v.sources), "student_number")
+
+
 @query("assign_unknown_labels", "W6", """
 WITH kept AS (SELECT source_id, unknown_ordinal AS ordinal FROM o_partial WHERE unknown_ordinal IS NOT NULL)
 SELECT s.source_id, coalesce(k.ordinal, (SELECT max(unknown_ordinal) FROM v_partials) + row_number() OVER (PARTITION BY k.ordinal IS NULL ORDER BY s.source_id)) AS ordinal

@@ -122,6 +122,26 @@ def skip_summary(v):
     return R.skip_summary(state_table(v), answers_table(v), maximum(v))
 
 
+@query("skip_summary_drafts", "A6", """
+WITH ed AS (SELECT event_id AS source_id, CASE WHEN event_id % 5 = 0 THEN 'x1' ELSE CAST(user_id % 40 AS VARCHAR) END AS value FROM events WHERE event_id % 3 = 1),
+ae AS (SELECT DISTINCT event_id AS source_id, CAST(user_id % 7 + 1 AS INT) AS question FROM events WHERE event_id % 3 = 2),
+st AS (SELECT t.source_id, t.room_id, t.failure, CASE WHEN ed.source_id IS NULL THEN t.number WHEN value NOT IN ('x1', '0') THEN CAST(value AS BIGINT) END AS number FROM o_state t LEFT JOIN ed ON ed.source_id = t.source_id),
+h AS (SELECT room_id, number, count(*) AS holders FROM st WHERE number IS NOT NULL GROUP BY ALL),
+a AS (SELECT o.source_id, count(*) FILTER (WHERE ae.source_id IS NULL AND NOT ((coalesce(review_key = key_id, false) AND coalesce(review_origin = 'teacher', false)) OR overridden)
+        AND (answer IS NULL OR coalesce(state IN ('uncertain', 'multiple'), false))) AS unclear, bool_and(coalesce(review_key = key_id, false)) AS on_key
+      FROM o_answers o LEFT JOIN ae ON ae.source_id = o.source_id AND ae.question = o.question GROUP BY o.source_id)
+SELECT room_id, count(*) FILTER (WHERE unk) AS unconfirmed_identities, CAST(sum(unclear) AS BIGINT) AS unclear_answers, count(*) FILTER (WHERE unk OR failure IS NOT NULL OR unclear > 0 OR NOT on_key) AS unresolved_sheets
+FROM (SELECT st.*, a.unclear, a.on_key, st.number IS NULL OR coalesce(holders > 1, false) OR coalesce(st.number > m.maximum, false) AS unk
+      FROM st JOIN a ON a.source_id = st.source_id LEFT JOIN h ON h.room_id = st.room_id AND h.number = st.number LEFT JOIN o_maximum m ON m.room_id = st.room_id) GROUP BY room_id""")
+def skip_summary_drafts(v):
+    """Number drafts on a third of the sheets that events name, answer drafts on another third."""
+    event = F.col("event_id")
+    value = F.when(event % 5 == 0, "x1").otherwise((F.col("user_id") % 40).cast("string"))
+    numbers = v.events.where("event_id % 3 = 1").select(event.alias("source_id"), value.alias("value"))
+    edits = v.events.where("event_id % 3 = 2").select(event.alias("source_id"), (F.col("user_id") % 7 + 1).cast("int").alias("question"))
+    return R.skip_summary(state_table(v), answers_table(v), maximum(v), edits, numbers)
+
+
 @query("union_issues", "U1", "SELECT kind, coalesce(status, '-') AS status, count(*) AS n FROM o_issues GROUP BY ALL")
 def union_issues(v):
     return issues(v).groupBy("kind", F.coalesce("status", F.lit("-")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
