@@ -53,14 +53,19 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """
     spark = df.sparkSession
     folder = checkpoint_dir(spark)
-    if folder not in _USED:
-        _USED.add(folder)
-        atexit.register(_forget_quietly, spark, folder)
+    delete_at_exit(spark, folder)
     path = f"{folder}/{name}-{uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_at_exit(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of this application when the program ends."""
+    if folder not in _USED:
+        _USED.add(folder)
+        atexit.register(_forget_quietly, spark, folder)
+
+
 def forget(spark: SparkSession, folder: str | None = None) -> None:
     """Delete the intermediates of this application; frames that still read them end."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder or checkpoint_dir(spark))
