@@ -7,6 +7,8 @@ from uuid import uuid4
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradeloom.session import delete_at_exit
+
 #: The white space of the text contracts, space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -18,9 +20,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: lineage ends here, and a lost executor costs a reread only."""
+    """``df`` written to the shared folder and read back: lineage ends here, and a lost executor costs a reread only.
+
+    The application's folder is deleted when the program ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid4().hex}"
+    folder = f"{shared_folder(spark).rstrip('/')}/text-{spark.sparkContext.applicationId}"
+    delete_at_exit(spark, folder)
+    path = f"{folder}/{name}-{uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
