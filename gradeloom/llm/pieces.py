@@ -4,7 +4,9 @@ A text is normalized as the model file says (spaces become U+2581, one in
 front), and segmented over the lattice of its pieces, whose scores add up.
 Forward Viterbi gives each position the best score of what lies before it; a
 backward A* search from the end takes those scores as its heuristic. They are
-exact, so complete segmentations leave the queue in falling order of score.
+exact, so complete segmentations leave the queue in falling order of score. The
+forward pass keeps the runner-up's score too, which tells what a word's
+second-best loses before any search.
 
 No piece of the vocabulary crosses from a letter to U+2581, so the lattice of a
 text is a chain of independent word lattices (and a word's is one of two where
@@ -79,6 +81,44 @@ class Lattice:
                         forward[end + 1] = before + known[0]
         return ends, forward
 
+    def best_two(self, word: str) -> tuple[tuple[int, ...], float, float]:
+        """(ids of the best segmentation, its score, what the second-best loses), by a forward pass that keeps two scores for each place."""
+        size = len(word)
+        first, second = [-np.inf] * (size + 1), [-np.inf] * (size + 1)
+        back: list[tuple[int, tuple[int, ...]]] = [(0, ())] * (size + 1)
+        first[0] = 0.0
+        scores, trie = self.scores, self.trie
+        for start in range(size):
+            a, b, node = first[start], second[start], trie
+            if word[start] not in scores:
+                raw = word[start].encode("utf-8", "surrogatepass")
+                score, end = self.byte_score * len(raw), start + 1
+                if a + score > first[end]:
+                    second[end], first[end] = max(first[end], b + score), a + score
+                    back[end] = (start, tuple(self.byte_ids[x] for x in raw))
+                elif a + score > second[end]:
+                    second[end] = a + score
+            for end in range(start, size):
+                node = node.get(word[end])
+                if node is None:
+                    break
+                known = node.get("")
+                if known is not None:
+                    score = known[0]
+                    if a + score > first[end + 1]:
+                        old, more = first[end + 1], b + score
+                        second[end + 1] = old if old > more else more
+                        first[end + 1] = a + score
+                        back[end + 1] = (start, known[1])
+                    elif a + score > second[end + 1]:
+                        second[end + 1] = a + score
+        ids: list[tuple[int, ...]] = []
+        at = size
+        while at:
+            at, own = back[at]
+            ids.append(own)
+        return tuple(x for own in reversed(ids) for x in own), first[size], first[size] - second[size]
+
     def best(self, word: str, n: int) -> Segmentations:
         """Up to ``n`` segmentations, highest score first, ties to smaller ids."""
         ends, forward = self.edges(word)
@@ -157,8 +197,8 @@ class Encoder:
             a, b = (self.at[u] if u in self.at else self.learn(u) for u in units)
             packed, score, loss = self.packed[a] + self.packed[b], self.scores[a] + self.scores[b], min(self.losses[a], self.losses[b])
         else:
-            best = self.lattice.best(word, 2)
-            packed, score, loss = np.asarray(best[0][1], "<u4").tobytes(), best[0][0], best[0][0] - best[1][0] if len(best) > 1 else np.inf
+            ids, score, loss = self.lattice.best_two(word)
+            packed = array("I", ids).tobytes()
         self.packed.append(packed)
         self.scores.append(score)
         self.losses.append(loss)
@@ -182,7 +222,11 @@ class Encoder:
         if known is None:
             if len(self.lists) > CACHED_WORDS // 10:
                 self.lists = {}
-            known = self.lists[word] = self.lattice.best(word, self.n)
+            found = self.lattice.best(word, self.n)
+            # Of equal scores the one that the word's best took comes first.
+            ids = tuple(np.frombuffer(self.packed[self.at[word] if word in self.at else self.learn(word)], "<u4").tolist())
+            found = [(found[0][0], ids), *[x for x in found if x[1] != ids]][: self.n]
+            known = self.lists[word] = found
         return known
 
     def varied(self, words: list[str], at: np.ndarray) -> tuple[float, list[int], list[tuple[float, tuple[int, ...]]]]:
