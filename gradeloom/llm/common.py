@@ -32,6 +32,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_HELD: dict = {}
+
+
+def held(key, make):
+    """What a worker process keeps between tasks, such as a tokenizer with its words: one thing at a time, another takes its place."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def lowered(text: Column) -> Column:
     """A-Z to a-z, nothing else. Texts of ASCII alone take the quicker function, which does the same for them."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))

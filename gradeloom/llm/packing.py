@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import stored
+from gradeloom.llm.common import held, stored
 
 LENGTH = 4096
 END = 1
@@ -130,23 +130,13 @@ class Encoder:
             return b"".join(map(self.learn(set(words)).__getitem__, words))
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def _encoder(path: str) -> Encoder:
-    """One encoder for each worker process, so that tasks share its words."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
-
-
 def pieces(docs: DataFrame, tokenizer: str, *, length: int = LENGTH, end: int = END) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document."""
     stop = np.asarray([end], "<u4").tobytes()
     kind = docs.schema["doc_id"].dataType
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer)
+        encoder = held(("word ids", tokenizer), lambda: Encoder(tokenizer))  # tasks of a worker share its words
         for batch in batches:
             rows, numbers, starts, lengths, sums = [], [], [], [], []
             texts = batch.column(1).to_pylist()

@@ -36,6 +36,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gradeloom.llm.common import held
+
 BEST = 4
 SPACE = "▁"
 BYTE_SCORE = -100_000.0
@@ -271,14 +273,9 @@ class Encoder:
         return text.removeprefix(SPACE).replace(SPACE, " ")
 
 
-_ENCODERS: dict[tuple[str, int], Encoder] = {}
-
-
 def encoder(path: str, n: int = BEST) -> Encoder:
     """One encoder for each worker process, so that tasks share its words."""
-    if (path, n) not in _ENCODERS:
-        _ENCODERS[path, n] = Encoder(path, n)
-    return _ENCODERS[path, n]
+    return held(("pieces", path, n), lambda: Encoder(path, n))
 
 
 def encoded(docs: DataFrame, model: str, *, text: str = "text", n: int = BEST, name: str = "pieces") -> DataFrame:

@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gradeloom.llm.common import held
+
 BUCKETS = 1 << 17
 DIMENSIONS = 8
 PASSAGE_WORDS = 64
@@ -215,16 +217,9 @@ class Scorer:
         return out
 
 
-_SCORERS: dict[int, Scorer] = {}
-
-
 def _scorer(weights: bytes, bias: float) -> Scorer:
-    """One scorer per model and worker process, so that tasks share its words; another model takes its place."""
-    key = hash((weights, bias))
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(np.frombuffer(weights, np.float32), bias)
-    return _SCORERS[key]
+    """One scorer per model and worker process, so that tasks share its words."""
+    return held(("toxicity", hash((weights, bias))), lambda: Scorer(np.frombuffer(weights, np.float32), bias))
 
 
 def _trainer(share: float, options: dict):
