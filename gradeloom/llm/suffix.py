@@ -45,7 +45,7 @@ BATCHES = 4
 HOT_SEGMENTS = 20_000
 #: Bytes of a text that are sampled in one step, and bytes of segments that are ranked at once (heads are never parted).
 STEP = 1 << 23
-RANKED = 1 << 22
+RANKED = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
 _PLACE = _U((1 << 24) - 1)
@@ -160,19 +160,32 @@ class Family:
         return rows.join(sizes, "head")
 
 
+_BITS = _U(21)
+
+
+def _ranked(keys: np.ndarray) -> np.ndarray:
+    """Rank of each key, equal keys alike. Keys of fewer than 2**21 places and 43 bits are sorted in one word with their place."""
+    if len(keys) > 1 << 21:
+        return np.unique(keys, return_inverse=True)[1].astype(np.uint64)
+    packed = (keys << _BITS) | np.arange(len(keys), dtype=np.uint64)
+    packed.sort()
+    at, keys = (packed & _U((1 << 21) - 1)).astype(np.int64), packed >> _BITS
+    rank = np.zeros(len(keys), np.uint64)
+    rank[at[1:]] = np.cumsum(keys[1:] != keys[:-1])
+    return rank
+
+
 def ranks(data: np.ndarray, length: int) -> np.ndarray:
     """Rank of the string of ``length`` bytes at each place, by prefix doubling; strings that run over the end have no meaning."""
-    if length < 8:
-        have, rank = 1, data.astype(np.uint64)
-    else:
-        have, rank = 8, np.zeros(len(data), np.uint64)
-        for k in range(8):
-            rank[: len(data) - k] = (rank[: len(data) - k] << _U(8)) | data[k:]
-            rank[len(data) - k :] <<= _U(8)
-        rank = np.unique(rank, return_inverse=True)[1].astype(np.uint64)
+    have, keys = min(5, length), np.zeros(len(data), np.uint64)
+    for k in range(have):
+        keys[: len(data) - k] = (keys[: len(data) - k] << _U(8)) | data[k:]
+        keys[len(data) - k :] <<= _U(8)
+    rank = _ranked(keys)
+    width = _BITS if len(data) <= 1 << 21 else _U(32)
     while have < length:
         more = min(have, length - have)
-        rank = np.unique((rank << _U(32)) | np.r_[rank[more:], np.zeros(min(more, len(rank)), np.uint64)], return_inverse=True)[1].astype(np.uint64)
+        rank = _ranked((rank << width) | np.r_[rank[more:], np.zeros(min(more, len(rank)), np.uint64)])
         have += more
     return rank
 
@@ -185,8 +198,8 @@ def repeated_runs(segments: list[bytes], length: int) -> list[tuple[int, int, in
     counts = sizes - length + 1
     stops = np.cumsum(counts)
     at = np.arange(stops[-1]) + np.repeat(starts - (stops - counts), counts)
-    _, inverse, times = np.unique(ranks(data, length)[at], return_inverse=True, return_counts=True)
-    hit = at[times[inverse] > 1]
+    rank = ranks(data, length)[at].astype(np.int64)
+    hit = at[np.bincount(rank)[rank] > 1]
     if not len(hit):
         return []
     owner = np.searchsorted(starts, hit, "right") - 1
