@@ -286,4 +286,4 @@ def kept_documents(docs: DataFrame, labels: DataFrame, *, threshold: float = THR
     name = "_toxicity"
     while name in columns:
         name += "_"
-    return score(docs, fit(docs, labels, **options), name=name).where(F.col(name) < threshold).select(*columns)
+    return score(docs, fit(docs, labels, **options), name=name).where(F.col(name) < threshold).select(*[F.col(f"`{c}`") for c in columns])
