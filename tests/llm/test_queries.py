@@ -1,5 +1,6 @@
 """The registered queries of the subpackage: SQL where it can say them, and the pipeline stage by stage."""
 
+import random
 import re
 from collections import Counter
 
@@ -78,6 +79,30 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert len({r.sequence_id for r in pieces}) <= np.ceil(sum(sizes.values()) / 4096) + 1
 
 
+def test_pipeline_drops_near_copies_of_five_words_and_eight_tenths(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = []
+    for scattered, passage in ((4, 0), (6, 0), (0, 17), (0, 40), (1, 0)):
+        base = [word() for _ in range(200)]
+        near = list(base)
+        for k in range(scattered):
+            near[20 + 30 * k] = word()
+        near[60 : 60 + passage] = [word() for _ in range(passage)]
+        texts += [" ".join(base), " ".join(near)]
+
+    def jaccard_of(a, b, n):
+        a, b = ({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} for w in (a.split(), b.split()))
+        return len(a & b) / len(a | b)
+
+    scores = [(jaccard_of(a, b, 3), jaccard_of(a, b, 5)) for a, b in zip(texts[::2], texts[1::2], strict=True)]
+    assert sum(three < 0.9 and five >= 0.8 for three, five in scores) == 2 and sum(five < 0.8 for _, five in scores) == 2
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    given = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], schema)
+    kept = {r.doc_id for r in corpus_pipeline.drop_copies(spark, given, FOLDER).collect()}
+    assert kept == {2 * k for k in range(len(scores))} | {2 * k + 1 for k, (_, five) in enumerate(scores) if five < 0.8}
+
+
 def test_run_is_the_stages(spark):
     out = corpus_pipeline.run(spark, FOLDER)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.agg(F.max("length")).first()[0] <= 4096
