@@ -3,8 +3,10 @@
 A layer is a text and, for each of its code points, the span of the original
 text that it came from. Unwrapping a layer may give: the layer with its URL
 escapes decoded, the layer with its Unicode and character-reference escapes
-decoded, and one layer for each base64 run whose bytes are text or compressed
-text (gzip, zlib, bzip2, xz, zstandard; compression may nest). Layers wait in a
+decoded, and layers for each base64 run: its lines joined, whatever their
+widths, and each long enough line alone, at all four alignments, so that letters or
+lines in front don't hide what follows; their bytes are text or compressed text
+(gzip, zlib, bzip2, xz, zstandard; compression may nest). Layers wait in a
 list until it is empty; a layer whose text already came from the same place is
 not taken again, which also ends compression that yields itself.
 
@@ -13,7 +15,8 @@ layer maps to all that its code points came from (for base64 the letters that ho
 their bits, for compressed data the whole run).
 
 Defined results: a null text is empty; an empty text has no spans; repeated
-rows give one row each. Bytes that are no UTF-8 text are no layer. A compressed
+rows give one row each. Bytes that are no UTF-8 are read as
+Latin-1; bytes that aren't clean text and can hold nothing are no layer. A compressed
 run may unfold to at most ``MAX_UNFOLDED`` bytes, which guards a worker's
 memory against decompression bombs; what would be larger is counted in
 ``n_unread``, never passed over in silence.
@@ -21,7 +24,7 @@ memory against decompression bombs; what would be larger is counted in
 
 from __future__ import annotations
 
-import base64
+import binascii
 import bz2
 import hashlib
 import io
@@ -47,9 +50,17 @@ _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(
     r"(?P<u>(?:\\+u[0-9A-Fa-f]{4}|%u[0-9A-Fa-f]{4})+)|\\+U(?P<U>[0-9A-Fa-f]{8})|\\+u\{(?P<b>[0-9A-Fa-f]{1,6})\}|(?P<x>(?:\\+x[0-9A-Fa-f]{2})+)|&#(?P<d>[0-9]{1,7});|&#[xX](?P<h>[0-9A-Fa-f]{1,6});|\bU\+(?P<p>[0-9A-Fa-f]{4,6})"
 )
-# The shortest secret has 14 bytes, so a shorter run than its 19 letters can hold none; lines of a wrapped run are joined.
-_BASE64 = re.compile(r"(?:[A-Za-z0-9+/_-]{48,128}\r?\n)*[A-Za-z0-9+/_-]{19,}(?![A-Za-z0-9+/_-])={0,2}|(?:[A-Za-z0-9+/_-]{48,128}\r?\n)+[A-Za-z0-9+/_-]+={0,2}")
-_HINT = re.compile(r"[A-Za-z0-9+/_-]{19}|%[0-9A-Fa-fu][0-9A-Fa-f]|\\[uUx]|&#|U\+[0-9A-Fa-f]")
+# The shortest secret has 14 bytes, so fewer letters than its 19 can hold none; lines of letters are joined whatever their widths.
+LEAST_LETTERS = 19
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{19}|[A-Za-z0-9+/_-]{1,18}\r?\n)[A-Za-z0-9+/_-]++(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)*+={0,2}")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]{19,}")
+_STANDARD = bytes.maketrans(b"-_", b"+/")
+_CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
+# Bytes without any of these can hold neither a secret nor a layer with one.
+_WORTH = re.compile(
+    rb"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{32}|[A-Za-z0-9+/_-]{19}|[A-Za-z0-9+/_-]\r?\n[ \t]*[A-Za-z0-9+/_-]|%[0-9A-Fa-fu][0-9A-Fa-f]|\\[uUx]|&#|U\+[0-9A-Fa-f]"
+)
+_HINT = re.compile(r"[A-Za-z0-9+/_-]{19}|[A-Za-z0-9+/_-]\r?\n[ \t]*[A-Za-z0-9+/_-]|%[0-9A-Fa-fu][0-9A-Fa-f]|\\[uUx]|&#|U\+[0-9A-Fa-f]")
 
 
 @dataclass
@@ -175,44 +186,63 @@ def _inflate(raw: bytes, most: int) -> bytes | None:
     return None
 
 
-def _plain(raw: bytes) -> str | None:
-    """Text of UTF-8 bytes without control characters other than white space."""
+def _text(raw: bytes) -> tuple[str, np.ndarray | None] | None:
+    """Text of bytes and the bytes of each code point (None: one each): UTF-8, else Latin-1. Bytes that aren't clean text are none unless they may hold something."""
+    worth = _WORTH.search(raw)
     try:
         text = raw.decode()
     except UnicodeDecodeError:
+        return (raw.decode("latin-1"), None) if worth else None
+    if not text or (_CONTROL.search(text) and not worth):
         return None
-    return None if re.search(r"[\x00-\x08\x0e-\x1f\x7f]", text) else text
+    return text, None if text.isascii() else np.array([1 + (c > "\x7f") + (c > "\u07ff") + (c > "\uffff") for c in text])
+
+
+def _readings(m: re.Match) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
+    """(start, end, letters, their places) of the joined run and, if it has several lines, of each line that is long enough alone."""
+    spans = [m.span()]
+    if "\n" in m[0]:
+        spans += [line.span() for line in _LINE.finditer(m.string, *m.span())]
+    for start, end in spans:
+        raw = m.string[start:end].encode()
+        letters = raw.translate(_STANDARD, b"\r\n\t =")
+        if len(letters) >= LEAST_LETTERS:
+            kinds = np.frombuffer(raw, np.uint8)
+            yield start, end, letters, start + np.flatnonzero((kinds > 32) & (kinds != 61))
 
 
 def _base64_layers(layer: Layer, most: int, found: Found) -> Iterator[Layer]:
+    """Layers of every run of letters. Read at all four alignments, a run holds what starts at any of its letters."""
     for m in _BASE64.finditer(layer.text):
-        letters = [(i, c) for i, c in enumerate(m[0]) if c not in "\r\n="] if "\n" in m[0] else None
-        body = "".join(c for _, c in letters) if letters else m[0].rstrip("=")
-        if len(body) % 4 == 1:
-            body = body[:-1]
-        raw = base64.urlsafe_b64decode(body.replace("+", "-").replace("/", "_") + "=" * (-len(body) % 4))
-        squeezed = False
-        try:
-            while (more := _inflate(raw, most)) is not None and more != raw:
-                raw, squeezed = more, True
-        except TooLarge:
-            found.unread += 1
-            continue
-        text = _plain(raw)
-        if not text:
-            continue
-        starts, ends = layer.part(m.start(), m.end())
-        if squeezed:
-            n = len(text)
-            yield Layer(text, np.full(n, starts.min()), np.full(n, ends.max()))
-            continue
-        # Byte k is made of the letters of its bits: 8k // 6 to (8k + 7) // 6.
-        place = np.asarray([i for i, _ in letters]) if letters else np.arange(len(body))
-        sizes = np.array([1 + (c > "\x7f") + (c > "߿") + (c > "￿") for c in text])
-        last = np.cumsum(sizes)
-        first = (last - sizes) * 8 // 6
-        last = np.minimum((last * 8 - 1) // 6, len(body) - 1)
-        yield Layer(text, starts[place[first]], ends[place[last]])
+        for start, end, letters, place in _readings(m):
+            for skip in range(4):
+                yield from _decoded(layer, start, end, letters[skip:], place[skip:], most, found)
+
+
+def _decoded(layer: Layer, start: int, end: int, letters: bytes, place: np.ndarray, most: int, found: Found) -> Iterator[Layer]:
+    size = len(letters) - (len(letters) % 4 == 1)
+    raw = binascii.a2b_base64(letters[:size] + b"=" * (-size % 4))
+    squeezed = False
+    try:
+        while (more := _inflate(raw, most)) is not None and more != raw:
+            raw, squeezed = more, True
+    except TooLarge:
+        found.unread += 1
+        return
+    known = _text(raw)
+    if known is None:
+        return
+    text, sizes = known
+    if squeezed:
+        starts, ends = layer.part(int(place[0]), end)
+        yield Layer(text, np.full(len(text), starts.min()), np.full(len(text), ends.max()))
+        return
+    # Byte k is made of the letters of its bits: 8k // 6 to (8k + 7) // 6.
+    last = np.arange(1, len(text) + 1) if sizes is None else np.cumsum(sizes)
+    first = (last - (1 if sizes is None else sizes)) * 8 // 6
+    last = np.minimum((last * 8 - 1) // 6, size - 1)
+    starts, ends = layer.part(start, end)
+    yield Layer(text, starts[place[first] - start], ends[place[last] - start])
 
 
 def find(text: str | None, most: int = MAX_UNFOLDED) -> Found:
@@ -231,7 +261,7 @@ def find(text: str | None, most: int = MAX_UNFOLDED) -> Found:
                 for kind, start, end in scan(layer.text):
                     low, high = layer.span(start, end)
                     spans.add((low, kind, high))
-            rewritten = (_rewritten(layer, pattern, decode) for pattern, decode, sign in ((_URL, _url, "%"), (_ESCAPE, _escape, "")) if sign in layer.text)
+            rewritten = (_rewritten(layer, pattern, decode) for pattern, decode, sign in ((_URL, _url, "%"), (_ESCAPE, _escape, r"\\|%u|&#|U\+")) if re.search(sign, layer.text))
             for child in (*rewritten, *_base64_layers(layer, most, found)):
                 if child is not None and child.text:
                     key = (hashlib.sha256(child.text.encode("utf-8", "surrogatepass")).digest(), int(child.starts[0]))

@@ -78,6 +78,24 @@ def test_layers_are_unwrapped_to_the_end_and_map_to_the_original():
     assert spans(base64.urlsafe_b64encode(("ÿþ>>> token=" + "a" * 30).encode()).decode()) == f"assign:{8 * 8 // 6}:{8 * 8 // 6 + 49}"
 
 
+def test_base64_is_read_whatever_stands_beside_it():
+    plain = "password = abcdefgh123"
+    coded = base64.b64encode(plain.encode()).decode().rstrip("=")
+    digest = hashlib.sha256(b"x").hexdigest()
+    for before in (digest + "\n", "sha" + digest + "\r\n", "session-", "v1/", "key_", "a", "ab", "abc", "x" * 48 + "\n", "word\n", "/usr/lib/x-"):
+        at = len(before)
+        assert f"assign:{at}:{at + len(coded)}" in spans(before + coded).split(","), before
+    longer = base64.b64encode(("filler " * 9 + plain + " filler" * 9).encode()).decode()
+    for width in (4, 10, 16, 19, 40, 47, 64, 76, 129, 200):
+        for end in ("\n", "\r\n", "\n  "):
+            wrapped = end.join(re.findall(f".{{1,{width}}}", longer))
+            place = lambda k: k + len(end) * (k // width)  # noqa: B023, E731
+            assert f"assign:{place(84)}:{place(113) + 1}" in spans(wrapped).split(","), (width, end)
+            assert longer[90:94] not in secrets.masked(wrapped).replace(end, "")
+    two = coded[:-2] + "\n" + base64.b64encode(b"token: zzzzzzzz99zz").decode()
+    assert len(spans(two).split(",")) >= 2
+
+
 def test_layers_end_on_cycles_bombs_and_odd_bytes():
     assert secrets.find("%2525252525" * 50).layers < 20
     bomb = base64.b64encode(zlib.compress(b"a" * 100_000)).decode()
