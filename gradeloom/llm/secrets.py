@@ -6,20 +6,21 @@ escapes decoded, the layer with its Unicode and character-reference escapes
 decoded, and layers for each base64 run: its lines joined, whatever their
 widths, and each long enough line alone, at all four alignments, so that letters or
 lines in front don't hide what follows; their bytes are text or compressed text
-(gzip, zlib, bzip2, xz, zstandard; compression may nest). Layers wait in a
+(gzip, zlib, bzip2, xz, zstandard; all members, wherever the data starts; compression
+may nest), under URL and \\x escapes too. Layers wait in a
 list until it is empty; a layer whose text already came from the same place is
 not taken again, which also ends compression that yields itself.
 
 Spans are code points of the original text, end exclusive: one in a decoded
 layer maps to all that its code points came from (for base64 the letters that hold
-their bits, for compressed data the whole run).
+their bits, for compressed data all letters from its start to its end).
 
 Defined results: a null text is empty; an empty text has no spans; repeated
 rows give one row each. Bytes that are no UTF-8 are read as
-Latin-1; bytes that aren't clean text and can hold nothing are no layer. A compressed
-run may unfold to at most ``MAX_UNFOLDED`` bytes, which guards a worker's
-memory against decompression bombs; what would be larger is counted in
-``n_unread``, never passed over in silence.
+Latin-1, those with null bytes as UTF-16 too; bytes that aren't clean text and can
+hold nothing are no layer. Compressed data is unfolded to at most ``MAX_UNFOLDED``
+bytes, which guards a worker's memory against decompression bombs; these are
+scanned, larger data is counted in ``n_unread``, and masking takes all of it.
 """
 
 from __future__ import annotations
@@ -27,10 +28,11 @@ from __future__ import annotations
 import binascii
 import bz2
 import hashlib
-import io
+import itertools
 import lzma
 import re
 import zlib
+from collections import namedtuple
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -47,6 +49,13 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 LEAST_ASSIGNED = 8
 MAX_UNFOLDED = 64 << 20
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+_Bytes = namedtuple("_Bytes", "high any")
+_URL_BYTE = _Bytes(re.compile(r"%[89A-Fa-f][0-9A-Fa-f]"), re.compile(r"%([0-9A-Fa-f]{2})()"))
+_X_BYTE = _Bytes(re.compile(r"\\x[89A-Fa-f][0-9A-Fa-f]"), re.compile(r"""\\+x([0-9A-Fa-f]{2})|\\([nrtabfv0\\'"])"""))
+_NAMED = dict(zip("nrtabfv0\\'\"", b"\n\r\t\a\b\f\v\0\\'\"", strict=True))
+#: How gzip, zlib, bzip2, xz and zstandard data start.
+_MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+_FED = 1024
 _ESCAPE = re.compile(
     r"(?P<u>(?:\\+u[0-9A-Fa-f]{4}|%u[0-9A-Fa-f]{4})+)|\\+U(?P<U>[0-9A-Fa-f]{8})|\\+u\{(?P<b>[0-9A-Fa-f]{1,6})\}|(?P<x>(?:\\+x[0-9A-Fa-f]{2})+)|&#(?P<d>[0-9]{1,7});|&#[xX](?P<h>[0-9A-Fa-f]{1,6});|\bU\+(?P<p>[0-9A-Fa-f]{4,6})"
 )
@@ -85,7 +94,11 @@ class Found:
     base: list[tuple[int, str, int]] = field(default_factory=list)
     spans: list[tuple[int, str, int]] = field(default_factory=list)
     layers: int = 1
-    unread: int = 0
+    large: dict[int, int] = field(default_factory=dict)  # start: end of what unfolds to more than may be held
+
+    @property
+    def unread(self) -> int:
+        return len(self.large)
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -148,42 +161,65 @@ def _escape(m: re.Match) -> str | None:
         return None
 
 
-class TooLarge(Exception):
-    pass
-
-
-def _limited(reader, most: int) -> bytes:
-    out = reader.read(most + 1)
-    if len(out) > most:
-        raise TooLarge
-    return out
-
-
-def _inflate(raw: bytes, most: int) -> bytes | None:
-    """Unfolded bytes if ``raw`` starts like compressed data and is."""
-    try:
-        if raw[:2] == b"\x1f\x8b" or (raw[:1] == b"\x78" and len(raw) > 1 and (raw[0] * 256 + raw[1]) % 31 == 0):
-            engine = zlib.decompressobj(47)
-            out = engine.decompress(raw, most + 1)
-            if len(out) > most:
-                raise TooLarge
-            return out if engine.eof else None
-        if raw[:3] == b"BZh":
-            return _limited(bz2.BZ2File(io.BytesIO(raw)), most)
-        if raw[:6] == b"\xfd7zXZ\x00":
-            return _limited(lzma.LZMAFile(io.BytesIO(raw)), most)
-        if raw[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            return _limited(zstandard.ZstdDecompressor().stream_reader(io.BytesIO(raw)), most)
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-        return None
-    except TooLarge:
-        raise
-    except Exception as error:  # zstandard's own error type
-        if type(error).__name__ != "ZstdError":
-            raise
-    return None
+def _engine(raw: bytes, at: int):
+    if raw.startswith(b"BZh", at):
+        return bz2.BZ2Decompressor()
+    if raw.startswith(b"\xfd7zXZ", at):
+        return lzma.LZMADecompressor()
+    if raw.startswith(b"\x28\xb5", at):
+        import zstandard
+
+        return zstandard.ZstdDecompressor().decompressobj()
+    return zlib.decompressobj(47)
+
+
+def _inflate(raw: bytes, at: int, most: int) -> tuple[bytes, int, int, bool]:
+    """(unfolded bytes, end, place to go on from, whether there are more than ``most``) of the members one after the other from ``at`` on; of a broken or cut member what comes out."""
+    out, size, end = [], 0, at
+    while _MAGIC.match(raw, end):
+        fed = end
+        try:
+            engine = _engine(raw, end)
+            while not engine.eof and fed < len(raw):
+                part = engine.decompress(raw[fed : fed + _FED])  # little at a time: a bomb ends after a few MB more
+                fed = min(fed + _FED, len(raw))
+                out.append(part)
+                size += len(part)
+                if size > most:
+                    return b"".join(out)[:most], len(raw), len(raw), True
+        except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+            return b"".join(out), fed + _FED, max(end, at + 1), False
+        except Exception as error:  # zstandard's own error type
+            if type(error).__name__ != "ZstdError":
+                raise
+            return b"".join(out), fed + _FED, max(end, at + 1), False
+        if not engine.eof:
+            return b"".join(out), len(raw), max(end, at + 1), False
+        end = fed - len(engine.unused_data)
+    return b"".join(out), end, end, False
+
+
+def _unfolded(raw: bytes, most: int) -> Iterator[tuple[int, int, bytes, bool]]:
+    """(start, end, bytes, whether cut at ``most``) of ``raw`` and of all compressed data in it, wherever it starts, and of that in the unfolded bytes, at the outer place.
+
+    What was unfolded to its end is null bytes in the bytes that held it.
+    """
+    work, seen = [(None, raw, False)], set()
+    while work:
+        place, own, cut = work.pop()
+        at, rest = 0, None
+        while m := _MAGIC.search(own, at):
+            low = m.start()
+            out, end, at, large = _inflate(own, low, most)
+            end = min(end, len(own))
+            if at > low + 1 and not large:
+                rest = rest or bytearray(own)
+                rest[low:at] = bytes(at - low)
+            key = ((place or (low,))[0], hashlib.sha256(out).digest())
+            if out and key not in seen:
+                seen.add(key)
+                work.append((place or (low, end), out, large))
+        yield *(place or (0, len(raw))), own if rest is None else bytes(rest), cut
 
 
 def _text(raw: bytes) -> tuple[str, np.ndarray | None] | None:
@@ -219,30 +255,67 @@ def _base64_layers(layer: Layer, most: int, found: Found) -> Iterator[Layer]:
                 yield from _decoded(layer, start, end, letters[skip:], place[skip:], most, found)
 
 
+def _wide(raw: bytes) -> Iterator[tuple[str, int]]:
+    """(text, first byte) of what UTF-16 of either order would be, where that may hold something; other letters than Latin-1 become one that no pattern takes."""
+    if b"\0" in raw:
+        for skip in (0, 1):
+            low = np.frombuffer(raw, np.uint8)[skip::2]
+            high = np.frombuffer(raw + b"\0", np.uint8)[skip + 1 :: 2][: len(low)]
+            text = np.where(high == 0, low, 255).astype(np.uint8).tobytes()
+            if _WORTH.search(text):
+                yield text.decode("latin-1"), skip
+
+
+def _squeezed(unfolded: Iterator[tuple[int, int, bytes, bool]], found: Found, place) -> Iterator[Layer]:
+    """Layers of unfolded bytes; ``place`` gives the span of a range of the bytes that held them."""
+    for start, end, out, large in unfolded:
+        low, high = place(start, end)
+        if large:
+            found.large[low] = max(high, found.large.get(low, 0))
+        known = _text(out)
+        for text in [*(known[:1] if known else ()), *(wide for wide, _ in _wide(out))]:
+            yield Layer(text, np.broadcast_to(np.int64(low), len(text)), np.broadcast_to(np.int64(high), len(text)))
+
+
 def _decoded(layer: Layer, start: int, end: int, letters: bytes, place: np.ndarray, most: int, found: Found) -> Iterator[Layer]:
     size = len(letters) - (len(letters) % 4 == 1)
     raw = binascii.a2b_base64(letters[:size] + b"=" * (-size % 4))
-    squeezed = False
-    try:
-        while (more := _inflate(raw, most)) is not None and more != raw:
-            raw, squeezed = more, True
-    except TooLarge:
-        found.unread += 1
-        return
-    known = _text(raw)
-    if known is None:
-        return
-    text, sizes = known
-    if squeezed:
-        starts, ends = layer.part(int(place[0]), end)
-        yield Layer(text, np.full(len(text), starts.min()), np.full(len(text), ends.max()))
-        return
+
     # Byte k is made of the letters of its bits: 8k // 6 to (8k + 7) // 6.
-    last = np.arange(1, len(text) + 1) if sizes is None else np.cumsum(sizes)
-    first = (last - (1 if sizes is None else sizes)) * 8 // 6
-    last = np.minimum((last * 8 - 1) // 6, size - 1)
-    starts, ends = layer.part(start, end)
-    yield Layer(text, starts[place[first] - start], ends[place[last] - start])
+    def span(low: int, high: int) -> tuple[int, int]:
+        return layer.span(int(place[low * 8 // 6]), end if high == len(raw) else int(place[(high * 8 - 1) // 6]) + 1)
+
+    unfolded = _unfolded(raw, most)
+    raw = next(unfolded)[2]
+    yield from _squeezed(unfolded, found, span)
+    known = _text(raw)
+    read = [(known[0], 0, 1 if known[1] is None else known[1])] if known is not None else []
+    read += [(text, skip, 2) for text, skip in _wide(raw)]
+    for text, skip, sizes in read:
+        last = skip + (np.arange(1, len(text) + 1) * sizes if isinstance(sizes, int) else np.cumsum(sizes))
+        first = (last - sizes) * 8 // 6
+        last = np.minimum((last * 8 - 1) // 6, size - 1)
+        starts, ends = layer.part(start, end)
+        yield Layer(text, starts[place[first] - start], ends[place[last] - start])
+
+
+def _byte_layers(layer: Layer, most: int, found: Found) -> Iterator[Layer]:
+    """Layers of compressed data whose bytes are URL or \\x escapes, with plain letters among them."""
+    for pattern in (_URL_BYTE, _X_BYTE):
+        if not pattern.high.search(layer.text):
+            continue
+        own = np.frombuffer(layer.text.encode("latin-1", "replace"), np.uint8)
+        for plus in (False, True)[: 1 + (pattern is _URL_BYTE and "+" in layer.text)]:
+            data, kept = own.copy(), np.ones(len(own), bool)
+            if plus:
+                data[own == 43] = 32
+            for m in pattern.any.finditer(layer.text):
+                data[m.start()] = int(m[1], 16) if m[1] else _NAMED[m[2]]
+                kept[m.start() + 1 : m.end()] = False
+            places = np.r_[np.flatnonzero(kept), len(own)]
+            unfolded = _unfolded(data[kept].tobytes(), most)
+            next(unfolded)  # the escapes as text are a layer anyway
+            yield from _squeezed(unfolded, found, lambda low, high, places=places: layer.span(int(places[low]), int(places[high])))
 
 
 def find(text: str | None, most: int = MAX_UNFOLDED) -> Found:
@@ -262,7 +335,7 @@ def find(text: str | None, most: int = MAX_UNFOLDED) -> Found:
                     low, high = layer.span(start, end)
                     spans.add((low, kind, high))
             rewritten = (_rewritten(layer, pattern, decode) for pattern, decode, sign in ((_URL, _url, "%"), (_ESCAPE, _escape, r"\\|%u|&#|U\+")) if re.search(sign, layer.text))
-            for child in (*rewritten, *_base64_layers(layer, most, found)):
+            for child in itertools.chain(rewritten, _byte_layers(layer, most, found), _base64_layers(layer, most, found)):
                 if child is not None and child.text:
                     key = (hashlib.sha256(child.text.encode("utf-8", "surrogatepass")).digest(), int(child.starts[0]))
                     if key not in seen:
@@ -296,12 +369,13 @@ def secrets(docs: DataFrame, *, text: str = "text", most: int = MAX_UNFOLDED) ->
 
 
 def masked(text: str | None, mask: str = "[secret]", most: int = MAX_UNFOLDED) -> str | None:
-    """The text with every found span, overlapping ones joined, replaced by ``mask``."""
+    """The text with every found span and every run that unfolds to too much, overlapping ones joined, replaced by ``mask``."""
     if not text:
         return text
     out, at = [], 0
     merged: list[list[int]] = []
-    for start, _, end in find(text, most).spans:
+    found = find(text, most)
+    for start, end in sorted([(start, end) for start, _, end in found.spans] + list(found.large.items())):
         if merged and start <= merged[-1][1]:
             merged[-1][1] = max(merged[-1][1], end)
         else:

@@ -96,6 +96,30 @@ def test_base64_is_read_whatever_stands_beside_it():
     assert len(spans(two).split(",")) >= 2
 
 
+def test_layers_are_read_whole():
+    import zstandard
+
+    plain = b"token: zzzzzzzz99"
+    code = lambda raw: base64.b64encode(raw).decode()
+    for squeeze in (gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.ZstdCompressor().compress):
+        for raw in (squeeze(b"first") + squeeze(plain), squeeze(b"first") + gzip.compress(plain), squeeze(b"token: zz") + squeeze(b"zzzzzz99"), b"\0head" + squeeze(plain) + b"\xfftail", squeeze(squeeze(b"a") + squeeze(plain))):
+            assert "assign:" in spans(code(raw)), (squeeze, raw)
+        packed = squeeze(b"filler " * 9 + plain)
+        for text in ("".join(f"%{b:02x}" for b in packed), urllib.parse.quote(packed), urllib.parse.quote_plus(packed), "".join(f"\\x{b:02x}" for b in packed), repr(packed)):
+            found = secrets.find(f"see {text} end")
+            place = (4 + 2 * text.startswith("b"), 4 + len(text) - text.startswith("b"))
+            assert [(s, e) for s, _, e in found.spans] == [place], (squeeze, text)
+    for raw in (b"\x1b[31m" + plain, b"caf\xe9 " + plain, plain.decode().encode("utf-16"), plain.decode().encode("utf-16-be"), gzip.compress(b"\xe9\0" + plain), gzip.compress(plain.decode().encode("utf-16"))):
+        assert spans(code(raw)).startswith("assign:"), raw
+
+
+def test_too_large_layers_are_scanned_counted_and_masked_whole():
+    bomb = base64.b64encode(zlib.compress(b"a" * 100_000 + b" token: zzzzzzzz99")).decode()
+    early = base64.b64encode(zlib.compress(b"token: zzzzzzzz99 " + b" " * 100_000)).decode()
+    assert secrets.masked(f"see {bomb} end", most=1000) == "see [secret] end" == secrets.masked(f"see {early} end", most=1000)
+    assert secrets.find(early, most=1000).spans and secrets.find(early, most=1000).unread == 1
+
+
 def test_layers_end_on_cycles_bombs_and_odd_bytes():
     assert secrets.find("%2525252525" * 50).layers < 20
     bomb = base64.b64encode(zlib.compress(b"a" * 100_000)).decode()
