@@ -36,8 +36,6 @@ GROUP_PIECES = 8000
 #: Words whose ids a worker keeps: those of two generations of this size.
 CACHED_WORDS = 400_000
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Bins that the local search compares a piece's bin with at most in one step, nearest fits first.
-TRIES = 24
 
 
 def _letters(word: str) -> bool:
@@ -181,7 +179,7 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], sizes: list[int], capacity: int, tries: int = TRIES) -> list[list[int]]:
+def local_search(bins: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
     """Exchange items between underfull bins as long as that raises the sum of squared fills.
 
     The emptiest bin gives first, then the next ones. Steps for an item of the
@@ -189,58 +187,108 @@ def local_search(bins: list[list[int]], sizes: list[int], capacity: int, tries:
     swap with a smaller item of a fuller bin; two items against one smaller
     item. Each carries size to a bin at least as full, which raises the sum, so
     the search ends; after each the emptiest bin has its turn again. It stops
-    at the least number of bins that the total allows.
+    at the least number of bins that the total allows, or where no bin has a
+    step with any other: a bin without one is settled until a bin changes so
+    that it could take what the settled one can give.
     """
     least = -(-sum(sizes) // capacity)
     fill = [sum(sizes[i] for i in b) for b in bins]
     items = [sorted((sizes[i], i) for i in b) for b in bins]
     under = sorted((fill[k], k) for k in range(len(bins)) if fill[k] < capacity)
-    alive, turn = len(bins), 0
-    while turn < len(under) - 1 and alive > least:
+    alive, settled = len(bins), {}
+    if alive <= least:
+        return [[i for _, i in own] for own in items if own]
+    index = _Index(bins, sizes, fill, capacity)
+    while alive > least:
+        turn = next((k for k, (_, own) in enumerate(under) if own not in settled), None)
+        if turn is None:
+            break
         _, own = under.pop(turn)
-        step = _step(items[own], items, fill, under, turn, capacity, tries)
+        gives = _gives(items[own])
+        step = _step(own, items, gives, fill, under, turn, capacity, index)
         if step is None:
             insort(under, (fill[own], own))
-            turn += 1
+            settled[own] = sum({1 << size for _, size, _ in gives})
             continue
+        other = step[0]
         _exchange(items, fill, under, own, *step, capacity)
         if items[own]:
             insort(under, (fill[own], own))
         else:
             alive -= 1
-        turn = 0
+        takes = 0  # bit s: a changed bin may take size s
+        for changed in (own, other):
+            settled.pop(changed, None)
+            index.place(changed, items[changed], fill[changed])
+            if items[changed] and fill[changed] < capacity:
+                window = (1 << (capacity - fill[changed])) - 1
+                for size in {0, *(size for size, _ in items[changed])}:
+                    takes |= window << (size + 1)
+        for k in [k for k, mask in settled.items() if mask & takes]:
+            del settled[k]
     return [[i for _, i in own] for own in items if own]
 
 
-def _step(own, items, fill, under, turn, capacity, tries):
+class _Index:
+    """All items by size, with the room of their bins."""
+
+    def __init__(self, bins, sizes, fill, capacity):
+        order = sorted(range(len(sizes)), key=sizes.__getitem__)
+        self.items, self.sizes, self.capacity = order, [sizes[i] for i in order], capacity
+        self.at = {i: k for k, i in enumerate(order)}
+        self.room = np.zeros(len(order), np.int64)
+        self.bin, self.reach = np.zeros_like(self.room), np.zeros_like(self.room)
+        for k, own in enumerate(bins):
+            self.place(k, [(sizes[i], i) for i in own], fill[k])
+
+    def place(self, own, items, fill):
+        at = [self.at[i] for _, i in items]
+        self.bin[at] = own
+        self.room[at] = self.capacity - fill
+        self.reach[at] = self.room[at] + [size for size, _ in items]
+
+    def swap(self, own, size, room):
+        """The item, of a bin with at most ``room``, whose exchange for ``size`` fills its bin best, and that bin."""
+        low, high = bisect_left(self.sizes, size - room), bisect_left(self.sizes, size)
+        if low == high:
+            return None
+        reach = self.reach[low:high]
+        found = np.flatnonzero((reach >= size) & (self.room[low:high] <= room) & (self.bin[low:high] != own))
+        if not len(found):
+            return None
+        k = low + int(found[np.argmin(reach[found])])
+        return int(self.bin[k]), (self.sizes[k], self.items[k])
+
+
+def _gives(own):
+    """(largest item, size, items) of what a bin can give in a swap, each size by its first item or pair: larger items first, alone before with another."""
+    first, twice = {}, {}
+    for size, item in own:
+        (twice if size in first else first).setdefault(size, (size, item))
+    out, seen = [], set()
+    for size in sorted(first, reverse=True):
+        pairs = ([first[size], first[x] if x != size else twice[x]] for x in sorted(first) if x < size or (x == size and x in twice))
+        for give in ([first[size]], *pairs):
+            total = sum(x for x, _ in give)
+            if total not in seen or len(give) == 1:
+                seen.add(total)
+                out.append((first[size], total, give))
+    return out
+
+
+def _step(own, items, gives, fill, under, turn, capacity, index):
     """(other bin, items given, items taken) of the first step that helps; bins from place ``turn`` on are as full as the giving one."""
-    for size, item in reversed(own):
-        at = bisect_left(under, (capacity - size + 1,)) - 1
-        if at >= turn:
-            return under[at][1], [(size, item)], []
-        for give in ([(size, item)], *([(size, item), other] for other in own[:4] if other[1] != item)):
-            found = _swap(items, under[max(turn, len(under) - tries) :], give, capacity)
-            if found is not None:
-                return found[0], give, [found[1]]
+    for (size, item), total, give in gives:
+        if len(give) == 1:
+            at = bisect_left(under, (capacity - size + 1,)) - 1
+            if at >= turn:
+                return under[at][1], [(size, item)], []
+        found = index.swap(own, total, capacity - fill[own])
+        if found is not None:
+            return found[0], give, [found[1]]
     return None
 
 
-def _swap(items, fuller, give, capacity):
-    """The fuller bin and its item whose exchange for ``give`` fills that bin best."""
-    size, best = sum(s for s, _ in give), None
-    for full, other in fuller:
-        room = capacity - full
-        at = bisect_left(items[other], (size - room,))
-        if at < len(items[other]) and items[other][at][0] < size:
-            take = items[other][at]
-            left = room - (size - take[0])
-            if best is None or left < best[0]:
-                best = (left, other, take)
-                if not left:
-                    break
-    return None if best is None else best[1:]
-
-
 def _exchange(items, fill, under, low, other, give, take, capacity):
     """Move ``give`` from bin low to bin other and ``take`` back; bin low isn't listed as underfull meanwhile."""
     del under[bisect_left(under, (fill[other], other))]

@@ -396,6 +396,25 @@ def test_local_search_empties_bins_that_best_fit_leaves():
             assert len(after) <= len(bins)
 
 
+def test_local_search_ends_where_no_bin_has_a_step():
+    def steps(bins, sizes, capacity):
+        fill = [sum(sizes[i] for i in b) for b in bins]
+        for a, b in itertools.permutations(range(len(bins)), 2):
+            if fill[a] <= fill[b] < capacity:
+                gives = [[i] for i in bins[a]] + [list(p) for p in itertools.combinations(bins[a], 2)]
+                for give in gives:
+                    size = sum(sizes[i] for i in give)
+                    if any(0 < size - t <= capacity - fill[b] for t in [*(sizes[j] for j in bins[b]), *([0] if len(give) == 1 else [])]):
+                        yield give, b
+
+    for n, low, high, capacity in ((120, 51, 80, 100), (60, 1, 100, 100), (400, 25, 80, 100), (300, 1000, 3000, 4096), (300, 900, 3500, 4096)):
+        rng = random.Random(0)
+        sizes = [rng.choice([rng.randint(low, high), rng.randint(low, (low + high) // 2)]) for _ in range(n)]
+        after = packing.local_search(packing.best_fit(sizes, capacity), sizes, capacity)
+        assert sorted(i for b in after for i in b) == list(range(n)) and all(sum(sizes[i] for i in b) <= capacity for b in after)
+        assert len(after) == -(-sum(sizes) // capacity) or next(steps(after, sizes, capacity), None) is None
+
+
 def test_packed_documents_lie_without_gaps(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     texts = [None, "", "a b", "a b", "word " * 900, "x"] + [f"text {i} " * (i % 37) for i in range(200)]
