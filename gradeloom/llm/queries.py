@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm import chat, jaccard, lines, packing, pieces, quality, secrets, suffix, topk, toxicity
+from gradeloom.llm import chat, jaccard, lines, packing, periodic, pieces, quality, secrets, suffix, topk, toxicity
 from gradeloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,35 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     done = suffix.dedup_substrings(table(spark, folder, "documents"))
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op11_periodic_runs", r"""
+WITH RECURSIVE bits AS (SELECT i, i AS v, 0 AS k FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+             xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h
+      FROM documents CROSS JOIN crc),
+p AS (SELECT r, doc_id, w, h, len(w) AS n, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d),
+v AS (SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: CASE WHEN i >= a THEN w[a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) + 1] ELSE w[i + 1] END) ELSE w END AS w FROM p),
+words AS (SELECT r, n, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM v),
+same AS (SELECT a.r, b.i - a.i AS q, a.i FROM words a JOIN words b ON a.r = b.r AND a.word = b.word AND a.i < b.i AND 2 * (b.i - a.i) <= a.n),
+stretch AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS g FROM same),
+runs AS (SELECT r, s, l, min(q) AS q FROM (SELECT r, q, min(i) AS s, count(*) + q AS l FROM stretch GROUP BY r, q, g) WHERE l >= greatest(12, 2 * q) GROUP BY r, s, l),
+told AS (SELECT r, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS told, min((-l, s, q)) AS best FROM runs GROUP BY r),
+dropped AS (SELECT DISTINCT r, unnest(range(s + q, s + l)) AS i FROM runs),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS kept FROM words ANTI JOIN dropped USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best[2] AS start, -best[1] AS length, best[3] AS period, 1000 * -best[1] // best[3] AS exponent_milli,
+       sha256(coalesce(told, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM v LEFT JOIN told USING (r) LEFT JOIN kept USING (r)
+""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    text = F.when(mixed % 10 == 0, periodic.repeating(F.col("text"), F.floor(mixed / 10))).otherwise(F.col("text"))
+    found = periodic.periodic_runs(table(spark, folder, "documents").select("doc_id", text.alias("text")))
+    runs = F.col("periodic.runs")
+    best = periodic.longest(runs)
+    told = F.array_join(F.transform(runs, lambda r: F.concat_ws(",", r["start"], r["length"], F.concat(r["period"], F.lit("\n")))), "")
+    return found.select("doc_id", F.size(runs).cast("long").alias("n_runs"), best.alias("best"), F.sha2(told, 256).alias("runs_sha256"), F.sha2("periodic.collapsed", 256).alias("collapsed_sha256")).select(
+        "doc_id", "n_runs", (-F.col("best.back")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.slow")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.slow")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
