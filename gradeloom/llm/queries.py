@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm import chat, jaccard, lines, packing, periodic, pieces, quality, secrets, suffix, topk, toxicity
+from gradeloom.llm import chat, jaccard, lines, packing, periodic, pieces, quality, secrets, suffix, topk, toxicity, trie
 from gradeloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,11 +135,20 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@query("op11_periodic_runs", r"""
+#: CRC-32 of a number's decimal digits, which DuckDB hasn't: its table by eight steps of the polynomial, and a fold over the digits.
+_CRC = r"""
 WITH RECURSIVE bits AS (SELECT i, i AS v, 0 AS k FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8),
 crc AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8),
-d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
-             xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h
+"""
+
+
+def _crc(number: str) -> str:
+    digits = f"list_transform(string_split(CAST({number} AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {digits}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+@query("op11_periodic_runs", _CRC + r"""d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+             """ + _crc("doc_id") + r""" AS h
       FROM documents CROSS JOIN crc),
 p AS (SELECT r, doc_id, w, h, len(w) AS n, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d),
 v AS (SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: CASE WHEN i >= a THEN w[a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) + 1] ELSE w[i + 1] END) ELSE w END AS w FROM p),
@@ -165,3 +174,21 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_runs", (-F.col("best.back")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.slow")).alias("period"),
         F.floor(1000 * F.col("best.length") / -F.col("best.slow")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
     )
+
+
+@query("op12_prefix_trie", _CRC + r"""
+own AS (SELECT conv_id, list(struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS turns
+        FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+told AS (SELECT conv_id, turns, """ + _crc("conv_id") + r""" % 6 AS h FROM own CROSS JOIN crc),
+c AS (SELECT a.conv_id, list_concat(coalesce(b.turns[1 : a.h], []), a.turns[a.h + 1 :]) AS turns FROM told a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 100),
+m AS (SELECT conv_id, d, len(turns) AS n, sha256(CAST(to_json(turns[1 : d]) AS VARCHAR)) AS node, CASE WHEN d > 0 THEN sha256(CAST(to_json(turns[1 : d - 1]) AS VARCHAR)) END AS up,
+             CASE WHEN d > 0 THEN length(turns[d].text) ELSE 0 END AS chars FROM (SELECT *, unnest(range(len(turns) + 1)) AS d FROM c)),
+k AS (SELECT node, up, d, any_value(chars) AS chars, min(conv_id) AS conv_id, count(*) AS n, coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (WHERE n = d), '') AS ends FROM m GROUP BY node, up, d),
+kids AS (SELECT up AS node, count(*) AS n FROM k GROUP BY up),
+below AS (SELECT DISTINCT a.node, b.node AS own FROM m a JOIN m b ON a.conv_id = b.conv_id AND a.d <= b.d),
+tree AS (SELECT below.node, count(*) FILTER (WHERE kids.n IS NULL) AS leaves, sum((k.n - 1) * k.chars) AS saved FROM below JOIN k ON k.node = below.own LEFT JOIN kids ON kids.node = below.own GROUP BY below.node)
+SELECT k.conv_id, k.d AS depth, p.conv_id AS parent_conv_id, k.n AS n_convs, coalesce(kids.n, 0) AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(k.ends) AS ends_sha256
+FROM k JOIN tree USING (node) LEFT JOIN kids USING (node) LEFT JOIN k p ON p.node = k.up
+""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.prefix_trie(trie.rebuilt(trie.sequences(table(spark, folder, "conversations"))))
