@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm import chat, jaccard, lines, packing, periodic, pieces, quality, secrets, suffix, topk, toxicity, trie
+from gradeloom.llm import chat, jaccard, lines, packing, periodic, pieces, quality, secrets, sharding, suffix, topk, toxicity, trie
 from gradeloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -192,3 +192,11 @@ FROM k JOIN tree USING (node) LEFT JOIN kids USING (node) LEFT JOIN k p ON p.nod
 """)
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return trie.prefix_trie(trie.rebuilt(trie.sequences(table(spark, folder, "conversations"))))
+
+
+@query("op13_sharding")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    docs = table(spark, folder, "documents").select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    done = sharding.shuffled(docs, 40)
+    return done.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
