@@ -74,6 +74,8 @@ def large_hypergeometric(rng: np.random.Generator, good: int, bad: int, drawn: i
 def drawn_apart(rng: np.random.Generator, sizes: np.ndarray, drawn: int) -> np.ndarray:
     """How many of ``drawn`` rows, taken without replacement, come from each of several kinds."""
     total = int(sizes.sum())
+    if len(sizes) == 1:
+        return np.asarray([drawn], np.int64)
     if total < _DRAWN:
         return rng.multivariate_hypergeometric(sizes, drawn, method="marginals")
     half = len(sizes) // 2

@@ -33,7 +33,7 @@ def test_query_equals_sql(spark, con, name):
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES) == list(range(1, 14))
 
 
 def test_secrets_query_has_the_base_spans(spark):
