@@ -7,7 +7,7 @@ from uuid import uuid4
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.session import delete_at_exit
+from gradeloom.session import delete_at_exit, forget
 
 #: The white space of the text contracts, space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -22,14 +22,31 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: lineage ends here, and a lost executor costs a reread only.
 
-    The application's folder is deleted when the program ends.
+    The application's folder is deleted when the program ends, a table that
+    nothing reads any more by ``done_with``.
     """
     spark = df.sparkSession
     folder = f"{shared_folder(spark).rstrip('/')}/text-{spark.sparkContext.applicationId}"
     delete_at_exit(spark, folder)
     path = f"{folder}/{name}-{uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def done_with(*tables: DataFrame) -> None:
+    """Delete stored tables of which all readers have been stored themselves."""
+    for own in tables:
+        forget(own.sparkSession, own.stored_at)
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, or the first of wanted_1, wanted_2, ... that is no column of ``df``."""
+    taken, name, k = {c.lower() for c in df.columns}, wanted, 0
+    while name.lower() in taken:
+        name, k = f"{wanted}_{k + 1}", k + 1
+    return name
 
 
 _HELD: dict = {}
@@ -58,7 +75,7 @@ def let(value: Column, body) -> Column:
 
 
 def components(links: DataFrame, name: str = "component") -> DataFrame:
-    """(node, component) for every node of ``links`` (a, b): the smallest node reachable.
+    """(node, component) for every node of ``links`` (a, b): the smallest node reachable; a stored table.
 
     Large star and small star rounds, each a grouped minimum and a join; every
     round's links are written to the shared folder. Stops when a round changes
@@ -77,8 +94,12 @@ def components(links: DataFrame, name: str = "component") -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b")
         least = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").unionAll(least.select("a", F.col("low").alias("b")))
-        edges = stored(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+        edges, old = stored(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name), edges
+        done_with(old)
         before, last = told(edges), before
         if before == last:
             break
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    found = edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    found = stored(found, f"{name}-found")
+    done_with(edges)
+    return found

@@ -5,20 +5,25 @@ class. The global order is that of the n-grams' 64-bit hashes, and it is cut
 into fragments, so that every set is cut into the same number of pieces.
 
 *Which pairs.* Two sets with a Jaccard of at least t differ in at most
-(a + b)(1 - t)/(1 + t) elements, and each lies in one fragment. Cut into two
-fragments more than that, at least two fragments are equal in both sets, so
-linked sets share the digest of a fragment that isn't empty (a set with two or
-more empty fragments gives digests of those too). The number of fragments
-depends on the size class alone; each set is cut for its own class and the one
-below, the only ones that hold sets small enough to link with it. Digests that
-one class alone has are dropped by a count, combined before it is shuffled.
+D = (a + b)(1 - t)/(1 + t) elements, and each lies in one fragment. The order is
+cut into an eighth more fragments than D, and four, and a set gives a digest of
+each of its fragments that isn't empty. A set with more than D of those shares
+one of them with every set it links with. A set that has no more gives digests
+of its empty fragments too; where both sets of a pair are like that, they share
+fragments, empty or not. The number of fragments depends on the size class
+alone; each set is cut for its own class and the one below, the only ones that
+hold sets small enough to link with it. Digests that one class alone has are
+dropped by a count, combined before it is shuffled.
 
 *Which links.* Classes that share digests form clusters (connected components
 of a star per digest, so linear in rows). Each cluster's sets are sent once; a
-cluster larger than one block is split, and pairs of blocks are compared. A
-block counts the overlaps of its pairs fragment by fragment through an inverted
-list and sums them per pair; pairs themselves are never rows: a block gives
-what its links connect as stars, at most one row per document.
+cluster larger than one block is split, and pairs of blocks are compared. In a
+block every fragment of the order is one inverted list, which gives the partial
+overlaps of the pairs that meet in it; the sum over fragments decides. Pairs
+whose lengths can't link are out from the start, and after each fragment those
+that can't reach their overlap with what both have left. Pairs themselves are
+never rows: a block gives what its links connect as stars, at most one row per
+document.
 
 Defined results: a null or empty text, or one without words, is the empty set
 and links with nothing, its copies included; with fewer words than n, the words
@@ -37,12 +42,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import components, stored
+from gradeloom.llm.common import components, done_with, stored
 
 #: Hashes of one block of a cluster, on average.
 BLOCK_HASHES = 400_000
+#: What a set counts in a block besides its hashes.
+SET_COST = 200
 #: Fragments that overlaps are counted in.
 FRAGMENTS = 16
+#: Places that a class with several documents is sent to.
+SALT = 16
 _STEP = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
@@ -54,19 +63,33 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+#: Words of more bytes are hashed one by one.
+_WORD = 64
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:end], eight bytes at a time with a mixing step between."""
+    size = ends - starts
+    out = mixed(size.astype(np.uint64) + _U(_BASE))
+    padded = np.r_[data, np.zeros(8, np.uint8)]
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,))
+    for at in range(0, _WORD, 8):
+        own = np.flatnonzero((size > at) & (size <= _WORD))
+        if not len(own):
+            break
+        left = np.minimum(size[own] - at, 8).astype(np.uint64)
+        part = eight[starts[own] + at] & (_U(0xFFFFFFFFFFFFFFFF) >> (_U(64) - _U(8) * left))
+        out[own] = mixed(mixed(out[own] ^ part) + _U(_BASE))
+    for own in np.flatnonzero(size > _WORD).tolist():
+        out[own] = int.from_bytes(hashlib.blake2b(data[starts[own] : ends[own]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 class Hasher:
     """Sorted distinct n-gram hashes of texts, all words of a step at once."""
 
     def __init__(self, n: int):
         self.n = n
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def _powers(self, size: int) -> None:
-        if len(self.up) < size:
-            for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-                own = np.full(size, base, np.uint64)
-                own[0] = 1
-                setattr(self, name, np.multiply.accumulate(own))
 
     def sets(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         first, size = 0, 0
@@ -79,12 +102,10 @@ class Hasher:
 
     def _step(self, raw: list[bytes]) -> Iterator[np.ndarray]:
         data = np.frombuffer(b" ".join(raw).lower() + b" ", np.uint8)
-        self._powers(len(data) + 1)
         space = (data == 32) | ((data >= 9) & (data <= 13))
         edge = np.flatnonzero(np.diff(np.r_[True, space].astype(np.int8)))
         starts, ends = edge[::2], edge[1::2]
-        sums = np.r_[_U(0), np.cumsum((data.astype(np.uint64) + _U(1)) * self.up[: len(data)])]
-        words = mixed((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+        words = word_hashes(data, starts, ends)
         limits = np.cumsum([len(r) + 1 for r in raw])
         counts = np.diff(np.r_[0, np.searchsorted(starts, limits)])
         grams = words.copy()
@@ -96,11 +117,10 @@ class Hasher:
             if count >= self.n:
                 yield np.unique(grams[at : at + count - self.n + 1])
             elif count:
-                short = _U(count)
-                with np.errstate(over="ignore"):
-                    for word in words[at : at + count]:
-                        short = mixed(np.asarray([short + word], np.uint64))[0]
-                yield np.asarray([short], np.uint64)
+                short = np.asarray([count], np.uint64)
+                for k in range(at, at + count):
+                    short = mixed(short + words[k : k + 1])
+                yield short
             else:
                 yield np.zeros(0, np.uint64)
             at += count
@@ -114,17 +134,22 @@ def size_classes(percent: int) -> list[int]:
     return limits
 
 
-def fragments_of(limits: list[int], percent: int) -> list[int]:
-    """By class: fragments for pairs whose smaller set is of that class, two more than such pairs can differ in."""
-    return [((top - 1) + (top - 1) * 100 // percent) * (100 - percent) // (100 + percent) + 2 for top in limits[1:]]
+def differences(limits: list[int], percent: int) -> list[int]:
+    """By class: how many elements linked sets can differ in at most, the smaller one of that class."""
+    return [((top - 1) + (top - 1) * 100 // percent) * (100 - percent) // (100 + percent) for top in limits[1:]]
 
 
-def digests(hashes: np.ndarray, parts: int) -> np.ndarray:
-    """Digests of the fragments of one set; empty ones only if there are two or more."""
+def fragments_of(differ: int) -> int:
+    return differ + differ // 8 + 4
+
+
+def digests(hashes: np.ndarray, differ: int) -> np.ndarray:
+    """Digests of the fragments of one set; of empty ones too, unless more than ``differ`` have elements."""
+    parts = fragments_of(differ)
     own = (((hashes >> _U(32)) * _U(parts)) >> _U(32)).astype(np.int64)
     starts = np.r_[0, np.flatnonzero(np.diff(own)) + 1]
     numbers, sums = own[starts], np.add.reduceat(mixed(hashes + _U(1)), starts)
-    if parts - len(numbers) > 1:
+    if len(numbers) <= differ:
         empty = np.setdiff1d(np.arange(parts), numbers)
         numbers, sums = np.r_[numbers, empty], np.r_[sums, np.zeros(len(empty), np.uint64)]
     return mixed(mixed(sums) ^ mixed(numbers.astype(np.uint64) + _U((parts << 32) + 1)))
@@ -132,7 +157,7 @@ def digests(hashes: np.ndarray, parts: int) -> np.ndarray:
 
 def _signer(n: int, percent: int):
     limits = np.asarray(size_classes(percent))
-    parts = fragments_of(limits.tolist(), percent)
+    differ = differences(limits.tolist(), percent)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(n)
@@ -147,13 +172,13 @@ def _signer(n: int, percent: int):
                     continue
                 seen.add(key)
                 own = int(np.searchsorted(limits, len(hashes), "right")) - 1
-                signs.append(np.concatenate([digests(hashes, parts[c]) for c in (own, own - 1) if c >= 0]))
+                signs.append(np.concatenate([digests(hashes, differ[c]) for c in (own, own - 1) if c >= 0]))
             ends = np.cumsum([0, *map(len, signs)]).astype(np.int32)
             flat = np.concatenate(signs).view(np.int64) if signs else np.zeros(0, np.int64)
             ids = np.frombuffer(b"".join(k[:8] for k in keys), "<i8")
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys, pa.binary()), pa.array(ids), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                ["doc_id", "set_key", "id", "n", "signs"],
+                [batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(ids), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                ["doc_id", "mark", "set_key", "id", "n", "signs"],
             )
 
     return sign
@@ -169,30 +194,52 @@ def _setter(n: int):
     return give
 
 
-def overlaps(sets: list[np.ndarray], left: range, right: range, fragments: int = FRAGMENTS) -> Iterator[tuple[int, np.ndarray]]:
-    """For each set of ``left``, its overlap with every set of ``right``: partial counts by fragment, summed."""
-    flat = np.concatenate([sets[i] for i in right]) if len(right) else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(len(right)), [len(sets[i]) for i in right])
+def linked_pairs(sets: list[np.ndarray], left: range, right: range, percent: int, fragments: int = FRAGMENTS) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of ``left`` and ``right`` that link: partial overlaps by fragment, summed per pair."""
+    a, b = (np.asarray([len(sets[i]) for i in side], np.int64) for side in (left, right))
+    need = -(-percent * (a[:, None] + b) // (100 + percent))  # the overlap from which 100 * overlap >= percent * union
+    alive = np.minimum(a[:, None], b) >= need
+    total = np.zeros((len(a), len(b)), np.int64)
+    cuts = [int(k * (1 << 64) // fragments) for k in range(fragments)]
+    flat, owner = _order(sets, left)
+    other, holder = (flat, owner) if left == right else _order(sets, right)
+    at, to = (np.r_[np.searchsorted(x, np.asarray(cuts, np.uint64)), len(x)] for x in (flat, other))
+    rest_a, rest_b = a.copy(), b.copy()
+    for f in range(fragments):
+        if not alive.any():
+            break
+        own, those = slice(at[f], at[f + 1]), slice(to[f], to[f + 1])
+        rest_a -= np.bincount(owner[own], minlength=len(a))
+        rest_b -= np.bincount(holder[those], minlength=len(b))
+        rows = np.flatnonzero(alive.any(axis=1)[owner[own]]) + at[f]
+        low = to[f] + np.searchsorted(other[those], flat[rows])
+        count = to[f] + np.searchsorted(other[those], flat[rows], "right") - low
+        stops = np.cumsum(count)
+        for first, last in _pieces(stops):
+            sizes = count[first:last]
+            ends = np.cumsum(sizes)
+            place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(low[first:last] - (ends - sizes), sizes)
+            total += np.bincount(np.repeat(owner[rows[first:last]], sizes) * len(b) + holder[place], minlength=total.size).reshape(total.shape)
+        alive &= total + np.minimum(rest_a[:, None], rest_b) >= need
+    i, j = np.nonzero(alive)
+    return i + left.start, j + right.start
+
+
+def _order(sets: list[np.ndarray], side: range) -> tuple[np.ndarray, np.ndarray]:
+    """All hashes of some sets in the global order, and whose they are."""
+    flat = np.concatenate([sets[i] for i in side]) if len(side) else np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(len(side)), [len(sets[i]) for i in side])
     order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    cuts = np.searchsorted(flat, np.arange(fragments, dtype=np.uint64) << _U(60)) if fragments == 16 else None
-    edges = np.r_[cuts, len(flat)] if cuts is not None else np.asarray([0, len(flat)])
-    for i in left:
-        own = sets[i]
-        total = np.zeros(len(right), np.int64)
-        pieces = np.searchsorted(own, np.arange(fragments, dtype=np.uint64) << _U(60)) if cuts is not None else np.zeros(1, int)
-        pieces = np.r_[pieces, len(own)]
-        few = len(own) < 64 * fragments
-        for f in [slice(0, None)] if few else range(len(edges) - 1):
-            part = own if few else own[pieces[f] : pieces[f + 1]]
-            low, high = (0, len(flat)) if few else (edges[f], edges[f + 1])
-            at = low + np.searchsorted(flat[low:high], part)
-            end = low + np.searchsorted(flat[low:high], part, "right")
-            sizes = end - at
-            stops = np.cumsum(sizes)
-            if len(stops) and stops[-1]:
-                total += np.bincount(owner[np.arange(stops[-1]) + np.repeat(at - (stops - sizes), sizes)], minlength=len(right))
-        yield i, total
+    return flat[order], owner[order]
+
+
+def _pieces(stops: np.ndarray, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+    """Ranges of a running count that hold about ``most`` each, at least one entry."""
+    first = 0
+    while first < len(stops):
+        last = max(int(np.searchsorted(stops, (stops[first - 1] if first else 0) + most, "right")), first + 1)
+        yield first, last
+        first = last
 
 
 class Forest:
@@ -212,12 +259,9 @@ class Forest:
 
 def links_of(sets: list[np.ndarray], left: range, right: range, percent: int) -> list[tuple[int, int]]:
     """What the links between two ranges of sets connect (one range twice: within it), as stars around the first set of each part."""
-    sizes = np.asarray([len(s) for s in sets])
     forest = Forest(len(sets))
-    for i, counts in overlaps(sets, left, right):
-        union = sizes[i] + sizes[right.start : right.stop] - counts
-        for j in (np.flatnonzero(100 * counts >= percent * union) + right.start).tolist():
-            forest.join(i, j)
+    for i, j in zip(*(x.tolist() for x in linked_pairs(sets, left, right, percent)), strict=True):
+        forest.join(i, j)
     return [(i, top) for i in range(len(sets)) if (top := forest.top(i)) != i]
 
 
@@ -252,37 +296,51 @@ def _linker(percent: int):
 def similar_sets(docs: DataFrame, *, n: int = 3, percent: int = 90, text: str = "text", block_hashes: int = BLOCK_HASHES) -> tuple[DataFrame, DataFrame]:
     """(documents: doc_id, set_key, n; links: a, b between set keys, enough to connect what is linked)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    given = docs.select("doc_id", F.col(text).alias("text"))
-    signed = stored(given.mapInArrow(_signer(n, percent), f"doc_id {kind}, set_key binary, id long, n long, signs array<long>"), "signed")
+    given = docs.select("doc_id", F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("mark"))
+    signed = stored(given.mapInArrow(_signer(n, percent), f"doc_id {kind}, mark long, set_key binary, id long, n long, signs array<long>"), "signed")
     signs = signed.select("id", F.explode("signs").alias("sign"))
     shared = signs.groupBy("sign").count().where("count > 1").select("sign")
     members = stored(signs.join(shared.hint("shuffle_hash"), "sign", "left_semi"), "members")
     hubs = members.groupBy("sign").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("sign", "hub")
     stars = members.join(hubs, "sign").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))
     clusters = components(stars, "clusters")
-    classes = signed.where("n > 0").groupBy("set_key", "id").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
-    placed = stored(classes.join(clusters, F.col("id") == F.col("node")).select("doc_id", "set_key", "n", F.col("component").alias("cluster")), "clustered")
-    sizes = placed.groupBy("cluster").agg(F.ceil(F.sum("n") / block_hashes).alias("blocks"))
-    # The set of a class is read again from its first document. The plan is the same at every size: texts meet their ids by shuffle.
-    texts = given.join(placed.select("doc_id", "set_key", "cluster").hint("shuffle_hash"), "doc_id").select("text", "cluster", "set_key")
+    done_with(members)
+    classes = signed.where("n > 0").groupBy("set_key", "id").agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.max("n").alias("n"))
+    placed = stored(classes.join(clusters, F.col("id") == F.col("node")).select("first.doc_id", "first.mark", "set_key", "n", F.col("component").alias("cluster")), "clustered")
+    done_with(clusters)
+    # A set weighs its hashes and what a row of the overlaps costs, so that a block of small sets isn't too many.
+    sizes = placed.groupBy("cluster").agg(F.ceil(F.sum(F.col("n") + SET_COST) / block_hashes).alias("blocks"))
+    # The set of a class is read again from one of its documents. The plan is the same at every size: texts meet their ids by shuffle.
+    wanted = placed.select(F.col("doc_id").alias("own"), F.col("mark").alias("own_mark"), "set_key", "cluster").hint("shuffle_hash")
+    texts = given.join(wanted, F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("mark") == F.col("own_mark"))).select("text", "cluster", "set_key")
     sets = texts.mapInArrow(_setter(n), "cluster long, set_key binary, hashes binary")
     sets = sets.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))
     sent = sets.select("cluster", "set_key", "hashes", "block", other.alias("o")).select(
         "cluster", "set_key", "hashes", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j")
     )
-    links = sent.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInPandas(_linker(percent), "a binary, b binary")
-    return signed.select("doc_id", "set_key", "n"), stored(links, "links")
+    links = stored(sent.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInPandas(_linker(percent), "a binary, b binary"), "links")
+    done_with(placed)
+    return signed.select("doc_id", "set_key", "n"), links
 
 
 def linked_documents(docs: DataFrame, *, n: int = 3, percent: int = 90, text: str = "text", **options) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
+    """One row per document: doc_id, n_shingles, component_id.
+
+    Classes are placed, not rows: a class is one row with its smallest id, and
+    only classes of several documents or with links are sent back to documents,
+    each to ``SALT`` places, so that the copies of one text are split.
+    """
     rows, links = similar_sets(docs, n=n, percent=percent, text=text, **options)
     tops = components(links, "linked")
-    placed = rows.where("n > 0").join(tops, F.col("set_key") == F.col("node"), "left").select("doc_id", "n", F.coalesce("component", "set_key").alias("top"))
-    least = placed.groupBy("top").agg(F.min("doc_id").alias("component_id"))
-    found = placed.join(least, "top").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return found.unionAll(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    classes = rows.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    classes = classes.join(tops, F.col("set_key") == F.col("node"), "left").select("set_key", "least", "copies", F.coalesce("component", "set_key").alias("top"), F.col("node").isNotNull().alias("linked"))
+    least = classes.where("linked").groupBy("top").agg(F.min("least").alias("lowest"))
+    placed = classes.where("linked OR copies > 1").join(least, "top", "left").select("set_key", F.coalesce("lowest", "least").alias("component"))
+    sent = placed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n"), F.lit(SALT)).cast("int"))
+    met = salted.join(sent, ["set_key", "salt"], "left")
+    return met.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def first_documents(docs: DataFrame, **options) -> DataFrame:

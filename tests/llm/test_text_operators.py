@@ -348,16 +348,73 @@ def test_jaccard_of_null_and_repeated_ids_and_nothing(spark):
     assert jaccard.linked_documents(empty(spark)).count() == 0
 
 
-def test_fragments_are_more_than_linked_sets_differ_in():
+def test_linked_sets_differ_in_no_more_than_said():
     for percent in (80, 90, 95):
         limits = jaccard.size_classes(percent)
-        parts = jaccard.fragments_of(limits, percent)
+        differ = jaccard.differences(limits, percent)
         for a in range(1, 400):
             own = int(np.searchsorted(limits, a, "right")) - 1
             for b in range(a, a * 100 // percent + 1):
                 other = int(np.searchsorted(limits, b, "right")) - 1
                 least = next(i for i in range(a + 1) if 100 * i >= percent * (a + b - i))
-                assert other - own in (0, 1) and parts[own] >= a + b - 2 * least + 2
+                assert other - own in (0, 1) and differ[own] >= a + b - 2 * least
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_linked_sets_share_a_digest_even_with_many_empty_fragments(percent):
+    """Hashes in a narrow range leave most fragments empty; sets there and elsewhere link as the brute force says."""
+    rng = np.random.default_rng(percent)
+    limits = np.asarray(jaccard.size_classes(percent))
+    differ = jaccard.differences(limits.tolist(), percent)
+    for trial in range(300):
+        size, top = int(rng.integers(1, 150)), [1 << 64, 1 << 60, 1 << 57][trial % 3]
+        a = np.unique(rng.integers(0, top, size, np.uint64))
+        gone = rng.choice(len(a), int(rng.integers(0, len(a) // 6 + 2)) % (len(a) + 1), replace=False)
+        b = np.unique(np.r_[np.delete(a, gone), rng.integers(0, top, int(rng.integers(0, size // 8 + 2)), np.uint64)])
+        common = len(np.intersect1d(a, b))
+        if len(b) and 100 * common >= percent * (len(a) + len(b) - common):
+            signs = []
+            for own in (a, b):
+                c = int(np.searchsorted(limits, len(own), "right")) - 1
+                signs.append(set(np.concatenate([jaccard.digests(own, differ[k]) for k in (c, c - 1) if k >= 0]).tolist()))
+            assert signs[0] & signs[1]
+
+
+def test_digests_of_empty_fragments_are_rare():
+    rng = np.random.default_rng(1)
+    limits = np.asarray(jaccard.size_classes(80))
+    differ = jaccard.differences(limits.tolist(), 80)
+    with_empty = 0
+    for size in rng.integers(20, 2000, 400).tolist():
+        own = np.unique(rng.integers(0, 1 << 64, size, np.uint64))
+        c = int(np.searchsorted(limits, len(own), "right")) - 1
+        with_empty += len(jaccard.digests(own, differ[c])) == jaccard.fragments_of(differ[c])
+    assert with_empty <= 8
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_overlaps_by_fragment_give_the_links(seed):
+    rng = np.random.default_rng(seed)
+    sets = []
+    for _ in range(12):
+        base = rng.integers(0, 1 << 64, int(rng.integers(1, 300)), np.uint64)
+        for _ in range(6):
+            sets.append(np.unique(np.r_[base[rng.random(len(base)) > 0.06], rng.integers(0, 1 << 64, 3, np.uint64)]))
+    for left, right in ((range(72), range(72)), (range(30), range(30, 72))):
+        got = set(zip(*(x.tolist() for x in jaccard.linked_pairs(sets, left, right, 80)), strict=True))
+        want = set()
+        for i, j in itertools.product(left, right):
+            common = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * common >= 80 * (len(sets[i]) + len(sets[j]) - common):
+                want.add((i, j))
+        assert got == want
+
+
+def test_words_made_to_collide_in_polynomial_hashes_stay_apart(spark):
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    texts = [word, word.translate(str.maketrans("ab", "ba")), word, "x" * 63, "x" * 64, "x" * 65, "y" * 64 + "x"]
+    got = by_id(jaccard.linked_documents(docs(spark, texts)))
+    assert [got[i]["component_id"] for i in range(7)] == [0, 1, 0, 3, 4, 5, 6]
 
 
 def test_components_are_the_smallest_reachable(spark):
