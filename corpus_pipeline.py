@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeloom.llm import jaccard, lines, packing, secrets, toxicity
-from gradeloom.llm.common import stored, table
+from gradeloom.llm.common import done_with, free_name, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,10 +27,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in many documents go; texts that lose none stay as they are."""
-    done = lines.dedup_lines(docs, name="_lines")
-    changed = F.col("_lines.n_dropped") > 0
-    text = F.when(changed, F.col("_lines.kept")).otherwise(F.col("text"))
-    size = F.when(changed, F.length("_lines.kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    own = free_name(docs, "lines")
+    done = lines.dedup_lines(docs, name=own)
+    changed = F.col(f"{own}.n_dropped") > 0
+    text = F.when(changed, F.col(f"{own}.kept")).otherwise(F.col("text"))
+    size = F.when(changed, F.length(f"{own}.kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return done.select(*[{"text": text, "n_chars": size}.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
@@ -41,8 +42,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked, in any layer they were found in; texts without secrets stay as they are."""
-    done = secrets.redacted(docs.withColumn("_before", F.col("text")))
-    size = F.when(F.col("text").eqNullSafe(F.col("_before")), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
+    before = free_name(docs, "before")
+    done = secrets.redacted(docs.withColumn(before, F.col("text")))
+    size = F.when(F.col("text").eqNullSafe(F.col(before)), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
     return done.withColumn("n_chars", size).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
@@ -57,7 +59,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        if before is not None:
+            done_with(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
