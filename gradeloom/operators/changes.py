@@ -279,6 +279,10 @@ def save_templates(saved: DataFrame, incoming: DataFrame) -> DataFrame:
     return rows.select("template_id", "version", result.alias("result"))
 
 
+#: Tables of an exam, those that point to others before those they point to.
+PURGE_ORDER = ("overrides", "partials", "reviews", "identities", "detections", "export_runs", "import_log", "attendance", "indicators", "keys", "sources", "rooms", "exams")
+
+
 def purge_exam(tables: Mapping[str, DataFrame], exams: DataFrame) -> dict[str, DataFrame]:
     """All tables without the rows of the given exams, partial reviews included."""
     gone = exams.select("exam_id").distinct()

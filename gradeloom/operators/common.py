@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradeloom.session import cut
+
 CHOICES = ("A", "B", "C", "D", "E")
 RESOLVED = (*CHOICES, "blank", "multiple", "boundary_cross")
 
@@ -107,6 +109,37 @@ def dense_number(df: DataFrame, keys: Sequence[str], order: str, name: str, widt
     return running_sum(df.withColumn("_one", F.lit(1).cast("bigint")), keys, order, "_one", name, width).drop("_one")
 
 
+def sliced(df: DataFrame, order: Sequence[str | Column], name: str = "slices") -> DataFrame:
+    """Rows range-partitioned by ``order``, written once, with ``_slice``: the partition, counted in that order.
+
+    Neighbours in the order stay together and a key of any size is cut into as
+    many slices as it needs. What one slice must know of those before it goes
+    through ``previous`` and ``running``, which look at one row per slice.
+    """
+    return cut(df.repartitionByRange(*order).withColumn("_slice", F.spark_partition_id()), name)
+
+
+def previous(df: DataFrame, keys: Sequence[str], order: str, value: str, name: str) -> DataFrame:
+    """``value`` of the row before within ``keys``, over ``sliced`` rows; NULL for the first. ``order`` is unique within the keys."""
+    last = df.groupBy(*keys, "_slice").agg(F.max_by(value, order).alias("_end"))
+    ends = last.select(*keys, "_slice", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_slice")).alias("_before"))
+    inside = Window.partitionBy(*keys, "_slice").orderBy(order)
+    return (
+        df.withColumn("_inside", F.lag(value).over(inside)).withColumn("_place", F.row_number().over(inside)).join(ends, [*keys, "_slice"])
+        .withColumn(name, F.when(F.col("_place") == 1, F.col("_before")).otherwise(F.col("_inside"))).drop("_inside", "_place", "_before")
+    )
+
+
+def running(df: DataFrame, keys: Sequence[str], order: str, value: str, name: str) -> DataFrame:
+    """Inclusive running sum of ``value`` within ``keys``, over ``sliced`` rows."""
+    totals = df.groupBy(*keys, "_slice").agg(F.sum(value).alias("_total"))
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, "_slice", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(*keys, "_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = df.withColumn("_inside", F.sum(value).over(inside)).join(offsets, [*keys, "_slice"])
+    return summed.withColumn(name, F.col("_offset") + F.col("_inside")).drop("_inside", "_offset")
+
+
 def expand_range(df: DataFrame, low: str | Column, high: str | Column, name: str) -> DataFrame:
     """One row per integer of [low, high]; turns interval membership into an equi join."""
     low = F.col(low) if isinstance(low, str) else low

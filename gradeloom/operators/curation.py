@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeloom.operators import checks
-from gradeloom.operators.common import count_when, position_in_chunks, reasons, yes
+from gradeloom.operators.common import count_when, position_in_chunks, reasons, sliced, yes
 
 # Two-digit samples whose leading zero is not drawn.
 HIDDEN_ZERO = ("06", "07", "08", "09")
@@ -24,27 +24,25 @@ def annotation_counts(records: DataFrame, keys: Sequence[str] = ()) -> DataFrame
 
 
 def next_review(records: DataFrame, position: str, start: DataFrame) -> DataFrame:
-    """Next record to review at or after each start position, wrapping round. ``start``: worker, start."""
-    waiting = records.where(F.col("label_status") == "needs_review").select(F.col(position).alias("_p"))
-    # sorted distinct positions meet the starts in one ordered pass per chunk
-    first = waiting.agg(F.min("_p").alias("_first"))
-    marks = waiting.select(F.col("_p").alias("_at"), F.col("_p").alias("_hit"), F.lit(None).cast("bigint").alias("worker")).unionByName(
-        start.select(F.col("start").alias("_at"), F.lit(None).cast("bigint").alias("_hit"), F.col("worker"))
-    )
-    return _next_after(marks, first)
-
-
-def _next_after(marks: DataFrame, first: DataFrame, width: int = 1 << 16) -> DataFrame:
-    from pyspark.sql import Window
+    """Next record to review at or after each start position, wrapping round. ``start``: worker, start.
 
-    chunked = marks.withColumn("_chunk", F.floor(F.col("_at") / width))
-    heads = chunked.groupBy("_chunk").agg(F.min("_hit").alias("_head"))
-    later = Window.orderBy("_chunk").rowsBetween(1, Window.unboundedFollowing)
-    # one row per chunk of 65536 positions
-    heads = heads.select("_chunk", F.min("_head").over(later).alias("_later"))
-    inside = Window.partitionBy("_chunk").orderBy("_at", F.col("_hit").isNull().cast("int").desc()).rowsBetween(0, Window.unboundedFollowing)
-    found = chunked.withColumn("_next", F.min("_hit").over(inside)).where(F.col("worker").isNotNull())
-    return found.join(heads, "_chunk").crossJoin(F.broadcast(first)).select("worker", F.coalesce("_next", "_later", "_first").alias("position"))
+    Waiting positions and starts are cut into slices by position. A start looks
+    for the next waiting position inside its slice; if there is none, the least
+    one of all later slices is it (a suffix minimum over one row per slice), and
+    after the last slice the first of all. Equal starts are split by worker.
+    """
+    waiting = records.where(F.col("label_status") == "needs_review").select(F.col(position).cast("bigint").alias("_at")).distinct()
+    marks = waiting.select("_at", F.lit(1).alias("_waits"), F.lit(None).cast(start.schema["worker"].dataType).alias("worker")).unionByName(
+        start.select(F.col("start").cast("bigint").alias("_at"), F.lit(0).alias("_waits"), "worker")
+    )
+    marks = sliced(marks, ["_at", "_waits", "worker"], "marks")
+    hit = F.when(F.col("_waits") == 1, F.col("_at"))
+    heads = marks.groupBy("_slice").agg(F.min(hit).alias("_head"))
+    later = Window.orderBy("_slice").rowsBetween(1, Window.unboundedFollowing)  # one row per slice
+    heads = heads.select("_slice", F.min("_head").over(later).alias("_later"), F.min("_head").over(Window.partitionBy()).alias("_first"))
+    inside = Window.partitionBy("_slice").orderBy("_at", "_waits", "worker").rowsBetween(0, Window.unboundedFollowing)
+    found = marks.withColumn("_next", F.min(hit).over(inside)).where("_waits = 0")
+    return found.join(heads, "_slice").select("worker", F.coalesce("_next", "_later", "_first").alias("position"))
 
 
 def replay_annotations(events: DataFrame) -> DataFrame:
@@ -52,56 +50,33 @@ def replay_annotations(events: DataFrame) -> DataFrame:
 
     An accept is refused while the newest bbox event before it marks the box as
     bad, or when its digit is not 0 to 9. ``reset`` clears the mark as well.
-    Every fold is a pre-aggregating maximum or a join on the record, never a
-    replay in one task: the log of one record is cut at its bbox events.
+    An event maps the mark (box bad or not) to a new one; over a slice of the
+    clock these maps compose to one: the slice's last bbox event, or no change.
+    Composed again from slice to slice they give the mark that each slice is
+    entered with, and every slice is judged by itself. The log of one record may
+    fill any number of slices.
     """
-    bbox = events.where(F.col("action").isin("correct_bbox", "mark_bad_bbox", "reset"))
-    bad_spans = _spans(bbox)
-    accepts = events.where(F.col("action") == "accept_label")
-    judged = _judge(accepts, bad_spans)
-    accepted = judged.where("_ok").select("annotation_id", "seq", "action", "digit", "annotator_id")
-    effective = events.where(F.col("action") != "accept_label").select("annotation_id", "seq", "action", F.lit(None).cast("bigint").alias("digit"), "annotator_id").unionByName(accepted)
-    last = effective.groupBy("annotation_id").agg(F.max(F.struct("seq", "action", "digit", "annotator_id")).alias("_last"))
-    box = bbox.groupBy("annotation_id").agg(
-        F.max(F.struct("seq", "action")).alias("_box"), F.bool_or(F.col("action") == "correct_bbox").alias("_annotated"),
+    mark = F.when(F.col("action").isin("correct_bbox", "mark_bad_bbox", "reset"), F.col("action") == "mark_bad_bbox")
+    log = sliced(events.select("annotation_id", "seq", "action", "digit"), ["annotation_id", "seq"], "events").withColumn("_mark", mark)
+    maps = log.groupBy("annotation_id", "_slice").agg(F.max_by("_mark", F.when(F.col("_mark").isNotNull(), F.col("seq"))).alias("_leaves"))
+    earlier = Window.partitionBy("annotation_id").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    entered = maps.select("annotation_id", "_slice", F.last("_leaves", ignorenulls=True).over(earlier).alias("_enters"))
+    inside = Window.partitionBy("annotation_id", "_slice").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    judged = log.withColumn("_within", F.last("_mark", ignorenulls=True).over(inside)).join(entered, ["annotation_id", "_slice"])
+    accept = F.col("action") == "accept_label"
+    refused = accept & (F.coalesce("_within", "_enters", F.lit(False)) | ~yes(F.col("digit").between(0, 9)))
+    state = judged.withColumn("_refused", refused).groupBy("annotation_id").agg(
+        F.max(F.when(~F.col("_refused"), F.struct("seq", "action", "digit"))).alias("_last"),
+        F.max(F.when(F.col("_mark").isNotNull(), F.struct("seq", "_mark"))).alias("_box"),
+        F.bool_or(F.col("action") == "correct_bbox").alias("_annotated"), count_when(F.col("_refused")).alias("refused"),
     )
-    refused = judged.groupBy("annotation_id").agg(count_when(~F.col("_ok")).alias("refused"))
-    ids = events.select("annotation_id").distinct()
-    joined = ids.join(last, "annotation_id", "left").join(box, "annotation_id", "left").join(refused, "annotation_id", "left")
-    action = F.col("_last.action")
-    bad = yes(F.col("_box.action") == "mark_bad_bbox")
-    return joined.select(
+    action, bad = F.col("_last.action"), yes(F.col("_box._mark"))
+    return state.select(
         "annotation_id",
         F.when(action == "accept_label", "accepted").when(action == "exclude", "excluded").otherwise("needs_review").alias("label_status"),
         F.when(action == "accept_label", F.col("_last.digit")).alias("label"), bad.alias("bad_bbox"),
-        F.when(bad, "bad_bbox").when(F.col("_annotated"), "corrected").otherwise("proposal").alias("bbox_status"),
-        F.coalesce("refused", F.lit(0)).alias("refused"),
-    )
-
-
-def _spans(bbox: DataFrame) -> DataFrame:
-    """Periods [from, upto) in which a record's box is marked bad."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("annotation_id").orderBy("seq")
-    changes = bbox.withColumn("_bad", F.col("action") == "mark_bad_bbox")
-    edges = changes.withColumn("_before", F.lag("_bad", 1, False).over(order)).where(F.col("_bad") != F.col("_before"))
-    closed = edges.withColumn("_upto", F.lead("seq").over(order))
-    return closed.where("_bad").select("annotation_id", F.col("seq").alias("_from"), F.coalesce("_upto", F.lit(2**62)).alias("_upto"))
-
-
-def _judge(accepts: DataFrame, spans: DataFrame) -> DataFrame:
-    """An accept is good when its digit is legal and it lies in no bad span."""
-    from pyspark.sql import Window
-
-    marks = accepts.select("annotation_id", "seq", "action", "digit", "annotator_id", F.lit(0).cast("bigint").alias("_delta")).unionByName(
-        spans.select("annotation_id", F.col("_from").alias("seq"), F.lit("span").alias("action"), F.lit(None).cast("bigint").alias("digit"), F.lit(None).cast("string").alias("annotator_id"), F.lit(1).cast("bigint").alias("_delta"))
-    ).unionByName(
-        spans.select("annotation_id", F.col("_upto").alias("seq"), F.lit("span").alias("action"), F.lit(None).cast("bigint").alias("digit"), F.lit(None).cast("string").alias("annotator_id"), F.lit(-1).cast("bigint").alias("_delta"))
+        F.when(bad, "bad_bbox").when(F.col("_annotated"), "corrected").otherwise("proposal").alias("bbox_status"), "refused",
     )
-    order = Window.partitionBy("annotation_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    open_spans = marks.withColumn("_open", F.sum("_delta").over(order)).where(F.col("action") == "accept_label")
-    return open_spans.withColumn("_ok", (F.col("_open") == 0) & yes(F.col("digit").between(0, 9)))
 
 
 def propose_digit_boxes(samples: DataFrame) -> DataFrame:

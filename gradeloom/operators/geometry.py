@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradeloom.operators.common import CHOICES, exact_median, expand_range, top, violations, yes
+from gradeloom.operators.common import CHOICES, exact_median, expand_range, previous, running, sliced, top, violations, yes
+from gradeloom.session import cut
 
 # Smallest ink core of a cell, and the limits of a template.
 MIN_CELL_CORE = 8
@@ -211,13 +211,14 @@ def renumber_blocks(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
 def cluster_gaps(values: DataFrame, keys: Sequence[str], gap: int) -> DataFrame:
     """Islands of values no more than ``gap`` apart, each with its rounded mean.
 
-    Equal values are counted before the shuffle, so a group costs at most one
-    row per distinct pixel position.
+    Equal values are counted before the shuffle. Values are cut into slices;
+    whether a slice's first island is the end of the one before tells the last
+    value of the slice before, so a group with all values is split as well.
     """
     counted = values.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("_n"))
-    order = Window.partitionBy(*keys).orderBy("value")
-    fresh = F.when(F.col("value") - F.lag("value").over(order) <= gap, 0).otherwise(1)
-    marked = counted.withColumn("_fresh", fresh).withColumn("island", F.sum("_fresh").over(order))
+    marked = previous(sliced(counted, [*keys, "value"], "values"), keys, "value", "value", "_prev")
+    marked = marked.withColumn("_fresh", F.when(F.col("value") - F.col("_prev") <= gap, 0).otherwise(1).cast("bigint"))
+    marked = running(marked, keys, "value", "_fresh", "island")
     return marked.groupBy(*keys, "island").agg(
         F.bround(F.sum(F.col("value") * F.col("_n")).cast("double") / F.sum("_n"), 0).cast("bigint").alias("line"), F.sum("_n").alias("members")
     )
@@ -226,65 +227,72 @@ def cluster_gaps(values: DataFrame, keys: Sequence[str], gap: int) -> DataFrame:
 def longest_regular_run(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Longest run of lines spaced 0.5 to 1.7 times the median spacing; the first wins a tie.
 
-    The median uses spacings of 25 to 220 when there are any, else all.
+    The median uses spacings of 25 to 220 when there are any, else all. Lines
+    are cut into slices; a run that goes over the border of two slices is one.
     """
-    order = Window.partitionBy(*keys).orderBy("line")
-    spaced = lines.select(*keys, "line").distinct().withColumn("_prev", F.lag("line").over(order)).where(F.col("_prev").isNotNull())
-    spaced = spaced.withColumn("gap", F.col("line") - F.col("_prev"))
+    spaced = previous(sliced(lines.select(*keys, "line").distinct(), [*keys, "line"], "lines"), keys, "line", "line", "_prev")
+    spaced = spaced.where(F.col("_prev").isNotNull()).withColumn("gap", F.col("line") - F.col("_prev"))
     usual = exact_median(spaced.where(F.col("gap").between(25, 220)), keys, "gap", "_usual")
     every = exact_median(spaced, keys, "gap", "_every")
     middle = every.join(usual, list(keys), "left").select(*keys, F.coalesce("_usual", "_every").alias("spacing"))
     joined = spaced.join(middle, list(keys)).withColumn("_ok", (F.col("gap") >= 0.5 * F.col("spacing")) & (F.col("gap") <= 1.7 * F.col("spacing")))
-    island = F.sum(F.when(F.col("_ok"), 0).otherwise(1)).over(order)
-    runs = joined.withColumn("_island", island).where("_ok").groupBy(*keys, "_island", "spacing").agg(
+    islands = running(joined.withColumn("_break", F.when(F.col("_ok"), 0).otherwise(1).cast("bigint")), keys, "line", "_break", "_island")
+    runs = islands.where("_ok").groupBy(*keys, "_island", "spacing").agg(
         F.count(F.lit(1)).alias("intervals"), F.min("_prev").alias("first_line"), F.max("line").alias("last_line")
     )
     return top(runs, list(keys), [F.col("intervals").desc(), F.col("first_line")]).drop("_island")
 
 
+_CORNERS = [f"{axis}{i}" for i in (1, 2, 3, 4) for axis in ("x", "y")]
+
+
 def dedupe_near(candidates: DataFrame, tolerance: float) -> DataFrame:
     """Keep the strongest corner proposal of every near-identical set, with all supporting methods.
 
     ``candidates``: image_id, candidate_id, proposal_score, method and x1..y4.
-    Greedy in score order within an image. Identical proposals are merged
-    before the shuffle; the rest stream through in image and score order, and a
-    task remembers nothing but the proposals kept for its current image.
+    The result is that of going through an image's proposals by score (then id)
+    and keeping each that is near none kept before; a proposal that is not kept
+    supports the first kept one it is near. That is the lexicographically first
+    maximal independent set of the nearness graph, found in rounds: a proposal is
+    kept when nothing undecided, near and stronger is left, and all near it are
+    absorbed. Proposals near each other have centres no further apart, so only
+    neighbouring spatial tiles meet and one image is spread over many tasks.
+    Proposals in one small cell of corner positions are all near each other, so
+    only the strongest of a cell asks; no pairs of a crowded spot are formed.
     """
-    corners = [f"{axis}{i}" for i in (1, 2, 3, 4) for axis in ("x", "y")]
-    merged = candidates.groupBy("image_id", *corners).agg(
+    strength = F.struct((-F.col("proposal_score")).alias("weak"), "candidate_id")
+    cells = [F.floor(F.col(c) / (tolerance / 1.5)).alias(f"_{c}") for c in _CORNERS]
+    merged = candidates.groupBy("image_id", *_CORNERS).agg(
         F.max("proposal_score").alias("proposal_score"), F.min("candidate_id").alias("candidate_id"), F.array_sort(F.collect_set("method")).alias("methods")
     )
-
-    def keep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        image, points, kept, support = None, [], [], []
-
-        def finished() -> list[tuple]:
-            return [(*row, ",".join(sorted(names))) for row, names in zip(kept, support)]
-
-        for frame in frames:
-            out: list[tuple] = []
-            shapes = frame[corners].to_numpy(dtype=np.float64).reshape(-1, 4, 2)
-            rows = zip(frame["image_id"], frame["candidate_id"], frame["proposal_score"], frame["methods"], shapes)
-            for current, candidate, score, methods, shape in rows:
-                if current != image:
-                    out += finished()
-                    image, points, kept, support = current, [], [], []
-                near = None
-                if points:
-                    distance = np.linalg.norm(np.stack(points) - shape, axis=2).mean(axis=1)
-                    close = np.flatnonzero(distance <= tolerance)
-                    near = int(close[0]) if len(close) else None
-                if near is None:
-                    points.append(shape)
-                    kept.append((current, candidate, score))
-                    support.append(set(methods))
-                else:
-                    support[near] |= set(methods)
-            yield pd.DataFrame(out, columns=["image_id", "candidate_id", "proposal_score", "methods"])
-        yield pd.DataFrame(finished(), columns=["image_id", "candidate_id", "proposal_score", "methods"])
-
-    ordered = merged.repartition("image_id").sortWithinPartitions("image_id", F.col("proposal_score").desc(), "candidate_id")
-    return ordered.mapInPandas(keep, "image_id bigint, candidate_id bigint, proposal_score double, methods string")
+    centre = lambda axis: F.floor(sum(F.col(f"{axis}{i}") for i in (1, 2, 3, 4)) / 4.0 / tolerance)
+    whole = cut(merged.select("*", strength.alias("_order"), F.xxhash64(*cells).alias("_cell"), centre("x").alias("_tx"), centre("y").alias("_ty")), "proposals")
+    undecided = whole.select("image_id", *_CORNERS, "_order", "_cell", "_tx", "_ty")
+    kept: list[DataFrame] = []
+    while not undecided.isEmpty():
+        asking = top(undecided, ["image_id", "_cell"], [F.col("_order")])
+        blocked = _met(asking, undecided, tolerance).where(F.col("_other") < F.col("_order")).select("image_id", "_order").distinct()
+        winners = cut(asking.join(blocked, ["image_id", "_order"], "left_anti"), "winners")
+        kept.append(winners)
+        absorbed = _met(winners, undecided, tolerance).select("image_id", F.col("_other").alias("_order")).distinct()
+        undecided = cut(undecided.join(absorbed, ["image_id", "_order"], "left_anti"), "undecided")
+    if not kept:
+        return whole.select("image_id", "candidate_id", "proposal_score", F.lit("").alias("methods"))
+    chosen = reduce(DataFrame.unionByName, kept)
+    first = _met(chosen, whole.select("image_id", *_CORNERS, "_order", "_tx", "_ty"), tolerance)
+    first = first.groupBy("image_id", F.col("_other").alias("_own")).agg(F.min("_order").alias("_order"))
+    support = first.join(whole.select("image_id", F.col("_order").alias("_own"), F.explode("methods").alias("method")), ["image_id", "_own"])
+    names = support.groupBy("image_id", "_order").agg(F.array_join(F.array_sort(F.collect_set("method")), ",").alias("methods"))
+    return names.select("image_id", "_order.candidate_id", (-F.col("_order.weak")).alias("proposal_score"), "methods")
+
+
+def _met(few: DataFrame, many: DataFrame, tolerance: float) -> DataFrame:
+    """Pairs of one image within ``tolerance`` (itself included): the row of ``few`` and ``_other``, the rank of the row of ``many``."""
+    near = F.explode(F.array(*[F.struct((F.col("_tx") + i).alias("tx"), (F.col("_ty") + j).alias("ty")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    left = few.select("image_id", "_order", *_CORNERS, near.alias("_tile")).select("image_id", "_order", *_CORNERS, "_tile.tx", "_tile.ty")
+    right = many.select("image_id", F.col("_order").alias("_other"), *[F.col(c).alias(f"o{c}") for c in _CORNERS], F.col("_tx").alias("tx"), F.col("_ty").alias("ty"))
+    apart = sum(F.sqrt(sum((F.col(f"{axis}{i}") - F.col(f"o{axis}{i}")) * (F.col(f"{axis}{i}") - F.col(f"o{axis}{i}")) for axis in ("x", "y"))) for i in (1, 2, 3, 4)) / 4.0
+    return left.join(right, ["image_id", "tx", "ty"]).where(apart <= tolerance).select("image_id", "_order", "_other")
 
 
 def grid_cells(pages: DataFrame, grid: tuple[float, float, float, float], ink: tuple[float, float, float, float], size: int = 10) -> DataFrame:

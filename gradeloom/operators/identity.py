@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import BucketedRandomProjectionLSH
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradeloom.operators.common import count_per, top, yes
+from gradeloom.operators.common import count_per, rate, top, yes
 from gradeloom.session import cut
 
 # Limits of a number and of the candidate lists.
@@ -377,6 +379,50 @@ def knn(queries: DataFrame, reference: DataFrame, k: int = 5, cell_rows: int = C
     return top(partial, ["query_id"], [F.col("distance"), F.col("ref_id")], k, rank="place")
 
 
+def knn_hashed(
+    queries: DataFrame, reference: DataFrame, k: int = 5, *, bucket: float, tables: int = 8, seed: int = 1729, cell_rows: int = CELL_ROWS, query_rows: int = QUERY_ROWS
+) -> DataFrame:
+    """Approximate ``k`` nearest reference vectors per query, through hashes of random projections.
+
+    Each of ``tables`` hashes cuts a random direction into buckets of length
+    ``bucket``; a query meets the reference vectors that share a bucket with it
+    in any table, and distances are exact. ``bucket`` trades recall for work; one
+    of about the usual distance to the k-th neighbour, or somewhat more, finds
+    nearly all. Neighbours that share no bucket are missed, so a query may get
+    fewer than ``k`` rows. Buckets are compared in blocks, each giving ``k`` rows
+    a query, so a crowded bucket is neither one task nor a table of pairs.
+    """
+    dense = lambda df: df.where("vector IS NOT NULL").withColumn("_v", array_to_vector(F.col("vector").cast("array<double>")))
+    right = dense(reference).select(F.col("ref_id").cast("bigint").alias("ref_id"), F.col("label").cast("int").alias("label"), "vector", "_v")
+    left = dense(queries).select(F.col("query_id").cast("bigint").alias("query_id"), "vector", "_v")
+    model = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=bucket, numHashTables=tables, seed=seed).fit(right)
+
+    def placed(df: DataFrame, name: str) -> DataFrame:
+        hashes = [F.element_at(vector_to_array(F.element_at("_h", i + 1)), 1).cast("bigint") for i in range(tables)]
+        rows = model.transform(df).withColumn("_hs", F.array(*hashes)).drop("_v", "_h")
+        return cut(rows.select("*", F.posexplode("_hs").alias("table", "slot")).drop("_hs"), name)
+
+    left, right = placed(left, "hashed-queries"), placed(right, "hashed-reference")
+    meet = right.groupBy("table", "slot").agg(F.ceil(F.count(F.lit(1)) / cell_rows).alias("blocks")).join(
+        left.groupBy("table", "slot").agg(F.ceil(F.count(F.lit(1)) / query_rows).alias("visits")), ["table", "slot"]
+    )
+    meet = cut(meet, "buckets")
+    part = lambda of, name: F.pmod(F.xxhash64(name), F.col(of)).cast("bigint")
+    every = lambda of: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(of).cast("bigint") - 1))
+    asked = left.join(meet, ["table", "slot"]).withColumn("qb", part("visits", "query_id")).withColumn("rb", every("blocks")).withColumn("reach", F.lit(float("inf")))
+    held = right.join(meet, ["table", "slot"]).withColumn("rb", part("blocks", "ref_id")).withColumn("qb", every("visits"))
+    keys = ["table", "slot", "qb", "rb"]
+    asked, held = asked.select(*keys, "query_id", "vector", "reach"), held.select(*keys, "ref_id", "label", "vector")
+    partial = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(_nearest(k), "query_id bigint, ref_id bigint, label int, distance double")
+    return top(partial.dropDuplicates(["query_id", "ref_id"]), ["query_id"], [F.col("distance"), F.col("ref_id")], k, rank="place")
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """Share of the exact neighbours that were found, over all queries: neighbours, found, recall."""
+    hits = exact.select("query_id", "ref_id").join(found.select("query_id", "ref_id", F.lit(1).alias("_hit")), ["query_id", "ref_id"], "left")
+    return hits.agg(F.count(F.lit(1)).alias("neighbours"), F.count("_hit").alias("found")).withColumn("recall", rate(F.col("found"), F.col("neighbours")))
+
+
 def knn_vote(neighbours: DataFrame, k: int = 5) -> DataFrame:
     """Majority label; ties go to the nearer label, then the smaller one."""
     size = neighbours.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
@@ -399,15 +445,10 @@ def centroids(vectors: DataFrame) -> DataFrame:
 def nearest_centroid(queries: DataFrame, centers: DataFrame) -> DataFrame:
     """Closest centre over all labels; equal distances go to the smaller label.
 
-    Query components meet the centres' components by position, so neither side
-    is packed into one row whatever the number of labels.
+    The centres are the reference side of ``knn``, so a query visits only the
+    cells of centres that can be nearest, and no join has few key values.
     """
-    parts = queries.select("query_id", F.posexplode("vector").alias("pos", "x"))
-    means = centers.select("label", F.posexplode("centroid").alias("pos", "mean"))
-    gap = F.col("x").cast("double") - F.col("mean")
-    distance = parts.join(means, "pos").groupBy("query_id", "label").agg(F.sqrt(F.sum(gap * gap)).alias("distance"))
-    best = distance.groupBy("query_id").agg(F.min(F.struct("distance", "label")).alias("b"))
-    return best.select(
-        "query_id", F.col("b.label").alias("label"),
-        F.when(F.col("b.distance") == 0, 100.0).otherwise(F.round(100.0 / (1.0 + F.col("b.distance")), 4)).alias("score"),
-    )
+    reference = centers.select(F.col("label").cast("bigint").alias("ref_id"), F.col("label"), F.col("centroid").alias("vector"))
+    best = knn(queries.select("query_id", "vector"), reference, 1)
+    score = F.when(F.col("distance") == 0, 100.0).otherwise(F.round(100.0 / (1.0 + F.col("distance")), 4))
+    return best.select("query_id", F.col("ref_id").cast(centers.schema["label"].dataType).alias("label"), score.alias("score"))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.operators.common import running_sum
+from gradeloom.session import cut
 
 
 @dataclass(frozen=True)
@@ -56,23 +58,76 @@ def decide(start: int, files: int, used: int, at: int, size: int, limits: Limits
 
 
 def quota_exact(uploads: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Exact form: a rejected upload uses nothing. Sessions stream through in (ts, seq) order; a task keeps three numbers."""
+    """Exact form: a rejected upload uses nothing, so what a session accepts depends on all it accepted before.
+
+    Uploads are sorted by (session, ts, seq) over range partitions; the part of
+    a session in one partition is a chunk, of which the smallest upload that
+    could still be accepted is kept. A round takes, for every open session, the
+    first chunk after its frontier that holds an upload small enough for the
+    room left, and scans that chunk alone. Chunks in between accept nothing and
+    are never read for it. A session accepts at most ``files`` uploads, so it
+    has at most as many rounds; most end in one. No task sees more of a session
+    than one chunk.
+    """
+    rows = uploads.select("session_id", "seq", "bytes", _seconds("ts").alias("at"))
+    dealt = rows.repartitionByRange("session_id", "at", "seq").withColumn("part", F.spark_partition_id())
+    rows = cut(dealt.sortWithinPartitions("session_id", "at", "seq"), "uploads")
+    starts = rows.groupBy("session_id").agg(F.min("at").alias("start"))
+    live = (F.col("at") - F.col("start") < limits.seconds * 1_000_000) & (F.col("bytes") <= limits.file_bytes)
+    chunks = rows.join(starts, "session_id").groupBy("session_id", "part", "start").agg(F.min(F.when(live, F.col("bytes"))).alias("least"))
+    chunks = cut(chunks, "chunks")
+    state = chunks.select("session_id", F.lit(-1).alias("part"), F.lit(0).cast("bigint").alias("files"), F.lit(0).cast("bigint").alias("used")).distinct()
+    states, scanned = [state], []
+    while True:
+        ahead = chunks.join(state.withColumnRenamed("part", "frontier"), "session_id").where(
+            (F.col("part") > F.col("frontier")) & (F.col("files") < limits.files) & (F.col("least") <= limits.session_bytes - F.col("used"))
+        )
+        following = cut(ahead.groupBy("session_id", "start", "files", "used").agg(F.min("part").alias("part")), "following")
+        if following.isEmpty():
+            break
+        found = rows.join(following, ["session_id", "part"]).repartition("session_id", "part").sortWithinPartitions("session_id", "part", "at", "seq")
+        done = cut(found.mapInPandas(_scanner(limits), "session_id bigint, part int, seq bigint, bytes bigint, decision string, files bigint, used bigint, last boolean"), "scanned")
+        scanned.append(done.select("session_id", "part", "seq", "bytes", "decision"))
+        state = done.where("last").select("session_id", "part", "files", "used")
+        states.append(state)
+    return _decided(rows, chunks, states, scanned, limits)
+
+
+def _scanner(limits: Limits):
+    """Decides the rows of chunks in order; the last row of each carries the state after it."""
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        session, start, files, used = None, 0, 0, 0
+        chunk, files, used, held = None, 0, 0, []
         for frame in frames:
-            decisions = []
-            for key, at, size in zip(frame["session_id"], frame["at"], frame["bytes"]):
-                if key != session:
-                    session, start, files, used = key, at, 0, 0
-                decision = decide(start, files, used, at, size, limits)
+            out = []
+            for row in frame[["session_id", "part", "seq", "bytes", "at", "start", "files", "used"]].itertuples(index=False):
+                if (row.session_id, row.part) != chunk:
+                    out += [(*r, True) for r in held]
+                    chunk, files, used, held = (row.session_id, row.part), row.files, row.used, []
+                decision = decide(row.start, files, used, row.at, row.bytes, limits)
                 if decision == "accepted":
-                    files, used = files + 1, used + size
-                decisions.append(decision)
-            yield frame[["session_id", "seq", "bytes"]].assign(decision=decisions)
+                    files, used = files + 1, used + row.bytes
+                out += [(*r, False) for r in held]
+                held = [(row.session_id, row.part, row.seq, row.bytes, decision, files, used)]
+            yield pd.DataFrame(out, columns=_SCANNED)
+        yield pd.DataFrame([(*r, True) for r in held], columns=_SCANNED)
 
-    rows = uploads.select("session_id", "seq", "bytes", _seconds("ts").alias("at"))
-    ordered = rows.repartition("session_id").sortWithinPartitions("session_id", "at", "seq")
-    return ordered.mapInPandas(scan, "session_id bigint, seq bigint, bytes bigint, decision string")
+    return scan
 
 
+_SCANNED = ["session_id", "part", "seq", "bytes", "decision", "files", "used", "last"]
+
+
+def _decided(rows: DataFrame, chunks: DataFrame, states: list[DataFrame], scanned: list[DataFrame], limits: Limits) -> DataFrame:
+    """All decisions: of scanned chunks as scanned; in the others nothing fits the state that reached them."""
+    known = reduce(DataFrame.unionByName, [s.withColumnRenamed("part", "upto") for s in states])
+    reached = chunks.join(known, "session_id").where("upto < part").groupBy("session_id", "part", "start").agg(F.max_by(F.struct("files", "used"), "upto").alias("state"))
+    out = rows
+    for done in scanned:
+        out = out.join(done.select("session_id", "part").distinct(), ["session_id", "part"], "left_anti")
+    decision = (
+        F.when(F.col("at") - F.col("start") >= limits.seconds * 1_000_000, "session_expired")
+        .when(F.col("bytes") > limits.file_bytes, "file_too_large").when(F.col("state.files") >= limits.files, "too_many_files").otherwise("session_full")
+    )
+    rest = out.join(reached, ["session_id", "part"]).select("session_id", "seq", "bytes", decision.alias("decision"))
+    return reduce(DataFrame.unionByName, [*[d.drop("part") for d in scanned], rest])

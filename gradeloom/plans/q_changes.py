@@ -1,5 +1,7 @@
 """Change application: rows each decision would append."""
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from gradeloom.operators import changes as C
@@ -8,6 +10,7 @@ from gradeloom.operators.common import latest
 from gradeloom.plans.q_issues import issues
 from gradeloom.plans.q_state import answers, answers_table, confirmed_table, maximum, snapshot, state, state_table
 from gradeloom.plans.registry import SHARED, query, widen
+from gradeloom.session import checkpoint_dir
 
 SHARED.update(
     o_finalize="""
@@ -120,23 +123,24 @@ def skip_missing(v):
     return gaps.select("room_id", F.col("number").alias("student_number"), F.lit("skipped").alias("status"))
 
 
+# Every customer is an exam with 1 to 4 questions; an exam is free until a teacher has confirmed a key of it.
+SHARED["o_own_images"] = """
+SELECT s.source_id, o.o_custkey AS exam_id, s.created_at FROM v_sources s JOIN orders o ON o.o_orderkey = s.source_id WHERE s.purpose = 'key' AND s.archived = 0"""
 SHARED["o_auto_key"] = """
-WITH free AS (SELECT * FROM v_keys WHERE exam_id % 3 <> 0),
-img AS (SELECT DISTINCT ON (exam_id) exam_id, source_id FROM o_active WHERE purpose = 'key' AND exam_id % 3 = 0 ORDER BY exam_id, created_at DESC, source_id DESC)
-SELECT i.exam_id, i.source_id, d.detection_id, string_agg(a.answer, ',' ORDER BY a.question) AS answers FROM img i JOIN o_detection d ON d.source_id = i.source_id
-JOIN (SELECT source_id, question, CASE WHEN question % 2 = 0 THEN 'A' WHEN true THEN substr('ABCDE', CAST(source_id % 5 AS INT) + 1, 1) END AS answer FROM (SELECT source_id, unnest(range(1, 8)) AS question FROM img)) a
-  ON a.source_id = i.source_id WHERE d.pipeline_version = 'v10' AND d.has_registration = 1 GROUP BY ALL"""
+WITH img AS (SELECT exam_id, source_id FROM (SELECT *, row_number() OVER (PARTITION BY exam_id ORDER BY created_at DESC, source_id DESC) AS rn FROM o_own_images) WHERE rn = 1),
+free AS (SELECT * FROM img WHERE exam_id NOT IN (SELECT i.exam_id FROM o_own_images i JOIN v_keys k ON k.source_id = i.source_id WHERE k.origin = 'teacher')),
+a AS (SELECT i.exam_id, i.source_id, d.detection_id, q AS question, CASE WHEN d.pipeline_version = 'v10' AND d.has_registration = 1 AND b.auto_resolved AND b.state = 'single_mark' THEN b.choice END AS answer
+      FROM (SELECT *, unnest(range(1, exam_id % 4 + 2)) AS q FROM free) i JOIN o_detection d ON d.source_id = i.source_id LEFT JOIN o_observed b ON b.source_id = i.source_id AND b.question = i.q)
+SELECT exam_id, source_id, detection_id, string_agg(answer, ',' ORDER BY question) AS answers FROM a GROUP BY ALL HAVING count(*) = count(answer)"""
 
 
 @query("auto_key", "C11", "SELECT * FROM o_auto_key")
 def auto_key(v):
-    """Exams whose id is a multiple of 3 have no key yet; every question of a sheet carries a clear mark."""
-    choice = F.when(F.col("question") % 2 == 0, F.lit("A")).otherwise(F.substring(F.lit("ABCDE"), (F.col("source_id") % 5 + 1).cast("int"), F.lit(1)))
-    marks = v.sources.where("purpose = 'key'").select(
-        "source_id", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("question"), F.col("created_at").alias("observed_at"),
-        F.lit(0).alias("o1"), F.lit(0).alias("o2"), F.lit(0.0).alias("o3"), F.lit("single_mark").alias("state"), F.lit(1).alias("block_ok"),
-    ).withColumn("choice", choice)
-    return C.auto_key(v.detections, marks, v.keys.where("exam_id % 3 <> 0"), v.sources, v.exams)
+    own = v.orders.select(F.col("o_orderkey").alias("source_id"), F.col("o_custkey").alias("exam_id"))
+    sources = v.sources.drop("exam_id").join(own, "source_id")
+    keys = v.keys.drop("exam_id").join(own, "source_id").where("origin = 'teacher'")
+    exams = v.customer.select(F.col("c_custkey").alias("exam_id"), (F.col("c_custkey") % 4 + 1).cast("int").alias("question_count"))
+    return C.auto_key(v.detections, v.observations, keys, sources, exams)
 
 
 SHARED["o_late"] = """
@@ -255,10 +259,15 @@ def uniform_edit(v):
 SELECT exam_id, position, identifier, from_question, to_question FROM v_indicators WHERE exam_id NOT IN (SELECT exam_id FROM o_new_indicators)
 UNION ALL SELECT exam_id, position, identifier, from_question, to_question FROM o_new_indicators""")
 def replace_indicators(v):
+    """Written by exam, replaced partition by partition, and read back."""
     from gradeloom.operators.checks import check_indicators
+    from gradeloom.sources import partitions
 
+    path = f"{checkpoint_dir(v.spark)}/indicators-{uuid4().hex}"
     incoming = v.draft_indicators.select("exam_id", F.col("position").cast("int").alias("position"), "identifier", "from_question", "to_question")
-    return widen(C.replace_indicators(v.indicators, incoming, check_indicators(incoming, v.draft_exams)), "position")
+    partitions.write_partitions(v.indicators.select(incoming.columns), path)
+    partitions.apply_indicators(path, incoming, check_indicators(incoming, v.draft_exams))
+    return widen(partitions.read_partitions(v.spark, path, incoming.schema), "position")
 
 
 @query("fingerprint", "A19", """

@@ -103,9 +103,11 @@ def bbox_rules(v):
 SELECT record_id, 'not_held_out' AS rule FROM v_corpus WHERE split <> 'held_out'
 UNION ALL SELECT record_id, 'duplicate_content' FROM v_corpus WHERE content IN (SELECT content FROM v_corpus GROUP BY content HAVING count(*) > 1)
 UNION ALL SELECT record_id, 'bad_label' FROM v_corpus WHERE NOT regexp_matches(label, '^[0-9]+$')
-UNION ALL SELECT record_id, 'unknown_corpus' FROM v_corpus WHERE corpus_id NOT IN (SELECT source FROM documents GROUP BY source HAVING min(doc_id) % 2 = 0)""")
+UNION ALL SELECT record_id, 'unknown_corpus' FROM v_corpus WHERE corpus_id NOT IN (SELECT source FROM documents JOIN labels USING (doc_id) GROUP BY source HAVING avg(quality) >= 0.5)""")
 def check_holdout(v):
-    corpora = v.documents.groupBy(F.col("source").alias("corpus_id")).agg(F.min("doc_id").alias("_first")).where("_first % 2 = 0").select("corpus_id")
+    """Known corpora are those of which at least half of the labelled documents are good."""
+    rated = v.documents.join(v.labels, "doc_id").groupBy(F.col("source").alias("corpus_id"))
+    corpora = rated.agg(F.avg("quality").alias("_share")).where("_share >= 0.5").select("corpus_id")
     return K.check_corpus(v.corpus.withColumn("content_hash", F.sha2("content", 256)), corpora)
 
 

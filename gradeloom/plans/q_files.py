@@ -117,12 +117,17 @@ def unique_filenames(v):
 
 
 @query("snapshot_documents", "S17", """
-SELECT exam_id, room_id, source_id, '{"exam_id":' || exam_id || ',"room_id":' || room_id || ',"score":' || coalesce(CAST(score AS VARCHAR), 'null') || ',"source_id":' || source_id || ',"status":"' || status || '"}' AS document FROM o_snapshot""")
+WITH i AS (SELECT source_id, map_from_entries(list(row(position, n) ORDER BY position)) AS indicators FROM o_snapshot_indicators GROUP BY source_id),
+a AS (SELECT source_id, list(struct_pack(question := question, answer := answer, origin := origin) ORDER BY question, answer, origin) AS answers FROM o_snapshot_answers GROUP BY source_id)
+SELECT s.exam_id, s.room_id, s.source_id, CAST(to_json(struct_pack(answers := a.answers, blocked := s.blocked, detection_id := s.detection_id, exam_id := s.exam_id, identity_confirmed := s.identity_confirmed, identity_origin := s.identity_origin,
+  indicators := i.indicators, key_id := s.key_id, max := s.max, number := s.number, original_name := s.original_name, record_id := s.record_id, record_type := s.record_type, review_issues := s.review_issues,
+  room_id := s.room_id, score := s.score, source_id := s.source_id, status := s.status, unknown_ordinal := s.unknown_ordinal)) AS VARCHAR) AS document
+FROM o_snapshot s LEFT JOIN i ON i.source_id = s.source_id LEFT JOIN a ON a.source_id = s.source_id""")
 def snapshot_documents(v):
     from gradeloom.plans.q_state import snapshot
     from gradeloom.sources.publish import snapshot_documents as documents
 
-    return documents(snapshot(v).select("exam_id", "room_id", "score", "source_id", "status"))
+    return documents(snapshot(v))
 
 
 @query("append_detections", "S15", "SELECT source_id, detection_id, exam_id, pipeline_version FROM v_detections JOIN v_sources USING (source_id)")
@@ -227,3 +232,24 @@ SELECT source_id, CAST(question AS INT) AS question, state, choice, auto_resolve
 def read_export_observations(v):
     observations = exports.read_export_results(v.spark, result_documents(v))[1]
     return observations.select("source_id", "question", "state", F.get("selected", F.lit(0)).alias("choice"), "auto_resolved")
+
+
+SHARED["o_template_files"] = """
+SELECT template_row, list(struct_pack(b := block_index, s := question_start, e := question_end, x := x0, dx := dx, y := y0, dy := dy) ORDER BY block_index) AS b FROM v_blocks GROUP BY template_row"""
+
+
+@query("read_template", "S14", """
+SELECT CAST(template_row AS VARCHAR) AS template_id, CAST(unnest(b).b AS BIGINT) AS block_index, unnest(b).s AS question_start, unnest(b).e AS question_end, unnest(b).x + 4 * unnest(b).dx AS right_edge, unnest(b).y + 5 * unnest(b).dy AS bottom_edge
+FROM o_template_files""")
+def read_template(v):
+    """A template document for each part, 500 to a file, written and read back: the edges of its blocks."""
+    lines = lambda start, step, cells: F.transform(F.sequence(F.lit(0), F.lit(cells)), lambda i: (F.col(start) + i * F.col(step)).cast("int"))
+    block = F.struct(
+        F.col("block_index").cast("int").alias("block_index"), F.col("question_start").cast("int").alias("question_start"), F.col("question_end").cast("int").alias("question_end"), F.lit(5).alias("rows"), F.lit(4).alias("choice_count"),
+        lines("x0", "dx", 4).alias("col_boundaries"), lines("y0", "dy", 5).alias("row_boundaries"), F.lit("configured").alias("geometry_state"))
+    template = F.struct(F.col("template_row").cast("string").alias("id"), F.lit(1).alias("version"), F.lit(770).alias("width"), F.lit(300).alias("height"), "answer_blocks")
+    documents = v.blocks.groupBy("template_row").agg(F.array_sort(F.collect_list(block)).alias("answer_blocks"))
+    shelves = documents.groupBy(F.floor(F.col("template_row") / 500).alias("shelf")).agg(F.to_json(F.collect_list(template)).alias("value"))
+    blocks = exports.read_template(v.spark, written(v, "templates", shelves.select("shelf", "value"), "shelf"))[1]
+    edges = F.element_at("cols", -1).alias("right_edge"), F.element_at("rows", -1).alias("bottom_edge")
+    return widen(blocks.select("template_id", "block_index", "question_start", "question_end", *edges), "block_index", "question_start", "question_end", "right_edge", "bottom_edge")

@@ -99,14 +99,13 @@ def check_template(v):
 
 
 @query("template_diff", "A26", """
-SELECT template_row, max(err) AS max_error, round(CAST(greatest(0, least(max(r), max(r2)) - greatest(min(l), min(l2))) * greatest(0, least(max(b), max(b2)) - greatest(min(t), min(t2))) AS DOUBLE)
-         / CAST(nullif((max(r2) - min(l2)) * (max(b2) - min(t2)), 0) AS DOUBLE), 6) AS overlap, max(err) = 0 AS geometry_match
-FROM (SELECT template_row, greatest(abs(shift_x), CASE WHEN abs(shift_y) > 0 THEN abs(shift_y) ELSE 0 END) AS err, x0 AS l, x0 + 4 * dx AS r, y0 AS t, y0 + 5 * dy AS b,
-        x0 + shift_x AS l2, x0 + 4 * dx + shift_x AS r2, y0 + shift_y AS t2, y0 + 5 * dy + shift_y AS b2 FROM v_blocks WHERE template_row % 19 <> 18 AND dy > 0) GROUP BY template_row""")
+SELECT template_row, err AS max_error, coalesce(round(CAST(common AS DOUBLE) / CAST(nullif(area, 0) AS DOUBLE), 6), 0e0) AS overlap, err = 0 AND common = area AS geometry_match FROM (
+  SELECT template_row, max(err) AS err, greatest(0, least(max(r), max(r2)) - greatest(min(l), min(l2))) * greatest(0, least(max(b), max(b2)) - greatest(min(t), min(t2))) AS common, (max(r2) - min(l2)) * (max(b2) - min(t2)) AS area
+  FROM (SELECT template_row, greatest(abs(shift_x), abs(shift_y)) AS err, x0 AS l, x0 + 4 * dx AS r, y0 AS t, y0 + 5 * dy AS b,
+          x0 + shift_x AS l2, x0 + 4 * dx + shift_x AS r2, y0 + shift_y AS t2, y0 + 5 * dy + shift_y AS b2 FROM v_blocks) GROUP BY template_row)""")
 def template_diff(v):
-    usable = blocks(v).where("template_row % 19 <> 18 AND dy > 0")
-    shifted = usable.withColumn("cols", F.transform("cols", lambda x: x + F.col("shift_x"))).withColumn("rows", F.transform("rows", lambda y: y + F.col("shift_y")))
-    return G.template_diff(usable, shifted, KEY)
+    shifted = blocks(v).withColumn("cols", F.transform("cols", lambda x: x + F.col("shift_x"))).withColumn("rows", F.transform("rows", lambda y: y + F.col("shift_y")))
+    return G.template_diff(blocks(v), shifted, KEY)
 
 
 @query("latest_templates", "W4", """
@@ -173,7 +172,25 @@ def longest_regular_run(v):
     return G.longest_regular_run(clusters(v), ["image_id"])
 
 
-@query("dedupe_near", "W17")
+# Proposals of an image one after the other, strongest first; ``kept`` holds those that were near none before.
+SHARED["o_proposals"] = """
+SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY proposal_score DESC, candidate_id) AS i FROM (
+  SELECT image_id, c, max(proposal_score) AS proposal_score, min(candidate_id) AS candidate_id, list_sort(list(DISTINCT method)) AS methods FROM (
+    SELECT image_id % 4000 AS image_id, image_id AS candidate_id, CAST(image_id % 97 AS DOUBLE) / 97e0 AS proposal_score, 'm' || CAST(image_id % 3 AS VARCHAR) AS method,
+           list_transform([x1, y1, x2, y2, x3, y3, x4, y4], lambda p: p + image_id % 4 * 3) AS c FROM v_corners) GROUP BY image_id, c)"""
+
+
+@query("dedupe_near", "W17", """
+WITH RECURSIVE p AS MATERIALIZED (SELECT * FROM o_proposals),
+walk AS (
+  SELECT image_id, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(i BIGINT, c DOUBLE[])[]) AS kept, CAST(NULL AS BIGINT) AS owner FROM (SELECT DISTINCT image_id FROM p)
+  UNION ALL
+  SELECT image_id, i, CASE WHEN near IS NULL THEN list_append(kept, struct_pack(i := i, c := c)) ELSE kept END, coalesce(near, i)
+  FROM (SELECT p.image_id, p.i, p.c, w.kept, list_filter(w.kept, lambda k: (sqrt((k.c[1] - p.c[1]) * (k.c[1] - p.c[1]) + (k.c[2] - p.c[2]) * (k.c[2] - p.c[2])) + sqrt((k.c[3] - p.c[3]) * (k.c[3] - p.c[3]) + (k.c[4] - p.c[4]) * (k.c[4] - p.c[4]))
+          + sqrt((k.c[5] - p.c[5]) * (k.c[5] - p.c[5]) + (k.c[6] - p.c[6]) * (k.c[6] - p.c[6])) + sqrt((k.c[7] - p.c[7]) * (k.c[7] - p.c[7]) + (k.c[8] - p.c[8]) * (k.c[8] - p.c[8]))) / 4e0 <= 8.4e0)[1].i AS near
+        FROM walk w JOIN p ON p.image_id = w.image_id AND p.i = w.i + 1))
+SELECT k.image_id, k.candidate_id, k.proposal_score, array_to_string(list_sort(list_distinct(flatten(list(o.methods)))), ',') AS methods
+FROM walk w JOIN p k ON k.image_id = w.image_id AND k.i = w.owner JOIN p o ON o.image_id = w.image_id AND o.i = w.i GROUP BY k.image_id, k.candidate_id, k.proposal_score""")
 def dedupe_near(v):
     pick = lambda name: (F.col(name) + F.col("image_id") % 4 * 3).alias(name)
     corners = [f"{axis}{i}" for i in (1, 2, 3, 4) for axis in ("x", "y")]

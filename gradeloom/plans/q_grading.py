@@ -91,7 +91,8 @@ def confirmed_key(v):
     return G.confirmed_key(v.keys, v.sources)
 
 
-@query("grade", "J1", "SELECT exam_id, source_id, question, answer, points FROM o_graded")
+@query("grade", "J1", """
+WITH g AS MATERIALIZED (SELECT exam_id, source_id, question, answer, points FROM o_graded) SELECT * FROM g ORDER BY source_id, question""")
 def grade(v):
     return graded(v).select("exam_id", "source_id", "question", "answer", "points")
 

@@ -211,6 +211,10 @@ SELECT query_id, arg_min(label, dist) AS label, round(100e0 / (1e0 + min(dist)),
 )
 
 
+#: Bucket length of the approximate mode: the vectors have length 1.
+BUCKET = 1.0
+
+
 @query("knn", "J16", "SELECT * FROM o_knn")
 def knn(v):
     return I.knn_vote(I.knn(validation(v), training(v)))
@@ -224,3 +228,11 @@ def centroids(v):
 @query("nearest_centroid", "A16", "SELECT * FROM o_nearest")
 def nearest_centroid(v):
     return I.nearest_centroid(validation(v).select("query_id", "vector"), I.centroids(training(v)))
+
+
+@query("knn_hashed", "J16", "SELECT 5 * count(*) AS neighbours, true AS enough FROM embeddings WHERE vec_id % 5 = 0")
+def knn_hashed(v):
+    """The approximate mode against the exact one: at least nine of ten neighbours are found."""
+    found = I.knn_hashed(validation(v).select("query_id", "vector"), training(v), bucket=BUCKET)
+    measured = I.recall(found, I.knn(validation(v).select("query_id", "vector"), training(v)))
+    return measured.select("neighbours", (F.col("recall") >= 0.9).alias("enough"))

@@ -235,3 +235,28 @@ def purge_preview(v):
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+@query("purge_exam", "J18", """
+SELECT 'sources' AS name, exam_id, count(*) AS n FROM v_sources WHERE exam_id NOT IN (SELECT exam_id FROM v_exams WHERE archived = 1) GROUP BY exam_id
+UNION ALL SELECT 'detections', s.exam_id, count(*) FROM v_detections d JOIN v_sources s ON s.source_id = d.source_id WHERE s.exam_id NOT IN (SELECT exam_id FROM v_exams WHERE archived = 1) GROUP BY s.exam_id
+UNION ALL SELECT 'reviews', s.exam_id, count(*) FROM v_reviews r JOIN v_sources s ON s.source_id = r.source_id WHERE s.exam_id NOT IN (SELECT exam_id FROM v_exams WHERE archived = 1) GROUP BY s.exam_id
+UNION ALL SELECT 'partials', s.exam_id, count(*) FROM v_partials r JOIN v_sources s ON s.source_id = r.source_id WHERE s.exam_id NOT IN (SELECT exam_id FROM v_exams WHERE archived = 1) GROUP BY s.exam_id
+UNION ALL SELECT 'keys', exam_id, count(*) FROM v_keys WHERE exam_id NOT IN (SELECT exam_id FROM v_exams WHERE archived = 1) GROUP BY exam_id
+UNION ALL SELECT 'export_runs', exam_id, count(*) FROM v_export_runs WHERE exam_id NOT IN (SELECT exam_id FROM v_exams WHERE archived = 1) GROUP BY exam_id""")
+def purge_exam_query(v):
+    """Archived exams removed from tables written by exam; what is left, read back."""
+    from functools import reduce
+    from uuid import uuid4
+
+    from gradeloom.session import checkpoint_dir
+    from gradeloom.sources import partitions
+
+    root = f"{checkpoint_dir(v.spark)}/exams-{uuid4().hex}"
+    own = v.sources.select("source_id", "exam_id")
+    tables = {"sources": v.sources, "keys": v.keys, "export_runs": v.export_runs} | {n: getattr(v, n).join(own, "source_id") for n in ("detections", "reviews", "partials")}
+    for name, rows in tables.items():
+        partitions.write_partitions(rows, f"{root}/{name}")
+    partitions.apply_purge(v.spark, {name: f"{root}/{name}" for name in tables}, v.exams.where("archived = 1"))
+    left = [partitions.read_partitions(v.spark, f"{root}/{n}", df.schema).groupBy("exam_id").count().select(F.lit(n).alias("name"), "exam_id", F.col("count").alias("n")) for n, df in tables.items()]
+    return reduce(lambda a, b: a.unionByName(b), left)

@@ -62,17 +62,64 @@ def scan_rasters(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _number(content: Column, at: Column | int, size: int) -> Column:
+    """Big-endian number of ``size`` bytes from the 1-based place ``at``; NULL beyond the end."""
+    part = F.substring(content, F.lit(at) if isinstance(at, int) else at, F.lit(size))
+    return F.when(F.octet_length(part) == size, F.conv(F.hex(part), 16, 10).cast("int"))
+
+
+def jpeg_size(content: Column) -> Column:
+    """Width and height of a JPEG, by walking its marker segments to the frame header; NULL where there is none before the scan.
+
+    A fold over as many steps as the file could have segments; after the frame
+    header, the start of the scan or anything that is no marker it stands still.
+    """
+    start = F.struct(F.lit(3).alias("at"), F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"), F.lit(False).alias("ended"))
+
+    def step(state: Column, _: Column) -> Column:
+        at, mark = state["at"], _number(content, state["at"], 2)
+        stay = lambda at, ended, width=None, height=None: F.struct(
+            at.alias("at"), (F.lit(None).cast("int") if width is None else width).alias("width"), (F.lit(None).cast("int") if height is None else height).alias("height"), F.lit(ended).alias("ended")
+        )
+        # Frame headers are 0xC0 to 0xCF but for tables (C4, CC) and C8; FF01 and FFD0 to FFD7 stand alone; D9 and DA end the headers.
+        frame = mark.between(0xFFC0, 0xFFCF) & ~mark.isin(0xFFC4, 0xFFC8, 0xFFCC)
+        return (
+            F.when(state["ended"], state)
+            .when(mark.isNull() | (mark < 0xFF00) | mark.isin(0xFF00, 0xFFD8, 0xFFD9, 0xFFDA), stay(at, True))
+            .when(mark == 0xFFFF, stay(at + 1, False))
+            .when((mark == 0xFF01) | mark.between(0xFFD0, 0xFFD7), stay(at + 2, False))
+            .when(frame, stay(at, True, _number(content, at + 7, 2), _number(content, at + 5, 2)))
+            .otherwise(stay(at + 2 + F.greatest(F.coalesce(_number(content, at + 2, 2), F.lit(2)), F.lit(2)), False))
+        )
+
+    steps = F.sequence(F.lit(1), F.greatest(F.octet_length(content), F.lit(1)))
+    walked = F.aggregate(steps, start, step)
+    return F.when(sniff_type(content) == "jpeg", F.struct(walked["width"].alias("width"), walked["height"].alias("height")))
+
+
+def complete(content: Column) -> Column:
+    """Whether a PNG or JPEG has its last bytes: the IEND chunk, or the end-of-image marker."""
+    tail = F.hex(F.substring(content, -12, 12))
+    kind = sniff_type(content)
+    return F.when(kind == "png", tail == "0000000049454E44AE426082").when(kind == "jpeg", F.substring(tail, -4, 4) == "FFD9").otherwise(False)
+
+
 def inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Path, hash, bytes, size, type and status of every visible file, in path order."""
+    """Path, hash, bytes, size, type and status of every visible file, in path order.
+
+    Everything is told from the bytes, which are read once and not decoded: a
+    file is ``ok`` when it has a size in its header and its last bytes. Damage
+    in the middle of the pixel data is not seen; ``scan_rasters`` decodes. Spark
+    lists no files of zero bytes.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     visible = files.withColumn("path", F.regexp_replace("path", "^file:/+", "file:/")).where(~file_name(F.col("path")).startswith("."))
-    rasters = scan_rasters(spark, path).select("path", F.col("width").alias("_w"), F.col("height").alias("_h"))
-    size = png_size(F.col("content"))
-    joined = visible.join(rasters, "path", "left")
-    width, height = F.coalesce(size["width"], F.when(F.col("_w") > 0, F.col("_w"))), F.coalesce(size["height"], F.when(F.col("_h") > 0, F.col("_h")))
-    return joined.select(
-        "path", content_hash(F.col("content")).alias("sha256"), "length", width.alias("width"), height.alias("height"), sniff_type(F.col("content")).alias("format"),
-        F.when(yes(F.col("_w") > 0), "ok").otherwise("error").alias("status"),
+    content = F.col("content")
+    sized = visible.withColumn("_size", F.coalesce(png_size(content), jpeg_size(content)))
+    good = (F.col("_size.width") > 0) & (F.col("_size.height") > 0) & complete(content)
+    return sized.select(
+        "path", content_hash(content).alias("sha256"), "length", F.col("_size.width").alias("width"), F.col("_size.height").alias("height"), sniff_type(content).alias("format"),
+        F.when(yes(good), "ok").otherwise("error").alias("status"),
     ).orderBy("path")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from uuid import uuid4
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.functions.scalars import prevent_formula
 from gradeloom.operators.common import dense_number
+from gradeloom.sources.commits import CommitConflict, commit, commits
 
 
 def score_sheet(results: DataFrame, attendance: DataFrame, rooms: DataFrame, exams: DataFrame) -> DataFrame:
@@ -84,11 +86,11 @@ def artifact_manifest(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.sha2("content", 256).alias("sha256"), "length")
 
 
+RUN_SCHEMA = "run_id string, attempt string, fingerprint string, rows bigint, status string"
+
+
 def committed_runs(spark: SparkSession, root: str) -> DataFrame:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/export_runs")
-    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return spark.read.parquet(f"{root}/export_runs")
-    return spark.createDataFrame([], "run_id string, fingerprint string, rows bigint, status string")
+    return commits(spark, f"{root}/export_runs", RUN_SCHEMA)
 
 
 class SnapshotChanged(ValueError):
@@ -96,30 +98,34 @@ class SnapshotChanged(ValueError):
 
 
 def publish(build: Callable[[], DataFrame], spark: SparkSession, root: str, run_id: str) -> DataFrame:
-    """Write the snapshot of ``build`` under its own run folder, re-check, then commit.
+    """Write the snapshot of ``build`` under a folder of its own, re-check, then commit.
 
-    The commit row is appended last and only when the tables still give the
-    fingerprint that was written. Readers join on the commit log, so a run lost
-    half-way is invisible.
+    ``build`` is called again after writing, and the run is committed only when
+    the tables still give the fingerprint that was written. The commit goes to a
+    numbered log that takes each run id once: of two publishers of one run, in
+    whatever order their steps fall, one wins and the other gets an error.
+    Readers go by the log, so attempts that lost or died are invisible.
     """
     if committed_runs(spark, root).where(F.col("run_id") == run_id).limit(1).count():
-        raise ValueError(f"run exists: {run_id}")
-    target = f"{root}/runs/run_id={run_id}"
+        raise CommitConflict(f"run_id exists: {run_id}")
+    attempt = uuid4().hex
+    target = f"{root}/runs/run_id={run_id}/attempt={attempt}"
     build().write.mode("errorifexists").parquet(target)
     whole = lambda df: fingerprint(df.withColumn("_all", F.lit(1)), ["_all"]).select("fingerprint", "rows")
     written = whole(spark.read.parquet(target)).collect()
     current = whole(build()).collect()
     if [tuple(row) for row in written] != [tuple(row) for row in current]:
         raise SnapshotChanged(run_id)
-    commit = whole(spark.read.parquet(target)).select(F.lit(run_id).alias("run_id"), "fingerprint", "rows", F.lit("published").alias("status"))
-    commit.write.mode("append").parquet(f"{root}/export_runs")
-    return commit
+    digest, rows = tuple(written[0]) if written else (None, 0)
+    row = {"run_id": run_id, "attempt": attempt, "fingerprint": digest, "rows": rows, "status": "published"}
+    version = commit(spark, f"{root}/export_runs", row, RUN_SCHEMA, "run_id")
+    return committed_runs(spark, root).where(F.col("version") == version)
 
 
 def published(spark: SparkSession, root: str) -> DataFrame:
     """Rows of committed runs only."""
-    runs = committed_runs(spark, root).where("status = 'published'").select("run_id")
-    return spark.read.option("basePath", f"{root}/runs").parquet(f"{root}/runs").join(runs, "run_id", "left_semi")
+    runs = committed_runs(spark, root).where("status = 'published'").select("run_id", "attempt")
+    return spark.read.option("basePath", f"{root}/runs").parquet(f"{root}/runs").join(runs, ["run_id", "attempt"], "left_semi").drop("attempt")
 
 
 def export_runs(runs: DataFrame) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.listener import StreamingQueryListener
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from gradeloom.operators.changes import late_decisions
 from gradeloom.operators.common import latest
@@ -46,34 +49,178 @@ def stream_progress(work: DataFrame) -> DataFrame:
     return work.groupBy("room_id").agg(F.count(F.lit(1)).alias("total"), F.sum(F.col("done").cast("bigint")).alias("done"))
 
 
-def stream_quota(uploads: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Accept or reject uploads with exact per-session state that expires with the session.
+def observed_progress(work: DataFrame, name: str = "progress") -> DataFrame:
+    """``work`` (room_id, done) with its rows and finished rows counted per micro-batch on the way, for ``ProgressRows``."""
+    done = F.coalesce(F.sum(F.col("done").cast("bigint")), F.lit(0))
+    return work.observe(name, F.count(F.lit(1)).alias("total"), done.alias("done"))
+
+
+class ProgressRows(StreamingQueryListener):
+    """Turns the counts that streams observe into rows: one per query and micro-batch, with running totals and what is pending.
+
+    Add it with ``spark.streams.addListener``. It holds four numbers a
+    micro-batch; ``rows`` empties it.
+    """
 
-    ``uploads``: session_id, seq, at (timestamp), bytes; the watermark is on ``at``.
-    A micro-batch hands the arrivals of one session over in Arrow slices; they
-    are ordered by (at, seq) inside the batch.
+    def __init__(self, name: str = "progress"):
+        self.name = name
+        self.seen: list[tuple] = []
+        self.totals: dict[str, tuple[int, int]] = {}
+        self.ended: set[str] = set()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        counted = event.progress.observedMetrics.get(self.name)
+        if counted is not None:
+            run = str(event.progress.runId)
+            total, done = self.totals.get(run, (0, 0))
+            total, done = total + counted["total"], done + counted["done"]
+            self.totals[run] = total, done
+            self.seen.append((run, event.progress.batchId, counted["total"], counted["done"], total, done, total - done))
+
+    def onQueryTerminated(self, event) -> None:
+        self.totals.pop(str(event.runId), None)
+        self.ended.add(str(event.runId))
+
+    def wait(self, query: StreamingQuery, seconds: float = 30.0) -> None:
+        """Until the events of a query that has ended are all here; Spark sends them after it."""
+        until = time.monotonic() + seconds
+        while str(query.runId) not in self.ended and time.monotonic() < until:
+            time.sleep(0.05)
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        """Progress rows since the last call."""
+        seen, self.seen = self.seen, []
+        return spark.createDataFrame(seen, "run_id string, batch bigint, batch_total bigint, batch_done bigint, total bigint, done bigint, pending bigint")
+
+
+@contextmanager
+def progress_rows(spark: SparkSession, name: str = "progress") -> Iterator[ProgressRows]:
+    """A listener for the queries that run inside."""
+    listener = ProgressRows(name)
+    spark.streams.addListener(listener)
+    try:
+        yield listener
+    finally:
+        spark.streams.removeListener(listener)
+
+
+class Admission(StatefulProcessor):
+    """Decides the uploads of one session in (at, seq) order, whatever order they arrive in.
+
+    Arrivals wait in a list until the watermark has passed their time: nothing
+    earlier can come then. One timer a session stands at the earliest time that
+    waits. Once the start of a session is final, an arrival that is certain to be
+    refused (expired, too large, or the files are used up) is answered at once,
+    so that a hot session keeps no long list. What a session accepted stays as a
+    marker of four numbers after it has expired: a later upload is expired, it
+    does not open a new session.
     """
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        arrived = pd.concat(list(frames)).sort_values(["at", "seq"])
-        start, files, used = state.get if state.exists else (int(arrived["at"].iloc[0].value // 1000), 0, 0)
-        out = []
-        for seq, at, size in zip(arrived["seq"], arrived["at"], arrived["bytes"]):
-            decision = decide(start, files, used, int(at.value // 1000), int(size), limits)
+    def __init__(self, limits: Limits):
+        self.limits = limits
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.session = handle.getValueState("session", "start bigint, files bigint, used bigint, timer bigint")
+        self.waiting = handle.getListState("waiting", "seq bigint, at bigint, bytes bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        done = timerValues.getCurrentWatermarkInMs() * 1000
+        start, files, used, timer = self.session.get() if self.session.exists() else (None, 0, 0, -1)
+        earliest, lowest = None, None
+        for frame in rows:
+            at = frame["at"].astype("datetime64[us]").astype("int64")
+            table = pd.DataFrame({"seq": frame["seq"], "at": at, "bytes": frame["bytes"]})
+            decisions = pd.Series(None, index=table.index, dtype=object)
+            if start is not None and start <= done:  # no earlier start can come
+                if files >= self.limits.files:
+                    decisions[:] = "too_many_files"
+                decisions[table["bytes"] > self.limits.file_bytes] = "file_too_large"
+                decisions[table["at"] - start >= self.limits.seconds * 1_000_000] = "session_expired"
+            told = decisions.notna()
+            if told.any():
+                yield _answers(key[0], [(*row, decision) for row, decision in zip(table[told].itertuples(index=False, name=None), decisions[told], strict=True)])
+            wait = table[~told]
+            if len(wait):
+                self.waiting.appendList([tuple(map(int, row)) for row in wait.itertuples(index=False)])
+                low = int(wait["at"].min())
+                earliest = low if earliest is None else min(earliest, low)
+            low = int(table["at"].min())
+            lowest = low if lowest is None else min(lowest, low)
+        if lowest is not None:
+            start = lowest if start is None else min(start, lowest)
+        if earliest is not None:
+            timer = self._timed(timer, earliest)
+        self.session.update((start, files, used, timer))
+
+    def _timed(self, timer: int, earliest: int) -> int:
+        """The session's one timer, moved forward to ``earliest`` if that comes first."""
+        wanted = -(-earliest // 1000)
+        if timer < 0 or wanted < timer:
+            if timer >= 0:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(wanted)
+            return wanted
+        return timer
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        done = timerValues.getCurrentWatermarkInMs() * 1000
+        start, files, used, _ = self.session.get()
+        rows = list(self.waiting.get())
+        ready, later, out = sorted((r[1], r[0], r[2]) for r in rows if r[1] <= done), [tuple(r) for r in rows if r[1] > done], []
+        for at, seq, size in ready:
+            decision = decide(start, files, used, at, size, self.limits)
             if decision == "accepted":
-                files, used = files + 1, used + int(size)
-            out.append((key[0], seq, size, decision))
-        state.update((start, files, used))
-        expires = start // 1000 + limits.seconds * 1000
-        if expires > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(expires)
-        yield pd.DataFrame(out, columns=["session_id", "seq", "bytes", "decision"])
-
-    return uploads.groupBy("session_id").applyInPandasWithState(
-        step, "session_id bigint, seq bigint, bytes bigint, decision string", "start bigint, files bigint, used bigint", "append", GroupStateTimeout.EventTimeTimeout
+                files, used = files + 1, used + size
+            out.append((seq, at, size, decision))
+        timer = -1
+        if later:
+            self.waiting.put(later)
+            timer = self._timed(-1, min(r[1] for r in later))
+        else:
+            self.waiting.clear()
+        self.session.update((start, files, used, timer))
+        yield _answers(key[0], out)
+
+    def close(self) -> None:
+        pass
+
+
+def _answers(session: int, rows: list[tuple]) -> pd.DataFrame:
+    """Decisions (seq, at, bytes, decision) of one session."""
+    frame = pd.DataFrame(rows, columns=["seq", "at", "bytes", "decision"])
+    return frame.assign(session_id=session, at=pd.to_datetime(frame["at"], unit="us"))[["session_id", "seq", "at", "bytes", "decision"]]
+
+
+#: The state store that the state API needs.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def state_store(spark: SparkSession, provider: str = ROCKSDB) -> Iterator[None]:
+    """Queries started inside keep their state in ``provider``; the session's own setting comes back afterwards."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, provider)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def stream_quota(uploads: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Accept or reject uploads exactly as ``quota_exact`` does, as soon as the watermark allows.
+
+    ``uploads``: session_id, seq, at (timestamp), bytes; the watermark is on
+    ``at``. Uploads up to the watermark's delay late are decided in their place;
+    later ones Spark drops. Gives session_id, seq, at, bytes, decision. Start the
+    query in a session whose state store is ``ROCKSDB``.
+    """
+    return uploads.groupBy("session_id").transformWithStateInPandas(
+        statefulProcessor=Admission(limits), outputStructType="session_id bigint, seq bigint, at timestamp, bytes bigint, decision string", outputMode="Append", timeMode="EventTime"
     )
 
 
