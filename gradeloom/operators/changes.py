@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from gradeloom.functions.scalars import normalize_number
 from gradeloom.operators import review as R
 from gradeloom.operators.common import CHOICES, RESOLVED, count_per, dense_number, latest, top, yes
+from gradeloom.session import cut
 
 ATTENDANCE = ("pending", "absent", "excused", "skipped")
 
@@ -229,10 +231,11 @@ def skip_remaining(state: DataFrame, answers: DataFrame, maximum: DataFrame, att
     teacher = (on_key & yes(F.col("review_origin") == "teacher")) | F.col("overridden")
     unresolved, ambiguous = F.col("answer").isNull(), F.col("answer").isNotNull() & yes(F.col("state") == "multiple") & ~teacher
     label = F.when(unresolved, F.format_string("Q%d unresolved", "question")).when(ambiguous, F.format_string("Q%d ambiguous", "question"))
+    origin = F.when(unresolved, "review_skipped").when(teacher, "teacher_confirmed").otherwise("machine_decision")
     per_sheet = answers.groupBy("source_id", "exam_id", "room_id", "number", "key_id", "detection_id", "failure", "identity_origin").agg(
         F.bool_and(on_key).alias("_on_key"),
         F.array_sort(F.collect_list(F.when(label.isNotNull(), F.struct("question", label.alias("label"))))).alias("_open"),
-        F.array_sort(F.collect_list(F.struct("question", F.coalesce("answer", F.lit("unresolved")).alias("answer")))).alias("_answers"),
+        F.array_sort(F.collect_list(F.struct("question", F.coalesce("answer", F.lit("unresolved")).alias("answer"), origin.alias("origin")))).alias("_answers"),
     )
     rows = per_sheet.join(room, "source_id").join(away, ["room_id", "number"], "left")
     conflict, outside = yes(F.col("holders") > 1), yes(F.col("number") > F.col("maximum"))
@@ -251,11 +254,71 @@ def skip_remaining(state: DataFrame, answers: DataFrame, maximum: DataFrame, att
         "source_id", "exam_id", "room_id", "key_id", "detection_id", F.when(valid, F.col("number")).alias("number"), valid.alias("identity_confirmed"),
         F.when(valid, F.coalesce("identity_origin", F.lit("teacher_confirmed"))).otherwise("unknown").alias("identity_origin"),
         F.array_join(open_list, ";").alias("review_issues"), F.array_join(F.transform("_answers", lambda item: item["answer"]), ",").alias("answers"),
+        F.array_join(F.transform("_answers", lambda item: item["origin"]), ",").alias("provenance"),
     )
     labelled = assign_unknown_labels(out.where(~F.col("identity_confirmed")), partials)
     return labelled.unionByName(out.where("identity_confirmed").withColumn("ordinal", F.lit(None).cast("bigint")))
 
 
+def skip_drift(opened: DataFrame, now: DataFrame, answer_edits: DataFrame, identity_edits: DataFrame) -> DataFrame:
+    """Rooms whose form no longer fits what is there, each with the first reason: room_id, reason.
+
+    ``opened`` is what the form was opened on, ``now`` what holds: room_id,
+    source_id, key_id, detection_id. An edit of a sheet that isn't there, an
+    answer outside the vocabulary or a number that can't be read refuses the
+    whole room, as do another key, another set of sheets or a newer detection.
+    """
+    sheets = now.select("room_id", "source_id")
+    edits = answer_edits.select("room_id", "source_id").unionByName(identity_edits.select("room_id", "source_id"))
+    told = lambda df, place, reason: df.select("room_id", F.struct(F.lit(place).alias("place"), F.lit(reason).alias("reason")).alias("_why"))
+    renamed = opened.select("room_id", "source_id", F.col("key_id").alias("_key"), F.col("detection_id").alias("_detection"), F.lit(True).alias("_opened"))
+    both = now.withColumn("_now", F.lit(True)).join(renamed, ["room_id", "source_id"], "full")
+    kept = F.col("_now") & F.col("_opened")
+    rules = [
+        told(edits.join(sheets, ["room_id", "source_id"], "left_anti"), 1, "edited_sheet_gone"),
+        told(identity_edits.where(normalize_number(F.col("value")).isNull()), 2, "bad_number"),
+        told(answer_edits.where(~yes(F.col("answer").isin(*RESOLVED)) | ~yes(F.col("question").between(1, F.col("question_count")))), 3, "bad_answer"),
+        told(both.where(yes(kept & (F.col("key_id") != F.col("_key")))), 4, "key_changed"),
+        told(both.where(F.col("_now").isNull() | F.col("_opened").isNull()), 5, "sheets_changed"),
+        told(both.where(yes(kept & ~F.col("detection_id").eqNullSafe(F.col("_detection")))), 6, "detection_changed"),
+    ]
+    return reduce(DataFrame.unionByName, rules).groupBy("room_id").agg(F.min("_why").alias("_why")).select("room_id", F.col("_why.reason").alias("reason"))
+
+
+def skip_remaining_with_edits(
+    state: DataFrame, answers: DataFrame, maximum: DataFrame, attendance: DataFrame, partials: DataFrame, opened: DataFrame, answer_edits: DataFrame, identity_edits: DataFrame
+) -> dict[str, DataFrame]:
+    """``skip_remaining`` with what was typed into the form, room by room and all or nothing.
+
+    ``answer_edits``: room_id, source_id, question, answer; ``identity_edits``:
+    room_id, source_id, value; one row per thing edited. Gives the rows to
+    append (``partials``, ``identities``, ``overrides``) and the rooms that were
+    ``refused``, of which nothing is written.
+    """
+    now = answers.select("room_id", "source_id", "key_id", "detection_id").distinct()
+    counted = answer_edits.join(answers.groupBy("room_id").agg(F.max("question_count").alias("question_count")), "room_id", "left")
+    refused = cut(skip_drift(opened, now, counted, identity_edits), "refused")
+    open_rooms = lambda df: df.join(refused.select("room_id"), "room_id", "left_anti")
+    numbers = open_rooms(identity_edits).select("source_id", normalize_number(F.col("value")).alias("_number"))
+    typed = open_rooms(answer_edits).select("source_id", "question", F.col("answer").alias("_answer"))
+
+    def renumbered(df: DataFrame) -> DataFrame:
+        """An edited number takes the place of the one read, and comes from a teacher."""
+        edited = df.join(numbers, "source_id", "left")
+        new = {"number": F.coalesce(F.col("_number").cast(df.schema["number"].dataType), "number"), "identity_origin": F.when(F.col("_number").isNotNull(), "teacher").otherwise(F.col("identity_origin"))}
+        return edited.withColumns({name: value for name, value in new.items() if name in df.columns}).drop("_number")
+
+    edited = renumbered(open_rooms(answers)).join(typed, ["source_id", "question"], "left")
+    edited = edited.withColumn("overridden", F.col("overridden") | F.col("_answer").isNotNull()).withColumn("answer", F.coalesce("_answer", "answer")).drop("_answer")
+    sheets = now.select("source_id", "key_id", "detection_id")
+    return {
+        "partials": skip_remaining(renumbered(state), edited, maximum, attendance, partials),
+        "identities": numbers.join(sheets, "source_id").select("source_id", F.col("_number").alias("student_number"), "detection_id", F.lit("teacher").alias("origin")),
+        "overrides": typed.join(sheets, "source_id").select("source_id", "key_id", "detection_id", "question", F.col("_answer").alias("answer")),
+        "refused": refused,
+    }
+
+
 def archive_state(log: DataFrame, keys: list[str]) -> DataFrame:
     """Archive / restore as log rows: an entity is archived when its last toggle says so."""
     last = latest(log, keys)

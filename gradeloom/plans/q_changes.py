@@ -188,25 +188,77 @@ def assign_unknown_labels(v):
     return C.assign_unknown_labels(state_table(v).where("number IS NULL").select("source_id"), v.partials)
 
 
-@query("skip_remaining", "C9 W6", """
-WITH a AS (SELECT *, coalesce(review_key = key_id, false) AS on_key, (coalesce(review_key = key_id, false) AND coalesce(review_origin = 'teacher', false)) OR overridden AS teacher FROM o_answers),
+def skip_sql(answers: str, sheets: str) -> str:
+    """Partial reviews over two sub-queries: answers of all sheets, and the sheets with holders of their number and their room's maximum."""
+    return f"""
+WITH a AS (SELECT *, coalesce(review_key = key_id, false) AS on_key, (coalesce(review_key = key_id, false) AND coalesce(review_origin = 'teacher', false)) OR overridden AS teacher FROM {answers}),
 p AS (SELECT source_id, exam_id, room_id, number, key_id, detection_id, failure, identity_origin, bool_and(on_key) AS on_key, string_agg(coalesce(answer, 'unresolved'), ',' ORDER BY question) AS answers,
+        string_agg(CASE WHEN answer IS NULL THEN 'review_skipped' WHEN teacher THEN 'teacher_confirmed' ELSE 'machine_decision' END, ',' ORDER BY question) AS provenance,
         string_agg(CASE WHEN answer IS NULL THEN 'Q' || question || ' unresolved' WHEN state = 'multiple' AND NOT teacher THEN 'Q' || question || ' ambiguous' END, ';' ORDER BY question) AS open FROM a GROUP BY ALL),
 q AS (SELECT p.*, w.status IS NOT NULL AS away, coalesce(s.holders > 1, false) AS conflict, coalesce(p.number > s.maximum, false) AS outside
-      FROM p JOIN o_sheets s ON s.source_id = p.source_id LEFT JOIN o_attendance w ON w.room_id = p.room_id AND w.student_number = p.number AND w.status IN ('absent', 'excused')),
+      FROM p JOIN {sheets} s ON s.source_id = p.source_id LEFT JOIN o_attendance w ON w.room_id = p.room_id AND w.student_number = p.number AND w.status IN ('absent', 'excused')),
 r AS (SELECT *, number IS NOT NULL AND NOT conflict AND NOT outside AS valid FROM q),
 t AS (SELECT *, CASE WHEN conflict THEN 'identity_conflict' WHEN outside THEN 'identity_out_of_range' WHEN NOT valid THEN 'identity_unknown' WHEN away THEN 'attendance_conflict' END AS ident FROM r),
 u AS (SELECT * FROM t WHERE NOT on_key OR failure IS NOT NULL OR open IS NOT NULL OR ident IS NOT NULL),
 kept AS (SELECT source_id, unknown_ordinal AS ordinal FROM o_partial WHERE unknown_ordinal IS NOT NULL)
 SELECT u.source_id, exam_id, room_id, key_id, detection_id, CASE WHEN valid THEN number END AS number, valid AS identity_confirmed,
   CASE WHEN valid THEN coalesce(identity_origin, 'teacher_confirmed') ELSE 'unknown' END AS identity_origin,
-  concat_ws(';', 'review_skipped', CASE WHEN failure IS NOT NULL THEN 'alignment_needs_review' END, open, ident) AS review_issues, answers,
+  concat_ws(';', 'review_skipped', CASE WHEN failure IS NOT NULL THEN 'alignment_needs_review' END, open, ident) AS review_issues, answers, provenance,
   CASE WHEN NOT valid THEN coalesce(k.ordinal, (SELECT max(unknown_ordinal) FROM v_partials) + row_number() OVER (PARTITION BY valid, k.ordinal IS NULL ORDER BY u.source_id)) END AS ordinal
-FROM u LEFT JOIN kept k ON k.source_id = u.source_id""")
+FROM u LEFT JOIN kept k ON k.source_id = u.source_id"""
+
+
+@query("skip_remaining", "C9 W6", skip_sql("o_answers", "o_sheets"))
 def skip_remaining(v):
     return C.skip_remaining(state_table(v), answers_table(v), maximum(v), G.attendance_state(v.attendance), v.partials)
 
 
+# The newest override of a question is typed into the form, and every thirteenth sheet's newest identity as its number.
+# Of the rooms, some get another key, lose a sheet or are read again while the form is open.
+SHARED.update(
+    o_typed="SELECT o.source_id, o.question, max_by(o.answer, o.seq) AS answer FROM v_overrides o WHERE o.source_id IN (SELECT source_id FROM o_answers) GROUP BY o.source_id, o.question",
+    o_typed_numbers="SELECT source_id, student_number AS number FROM o_identity WHERE source_id % 13 = 1 AND source_id IN (SELECT source_id FROM o_answers)",
+    o_refused="""
+SELECT room_id, reason FROM (
+  SELECT room_id, CASE WHEN room_id % 11 = 5 THEN 'key_changed' WHEN bool_or(room_id % 13 = 6 AND source_id % 10 = 2) THEN 'sheets_changed' WHEN bool_or(room_id % 7 = 3 AND source_id % 10 = 1 AND detection_id IS NOT NULL) THEN 'detection_changed' END AS reason
+  FROM o_answers GROUP BY room_id) WHERE reason IS NOT NULL""",
+    o_edited_answers="""
+SELECT a.* REPLACE (coalesce(t.answer, a.answer) AS answer, a.overridden OR t.answer IS NOT NULL AS overridden, coalesce(n.number, a.number) AS number, CASE WHEN n.number IS NOT NULL THEN 'teacher' ELSE a.identity_origin END AS identity_origin)
+FROM o_answers a LEFT JOIN o_typed t ON t.source_id = a.source_id AND t.question = a.question LEFT JOIN o_typed_numbers n ON n.source_id = a.source_id WHERE a.room_id NOT IN (SELECT room_id FROM o_refused)""",
+    o_edited_sheets="""
+SELECT s.source_id, s.maximum, CASE WHEN coalesce(n.number, s.number) IS NOT NULL THEN count(*) OVER (PARTITION BY s.room_id, coalesce(n.number, s.number)) END AS holders
+FROM o_sheets s LEFT JOIN (SELECT * FROM o_typed_numbers WHERE source_id NOT IN (SELECT source_id FROM o_answers WHERE room_id IN (SELECT room_id FROM o_refused))) n ON n.source_id = s.source_id""",
+)
+
+
+def form(v):
+    """(answers, what the form was opened on, answers typed, numbers typed)."""
+    answers = answers_table(v)
+    sheets = answers.select("room_id", "source_id", "key_id", "detection_id").distinct()
+    room, source = F.col("room_id"), F.col("source_id")
+    opened = sheets.where(~((room % 13 == 6) & (source % 10 == 2))).withColumns({
+        "key_id": F.when(room % 11 == 5, F.col("key_id") - 1).otherwise(F.col("key_id")),
+        "detection_id": F.when((room % 7 == 3) & (source % 10 == 1), F.col("detection_id") - 1).otherwise(F.col("detection_id")),
+    })
+    place = sheets.select("source_id", "room_id")
+    typed = latest(v.overrides, ["source_id", "question"]).select("source_id", "question", "answer").join(place, "source_id")
+    numbers = latest(v.identities, "source_id").where("source_id % 13 = 1").select("source_id", F.col("student_number").cast("string").alias("value")).join(place, "source_id")
+    return answers, opened, typed, numbers
+
+
+@query("skip_remaining_edits", "C9 W6", skip_sql("o_edited_answers", "o_edited_sheets"))
+def skip_remaining_edits(v):
+    answers, opened, typed, numbers = form(v)
+    return C.skip_remaining_with_edits(state_table(v), answers, maximum(v), G.attendance_state(v.attendance), v.partials, opened, typed, numbers)["partials"]
+
+
+@query("skip_drift", "C9 U4", "SELECT room_id, reason FROM o_refused")
+def skip_drift(v):
+    answers, opened, typed, numbers = form(v)
+    now = answers.select("room_id", "source_id", "key_id", "detection_id").distinct()
+    return C.skip_drift(opened, now, typed.withColumn("question_count", F.lit(7)), numbers)
+
+
 @query("archive_restore", "C13", """
 SELECT source_id, max_by(action, seq) = 'archive' AS archived, max(seq) AS since FROM (
   SELECT user_id AS source_id, event_id AS seq, CASE WHEN event_type = 'error' THEN 'archive' ELSE 'restore' END AS action FROM events) GROUP BY source_id""")
