@@ -8,10 +8,16 @@ exact, so complete segmentations leave the queue in falling order of score. The
 forward pass keeps the runner-up's score too, which tells what a word's
 second-best loses before any search.
 
-No piece of the vocabulary crosses from a letter to U+2581, so the lattice of a
-text is a chain of independent word lattices (and a word's is one of two where
-no piece holds its last letter and the punctuation after it). Each distinct word is solved once
-while a worker keeps it; the N best of a text combine those of its words. Only
+The model file is a BPE model: its scores are merge ranks, which say nothing
+when summed. A piece's score here is its log probability, from how often the
+library itself uses the piece over all documents (``log_probabilities``). What
+the library gives is returned beside the N best, with its own score.
+
+No piece of the vocabulary crosses from a letter to U+2581 or holds a line
+break, so the lattice of a text is a chain of independent word lattices (and a
+word's is one of two where no piece holds its last letter and the punctuation
+after it). Each distinct word is solved once while a worker keeps it, all new
+words of a step together; the N best of a text combine those of its words. Only
 the words whose second-best costs least can differ from their best there (N - 1
 of them at most, ties by place), so the same A* search runs over these alone.
 
@@ -21,28 +27,35 @@ with the score ``BYTE_SCORE``, below that of any piece.
 Defined results: a null or empty text has no pieces and one segmentation, of
 score 0; repeated rows give one row each; decoding an encoding gives the
 normalized text back, with its spaces. Fewer than N segmentations are returned
-where there are no more.
+where there are no more; of equal scores the one found first comes first.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import held
+from gradeloom.llm.common import held, stored
 
 BEST = 4
 SPACE = "▁"
-BYTE_SCORE = -100_000.0
-#: Words that a worker keeps.
-CACHED_WORDS = 500_000
+BYTE_SCORE = -1000.0
+#: Scores are multiples of 1 / SCALE: sums over a text are exact.
+SCALE = 1 << 20
+#: Words that a worker keeps, characters of texts that are looked at together, and the longest word that is solved together with others.
+CACHED_WORDS = 800_000
+STEP_CHARS = 1 << 20
+TOGETHER = 48
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: (score, ids) of each segmentation.
 Segmentations = list[tuple[float, tuple[int, ...]]]
@@ -60,6 +73,7 @@ class Lattice:
             for letter in piece:
                 node = node.setdefault(letter, {})
             node[""] = (score, (number,))
+        self.tables()
 
     def edges(self, word: str) -> tuple[list[list[tuple[int, float, tuple[int, ...]]]], list[float]]:
         """By end place: (start, score, ids) of the pieces that end there; and the best score of what lies before each place."""
@@ -83,6 +97,83 @@ class Lattice:
                         forward[end + 1] = before + known[0]
         return ends, forward
 
+    def tables(self) -> None:
+        """The trie as arrays: edges by (node, letter), and each node's piece and score."""
+        letters = {letter: k for k, letter in enumerate(sorted({x for piece in self.scores for x in piece}), 1)}
+        self.letter = np.zeros(0x110000, np.int32)
+        self.letter[[ord(x) for x in letters]] = list(letters.values())
+        self.width = len(letters) + 1
+        edges, pieces, work = [], [(-1, -np.inf)], [(0, self.trie)]
+        for number, node in work:
+            for letter, child in node.items():
+                if letter:
+                    score, ids = child.get("", (-np.inf, (-1,)))
+                    edges.append((number * self.width + letters[letter], len(pieces)))
+                    work.append((len(pieces), child))
+                    pieces.append((ids[0], score))
+        edges.sort()
+        self.edge, self.child = (np.asarray([e[k] for e in edges], np.int64) for k in (0, 1))
+        self.piece, self.value = np.asarray([p for p, _ in pieces], np.int64), np.asarray([v for _, v in pieces])
+        single = np.zeros(0x110000, bool)
+        single[[ord(x) for x in self.scores if len(x) == 1]] = True
+        self.single = single
+
+    def best_two_of(self, words: list[str]) -> list[tuple[bytes, float, float]]:
+        """``best_two`` of many words, ids packed. Words of like length run through the forward pass side by side."""
+        out: list = [None] * len(words)
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+        sizes = np.asarray([len(w) for w in words], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        bare = np.add.reduceat(np.r_[~self.single[points], False], starts) > 0 if len(words) else np.zeros(0, bool)
+        alone = bare | (sizes > TOGETHER) | (sizes == 0)
+        for k in np.flatnonzero(alone).tolist():
+            ids, score, loss = self.best_two(words[k])
+            out[k] = array("I", ids).tobytes(), score, loss
+        order = np.flatnonzero(~alone)
+        order = order[np.argsort(sizes[order], kind="stable")]
+        for part in np.array_split(order, max(len(order) // 4096, 1)):
+            if len(part):
+                self._side_by_side(part, points, starts[part], sizes[part], out)
+        return out
+
+    def _side_by_side(self, part: np.ndarray, points: np.ndarray, starts: np.ndarray, sizes: np.ndarray, out: list) -> None:
+        longest, rows = int(sizes[-1]), np.arange(len(part))
+        letters = self.letter[points[np.minimum(starts[:, None] + np.arange(longest), len(points) - 1)]].astype(np.int64)
+        first = np.full((len(part), longest + 1), -np.inf)
+        second, piece, back = first.copy(), np.zeros(first.shape, np.int64), np.zeros(first.shape, np.int64)
+        first[:, 0] = 0.0
+        for start in range(longest):
+            own = rows[sizes > start]
+            node = np.zeros(len(own), np.int64)
+            for end in range(start, longest):
+                inside = sizes[own] > end
+                own, node = own[inside], node[inside]
+                key = node * self.width + letters[own, end]
+                at = np.minimum(np.searchsorted(self.edge, key), len(self.edge) - 1)
+                follows = self.edge[at] == key
+                own, node = own[follows], self.child[at[follows]]
+                if not len(own):
+                    break
+                known = self.piece[node] >= 0
+                r, score = own[known], self.value[node[known]]
+                a, b, best, next_ = first[r, start] + score, second[r, start] + score, first[r, end + 1], second[r, end + 1]
+                better = a > best
+                second[r, end + 1] = np.where(better, np.maximum(best, b), np.maximum(next_, a))
+                first[r, end + 1] = np.where(better, a, best)
+                won = r[better]
+                piece[won, end + 1], back[won, end + 1] = self.piece[node[known][better]], start
+        # Pieces from the end of each word to its start, right-aligned.
+        ids, at = np.zeros((len(part), longest), "<u4"), sizes.copy()
+        counts = np.zeros(len(part), np.int64)
+        while (live := rows[at > 0]).size:
+            ids[live, longest - 1 - counts[live]] = piece[live, at[live]]
+            counts[live] += 1
+            at[live] = back[live, at[live]]
+        raw, width = ids.tobytes(), 4 * longest
+        best, loss = first[rows, sizes], first[rows, sizes] - second[rows, sizes]
+        for k, i, count, score, lost in zip(part.tolist(), range(len(part)), counts.tolist(), best.tolist(), loss.tolist(), strict=True):
+            out[k] = raw[(i + 1) * width - 4 * count : (i + 1) * width], score, lost
+
     def best_two(self, word: str) -> tuple[tuple[int, ...], float, float]:
         """(ids of the best segmentation, its score, what the second-best loses), by a forward pass that keeps two scores for each place."""
         size = len(word)
@@ -122,17 +213,27 @@ class Lattice:
         return tuple(x for own in reversed(ids) for x in own), first[size], first[size] - second[size]
 
     def best(self, word: str, n: int) -> Segmentations:
-        """Up to ``n`` segmentations, highest score first, ties to smaller ids."""
+        """Up to ``n`` segmentations, highest score first.
+
+        A path is a chain of links to the piece after it, and of equal scores
+        the newest path goes on, so a word of any length takes steps in
+        proportion to it. Scores are exact in binary, so equal ones are equal.
+        """
         ends, forward = self.edges(word)
-        queue = [(-forward[-1], (), len(word), 0.0)]
+        order = itertools.count()
+        queue = [(-forward[-1], 0, len(word), 0.0, None)]
         found: Segmentations = []
         while queue and len(found) < n:
-            _, ids, at, score = heapq.heappop(queue)
+            _, _, at, score, path = heapq.heappop(queue)
             if not at:
-                found.append((score, ids))
+                ids: list[int] = []
+                while path is not None:
+                    piece, path = path
+                    ids += piece
+                found.append((score, tuple(ids)))
                 continue
             for start, own, piece in ends[at]:
-                heapq.heappush(queue, (-(forward[start] + own + score), piece + ids, start, own + score))
+                heapq.heappush(queue, (-(forward[start] + own + score), -next(order), start, own + score, (piece, path)))
         return found
 
 
@@ -152,7 +253,9 @@ def combined(words: list[Segmentations], n: int) -> list[tuple[float, tuple[int,
 
 
 class Encoder:
-    def __init__(self, path: str, n: int):
+    """Words, their segmentations and what is kept of them; ``scores`` of the pieces, or the model file's."""
+
+    def __init__(self, path: str, n: int = BEST, scores: np.ndarray | None = None):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -160,26 +263,38 @@ class Encoder:
         size = self.model.get_piece_size()
         own = [i for i in range(size) if not (self.model.is_control(i) or self.model.is_unknown(i) or self.model.is_byte(i) or self.model.is_unused(i))]
         self.names = [self.model.id_to_piece(i) for i in range(size)]
-        if any(SPACE in self.names[i].lstrip(SPACE) for i in own):
-            raise ValueError("a piece crosses from a letter to a space: words aren't independent")
+        if any(SPACE in self.names[i].lstrip(SPACE) or "\n" in self.names[i] for i in own):
+            raise ValueError("a piece crosses from a letter to a space or holds a line break: words aren't independent")
         byte_ids = [self.model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.byte_of = {i: b for b, i in enumerate(byte_ids)}
-        self.lattice = Lattice({self.names[i]: (i, self.model.get_score(i)) for i in own}, byte_ids)
+        given = self.model.get_score if scores is None else scores.__getitem__
+        value = lambda i: round(given(i) * SCALE) / SCALE
+        self.lattice = Lattice({self.names[i]: (i, float(value(i))) for i in own}, byte_ids)
+        self.after_break = self.model.encode("\n")
+        self.value = [BYTE_SCORE if i in self.byte_of else float(value(i)) for i in range(size)]
         self.forget()
-        self.lists: dict[str, Segmentations] = {}
 
     def words(self, text: str) -> list[str]:
-        """Runs of spaces with what follows them, of the normalized text."""
-        parts = (SPACE + text.replace(" ", SPACE)).split(SPACE)[1:]
-        if "" not in parts:
-            return [SPACE + part for part in parts]
-        out, held = [], ""
-        for part in parts:
-            held += SPACE
-            if part:
-                out.append(held + part)
-                held = ""
-        return [*out, held] if held else out
+        """Runs of spaces with what follows them up to the next space or line break, of the normalized text; line breaks."""
+        out: list[str] = []
+        for k, line in enumerate((SPACE + text.replace(" ", SPACE)).split("\n")):
+            if k:
+                out.append("\n")
+            head, *parts = line.split(SPACE)
+            if head:
+                out.append(head)
+            if "" not in parts:
+                out += map(SPACE.__add__, parts)
+                continue
+            held = ""
+            for part in parts:
+                held += SPACE
+                if part:
+                    out.append(held + part)
+                    held = ""
+            if held:
+                out.append(held)
+        return out
 
     def units(self, word: str) -> tuple[str, ...]:
         """The word, parted before its closing punctuation if no piece holds both sides."""
@@ -191,32 +306,48 @@ class Encoder:
     def forget(self) -> None:
         self.at: dict[str, int] = {}
         self.packed: list[bytes] = []
-        self.scores, self.losses = array("d"), array("d")
-
-    def learn(self, word: str) -> int:
-        units = self.units(word)
-        if len(units) > 1:
-            a, b = (self.at[u] if u in self.at else self.learn(u) for u in units)
-            packed, score, loss = self.packed[a] + self.packed[b], self.scores[a] + self.scores[b], min(self.losses[a], self.losses[b])
-        else:
-            ids, score, loss = self.lattice.best_two(word)
-            packed = array("I", ids).tobytes()
-        self.packed.append(packed)
-        self.scores.append(score)
-        self.losses.append(loss)
-        self.at[word] = len(self.packed) - 1
-        return self.at[word]
-
-    def numbers(self, words: list[str]) -> np.ndarray:
-        at = list(map(self.at.get, words))
-        if None in at:
-            if len(self.at) > CACHED_WORDS:
-                self.forget()
-            for word in set(words):
-                if word not in self.at:
-                    self.learn(word)
-            at = list(map(self.at.__getitem__, words))
-        return np.asarray(at)
+        self.own: list[bytes] = []
+        self.scores, self.losses, self.own_scores = array("d"), array("d"), array("d")
+        self.lists: dict[str, Segmentations] = {}
+        self.solved: dict[str, tuple[bytes, float, float]] = {}
+
+    def library(self, words: list[str]) -> list[list[int]]:
+        """The library's own ids of words, each read with a line break behind it.
+
+        The library puts a space in front itself; a word without one is read
+        after a line break.
+        """
+        given = [(w[1:].replace(SPACE, " ") if w.startswith(SPACE) else "\n" + w) + "\n" for w in words]
+        found = self.model.encode(given, num_threads=1)
+        skip, behind = len(self.after_break), len(self.after_break) - 1
+        return [ids[: len(ids) - behind] if w.startswith(SPACE) else ids[skip : len(ids) - behind] for w, ids in zip(words, found, strict=True)]
+
+    def learn(self, words: list[str]) -> None:
+        """Solve new words, all together."""
+        units = [self.units(w) for w in words]
+        new = list({u for own in units for u in own} - self.solved.keys())
+        self.solved |= zip(new, self.lattice.best_two_of(new), strict=True)
+        for word, own, ids in zip(words, units, self.library(words), strict=True):
+            found = [self.solved[u] for u in own]
+            self.at[word] = len(self.packed)
+            self.packed.append(b"".join(f[0] for f in found))
+            self.scores.append(sum(f[1] for f in found))
+            self.losses.append(min(f[2] for f in found))
+            self.own.append(array("I", ids).tobytes())
+            self.own_scores.append(sum(map(self.value.__getitem__, ids)))
+
+    def split(self, texts: list[str | None]) -> Iterator[list[tuple[list[str], np.ndarray]]]:
+        """Words and their numbers for each text, in steps of bounded size; new words of a step are learnt together."""
+        held, size = [], 0
+        for k, text in enumerate(texts):
+            held.append(self.words(text) if text else [])
+            size += len(text or "")
+            if size >= STEP_CHARS or k == len(texts) - 1:
+                if len(self.at) > CACHED_WORDS:
+                    self.forget()
+                self.learn(list(set(itertools.chain.from_iterable(held)) - self.at.keys()))
+                yield [(words, np.asarray(list(map(self.at.__getitem__, words)), np.int64)) for words in held]
+                held, size = [], 0
 
     def choices(self, word: str) -> Segmentations:
         """N best segmentations of one word."""
@@ -226,7 +357,7 @@ class Encoder:
                 self.lists = {}
             found = self.lattice.best(word, self.n)
             # Of equal scores the one that the word's best took comes first.
-            ids = tuple(np.frombuffer(self.packed[self.at[word] if word in self.at else self.learn(word)], "<u4").tolist())
+            ids = tuple(np.frombuffer(self.packed[self.at[word]], "<u4").tolist())
             found = [(found[0][0], ids), *[x for x in found if x[1] != ids]][: self.n]
             known = self.lists[word] = found
         return known
@@ -241,30 +372,26 @@ class Encoder:
         places = sorted(near[np.argsort(loss[near], kind="stable")[:few]].tolist())
         return float(scores.sum() - scores[places].sum()), places, combined([self.choices(words[i]) for i in places], self.n)
 
-    def encode(self, text: str | None) -> tuple[bytes, list[float], int]:
-        """(ids of the best segmentation, scores of the N best, words that differ in the second)."""
-        if not text:
-            return b"", [0.0], 0
-        words = self.words(text)
-        at = self.numbers(words)
-        fixed, _, found = self.varied(words, at)
-        return b"".join(map(self.packed.__getitem__, at.tolist())), [fixed + score for score, _ in found], sum(map(bool, found[1][1])) if len(found) > 1 else 0
+    def encode(self, texts: list[str | None]) -> Iterator[tuple[list[tuple[float, bytes]], tuple[float, bytes]]]:
+        """For each text: (score, packed ids) of the N best, and the same of the library's segmentation."""
+        for step in self.split(texts):
+            for words, at in step:
+                if not words:
+                    yield [(0.0, b"")], (0.0, b"")
+                    continue
+                fixed, places, found = self.varied(words, at)
+                where = at.tolist()
+                parts, best = list(map(self.packed.__getitem__, where)), []
+                for score, chosen in found:
+                    for i, k in zip(places, chosen, strict=True):
+                        parts[i] = array("I", self.choices(words[i])[k][1]).tobytes()
+                    best.append((fixed + score, b"".join(parts)))
+                yield best, (float(np.frombuffer(self.own_scores)[at].sum()), b"".join(map(self.own.__getitem__, where)))
 
     def segmentations(self, text: str | None) -> Segmentations:
-        """The N best segmentations of a text, ids in full."""
-        if not text:
-            return [(0.0, ())]
-        words = self.words(text)
-        at = self.numbers(words)
-        fixed, places, found = self.varied(words, at)
-        best = [tuple(np.frombuffer(self.packed[i], "<u4").tolist()) for i in at.tolist()]
-        out = []
-        for score, chosen in found:
-            ids = list(best)
-            for i, k in zip(places, chosen, strict=True):
-                ids[i] = self.choices(words[i])[k][1]
-            out.append((fixed + score, tuple(x for w in ids for x in w)))
-        return out
+        """The N best segmentations of one text, ids in full."""
+        best, _ = next(self.encode([text]))
+        return [(score, tuple(np.frombuffer(ids, "<u4").tolist())) for score, ids in best]
 
     def decode(self, ids) -> str:
         """Text of ids; runs of byte pieces are UTF-8, the space in front goes."""
@@ -273,20 +400,67 @@ class Encoder:
         return text.removeprefix(SPACE).replace(SPACE, " ")
 
 
-def encoder(path: str, n: int = BEST) -> Encoder:
-    """One encoder for each worker process, so that tasks share its words."""
-    return held(("pieces", path, n), lambda: Encoder(path, n))
+def encoder(path: str, n: int = BEST, scores: tuple | None = None) -> Encoder:
+    """One encoder for each worker process, so that tasks share its words; ``scores``: (a name, the values)."""
+    return held(("pieces", path, n, scores and scores[0]), lambda: Encoder(path, n, scores and scores[1]))
+
+
+def log_probabilities(docs: DataFrame, model: str, *, text: str = "text") -> np.ndarray:
+    """Log of each piece's share of all pieces that the library writes over all documents, one added to each count.
+
+    Words are counted per task and only distinct ones encoded; the counts of
+    pieces, no more than the vocabulary has, are a table in the shared folder.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(model)
+        total = np.zeros(len(own.names), np.int64)
+        words: Counter = Counter()
+
+        def settle() -> None:
+            given = list(words)
+            ids = own.library(given)
+            flat = np.fromiter(itertools.chain.from_iterable(ids), np.int64)
+            total[:] += np.bincount(flat, np.repeat([words[w] for w in given], [len(i) for i in ids]), len(total)).astype(np.int64)
+            words.clear()
+
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                if value:
+                    words.update(own.words(value))
+                    if len(words) > CACHED_WORDS // 4:
+                        settle()
+        settle()
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["piece", "n"])
+
+    counts = stored(docs.select(text).mapInArrow(counted, "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")), "pieces")
+    rows = counts.collect()
+    size = encoder(model).model.get_piece_size()
+    n = np.ones(size)
+    n[[r.piece for r in rows]] += [r.n for r in rows]
+    return np.log(n) - np.log(n.sum())
+
+
+def _named(scores: np.ndarray) -> tuple[int, np.ndarray]:
+    return zlib.crc32(scores.tobytes()), scores
+
 
+def encoded(docs: DataFrame, model: str, *, text: str = "text", n: int = BEST, name: str = "pieces", scores: np.ndarray | None = None) -> DataFrame:
+    """``docs`` with a struct ``name``: ``best``, an array of N (score, ids), highest score first, and ``library``, (score, ids) of the library's segmentation.
 
-def encoded(docs: DataFrame, model: str, *, text: str = "text", n: int = BEST, name: str = "pieces") -> DataFrame:
-    """``docs`` with a struct ``name``: ids of the best segmentation, scores of the N best, number of words that differ in the second."""
+    ``scores`` of the pieces are the log probabilities over ``docs`` where none are given.
+    """
+    known = _named(log_probabilities(docs, model, text=text) if scores is None else scores)
+    pair = "struct<score: double, ids: array<int>>"
 
-    @F.pandas_udf("ids array<int>, scores array<double>, n_changed int")
+    @F.pandas_udf(f"best array<{pair}>, library {pair}")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = encoder(model, n)
+        own = encoder(model, n, known)
+        told = lambda found: {"score": found[0], "ids": np.frombuffer(found[1], "<u4").astype(np.int32)}
         for batch in batches:
-            rows = [own.encode(value) for value in batch]
-            yield pd.DataFrame({"ids": [np.frombuffer(r[0], "<u4").astype(np.int32) for r in rows], "scores": [r[1] for r in rows], "n_changed": pd.Series([r[2] for r in rows], dtype="int32")})
+            rows = list(own.encode(batch.tolist()))
+            yield pd.DataFrame({"best": [list(map(told, best)) for best, _ in rows], "library": [told(library) for _, library in rows]})
 
     return docs.withColumn(name, run(F.col(text)))
 
@@ -304,20 +478,24 @@ def decoded(rows: DataFrame, model: str, *, ids: str = "ids", name: str = "text"
 
 
 def digests(docs: DataFrame, model: str, *, n: int = BEST) -> DataFrame:
-    """One row per document: doc_id, n_pieces and crc32 of the best ids, the N best scores, words changed in the second, and whether decoding gives the text back."""
+    """One row per document: doc_id; score, n_pieces and crc32 of the ids for each of the N best; the same of the library's segmentation, and its place among the N best (from 1; null if it is none of them); whether decoding the best gives the text back."""
+    known = _named(log_probabilities(docs, model))
+    result = "scores array<double>, n_pieces array<long>, ids_crc32 array<long>, library_score double, library_pieces long, library_crc32 long, library_place int, round_trip boolean"
 
-    @F.pandas_udf("n_pieces long, ids_crc32 long, scores array<double>, n_changed int, round_trip boolean")
+    @F.pandas_udf(result)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = encoder(model, n)
+        own = encoder(model, n, known)
         names = own.names
         for batch in batches:
-            rows = []
-            for value in batch:
-                ids, scores, second = own.encode(value)
-                numbers = np.frombuffer(ids, "<u4").tolist()
+            rows, texts = [], batch.tolist()
+            for value, (best, (score, library)) in zip(texts, own.encode(texts), strict=True):
+                numbers = np.frombuffer(best[0][1], "<u4").tolist()
                 text = "".join(map(names.__getitem__, numbers))
                 back = text.removeprefix(SPACE).replace(SPACE, " ") if "<0x" not in text else own.decode(numbers)
-                rows.append((len(numbers), zlib.crc32(ids), scores, second, back == (value or "").replace(SPACE, " ")))
-            yield pd.DataFrame(rows, columns=["n_pieces", "ids_crc32", "scores", "n_changed", "round_trip"])
+                place = next((k for k, (_, ids) in enumerate(best, 1) if ids == library), None)
+                lists = [s for s, _ in best], [len(ids) // 4 for _, ids in best], [zlib.crc32(ids) for _, ids in best]
+                rows.append((*lists, score, len(library) // 4, zlib.crc32(library), place, back == (value or "").replace(SPACE, " ")))
+            columns = ["scores", "n_pieces", "ids_crc32", "library_score", "library_pieces", "library_crc32", "library_place", "round_trip"]
+            yield pd.DataFrame(rows, columns=columns).astype({"library_place": "Int32"})
 
     return docs.select("doc_id", run(F.col("text")).alias("_p")).select("doc_id", "_p.*")

@@ -8,6 +8,7 @@ import itertools
 import lzma
 import random
 import re
+import time
 import urllib.parse
 import zlib
 from collections import Counter, defaultdict
@@ -258,22 +259,58 @@ def all_segmentations(encoder, text):
 
 def test_n_best_segmentations_equal_all_paths(encoder):
     rng = random.Random(2)
-    for _ in range(150):
-        text = "".join(rng.choice("the in  ém,.\n\U0001f600a▁") for _ in range(rng.randint(1, 9)))
+    texts = ["".join(rng.choice("the in  ém,.\n\U0001f600a▁") for _ in range(rng.randint(1, 9))) for _ in range(150)]
+    for text, (best, (score, library)) in zip(texts, encoder.encode(texts), strict=True):
         want, got = all_segmentations(encoder, text), encoder.segmentations(text)
         assert [s for s, _ in got] == [s for s, _ in want[:4]]
         assert len({ids for _, ids in got}) == len(got) and {ids for _, ids in got} <= {ids for _, ids in want}
         assert all(encoder.decode(ids) == text.replace("▁", " ") for _, ids in got)
-        ids, scores, _ = encoder.encode(text)
-        assert scores == [s for s, _ in got] and tuple(np.frombuffer(ids, "<u4").tolist()) == got[0][1]
+        assert [(s, tuple(np.frombuffer(ids, "<u4").tolist())) for s, ids in best] == got
+        own = tuple(np.frombuffer(library, "<u4").tolist())
+        assert list(own) == encoder.model.encode(text) and (score, own) in want
 
 
-def test_pieces_over_a_table(spark, encoder):
-    texts = [None, "", " ", "a b", "a b", "wörd " * 3000, "\x00\x7f"]
+def test_words_side_by_side_equal_words_alone(encoder):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("theinrsoé▁,.xQ\U0001f600") for _ in range(rng.choice([1, 2, 5, 9, 20, 47, 48, 49, 90]))) for _ in range(400)]
+    for word, (ids, score, loss) in zip(words, encoder.lattice.best_two_of(words), strict=True):
+        alone = encoder.lattice.best_two(word)
+        assert (tuple(np.frombuffer(ids, "<u4").tolist()), score, loss) == alone
+    assert encoder.lattice.best_two_of([]) == []
+
+
+def test_a_long_word_takes_steps_in_proportion(encoder):
+    started = time.monotonic()
+    got = encoder.segmentations("ab" * 50_000)
+    assert len(got) == 4 and encoder.decode(got[0][1]) == "ab" * 50_000 and time.monotonic() - started < 60
+
+
+def test_log_probabilities_are_those_of_the_librarys_pieces(spark):
+    texts = ["the cat sat. the", None, "", "cat\nsat  on", "the 😀"]
     path = public_tokenizers.path("piece_bpe_32k.model")
+    model = pieces.Encoder(path).model
+    n = np.ones(model.get_piece_size())
+    for text in texts:
+        np.add.at(n, np.asarray(model.encode(text or ""), int), 1)
+    assert np.allclose(pieces.log_probabilities(docs(spark, texts), path), np.log(n) - np.log(n.sum()))
+
+
+def test_pieces_over_a_table(spark):
+    texts = [None, "", " ", "a b", "a b", "wörd " * 3000, "\x00\x7f", "the cat\nsat on the mat"]
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    scores = pieces.log_probabilities(docs(spark, texts), path)
+    own = pieces.Encoder(path, 4, scores)
     got = by_id(pieces.digests(docs(spark, texts), path))
-    assert all(r["round_trip"] for r in got.values()) and got[0]["n_pieces"] == 0 and got[0]["scores"] == [0.0] and got[3]["ids_crc32"] == got[4]["ids_crc32"]
-    both = pieces.decoded(pieces.encoded(docs(spark, texts), path).select("doc_id", "pieces.ids"), path)
+    rows = by_id(pieces.encoded(docs(spark, texts), path))
+    for i, text in enumerate(texts):
+        want, model = own.segmentations(text), own.model.encode(text or "")
+        r, p = got[i], rows[i]["pieces"]
+        assert r["round_trip"] and r["scores"] == [s for s, _ in want] and r["n_pieces"] == [len(ids) for _, ids in want]
+        assert r["ids_crc32"] == [zlib.crc32(np.asarray(ids, "<u4").tobytes()) for _, ids in want]
+        assert (r["library_pieces"], r["library_crc32"]) == (len(model), zlib.crc32(np.asarray(model, "<u4").tobytes()))
+        assert r["library_place"] == next((k for k, (_, ids) in enumerate(want, 1) if list(ids) == model), None)
+        assert [(b.score, tuple(b.ids)) for b in p.best] == want and list(p.library.ids) == model and p.library.score == r["library_score"]
+    both = pieces.decoded(pieces.encoded(docs(spark, texts), path, scores=scores).select("doc_id", F.col("pieces.best")[0]["ids"].alias("ids")), path)
     assert {i: r["text"] for i, r in by_id(both).items()} == {i: t or "" for i, t in enumerate(texts)}
     assert pieces.digests(empty(spark), path).count() == 0
 
