@@ -44,6 +44,38 @@ def test_secrets_query_has_the_base_spans(spark):
         assert set(found.base) <= set(found.spans)
 
 
+#: The contract's base spans: matches from left to right, each placed by what stands before it; those that are too short go.
+BASE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS (
+  SELECT doc_id, 'assign' AS kind, 1 AS place, regexp_extract_all(t, $assign$) AS m, string_split_regex(t, $assign$) AS s, list_transform(regexp_extract_all(t, $assign$, 2), lambda x: length(x)) AS n, 8 AS least FROM d
+  UNION ALL SELECT doc_id, 'access', 2, regexp_extract_all(t, 'AKIA[A-Z0-9]+'), string_split_regex(t, 'AKIA[A-Z0-9]+'), list_transform(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x)), 16 FROM d
+  UNION ALL SELECT doc_id, 'hex', 3, regexp_extract_all(t, '[0-9a-f]+'), string_split_regex(t, '[0-9a-f]+'), list_transform(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x)), 32 FROM d),
+each AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM found),
+spans AS (SELECT doc_id, kind, place, length(m[i]) AS size, CAST(list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start FROM each WHERE n[i] >= least)
+SELECT d.doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+       sha256(coalesce(string_agg(kind || ':' || start || ':' || (start + size), ',' ORDER BY start, place), '')) AS base_sha256
+FROM d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id
+""".replace("$assign$", r"""'((?i:password|passwd|secret|token|api_?key))["\']?\x20*[:=]\x20*["\']?([A-Za-z0-9+/_.=-]+)'""".replace("\\'", "''"))
+
+
+def test_secrets_query_has_the_base_columns_of_its_sql(spark, tmp_path):
+    rng = random.Random(11)
+    value = lambda: "".join(rng.choice("aZ9+/_.=- é") for _ in range(rng.randint(4, 14)))
+    parts = [
+        lambda: rng.choice(["password", "PassWD", "secret", "Token", "api_key", "APIKEY"]) + rng.choice(['"', "'", ""]) + rng.choice(["=", " : ", ":  ", " "]) + rng.choice(['"', ""]) + value(),
+        lambda: "AKIA" + "".join(rng.choice("AB0") for _ in range(rng.randint(9, 20))), lambda: "".join(rng.choice("0af") for _ in range(rng.randint(28, 40))),
+        lambda: rng.choice([" ", "\n", "€ ", ", ", "x", "token=password=abcdefgh12 "]),
+    ]
+    texts = ["".join(rng.choice(parts)() for _ in range(rng.randint(0, 25))) for _ in range(150)] + [None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = {r[0]: r[1:] for r in con.execute(BASE).fetchall()}
+    got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in QUERIES["op1_secrets"](spark, str(tmp_path)).collect()}
+    assert got == want and all(sum(w[k] for w in want.values()) > 20 for k in range(3))
+
+
 def test_pipeline_stages_take_effect(spark, tmp_path):
     given = spark.read.parquet(f"{FOLDER}/documents.parquet")
     extra = spark.createDataFrame([(10_000, None, "en", "s", 0), (10_001, "", "en", "s", 0), (10_002, "token = abcdefgh12345", "en", "s", 21)], given.schema)

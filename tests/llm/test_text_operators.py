@@ -231,6 +231,23 @@ def test_perfect_hash_is_minimal_and_perfect():
         assert sorted(lines.PerfectHash.build(h1, h2).numbers(h1, h2).tolist()) == list(range(n))
 
 
+# -- the toxicity scorer
+
+
+def test_scorer_is_the_average_of_bucket_weights_of_the_worst_passage():
+    rng = np.random.default_rng(3)
+    weights, bias = rng.normal(size=1 << 12).astype(np.float32), -0.25
+    scorer = toxicity.Scorer(weights, bias, 8)
+    words = ["".join(map(chr, rng.integers(97, 104, int(rng.integers(1, 9))))) for _ in range(60)]
+    texts = [None, "", " !! ", *(" ".join(rng.choice(words, int(rng.integers(1, 70)))) for _ in range(40)), "Ärger ÄRGER ärger"]
+    for text, got in zip(texts, scorer.logits(texts), strict=True):
+        each = []
+        for passage in toxicity.passages(text, 8):
+            own = [b for word in passage for b in toxicity.subwords(word, len(weights))]
+            each.append(sum(float(weights[b]) for b in own) / max(len(own), toxicity.PADDED))
+        assert abs(got - (bias + (max(each) if toxicity.passages(text, 8) != [[]] else 0))) < 1e-9
+
+
 # -- pieces
 
 
