@@ -132,7 +132,8 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_suffix_array_dedup")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     done = suffix.dedup_substrings(table(spark, folder, "documents"))
-    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    share = F.coalesce(F.try_divide(F.col("n_removed").cast("double"), F.col("n_bytes").cast("double")), F.lit(0.0))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), share.alias("removed_share"))
 
 
 #: CRC-32 of a number's decimal digits, which DuckDB hasn't: its table by eight steps of the polynomial, and a fold over the digits.
