@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from gradeloom.operators.common import count_per, rate, top, yes
@@ -329,9 +329,10 @@ def knn(queries: DataFrame, reference: DataFrame, k: int = 5, cell_rows: int = C
     hash, so a hot cell is no hot task. ``queries``: query_id, vector;
     ``reference``: ref_id, label, vector.
     """
-    rows = reference.count()
-    wanted = min(MAX_PIVOTS, max(1, -(-rows // cell_rows)))
-    chosen = reference.where("vector IS NOT NULL").orderBy(F.xxhash64("ref_id"), "ref_id").limit(wanted).select("vector").collect()
+    counted = Observation()
+    usable = reference.where("vector IS NOT NULL").observe(counted, F.count(F.lit(1)).alias("rows"))
+    chosen = usable.orderBy(F.xxhash64("ref_id"), "ref_id").limit(MAX_PIVOTS).select("vector").collect()
+    chosen = chosen[: max(1, -(-counted.get["rows"] // cell_rows))]
     shape = "query_id bigint, ref_id bigint, label int, distance double"
     if not chosen:
         return queries.sparkSession.createDataFrame([], f"{shape}, place int")
