@@ -205,9 +205,11 @@ def test_stream_quota_equals_batch(spark, tmp_path):
     df = spark.createDataFrame(data, "session_id bigint, seq bigint, ts timestamp, bytes bigint")
     batch = rows(quota.quota_exact(df, limits))
     source = df.withColumnRenamed("ts", "at")
-    source.coalesce(1).write.parquet(str(tmp_path / "in"))
+    last = spark.createDataFrame([(-1, 999, start + datetime.timedelta(days=1), 1)], source.schema)  # moves the watermark past all others
+    source.unionAll(last).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(source.schema).parquet(str(tmp_path / "in")).withWatermark("at", "10 minutes")
-    jobs.run_available(jobs.stream_quota(stream, limits), str(tmp_path / "out"), str(tmp_path / "check"))
+    with jobs.state_store(spark):
+        jobs.run_available(jobs.stream_quota(stream, limits), str(tmp_path / "out"), str(tmp_path / "check"))
     assert rows(spark.read.parquet(str(tmp_path / "out")).select("session_id", "seq", "bytes", "decision")) == batch
 
 
