@@ -331,4 +331,4 @@ def test_jpeg_sizes_from_marker_segments(spark, tmp_path):
         (tmp_path / name).write_bytes(content)
     listed = files.inventory(spark, str(tmp_path))
     assert {r.path.rsplit("/", 1)[1]: (r.width, r.height, r.status) for r in listed.collect()} == {name: want for name, (_, want) in cases.items()}
-    assert listed._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert listed._jdf.queryExecution().sparkPlan().toString().count("FileScan") == 1
