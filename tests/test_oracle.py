@@ -12,7 +12,9 @@ NAMES = [
     "normalize_number", "parse_key_text", "classify_ink", "refine_classification", "check_manual_corners", "room_ranking", "indicator_scores", "roster_gaps",
     "review_state", "snapshot", "check_snapshot", "issues", "finalize", "adopt_numbers", "skip_remaining", "check_reviews", "check_annotations",
     "candidate_votes", "decide_identity", "knn", "truth_join", "recognizer_summary", "bootstrap_ci", "replay_annotations", "stratified_split",
-    "overlap_join", "check_template", "ingest_sources", "quota", "stream_sessions", "fingerprint",
+    "overlap_join", "check_template", "ingest_sources", "quota", "stream_sessions", "fingerprint", "skip_remaining_edits", "skip_drift", "purge_exam",
+    "replace_indicators", "quota_exact", "stream_quota", "stream_progress_rows", "dedupe_near", "next_review", "cluster_gaps", "longest_regular_run", "knn_hashed",
+    "nearest_centroid", "snapshot_documents", "read_template", "auto_key", "template_diff", "check_holdout", "grade", "publish",
 ]
 
 
