@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,6 +42,16 @@ def done_with(*tables: DataFrame) -> None:
         forget(own.sparkSession, own.stored_at)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have Spark delete shuffle files that no frame refers to any more.
+
+    It does so when the driver's collector finds their plans unused, which on a
+    driver with much memory may be long after; a step with large shuffles asks.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, or the first of wanted_1, wanted_2, ... that is no column of ``df``."""
     taken, name, k = {c.lower() for c in df.columns}, wanted, 0

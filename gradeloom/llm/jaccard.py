@@ -7,13 +7,15 @@ into fragments, so that every set is cut into the same number of pieces.
 *Which pairs.* Two sets with a Jaccard of at least t differ in at most
 D = (a + b)(1 - t)/(1 + t) elements, and each lies in one fragment. The order is
 cut into an eighth more fragments than D, and four, and a set gives a digest of
-each of its fragments that isn't empty. A set with more than D of those shares
-one of them with every set it links with. A set that has no more gives digests
-of its empty fragments too; where both sets of a pair are like that, they share
-fragments, empty or not. The number of fragments depends on the size class
+each fragment that isn't empty. Of m digests m - D at least are those of any set
+it links with, which tells most sets apart at once: one with fewer digests that
+others have too links with none, however many sets share a passage with it. A
+set with m of at most D gives digests of its empty fragments as well, and all
+but D are equal where both sets of a pair are like that. The number of fragments depends on the size class
 alone; each set is cut for its own class and the one below, the only ones that
-hold sets small enough to link with it. Digests that one class alone has are
-dropped by a count, combined before it is shuffled.
+hold sets small enough to link with it. Digests are shuffled once. Of those that
+several classes have, classes below their bound are left out, and the classes
+that remain of one digest are a star around the first.
 
 *Which links.* Classes that share digests form clusters (connected components
 of a star per digest, so linear in rows). Each cluster's sets are sent once; a
@@ -39,10 +41,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import components, done_with, stored
+from gradeloom.llm.common import components, done_with, free_shuffles, stored
 
 #: Hashes of one block of a cluster, on average.
 BLOCK_HASHES = 400_000
@@ -52,6 +54,8 @@ SET_COST = 200
 FRAGMENTS = 16
 #: Places that a class with several documents is sent to.
 SALT = 16
+#: The number of a class from that of a cut.
+CLASS = "cut & ~1L"
 _STEP = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
@@ -143,43 +147,72 @@ def fragments_of(differ: int) -> int:
     return differ + differ // 8 + 4
 
 
-def digests(hashes: np.ndarray, differ: int) -> np.ndarray:
-    """Digests of the fragments of one set; of empty ones too, unless more than ``differ`` have elements."""
+def digests(hashes: np.ndarray, differ: int) -> tuple[np.ndarray, int]:
+    """Digests of the fragments of one set that have elements, of empty ones too if there are no more than ``differ``; and how many a linked set shares at least."""
     parts = fragments_of(differ)
     own = (((hashes >> _U(32)) * _U(parts)) >> _U(32)).astype(np.int64)
     starts = np.r_[0, np.flatnonzero(np.diff(own)) + 1]
     numbers, sums = own[starts], np.add.reduceat(mixed(hashes + _U(1)), starts)
+    least = max(len(numbers) - differ, 1)
     if len(numbers) <= differ:
         empty = np.setdiff1d(np.arange(parts), numbers)
         numbers, sums = np.r_[numbers, empty], np.r_[sums, np.zeros(len(empty), np.uint64)]
-    return mixed(mixed(sums) ^ mixed(numbers.astype(np.uint64) + _U((parts << 32) + 1)))
+    return mixed(mixed(sums) ^ mixed(numbers.astype(np.uint64) + _U((parts << 32) + 1))), least
+
+
+def _key(hashes: np.ndarray) -> bytes:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+
+
+def _number(key: bytes) -> int:
+    """Number of a class; the lowest bit is free for the cut, 0 for the class's own size and 1 for the one below."""
+    return int.from_bytes(key[:8], "little", signed=True) & ~1
+
+
+class Cutter:
+    """What a set gives in each of its cuts."""
+
+    def __init__(self, percent: int):
+        self.limits = np.asarray(size_classes(percent))
+        self.differ = differences(self.limits.tolist(), percent)
+
+    def cuts(self, hashes: np.ndarray) -> list[tuple[np.ndarray, int]]:
+        if not len(hashes):
+            return []
+        own = int(np.searchsorted(self.limits, len(hashes), "right")) - 1
+        return [digests(hashes, self.differ[c]) for c in (own, own - 1) if c >= 0]
+
+
+def _classed(n: int, percent: int):
+    """Rows (doc_id, text, mark) to the class of each: the digest of its set, its number, the set's size, and how many digests its cuts must share at least."""
+
+    def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, cutter = Hasher(n), Cutter(percent)
+        for batch in batches:
+            sets = [(_key(h), len(h), [least for _, least in cutter.cuts(h)]) for h in hasher.sets(batch.column(1).to_pylist())]
+            columns = [pa.array([k for k, _, _ in sets], pa.binary()), pa.array([_number(k) for k, _, _ in sets], pa.int64()), pa.array([size for _, size, _ in sets], pa.int64()), pa.array([x for _, _, x in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["doc_id", "mark", "set_key", "id", "n", "least"])
+
+    return give
 
 
 def _signer(n: int, percent: int):
-    limits = np.asarray(size_classes(percent))
-    differ = differences(limits.tolist(), percent)
+    """Rows (text) to (cut, sign), the digests of each set; copies in one task sign once."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(n)
+        hasher, cutter, seen = Hasher(n), Cutter(percent), set()
         for batch in batches:
-            keys, sizes, signs, seen = [], [], [], set()
-            for hashes in hasher.sets(batch.column(1).to_pylist()):
-                key = hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
-                keys.append(key)
-                sizes.append(len(hashes))
-                if not len(hashes) or key in seen:  # copies in one batch sign once
-                    signs.append(np.zeros(0, np.uint64))
-                    continue
-                seen.add(key)
-                own = int(np.searchsorted(limits, len(hashes), "right")) - 1
-                signs.append(np.concatenate([digests(hashes, differ[c]) for c in (own, own - 1) if c >= 0]))
-            ends = np.cumsum([0, *map(len, signs)]).astype(np.int32)
+            cuts, signs = [], []
+            for hashes in hasher.sets(batch.column(0).to_pylist()):
+                number = _number(_key(hashes))
+                if number not in seen:
+                    seen.add(number)
+                    for below, (found, _) in enumerate(cutter.cuts(hashes)):
+                        cuts.append(number + below)
+                        signs.append(found)
             flat = np.concatenate(signs).view(np.int64) if signs else np.zeros(0, np.int64)
-            ids = np.frombuffer(b"".join(k[:8] for k in keys), "<i8")
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(ids), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                ["doc_id", "mark", "set_key", "id", "n", "signs"],
-            )
+            every = np.repeat(np.asarray(cuts, np.int64), [len(x) for x in signs])
+            yield pa.RecordBatch.from_arrays([pa.array(every), pa.array(flat)], ["cut", "sign"])
 
     return sign
 
@@ -293,18 +326,30 @@ def _linker(percent: int):
     return link
 
 
+def _shared(given: DataFrame, n: int, percent: int) -> DataFrame:
+    """(cut, sign) of the digests that several classes have, stored. All digests are shuffled once, with their cut 16 bytes each."""
+    signs = given.select("text").mapInArrow(_signer(n, percent), "cut long, sign long").withColumn("id", F.expr(CLASS))
+    of = Window.partitionBy("sign")
+    return stored(signs.withColumns({"low": F.min("id").over(of), "high": F.max("id").over(of)}).where("low < high").select("cut", "sign").distinct(), "shared")
+
+
+def _stars(shared: DataFrame, signed: DataFrame) -> DataFrame:
+    """Classes (a) with the first class (b) of each digest, those left out that share fewer digests than a link takes."""
+    least = signed.select("id", F.posexplode("least").alias("below", "least")).groupBy((F.col("id") + F.col("below")).alias("cut")).agg(F.max("least").alias("least"))
+    enough = shared.groupBy("cut").count().join(least, "cut").where("count >= least").select("cut")
+    kept = shared.join(enough, "cut", "left_semi").select("sign", F.expr(CLASS).alias("id"))
+    return kept.select(F.col("id").alias("a"), F.first("id").over(Window.partitionBy("sign").orderBy("id")).alias("b"))
+
+
 def similar_sets(docs: DataFrame, *, n: int = 3, percent: int = 90, text: str = "text", block_hashes: int = BLOCK_HASHES) -> tuple[DataFrame, DataFrame]:
     """(documents: doc_id, set_key, n; links: a, b between set keys, enough to connect what is linked)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     given = docs.select("doc_id", F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("mark"))
-    signed = stored(given.mapInArrow(_signer(n, percent), f"doc_id {kind}, mark long, set_key binary, id long, n long, signs array<long>"), "signed")
-    signs = signed.select("id", F.explode("signs").alias("sign"))
-    shared = signs.groupBy("sign").count().where("count > 1").select("sign")
-    members = stored(signs.join(shared.hint("shuffle_hash"), "sign", "left_semi"), "members")
-    hubs = members.groupBy("sign").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("sign", "hub")
-    stars = members.join(hubs, "sign").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))
-    clusters = components(stars, "clusters")
-    done_with(members)
+    signed = stored(given.mapInArrow(_classed(n, percent), f"doc_id {kind}, mark long, set_key binary, id long, n long, least array<long>"), "signed")
+    shared = _shared(given, n, percent)
+    free_shuffles(docs.sparkSession)
+    clusters = components(_stars(shared, signed), "clusters")
+    done_with(shared)
     classes = signed.where("n > 0").groupBy("set_key", "id").agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.max("n").alias("n"))
     placed = stored(classes.join(clusters, F.col("id") == F.col("node")).select("first.doc_id", "first.mark", "set_key", "n", F.col("component").alias("cluster")), "clustered")
     done_with(clusters)

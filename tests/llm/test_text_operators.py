@@ -415,7 +415,7 @@ def test_linked_sets_differ_in_no_more_than_said():
 
 
 @pytest.mark.parametrize("percent", [80, 90])
-def test_linked_sets_share_a_digest_even_with_many_empty_fragments(percent):
+def test_linked_sets_share_as_many_digests_as_said_even_with_many_empty_fragments(percent):
     """Hashes in a narrow range leave most fragments empty; sets there and elsewhere link as the brute force says."""
     rng = np.random.default_rng(percent)
     limits = np.asarray(jaccard.size_classes(percent))
@@ -430,8 +430,9 @@ def test_linked_sets_share_a_digest_even_with_many_empty_fragments(percent):
             signs = []
             for own in (a, b):
                 c = int(np.searchsorted(limits, len(own), "right")) - 1
-                signs.append(set(np.concatenate([jaccard.digests(own, differ[k]) for k in (c, c - 1) if k >= 0]).tolist()))
-            assert signs[0] & signs[1]
+                signs.append({k: (set(found.tolist()), least) for k in (c, c - 1) if k >= 0 for found, least in [jaccard.digests(own, differ[k])]})
+            c = int(np.searchsorted(limits, min(len(a), len(b)), "right")) - 1
+            assert len(signs[0][c][0] & signs[1][c][0]) >= max(signs[0][c][1], signs[1][c][1])
 
 
 def test_digests_of_empty_fragments_are_rare():
@@ -442,7 +443,7 @@ def test_digests_of_empty_fragments_are_rare():
     for size in rng.integers(20, 2000, 400).tolist():
         own = np.unique(rng.integers(0, 1 << 64, size, np.uint64))
         c = int(np.searchsorted(limits, len(own), "right")) - 1
-        with_empty += len(jaccard.digests(own, differ[c])) == jaccard.fragments_of(differ[c])
+        with_empty += len(jaccard.digests(own, differ[c])[0]) == jaccard.fragments_of(differ[c])
     assert with_empty <= 8
 
 
@@ -464,6 +465,18 @@ def test_overlaps_by_fragment_give_the_links(seed):
         assert got == want
 
 
+def test_a_passage_of_many_documents_makes_no_cluster(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    passage = [word() for _ in range(30)]
+    texts = [" ".join([word() for _ in range(100)] + passage + [word() for _ in range(rng.randint(90, 110))]) for _ in range(300)]
+    given = docs(spark, [*texts, texts[5] + " more"]).select("doc_id", "text", F.xxhash64("text").alias("mark"))
+    signed = given.mapInArrow(jaccard._classed(5, 80), "doc_id long, mark long, set_key binary, id long, n long, least array<long>")
+    shared = jaccard._shared(given, 5, 80)
+    assert shared.select(F.expr(jaccard.CLASS)).distinct().count() > 100  # many share a digest
+    assert jaccard._stars(shared, signed).where("a <> b").select("a").distinct().count() == 1  # one of them enough
+
+
 def test_words_made_to_collide_in_polynomial_hashes_stay_apart(spark):
     word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
     texts = [word, word.translate(str.maketrans("ab", "ba")), word, "x" * 63, "x" * 64, "x" * 65, "y" * 64 + "x"]
