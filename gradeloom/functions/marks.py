@@ -8,7 +8,7 @@ steps run in order, each replacing the decision only where its rule holds.
 from __future__ import annotations
 
 from functools import reduce
-from operator import add, or_
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,18 +40,23 @@ def _each(test, *arrays: Column) -> list[Column]:
     return [yes(test(*[F.get(values, i) for values in arrays])) for i in range(len(CHOICES))]
 
 
-def _any(tests: list[Column]) -> Column:
-    return reduce(or_, tests)
-
-
 def _count(tests: list[Column]) -> Column:
     return reduce(add, [F.when(test, 1).otherwise(0) for test in tests])
 
 
-def _letters_where(values: Column, keep) -> Column:
-    """Choice letters whose value satisfies ``keep``."""
-    marked = [F.when(test, F.lit(letter)) for test, letter in zip(_each(keep, values), CHOICES, strict=True)]
-    return F.array_except(F.array(*marked), F.array(F.lit(None).cast("string")))
+def _mask(tests: list[Column]) -> Column:
+    """The cells that pass as bits of one number, the first cell lowest."""
+    return reduce(add, [F.when(test, 1 << i).otherwise(0) for i, test in enumerate(tests)])
+
+
+def _letters_of(mask: Column) -> Column:
+    """Choice letters of a mask, looked up in the list of all of them."""
+    every = [F.array(*[F.lit(x) for i, x in enumerate(CHOICES) if m >> i & 1]).cast("array<string>") for m in range(1 << len(CHOICES))]
+    return F.element_at(F.array(*every), mask + 1)
+
+
+def _mask_of(selected: Column) -> Column:
+    return _mask([yes(F.array_contains(selected, letter)) for letter in CHOICES])
 
 
 def _ranked(values: Column) -> Column:
@@ -103,26 +108,26 @@ def row_snr(cores: Column) -> Column:
     )
 
 
+#: Outcomes of the ink alone, as (state, reason), by number from 1.
+_INK = (("uncertain", "faint-or-competing-ink"), ("blank", "no-answer-ink"), ("multiple", "core-dominance"), ("multiple", "clear-ink"), ("single_mark", "core-dominance"), ("single_mark", "clear-ink"))
+
+
 def classify_ink(densities: Column, cores: Column) -> Column:
-    """Dominant mark, several marks, nothing, or a mark that needs a person."""
+    """Dominant mark, several marks, nothing, or a mark that needs a person.
+
+    Cells are masks of one number each, computed whatever the outcome, so that
+    they are shared by all that reads them instead of being copied into branches.
+    """
     peak = F.array_max(densities)
-    selected = _letters_where(densities, lambda value: value >= SELECTED)
-    any_selected = F.size(selected) > 0
-    faint = lambda value: (value >= UNCERTAIN) & (value < SELECTED)
-    weak = _any(_each(faint, densities))
-    spilled = lambda value, core: any_selected & (value < SPILL_DENSITY) & (value < peak * SPILL_SHARE) & (core < CORE)
-    unresolved = _any(_each(lambda value, core: faint(value) & ~spilled(value, core), densities, cores))
-    return (
-        F.when(unresolved | (~any_selected & (peak >= TRACE)), _decision(selected, "uncertain", "faint-or-competing-ink"))
-        .when(~any_selected, _decision(_none(), "blank", "no-answer-ink"))
-        .otherwise(
-            _decision(
-                selected,
-                F.when(F.size(selected) > 1, "multiple").otherwise("single_mark"),
-                F.when(weak, "core-dominance").otherwise("clear-ink"),
-            )
-        )
-    )
+    selected = _mask(_each(lambda value: value >= SELECTED, densities))
+    faint = _mask(_each(lambda value: (value >= UNCERTAIN) & (value < SELECTED), densities))
+    spilled = _mask(_each(lambda value, core: (value < SPILL_DENSITY) & (value < peak * SPILL_SHARE) & (core < CORE), densities, cores))
+    spilled = spilled * F.when(selected > 0, 1).otherwise(0)
+    unresolved = faint.bitwiseAND(F.bitwise_not(spilled)) > 0
+    marked = F.when(selected.bitwiseAND(selected - 1) > 0, 3).otherwise(5) + F.when(faint > 0, 0).otherwise(1)
+    outcome = F.when(unresolved | ((selected == 0) & (peak >= TRACE)), 1).when(selected == 0, 2).otherwise(marked)
+    told = lambda k: F.element_at(F.array(*[F.lit(pair[k]) for pair in _INK]), outcome)
+    return _decision(_letters_of(selected), told(0), told(1))
 
 
 def component_majority(decision: Column, cores: Column, mass: Column, area: Column, other_area: Column) -> Column:
@@ -144,73 +149,93 @@ def component_majority(decision: Column, cores: Column, mass: Column, area: Colu
 
 # Row facts that several rules read. They are columns of their own, so that a
 # row sorts its five values once and not once per rule and cell.
-ROW_FACTS = ("_median", "_best", "_runner_up", "_core_winner", "_peak", "_peak_core", "_winner")
+ROW_FACTS = ("_sorted", "_median", "_second", "_best", "_runner_up", "_core_winner", "_peak", "_peak_core", "_winner")
+# The decision while the rules run: a mask of cells, state and reason, plain columns each.
+_PLAIN = ("_picked", "_state", "_reason")
 
 
 def with_row_facts(df: DataFrame) -> DataFrame:
-    densities, cores = F.col("densities"), F.col("cores")
+    densities, cores, n = F.col("densities"), F.col("cores"), F.size("cores")
+    at = lambda place: F.element_at("_sorted", place.cast("int"))
     return (
-        df.withColumns({"_median": median(cores), "_peak": F.array_max(densities), "_peak_core": F.array_max(cores)})
+        df.withColumns({"_sorted": F.sort_array(cores), "_peak": F.array_max(densities)})
         .withColumns({
-            "_best": F.col("_peak_core") - F.col("_median"),
-            "_runner_up": F.when(F.size(cores) > 1, _second(cores) - F.col("_median")).otherwise(F.lit(0.0)),
+            "_median": (at(F.floor((n + 1) / 2)) + at(F.floor((n + 2) / 2))) / 2, "_peak_core": F.array_max("_sorted"),
+            "_second": F.coalesce(F.try_element_at("_sorted", F.lit(-2)), F.lit(0.0)),
+        })
+        .withColumns({
+            "_best": F.col("_peak_core") - F.col("_median"), "_runner_up": F.when(n > 1, F.col("_second") - F.col("_median")).otherwise(F.lit(0.0)),
             "_core_winner": F.array_position(cores, F.col("_peak_core")).cast("int"), "_winner": F.array_position(densities, F.col("_peak")).cast("int"),
         })
     )
 
 
-def _custom_rescue(decision: Column, cores: Column, custom: Column) -> Column:
-    best, runner_up, winner = F.col("_best"), F.col("_runner_up"), F.col("_core_winner")
-    peak, peak_core = F.col("_peak"), F.col("_peak_core")
-    open_case = custom & decision["state"].isin("uncertain", "multiple")
-    blank = (
-        (F.size(decision["selected"]) == 0)
-        & (peak < 0.06)
-        & (((best < 0.035) & (peak_core < 0.05)) | ((peak < 0.035) & (peak_core < 0.03)))
-    )
+def _ruled(df: DataFrame, *rules: tuple[Column, Column, str, str]) -> DataFrame:
+    """The first of (condition, mask of cells, state, reason) that holds replaces the decision; conditions are computed once."""
+    number = F.coalesce(*[F.when(yes(condition), k) for k, (condition, *_) in enumerate(rules, 1)], F.lit(0))
+    numbered = df.withColumn("_rule", number)
+    chosen = {"_picked": F.col("_picked"), "_state": F.col("_state"), "_reason": F.col("_reason")}
+    for k, (_, picked, state, reason) in reversed(list(enumerate(rules, 1))):
+        own = F.col("_rule") == k
+        chosen = {name: F.when(own, value).otherwise(chosen[name]) for name, value in (("_picked", picked), ("_state", F.lit(state)), ("_reason", F.lit(reason)))}
+    return numbered.withColumns(chosen).drop("_rule")
+
+
+def _bit(position: Column) -> Column:
+    """The mask of one cell; of none where there is no position."""
+    return F.coalesce(F.element_at(F.array(*[F.lit(1 << i) for i in range(len(CHOICES))]), position), F.lit(0))
+
+
+def _custom_rescue(df: DataFrame) -> DataFrame:
+    best, runner_up, peak, peak_core = (F.col(c) for c in ("_best", "_runner_up", "_peak", "_peak_core"))
+    open_case = F.col("custom") & F.col("_state").isin("uncertain", "multiple")
+    blank = (F.col("_picked") == 0) & (peak < 0.06) & (((best < 0.035) & (peak_core < 0.05)) | ((peak < 0.035) & (peak_core < 0.03)))
     dominant = (best >= 0.05) & (runner_up < best * 0.45) & (peak_core >= 0.06)
     competing = (best >= 0.06) & (runner_up >= best * 0.70)
-    return (
-        F.when(open_case & blank, _decision(_none(), "blank", "no-answer-ink"))
-        .when(open_case & dominant, _decision(F.array(_letter(winner)), "single_mark", "differential-core-dominance"))
-        .when(
-            open_case & competing,
-            _decision(_letters_where(cores, lambda core: core - F.col("_median") >= best * 0.70), "multiple", "competing-marks"),
-        )
-        .otherwise(decision)
+    loud = _mask(_each(lambda core: core - F.col("_median") >= best * 0.70, F.col("cores")))
+    return _ruled(
+        df, (open_case & blank, F.lit(0), "blank", "no-answer-ink"), (open_case & dominant, _bit(F.col("_core_winner")), "single_mark", "differential-core-dominance"),
+        (open_case & competing, loud, "multiple", "competing-marks"),
     )
 
 
-def _relative_contrast(decision: Column, densities: Column, cores: Column, refined: Column) -> Column:
-    peak, core = F.col("_peak"), F.element_at(cores, F.col("_winner"))
+def _relative_contrast(df: DataFrame) -> DataFrame:
+    peak, core = F.col("_peak"), F.element_at("cores", F.col("_winner"))
     # the winner itself isn't quiet (core >= 0.08), so exactly one cell may be loud
-    rivals_quiet = _count(_each(lambda value, other: (value >= peak * 0.38) | (other >= CORE), densities, cores)) == 1
-    applies = refined & (decision["state"] == "uncertain") & (peak >= 0.045) & (core >= CORE) & rivals_quiet
-    return F.when(applies, _decision(F.array(_letter(F.col("_winner"))), "single_mark", "relative-contrast-dominance")).otherwise(decision)
+    loud = _count(_each(lambda value, other: (value >= peak * 0.38) | (other >= CORE), F.col("densities"), F.col("cores")))
+    applies = F.col("refined") & (F.col("_state") == "uncertain") & (peak >= 0.045) & (core >= CORE) & (loud == 1)
+    return _ruled(df, (applies, _bit(F.col("_winner")), "single_mark", "relative-contrast-dominance"))
 
 
-def _green_core(decision: Column, cores: Column, green: Column) -> Column:
-    strong = (F.col("_peak_core") >= SELECTED) & (_second(cores) < GREEN_ISOLATION)
-    hollow = (decision["state"] == "multiple") & (_count(_each(lambda core: core >= CORE, cores)) < 2)
-    return (
-        F.when(green & strong, _decision(F.array(_letter(F.col("_core_winner"))), "single_mark", "green-center-ink-dominance"))
-        .when(green & hollow, _decision(decision["selected"], "uncertain", "multiple-without-two-centered-marks"))
-        .otherwise(decision)
+def _connected_stroke(df: DataFrame) -> DataFrame:
+    mass, area = F.col("mass"), F.col("area")
+    applies = (
+        F.col("refined") & F.col("_state").isin("uncertain", "multiple") & (F.col("_peak_core") < CORE) & (area > 100) & (F.col("other_area") < area * 0.3)
+        & (_count(_each(lambda part: part > 0, mass)) > 1)
+    )
+    return _ruled(
+        df, (applies & (F.array_max(mass) / area >= 0.6), _bit(_argmax(mass)), "single_mark", "connected-mark-majority"),
+        (applies, F.col("_picked"), "boundary_cross", "mark-straddles-two-cells"),
+    )
+
+
+def _green_core(df: DataFrame) -> DataFrame:
+    strong = (F.col("_peak_core") >= SELECTED) & (F.col("_second") < GREEN_ISOLATION)
+    hollow = (F.col("_state") == "multiple") & (_count(_each(lambda core: core >= CORE, F.col("cores"))) < 2)
+    return _ruled(
+        df, (F.col("green") & strong, _bit(F.col("_core_winner")), "single_mark", "green-center-ink-dominance"),
+        (F.col("green") & hollow, F.col("_picked"), "uncertain", "multiple-without-two-centered-marks"),
     )
 
 
-def _single_cross(decision: Column, cores: Column, green: Column, crosses: Column, diagonals: Column) -> Column:
-    position = F.element_at(crosses, 1)
+def _single_cross(df: DataFrame) -> DataFrame:
+    crosses, diagonals = F.col("crosses"), F.col("diagonals")
+    position = F.try_element_at(crosses, F.lit(1))
     applies = (
-        green
-        & (decision["state"] == "uncertain")
-        & (F.size(crosses) == 1)
-        & (F.size(diagonals) == 1)
-        & F.when(F.size(crosses) == 1, position == F.try_element_at(diagonals, F.lit(1)))
-        & (F.try_element_at(cores, F.try_element_at(crosses, F.lit(1))) >= GREEN_CROSS_CORE)
+        F.col("green") & (F.col("_state") == "uncertain") & (F.size(crosses) == 1) & (F.size(diagonals) == 1) & (position == F.try_element_at(diagonals, F.lit(1)))
+        & (F.try_element_at("cores", position) >= GREEN_CROSS_CORE)
     )
-    letter = F.try_element_at(_letters(), F.try_element_at(crosses, F.lit(1)))
-    return F.when(yes(applies), _decision(F.array(letter), "single_mark", "centered-cross-geometry")).otherwise(decision)
+    return _ruled(df, (applies, _bit(position), "single_mark", "centered-cross-geometry"))
 
 
 def refine_classification(df: DataFrame, decision: str = "decision", strokes: bool = False) -> DataFrame:
@@ -220,21 +245,14 @@ def refine_classification(df: DataFrame, decision: str = "decision", strokes: bo
     ``green`` and, per sheet row, ``crosses`` / ``diagonals`` (1-based cell
     positions) next to the decision column. With ``strokes`` also ``mass``,
     ``area`` and ``other_area`` of the largest connected stroke, whose rule
-    comes after relative contrast, on refined sheets only.
+    comes after relative contrast, on refined sheets only. A rule is one narrow
+    projection over plain columns; the decision is put together at the end.
     """
-    d = F.col(decision)
-    densities, cores = F.col("densities"), F.col("cores")
-    rows = with_row_facts(df).withColumn(decision, _custom_rescue(d, cores, F.col("custom"))).withColumn(
-        decision, _relative_contrast(d, densities, cores, F.col("refined"))
-    )
-    if strokes:
-        stroke = component_majority(d, cores, F.col("mass"), F.col("area"), F.col("other_area"))
-        rows = rows.withColumn(decision, F.when(F.col("refined"), stroke).otherwise(d))
-    return (
-        rows.withColumn(decision, _green_core(d, cores, F.col("green")))
-        .withColumn(decision, _single_cross(d, cores, F.col("green"), F.col("crosses"), F.col("diagonals")))
-        .drop(*ROW_FACTS)
-    )
+    rows = with_row_facts(df).withColumns({"_picked": _mask_of(F.col(f"{decision}.selected")), "_state": F.col(f"{decision}.state"), "_reason": F.col(f"{decision}.reason")})
+    rules = [_custom_rescue, _relative_contrast, *([_connected_stroke] if strokes else []), _green_core, _single_cross]
+    for rule in rules:
+        rows = rule(rows)
+    return rows.withColumn(decision, _decision(_letters_of(F.col("_picked")), F.col("_state"), F.col("_reason"))).drop(*ROW_FACTS, *_PLAIN)
 
 
 def auto_resolved(state: Column, block_review: Column) -> Column:
