@@ -57,6 +57,7 @@ CACHED_WORDS = 800_000
 STEP_CHARS = 1 << 20
 TOGETHER = 48
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_CLOSING = frozenset(PUNCTUATION)
 #: (score, ids) of each segmentation.
 Segmentations = list[tuple[float, tuple[int, ...]]]
 
@@ -271,7 +272,7 @@ class Encoder:
         value = lambda i: round(given(i) * SCALE) / SCALE
         self.lattice = Lattice({self.names[i]: (i, float(value(i))) for i in own}, byte_ids)
         self.after_break = self.model.encode("\n")
-        self.value = [BYTE_SCORE if i in self.byte_of else float(value(i)) for i in range(size)]
+        self.value = np.asarray([BYTE_SCORE if i in self.byte_of else float(value(i)) for i in range(size)])
         self.forget()
 
     def words(self, text: str) -> list[str]:
@@ -309,32 +310,50 @@ class Encoder:
         self.own: list[bytes] = []
         self.scores, self.losses, self.own_scores = array("d"), array("d"), array("d")
         self.lists: dict[str, Segmentations] = {}
-        self.solved: dict[str, tuple[bytes, float, float]] = {}
 
-    def library(self, words: list[str]) -> list[list[int]]:
-        """The library's own ids of words, each read with a line break behind it.
+    def library(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The library's own ids of words, each read with a line break behind it: all ids, and how many of each word.
 
         The library puts a space in front itself; a word without one is read
         after a line break.
         """
-        given = [(w[1:].replace(SPACE, " ") if w.startswith(SPACE) else "\n" + w) + "\n" for w in words]
+        given = [w[1:].replace(SPACE, " ") + "\n" if w[0] == SPACE else f"\n{w}\n" for w in words]
         found = self.model.encode(given, num_threads=1)
         skip, behind = len(self.after_break), len(self.after_break) - 1
-        return [ids[: len(ids) - behind] if w.startswith(SPACE) else ids[skip : len(ids) - behind] for w, ids in zip(words, found, strict=True)]
+        flat = np.fromiter(itertools.chain.from_iterable(found), np.int64)
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        first = np.fromiter((0 if w[0] == SPACE else skip for w in words), np.int64, len(words))
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        own = (place >= np.repeat(first, sizes)) & (place < np.repeat(sizes - behind, sizes))
+        return flat[own], sizes - first - behind
 
     def learn(self, words: list[str]) -> None:
-        """Solve new words, all together."""
-        units = [self.units(w) for w in words]
-        new = list({u for own in units for u in own} - self.solved.keys())
-        self.solved |= zip(new, self.lattice.best_two_of(new), strict=True)
-        for word, own, ids in zip(words, units, self.library(words), strict=True):
-            found = [self.solved[u] for u in own]
-            self.at[word] = len(self.packed)
-            self.packed.append(b"".join(f[0] for f in found))
-            self.scores.append(sum(f[1] for f in found))
-            self.losses.append(min(f[2] for f in found))
-            self.own.append(array("I", ids).tobytes())
-            self.own_scores.append(sum(map(self.value.__getitem__, ids)))
+        """Solve new words, all together; the parts of a word that has two are words themselves."""
+        plain, parted = [], []
+        for word in words:
+            if word[-1] in _CLOSING and len(own := self.units(word)) > 1:
+                parted.append((word, own))
+            else:
+                plain.append(word)
+        plain += {u for _, own in parted for u in own} - self.at.keys() - set(plain)
+        every = plain + [word for word, _ in parted]
+        if not every:
+            return
+        self.at |= zip(every, range(len(self.packed), len(self.packed) + len(every)), strict=True)
+        for packed, score, loss in self.lattice.best_two_of(plain):
+            self.packed.append(packed)
+            self.scores.append(score)
+            self.losses.append(loss)
+        for _, (core, rest) in parted:
+            a, b = self.at[core], self.at[rest]
+            self.packed.append(self.packed[a] + self.packed[b])
+            self.scores.append(self.scores[a] + self.scores[b])
+            self.losses.append(min(self.losses[a], self.losses[b]))
+        flat, sizes = self.library(every)
+        raw, ends = flat.astype("<u4").tobytes(), (4 * np.cumsum(sizes)).tolist()
+        self.own += [raw[low:high] for low, high in zip([0, *ends], ends, strict=False)]
+        sums = np.r_[0.0, np.cumsum(self.value[flat])]
+        self.own_scores.extend((sums[np.cumsum(sizes)] - sums[np.cumsum(sizes) - sizes]).tolist())
 
     def split(self, texts: list[str | None]) -> Iterator[list[tuple[list[str], np.ndarray]]]:
         """Words and their numbers for each text, in steps of bounded size; new words of a step are learnt together."""
@@ -419,9 +438,8 @@ def log_probabilities(docs: DataFrame, model: str, *, text: str = "text") -> np.
 
         def settle() -> None:
             given = list(words)
-            ids = own.library(given)
-            flat = np.fromiter(itertools.chain.from_iterable(ids), np.int64)
-            total[:] += np.bincount(flat, np.repeat([words[w] for w in given], [len(i) for i in ids]), len(total)).astype(np.int64)
+            flat, sizes = own.library(given)
+            total[:] += np.bincount(flat, np.repeat(np.fromiter(words.values(), np.int64, len(given)), sizes), len(total)).astype(np.int64)
             words.clear()
 
         for batch in batches:
