@@ -140,6 +140,15 @@ def running(df: DataFrame, keys: Sequence[str], order: str, value: str, name: st
     return summed.withColumn(name, F.col("_offset") + F.col("_inside")).drop("_inside", "_offset")
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """This side of a join is sorted and merged, never sent whole to every task.
+
+    For rows that an explode or a generated range makes: Spark takes them to be
+    as few bytes as the rows they come from, and would collect them on the driver.
+    """
+    return df.hint("merge")
+
+
 def expand_range(df: DataFrame, low: str | Column, high: str | Column, name: str) -> DataFrame:
     """One row per integer of [low, high]; turns interval membership into an equi join."""
     low = F.col(low) if isinstance(low, str) else low

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradeloom.operators.common import CHOICES, exact_median, expand_range, previous, running, sliced, top, violations, yes
+from gradeloom.operators.common import CHOICES, exact_median, expand_range, merged, previous, running, sliced, top, violations, yes
 from gradeloom.session import cut
 
 # Smallest ink core of a cell, and the limits of a template.
@@ -50,7 +50,7 @@ def shift_rects(rects: DataFrame, offsets: DataFrame, keys: Sequence[str], x: st
 def question_block(questions: DataFrame, blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Block of every question: the ranges are spelled out, the membership test is an equi join."""
     spelled = expand_range(blocks, "question_start", "question_end", "question").select(*keys, "question", "block_index")
-    return questions.join(spelled, [*keys, "question"])
+    return questions.join(merged(spelled), [*keys, "question"])
 
 
 def number_strips(blocks: DataFrame, keys: Sequence[str], configured: DataFrame | None = None) -> DataFrame:
