@@ -149,6 +149,15 @@ def merged(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows by ``keys`` over as many tasks as a shuffle has, small ones not put together again.
+
+    For rows that an explode is about to multiply: what they become stays where
+    it is, and joins and groups that hold ``keys`` need no further shuffle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def expand_range(df: DataFrame, low: str | Column, high: str | Column, name: str) -> DataFrame:
     """One row per integer of [low, high]; turns interval membership into an equi join."""
     low = F.col(low) if isinstance(low, str) else low

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradeloom.operators.common import CHOICES, exact_median, expand_range, merged, previous, running, sliced, top, violations, yes
+from gradeloom.operators.common import CHOICES, exact_median, expand_range, merged, previous, running, sliced, spread, top, violations, yes
 from gradeloom.session import cut
 
 # Smallest ink core of a cell, and the limits of a template.
@@ -22,10 +22,11 @@ def boundaries(start: Column, step: Column, cells: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), cells), lambda i: start + i * step)
 
 
-def cell_rects(blocks: DataFrame, keys: Sequence[str], inset: int = 4) -> DataFrame:
+def cell_rects(blocks: DataFrame, keys: Sequence[str], inset: int = 4, carried: Sequence[str] = ()) -> DataFrame:
     """Every (question, choice) cell of every block with its outer and inner rectangle.
 
-    ``blocks`` needs block_index, question_start, question_end, choice_count, cols, rows.
+    ``blocks`` needs block_index, question_start, question_end, choice_count, cols, rows
+    and the columns ``carried`` along to its cells.
     """
     rows = expand_range(blocks, "question_start", "question_end", "question")
     cells = expand_range(rows, F.lit(1), F.col("choice_count"), "_c")
@@ -35,18 +36,29 @@ def cell_rects(blocks: DataFrame, keys: Sequence[str], inset: int = 4) -> DataFr
     return cells.select(
         *keys, "block_index", "question", F.element_at(F.array(*[F.lit(c) for c in CHOICES]), F.col("_c")).alias("choice"),
         x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"),
-        (x + inset).alias("ix"), (y + inset).alias("iy"), (w - 2 * inset).alias("iw"), (h - 2 * inset).alias("ih"),
+        (x + inset).alias("ix"), (y + inset).alias("iy"), (w - 2 * inset).alias("iw"), (h - 2 * inset).alias("ih"), *carried,
     )
 
 
 def shift_rects(rects: DataFrame, offsets: DataFrame, keys: Sequence[str], x: str = "ix", y: str = "iy") -> DataFrame:
     """Rectangles moved by the offset of their block; a block without one stays."""
-    moved = rects.join(offsets.select(*keys, "block_index", "shift_x", "shift_y"), [*keys, "block_index"], "left")
-    return moved.withColumns(
+    moved = rects.join(merged(offsets.select(*keys, "block_index", "shift_x", "shift_y")), [*keys, "block_index"], "left")
+    return _at_offset(moved, x, y)
+
+
+def _at_offset(rects: DataFrame, x: str, y: str) -> DataFrame:
+    return rects.withColumns(
         {x: F.col(x) + F.coalesce("shift_x", F.lit(0)), y: F.col(y) + F.coalesce("shift_y", F.lit(0))}
     ).drop("shift_x", "shift_y")
 
 
+def shifted_cells(blocks: DataFrame, offsets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``shift_rects`` of ``cell_rects``: each block meets its offset before it is spelled out."""
+    offsets = spread(offsets.select(*keys, "block_index", "shift_x", "shift_y"), *keys)
+    placed = spread(blocks.drop("shift_x", "shift_y"), *keys).join(merged(offsets), [*keys, "block_index"], "left")
+    return _at_offset(cell_rects(placed, keys, carried=("shift_x", "shift_y")), "ix", "iy")
+
+
 def question_block(questions: DataFrame, blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Block of every question: the ranges are spelled out, the membership test is an equi join."""
     spelled = expand_range(blocks, "question_start", "question_end", "question").select(*keys, "question", "block_index")
@@ -82,7 +94,7 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], size: i
         wide = solid.withColumn("_tx", F.explode(F.sequence(F.floor(x / size), F.floor((x + w - 1) / size))))
         return wide.withColumn("_ty", F.explode(F.sequence(F.floor(y / size), F.floor((y + h - 1) / size))))
 
-    pairs = tiled(left, "l").join(tiled(right, "r"), [*keys, "_tx", "_ty"])
+    pairs = tiled(left, "l").join(merged(tiled(right, "r")), [*keys, "_tx", "_ty"])
     left_edge, top_edge = F.greatest("x_l", "x_r"), F.greatest("y_l", "y_r")
     hit = (left_edge < F.least(F.col("x_l") + F.col("w_l"), F.col("x_r") + F.col("w_r"))) & (
         top_edge < F.least(F.col("y_l") + F.col("h_l"), F.col("y_r") + F.col("h_r"))
@@ -93,12 +105,12 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], size: i
 
 def check_geometry(blocks: DataFrame, cells: DataFrame, strips: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Cells that leave their block or run into a protected number strip."""
-    outer = blocks.select(
+    outer = spread(blocks, *keys).select(
         *keys, "block_index", F.element_at("cols", 1).alias("_l"), F.element_at("rows", 1).alias("_t"),
         F.element_at("cols", -1).alias("_r"), F.element_at("rows", -1).alias("_b"),
     )
     inner = cells.select(*keys, "block_index", "question", "choice", F.col("ix").alias("x"), F.col("iy").alias("y"), F.col("iw").alias("w"), F.col("ih").alias("h"))
-    leaves = inner.join(outer, [*keys, "block_index"]).where(
+    leaves = inner.join(merged(outer), [*keys, "block_index"]).where(
         (F.col("x") < F.col("_l")) | (F.col("y") < F.col("_t")) | (F.col("x") + F.col("w") > F.col("_r")) | (F.col("y") + F.col("h") > F.col("_b"))
     ).select(*keys, "question", "choice", F.lit("leaves_block").alias("rule"))
     hits = overlap_join(inner.drop("block_index"), strips.select(*keys, "x", "y", "w", "h"), keys)

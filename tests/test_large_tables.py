@@ -35,3 +35,13 @@ def test_question_block_collects_no_side(spark):
     found = geometry.question_block(asked, layout(spark), ["t"])
     assert "Broadcast" not in plan(found)
     assert rows(found.select("t", "question", "block_index")) == sorted([(i % 6, i % 5, (i % 5 - 1) // 2) for i in range(24) if i % 5], key=repr)
+
+
+def test_check_geometry_collects_no_side_and_spells_out_after_the_offsets_are_met(spark):
+    blocks = layout(spark)
+    cells = geometry.shifted_cells(blocks, blocks, ["t"])
+    found = geometry.check_geometry(blocks, cells, geometry.number_strips(blocks, ["t"]), ["t"])
+    assert "Broadcast" not in plan(found) and "Broadcast" not in plan(cells)
+    assert rows(cells) == rows(geometry.shift_rects(geometry.cell_rects(blocks, ["t"]), blocks, ["t"]))
+    moved = [(t, q, c) for t in range(6) for q in range(1, 5) for c in "ABC"]
+    assert rows(found) == sorted([(t, q, c, "leaves_block") for t, q, c in moved if 30 * "ABC".index(c) + 4 + t % 3 + 22 > 90], key=repr)
