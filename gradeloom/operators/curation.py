@@ -38,9 +38,10 @@ def next_review(records: DataFrame, position: str, start: DataFrame) -> DataFram
     marks = sliced(marks, ["_at", "_waits", "worker"], "marks")
     hit = F.when(F.col("_waits") == 1, F.col("_at"))
     heads = marks.groupBy("_slice").agg(F.min(hit).alias("_head"))
-    later = Window.orderBy("_slice").rowsBetween(1, Window.unboundedFollowing)  # one row per slice
+    later = Window.orderBy(F.col("_slice").desc()).rowsBetween(Window.unboundedPreceding, -1)  # one row per slice
     heads = heads.select("_slice", F.min("_head").over(later).alias("_later"), F.min("_head").over(Window.partitionBy()).alias("_first"))
-    inside = Window.partitionBy("_slice").orderBy("_at", "_waits", "worker").rowsBetween(0, Window.unboundedFollowing)
+    # Backwards, as a frame that grows: Spark reads the whole rest again for each row of a frame that shrinks.
+    inside = Window.partitionBy("_slice").orderBy(*[F.col(c).desc() for c in ("_at", "_waits", "worker")]).rowsBetween(Window.unboundedPreceding, 0)
     found = marks.withColumn("_next", F.min(hit).over(inside)).where("_waits = 0")
     return found.join(heads, "_slice").select("worker", F.coalesce("_next", "_later", "_first").alias("position"))
 

@@ -5,7 +5,7 @@ import io
 
 from pyspark.sql import functions as F
 
-from gradeloom.operators import geometry
+from gradeloom.operators import curation, geometry
 
 
 def rows(df):
@@ -45,3 +45,23 @@ def test_check_geometry_collects_no_side_and_spells_out_after_the_offsets_are_me
     assert rows(cells) == rows(geometry.shift_rects(geometry.cell_rects(blocks, ["t"]), blocks, ["t"]))
     moved = [(t, q, c) for t in range(6) for q in range(1, 5) for c in "ABC"]
     assert rows(found) == sorted([(t, q, c, "leaves_block") for t, q, c in moved if 30 * "ABC".index(c) + 4 + t % 3 + 22 > 90], key=repr)
+
+
+def test_template_diff_and_check_template_collect_no_side(spark):
+    blocks = layout(spark)
+    moved = blocks.withColumn("cols", F.transform("cols", lambda x: x + F.col("shift_x")))
+    found = geometry.template_diff(blocks, moved.withColumn("rows", F.slice("rows", 1, 2)), ["t"])
+    assert "Broadcast" not in plan(found)
+    assert rows(found.select("t", "max_error")) == [(t, t % 3) for t in range(6)]
+    templates = spark.range(6).select(F.col("id").alias("t"), F.lit(280).alias("width"), F.lit(300).alias("height"), F.lit(5).alias("question_count"), F.lit(3).alias("choice_count"))
+    broken = geometry.check_template(blocks, templates, ["t"])
+    assert "Broadcast" not in plan(broken)
+    assert rows(broken) == sorted([(t, 1, "out_of_bounds") for t in range(6)] + [(t, None, "coverage") for t in range(6)], key=repr)
+
+
+def test_next_review_reads_no_rest_of_a_slice_again(spark):
+    records = spark.range(40).select("id", F.when(F.col("id") % 7 == 3, "needs_review").otherwise("accepted").alias("label_status"))
+    starts = spark.range(50).select(F.col("id").alias("worker"), F.col("id").alias("start"))
+    found = curation.next_review(records, "id", starts)
+    assert "unboundedfollowing" not in plan(found)
+    assert rows(found) == sorted([(i, next((p for p in range(3, 40, 7) if p >= i), 3)) for i in range(50)], key=repr)
