@@ -163,18 +163,17 @@ def check_template(blocks: DataFrame, templates: DataFrame, keys: Sequence[str],
 
 def template_diff(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Largest boundary error and frame overlap between two versions of a layout, per template."""
-    lines = lambda df: df.select(
-        *keys, "block_index",
-        F.posexplode(F.concat(F.transform("cols", lambda v: v.cast("bigint")), F.transform("rows", lambda v: v.cast("bigint")))),
+    lines = lambda df, name: spread(df, *keys).select(
+        *keys, "block_index", F.concat(F.transform("cols", lambda v: v.cast("bigint")), F.transform("rows", lambda v: v.cast("bigint"))).alias(name)
     )
-    error = lines(left).join(lines(right).withColumnRenamed("col", "_other"), [*keys, "block_index", "pos"]).groupBy(*keys).agg(
-        F.max(F.abs(F.col("col") - F.col("_other"))).alias("max_error")
-    )
-    box = lambda df, s: df.groupBy(*keys).agg(
+    pairs = lines(left, "_lines").join(merged(lines(right, "_others")), [*keys, "block_index"])
+    apart = F.array_max(F.zip_with("_lines", "_others", lambda a, b: F.abs(a - b)))  # lines that one side lacks give NULL
+    error = pairs.where((F.size("_lines") > 0) & (F.size("_others") > 0)).groupBy(*keys).agg(F.max(apart).alias("max_error"))
+    box = lambda df, s: spread(df, *keys).groupBy(*keys).agg(
         F.min(F.element_at("cols", 1)).alias(f"l{s}"), F.max(F.element_at("cols", -1)).alias(f"r{s}"),
         F.min(F.element_at("rows", 1)).alias(f"t{s}"), F.max(F.element_at("rows", -1)).alias(f"b{s}"),
     )
-    both = error.join(box(left, "1"), list(keys)).join(box(right, "2"), list(keys))
+    both = error.join(merged(box(left, "1")), list(keys)).join(merged(box(right, "2")), list(keys))
     zero = F.lit(0).cast("bigint")
     common = F.greatest(zero, F.least("r1", "r2") - F.greatest("l1", "l2")) * F.greatest(zero, F.least("b1", "b2") - F.greatest("t1", "t2"))
     area = (F.col("r2") - F.col("l2")) * (F.col("b2") - F.col("t2"))
