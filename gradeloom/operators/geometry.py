@@ -134,7 +134,8 @@ def check_template(blocks: DataFrame, templates: DataFrame, keys: Sequence[str],
     wide = lambda name: F.forall(
         F.sequence(F.lit(2), F.greatest(F.size(name), F.lit(2))), lambda i: yes(F.try_element_at(name, i) - F.try_element_at(name, i - 1) >= span)
     )
-    joined = blocks.join(templates.select(*keys, "width", "height", "question_count", F.col("choice_count").alias("_choices")), list(keys))
+    blocks = spread(blocks, *keys)
+    joined = blocks.join(merged(templates.select(*keys, "width", "height", "question_count", F.col("choice_count").alias("_choices"))), list(keys))
     per_block = violations(
         joined, [*keys, "block_index"],
         {
@@ -148,7 +149,7 @@ def check_template(blocks: DataFrame, templates: DataFrame, keys: Sequence[str],
     )
     covered = expand_range(blocks, "question_start", "question_end", "question").groupBy(*keys, "question").agg(F.count(F.lit(1)).alias("_n"))
     twice = covered.where("_n > 1").select(*keys).distinct().withColumn("rule", F.lit("question_twice"))
-    counted = covered.join(templates.select(*keys, "question_count"), list(keys)).groupBy(*keys).agg(
+    counted = covered.join(merged(templates.select(*keys, "question_count")), list(keys)).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.min("question").alias("_low"), F.max("question").alias("_high"), F.max("question_count").alias("_want")
     )
     gaps = counted.where((F.col("_n") != F.col("_want")) | (F.col("_low") != 1) | (F.col("_high") != F.col("_want"))).select(*keys).withColumn("rule", F.lit("coverage"))
