@@ -202,38 +202,72 @@ def lcg_after(steps: np.ndarray, seed: int = SEED) -> np.ndarray:
     return states
 
 
-def _draws(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Drawn positions of each (iteration, from, upto) block of the resampling sequence."""
-    for frame in frames:
-        parts = []
-        for row in frame.itertuples(index=False):
-            steps = np.arange(row.low, row.high, dtype=np.uint64) + np.uint64(row.iteration * row.n + 1)
-            drawn = lcg_after(steps & np.uint64(2**LCG_BITS - 1)) % np.uint64(row.n)
-            positions, times = np.unique(drawn.astype(np.int64), return_counts=True)
-            parts.append(pd.DataFrame({"iteration": row.iteration, "n": row.n, "draw": positions, "times": times}))
-        if parts:
-            yield pd.concat(parts)
-
-
-def bootstrap_ci(values: DataFrame, order: str, hit: Column, block: int = 65536) -> DataFrame:
+def lcg_run(first: int, count: int) -> np.ndarray:
+    """``count`` successive generator states from step ``first`` on, by doubling."""
+    mask, states = np.uint64(2**LCG_BITS - 1), lcg_after(np.array([first % 2**LCG_BITS], dtype=np.uint64))
+    for a, c in lcg_powers():
+        if len(states) >= count:
+            break
+        states = np.concatenate([states, (states * np.uint64(a) + np.uint64(c)) & mask])
+    return states[:count]
+
+
+# Fixed sizes: outcomes of one packed piece, pieces that one task holds, and draws made at once.
+PIECE, PIECES, DRAWS = 1 << 16, 1 << 10, 1 << 20
+
+
+def _packed(frame: pd.DataFrame) -> pd.DataFrame:
+    """The outcomes of one piece, a bit each, zeros where the table ends."""
+    bits = np.zeros(PIECE, dtype=bool)
+    bits[frame["draw"].to_numpy() % PIECE] = frame["hit"].to_numpy() == 1
+    return pd.DataFrame({"piece": [int(frame["draw"].iloc[0]) // PIECE], "bits": [np.packbits(bits).tobytes()]})
+
+
+def _draws(units: pd.DataFrame, pieces: pd.DataFrame) -> pd.DataFrame:
+    """Hits per iteration of the draws (low to high) of some units that fall on the pieces of one part."""
+    sums: dict[int, int] = {}
+    if len(units):
+        n, start = int(units["n"].iloc[0]), int(units["part"].iloc[0]) * PIECES
+        hits = np.zeros(PIECES * PIECE if (start + PIECES) * PIECE <= n else max(0, n - start * PIECE), dtype=bool)
+        for piece, bits in zip(pieces["piece"], pieces["bits"]):
+            at = (piece - start) * PIECE
+            hits[at : at + PIECE] = np.unpackbits(np.frombuffer(bits, dtype=np.uint8)).view(bool)[: len(hits) - at]
+        for low, high in zip(units["low"], units["high"]):
+            drawn = (lcg_run(low + 1, high - low) % np.uint64(n)).astype(np.int64) - start * PIECE
+            inside = (drawn >= 0) & (drawn < len(hits))
+            found = hits[np.where(inside, drawn, 0)] & inside if len(hits) else inside
+            first = low // n
+            counts = np.add.reduceat(found, [max(0, i * n - low) for i in range(first, (high - 1) // n + 1)], dtype=np.int64)
+            for i, count in enumerate(counts):
+                sums[first + i] = sums.get(first + i, 0) + int(count)
+    return pd.DataFrame({"iteration": list(sums), "n": [int(units["n"].iloc[0])] * len(sums) if len(units) else [], "hits": list(sums.values())}, dtype="int64")
+
+
+def bootstrap_ci(values: DataFrame, order: str, hit: Column, block: int = DRAWS) -> DataFrame:
     """95 % percentile interval of the hit rate over 2000 resamples of the generator above.
 
     Every draw knows its own generator state, so draws are made in parallel
-    blocks and meet the outcomes in an equi join on the drawn position.
+    blocks. Outcomes are packed to bits, so that the blocks meet them without a
+    row per draw: a task holds up to 64 million outcomes (8 MB packed); of more,
+    each block is made once for each such part and counts what falls into it.
     """
     indexed = dense_number(values.select(order, hit.cast("int").alias("hit")), [], order, "_p").select(
         (F.col("_p") - 1).cast("bigint").alias("draw"), "hit"
     )
     size = values.agg(F.count(F.lit(1)).alias("n"))
     spark = values.sparkSession
-    # ``size`` is one row
-    starts = spark.range(ITERATIONS).withColumnRenamed("id", "iteration").crossJoin(F.broadcast(size)).where("n > 0")
-    blocks = starts.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / block))))
-    spread = blocks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "iteration", "_b").select(
-        "iteration", "n", (F.col("_b") * block).alias("low"), F.least(F.col("n"), (F.col("_b") + 1) * block).alias("high")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    piece = F.expr(f"draw div {PIECE}")
+    pieces = indexed.groupBy(piece.alias("_piece")).applyInPandas(_packed, "piece bigint, bits binary")
+    dealt = pieces.select(F.expr(f"piece div {PIECES}").alias("part"), "piece", "bits", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task"))
+    # One row, and one for each part.
+    parts = size.where("n > 0").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n - 1) div {PIECE * PIECES}"))))
+    blocks = parts.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n * {ITERATIONS} - 1) div {block}"))))
+    units = blocks.select(
+        "n", "part", (F.col("_b") % tasks).cast("int").alias("task"), (F.col("_b") * block).alias("low"), F.least(F.col("n") * ITERATIONS, (F.col("_b") + 1) * block).alias("high")
     )
-    drawn = spread.mapInPandas(_draws, "iteration bigint, n bigint, draw bigint, times bigint")
-    sums = drawn.join(indexed, "draw").groupBy("iteration", "n").agg(F.sum(F.col("hit") * F.col("times")).alias("_sum"))
+    drawn = units.groupBy("part", "task").cogroup(dealt.groupBy("part", "task")).applyInPandas(_draws, "iteration bigint, n bigint, hits bigint")
+    sums = drawn.groupBy("iteration", "n").agg(F.sum("hits").alias("_sum"))
     ranked = ranked_values(sums.withColumnRenamed("n", "_size"), ["_size"], "_sum")
     low, high = round((ITERATIONS - 1) * 0.025) + 1, round((ITERATIONS - 1) * 0.975) + 1
     return ranked.groupBy("_size").agg(

@@ -3,9 +3,10 @@
 import contextlib
 import io
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from gradeloom.operators import curation, geometry
+from gradeloom.operators import curation, evaluate, geometry
 
 
 def rows(df):
@@ -65,3 +66,13 @@ def test_next_review_reads_no_rest_of_a_slice_again(spark):
     found = curation.next_review(records, "id", starts)
     assert "currentrow$(), unboundedfollowing$()" not in plan(found)
     assert rows(found) == sorted([(i, next((p for p in range(3, 40, 7) if p >= i), 3)) for i in range(50)], key=repr)
+
+
+def test_bootstrap_makes_no_row_per_draw(spark):
+    n = evaluate.PIECE + 9
+    values = np.arange(n) % 7 < 3
+    assert list(evaluate.lcg_run(5, 300)) == list(evaluate.lcg_after(np.arange(5, 305, dtype=np.uint64)))
+    totals = sorted(int(values[(evaluate.lcg_run(i * n + 1, n) % np.uint64(n)).astype(np.int64)].sum()) for i in range(evaluate.ITERATIONS))
+    found = evaluate.bootstrap_ci(spark.range(n).select("id", (F.col("id") % 7 < 3).alias("hit")), "id", F.col("hit"))
+    assert "FlatMapCoGroupsIn" in plan(found)
+    assert tuple(found.first()) == (n, round(totals[50] / n, 6), round(totals[1949] / n, 6))
