@@ -82,20 +82,37 @@ def apply_overrides(answers: DataFrame, overrides: DataFrame) -> DataFrame:
 def effective_answers(
     state: DataFrame, key: DataFrame, exams: DataFrame, observations: DataFrame, overrides: DataFrame, review_answers: DataFrame
 ) -> DataFrame:
-    """One row per (sheet, question 1..n): reviewed answer, else override, else machine answer, else NULL."""
-    grid = expand_range(
-        state.join(key.select("exam_id", "key_id"), "exam_id").join(exams.select("exam_id", "question_count"), "exam_id"),
-        F.lit(1), F.col("question_count"), "question",
-    )
-    reviewed = review_answers.select("review_id", "question", F.col("answer").alias("reviewed"))
-    rows = grid.join(newest_observations(observations), ["source_id", "question"], "left")
-    rows = apply_overrides(rows, overrides).join(reviewed, ["review_id", "question"], "left")
+    """One row per (sheet, question 1..n): reviewed answer, else override, else machine answer, else NULL.
+
+    What is known of a sheet's questions (at most 60, narrow rows) comes to the
+    sheet as one list, and the sheet is spelled out last: sheets are shuffled
+    once, by ``source_id``, answers not at all, and groups of a sheet's answers
+    need no further shuffle.
+    """
+    sheets = state.join(key.select("exam_id", "key_id"), "exam_id").join(exams.where("question_count >= 1").select("exam_id", "question_count"), "exam_id")
     current_review = yes(F.col("review_key") == F.col("key_id"))
+    told = lambda df, kind, value, **seen: df.select(
+        "source_id", "question", F.lit(kind).alias("kind"), F.col(value).alias("value"),
+        *[seen.get(name, F.lit(None)).cast(of).alias(name) for name, of in (("state", "string"), ("resolved", "boolean"))],
+    )
+    place = sheets.select("source_id", F.col("key_id").alias("_key"), F.col("detection_id").alias("_detection"))
+    valid = newest_overrides(overrides).join(place, "source_id").where((F.col("key_id") == F.col("_key")) & F.col("detection_id").eqNullSafe(F.col("_detection")))
+    reviewed = review_answers.select("review_id", "question", "answer").join(sheets.where(current_review).select("review_id", "source_id"), "review_id")
+    facts = (
+        told(newest_observations(observations), "seen", "choice", state=F.col("state"), resolved=F.col("auto_resolved"))
+        .unionByName(told(valid, "override", "override")).unionByName(told(reviewed, "reviewed", "answer"))
+    )
+    listed = facts.repartition("source_id").groupBy("source_id").agg(F.collect_list(F.struct("question", "kind", "value", "state", "resolved")).alias("_facts"))
+    of = lambda question, kind: F.get(F.filter("_facts", lambda x: (x["question"] == question) & (x["kind"] == kind)), 0)
+    answers = F.transform(
+        F.sequence(F.lit(1), F.col("question_count")),
+        lambda q: F.struct(q.alias("question"), of(q, "seen").alias("_seen"), of(q, "override")["value"].alias("_override"), of(q, "reviewed")["value"].alias("_reviewed")),
+    )
+    rows = sheets.join(listed, "source_id", "left").select(*sheets.columns, F.inline(answers))
+    rows = rows.withColumns({"state": F.col("_seen.state"), "choice": F.col("_seen.value"), "auto_resolved": F.col("_seen.resolved"), "overridden": F.col("_override").isNotNull()})
     usable = is_current(F.col("pipeline_version")) & (F.col("has_registration") == 1)
     machine = machine_answer(F.col("state"), F.col("choice"), F.col("auto_resolved"), usable)
-    return rows.withColumn("overridden", F.col("override").isNotNull()).withColumn(
-        "answer", F.when(current_review, F.col("reviewed")).otherwise(F.coalesce("override", machine))
-    ).drop("override", "reviewed")
+    return rows.withColumn("answer", F.when(current_review, F.col("_reviewed")).otherwise(F.coalesce("_override", machine))).drop("_seen", "_override", "_reviewed")
 
 
 def answer_prefill(state: Column, choice: Column, resolved: Column) -> Column:
@@ -384,8 +401,8 @@ def skip_summary(
         drafts = identity_edits.select("source_id", normalize_number(F.col("value")).alias("_draft"), F.lit(True).alias("_edited"))
         state = state.join(drafts, "source_id", "left").withColumn("number", F.when(F.col("_edited"), F.col("_draft")).otherwise(F.col("number"))).drop("_draft", "_edited")
     if answer_edits is not None:
-        made = answer_edits.select("source_id", "question", F.lit(True).alias("_made")).distinct()
-        answers = answers.join(made, ["source_id", "question"], "left")
+        made = answer_edits.groupBy("source_id").agg(F.collect_set("question").alias("_edited"))  # at most 60 questions per sheet
+        answers = answers.join(made, "source_id", "left").withColumn("_made", F.array_contains("_edited", F.col("question")))
     else:
         answers = answers.withColumn("_made", F.lit(False))
     sheets = with_room_facts(state.where(F.col("exam_id").isNotNull()), maximum)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from gradeloom.operators import grading as G
 from gradeloom.operators import review as R
 from gradeloom.operators.common import latest
-from gradeloom.plans.q_state import answers_table, confirmed_table, maximum, state_table
+from gradeloom.plans.q_state import answers, confirmed_table, maximum, state_table
 from gradeloom.plans.registry import SHARED, placed, query
 
 SHARED.update(
@@ -39,7 +39,7 @@ SELECT *, CASE WHEN prefill IS NOT NULL THEN prefill WHEN kind = 'answer' AND st
 
 
 def issues(v):
-    return R.issues(state_table(v), answers_table(v), confirmed_table(v), maximum(v), G.attendance_state(v.attendance), R.open_failures(v.import_log))
+    return R.issues(state_table(v), answers(v), confirmed_table(v), maximum(v), G.attendance_state(v.attendance), R.open_failures(v.import_log))
 
 
 @query("import_failures", "S8", "SELECT seq, exam_id, path, purpose, room_id, error FROM o_open_failures")
@@ -119,7 +119,7 @@ SELECT room_id, count(*) FILTER (WHERE unk) AS unconfirmed_identities, CAST(sum(
        count(*) FILTER (WHERE unk OR failure IS NOT NULL OR unclear > 0 OR NOT on_key) AS unresolved_sheets
 FROM (SELECT s.*, a.unclear, a.on_key, number IS NULL OR coalesce(holders > 1, false) OR coalesce(number > maximum, false) AS unk FROM o_sheets s JOIN a ON a.source_id = s.source_id) GROUP BY room_id""")
 def skip_summary(v):
-    return R.skip_summary(state_table(v), answers_table(v), maximum(v))
+    return R.skip_summary(state_table(v), answers(v), maximum(v))
 
 
 @query("skip_summary_drafts", "A6", """
@@ -139,7 +139,7 @@ def skip_summary_drafts(v):
     value = F.when(event % 5 == 0, "x1").otherwise((F.col("user_id") % 40).cast("string"))
     numbers = v.events.where("event_id % 3 = 1").select(event.alias("source_id"), value.alias("value"))
     edits = v.events.where("event_id % 3 = 2").select(event.alias("source_id"), (F.col("user_id") % 7 + 1).cast("int").alias("question"))
-    return R.skip_summary(state_table(v), answers_table(v), maximum(v), edits, numbers)
+    return R.skip_summary(state_table(v), answers(v), maximum(v), edits, numbers)
 
 
 @query("union_issues", "U1", "SELECT kind, coalesce(status, '-') AS status, count(*) AS n FROM o_issues GROUP BY ALL")

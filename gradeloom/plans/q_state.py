@@ -94,17 +94,14 @@ def state_table(v):
 
 
 def confirmed_table(v):
-    return confirmed(v)
+    """Written once: a row an exam, whose size Spark then knows."""
+    return v.cut("confirmed", lambda: confirmed(v))
 
 
 def answers(v):
     return R.effective_answers(state_table(v), confirmed_table(v), v.exams, v.observations, v.overrides, v.review_answers)
 
 
-def answers_table(v):
-    return v.cut("answers", lambda: answers(v))
-
-
 def records(v):
     return v.cut("records", lambda: R.choose_record(v.reviews, v.partials, confirmed_table(v), v.sources))
 

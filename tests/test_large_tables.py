@@ -6,7 +6,7 @@ import io
 import numpy as np
 from pyspark.sql import functions as F
 
-from gradeloom.operators import curation, evaluate, geometry, identity
+from gradeloom.operators import curation, evaluate, geometry, identity, review
 
 
 def rows(df):
@@ -89,3 +89,30 @@ def test_nearest_sums_differences_for_leaders_only_with_equal_results():
         got = [(int(i), int(j)) for i, j, d in zip(row, at, distance) if not np.isnan(d)]
         assert got == [(i, int(j)) for i, best in enumerate(want) for j in best if not np.isnan(every[i][j])]
         assert all(d == every[i][j] for i, j, d in zip(row, at, distance) if not np.isnan(d))
+
+
+def test_answers_are_spelled_out_after_the_last_shuffle(spark):
+    state = spark.createDataFrame([
+        (1, 7, 70, 11, "v10", 1, None, None), (2, 7, 70, None, None, None, None, None), (3, 7, 71, 31, "v10", 1, 300, 5), (4, 7, 71, 41, "v10", 1, 400, 4), (5, 9, 90, 51, "v10", 1, None, None),
+    ], "source_id bigint, exam_id int, room_id int, detection_id bigint, pipeline_version string, has_registration int, review_id bigint, review_key bigint")
+    key, exams = spark.createDataFrame([(7, 5)], "exam_id int, key_id bigint"), spark.createDataFrame([(7, 2), (9, 2)], "exam_id int, question_count int")
+    seen = [(1, 1, 0, "multiple", "A"), (1, 1, 1, "single_mark", "B"), (1, 2, 0, "blank", "C"), (1, 3, 0, "blank", "C"), (3, 1, 0, "single_mark", "D"), (4, 2, 0, "single_mark", "E")]
+    observations = spark.createDataFrame([(s, q, at, 0, 0, 0, mark, choice, 1) for s, q, at, mark, choice in seen], "source_id bigint, question int, observed_at int, o1 int, o2 int, o3 int, state string, choice string, block_ok int")
+    overrides = spark.createDataFrame(
+        [(1, 2, 5, 11, 1, "A"), (1, 2, 5, 11, 2, "C"), (1, 1, 4, 11, 3, "E"), (1, 1, 5, 12, 4, "E"), (2, 1, 5, None, 5, "D"), (3, 1, 5, 31, 6, "E")],
+        "source_id bigint, question int, key_id bigint, detection_id bigint, seq int, answer string",
+    )
+    reviewed = spark.createDataFrame([(300, 1, "A"), (300, 2, "blank"), (400, 1, "A")], "review_id bigint, question int, answer string")
+    found = review.effective_answers(state, key, exams, observations, overrides, reviewed)
+    got = rows(found.select("source_id", "question", "state", "answer", "overridden"))
+    assert got == sorted([
+        (1, 1, "single_mark", "B", False), (1, 2, "blank", "C", True), (2, 1, None, "D", True), (2, 2, None, None, False),
+        (3, 1, "single_mark", "A", True), (3, 2, None, "blank", False), (4, 1, None, None, False), (4, 2, "single_mark", "E", False),
+    ], key=repr)
+    # joins of a few rows are broadcast, which shuffles no side; of many they are not
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        above, _ = plan(found.groupBy("source_id", "room_id", "detection_id").agg(F.collect_list("answer"))).split("Generate inline", 1)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange" not in above
