@@ -67,7 +67,7 @@ def prefill(v):
 SELECT kind, count(*) AS issues, count(DISTINCT (source_id, kind, question, number, key_id, detection_id, failure_seq)) AS keys FROM o_issues GROUP BY kind""")
 def issue_key(v):
     rows = issues(v)
-    keyed = rows.withColumn("issue_key", R.issue_key(rows))
+    keyed = rows.withColumn("issue_key", F.unhex(R.issue_key(rows)))
     return keyed.groupBy("kind").agg(F.count(F.lit(1)).alias("issues"), F.count_distinct("issue_key").alias("keys"))
 
 
