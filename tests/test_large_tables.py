@@ -6,7 +6,7 @@ import io
 import numpy as np
 from pyspark.sql import functions as F
 
-from gradeloom.operators import curation, evaluate, geometry, identity, review
+from gradeloom.operators import changes, curation, evaluate, geometry, identity, review
 
 
 def rows(df):
@@ -116,3 +116,27 @@ def test_answers_are_spelled_out_after_the_last_shuffle(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "Exchange" not in above
+
+
+def test_bulk_dismiss_joins_only_rows_that_can_be_dismissed(spark):
+    kind = "kind string, room_id int, source_id bigint, question int, number int, failure_seq bigint"
+    selected = spark.createDataFrame([("import", 1, None, None, None, 8), ("import", 1, None, None, None, 9), ("image", 1, 3, None, None, None), ("image", 1, 4, None, None, None), ("answer", 1, 3, 2, None, None), (None, 1, 3, None, None, None)], kind)
+    failures = spark.createDataFrame([(8,)], "seq bigint")
+    sheets = spark.createDataFrame([(3, 0, "student"), (4, 1, "student")], "source_id bigint, archived int, purpose string")
+    found = changes.bulk_dismiss(selected, failures, sheets)
+    assert rows(found.select("kind", "source_id", "failure_seq", "result")) == sorted([
+        ("import", None, 8, "failure_resolved"), ("import", None, 9, "already_changed"), ("image", 3, None, "sheet_archived"),
+        ("image", 4, None, "already_changed"), ("answer", 3, None, "not_dismissable"), (None, 3, None, "not_dismissable"),
+    ], key=repr)
+    assert " = import)" in plan(found) and " = image)" in plan(found)
+
+
+def test_uniform_edit_meets_keys_as_bytes(spark):
+    kind = "kind string, source_id bigint, question int, number int, key_id bigint, detection_id bigint, failure_seq bigint"
+    issues = spark.createDataFrame([("image", 1, None, None, 5, 6, None), ("answer", 2, 3, None, 5, 6, None), ("image", 3, None, None, 5, 6, None)], kind)
+    keyed = issues.select("source_id", review.issue_key(issues).alias("issue_key"))
+    keys = {row.source_id: row.issue_key for row in keyed.collect()}
+    selection = spark.createDataFrame([(keys[1],), (keys[1],), (keys[2],), (keys[3].upper(),), ("no key",)], "issue_key string")
+    found = changes.uniform_edit(issues, selection, "dismiss")
+    assert rows(found.select("source_id", "issue_key", "error")) == [(1, keys[1], None), (2, keys[2], "not_dismissable")]
+    assert "unhex" in plan(found)
