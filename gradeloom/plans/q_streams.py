@@ -9,7 +9,7 @@ from gradeloom.operators import grading as G
 from gradeloom.operators.common import latest
 from gradeloom.operators.quota import Limits, quota, quota_exact
 from gradeloom.plans.registry import SHARED, query
-from gradeloom.session import checkpoint_dir, cut
+from gradeloom.session import checkpoint_dir
 from gradeloom.streaming import jobs as J
 
 LIMITS = Limits(file_bytes=9_000_000, session_bytes=100_000_000, files=30, seconds=30 * 86400)
@@ -27,7 +27,9 @@ def replay(v, rows: DataFrame, folder: str) -> DataFrame:
 
 def replay_batches(v, rows: DataFrame, batch, n: int, folder: str) -> DataFrame:
     """The rows as a file stream of ``n`` micro-batches, one file each, in order."""
-    kept = cut(rows.withColumn("_batch", batch), "arrivals")
+    dealt = rows.withColumn("_batch", batch.cast("int"))
+    dealt.write.partitionBy("_batch").parquet(f"{folder}/arrivals")  # each file below reads its own rows alone
+    kept = v.spark.read.schema(dealt.schema).parquet(f"{folder}/arrivals")
     for k in range(n):
         kept.where(F.col("_batch") == k).drop("_batch").coalesce(1).write.mode("append").parquet(f"{folder}/in")
     return v.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")

@@ -129,7 +129,8 @@ class Admission(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         done = timerValues.getCurrentWatermarkInMs() * 1000
-        start, files, used, timer = self.session.get() if self.session.exists() else (None, 0, 0, -1)
+        held = self.session.get()  # every call is a trip to the state store
+        start, files, used, timer = held or (None, 0, 0, -1)
         earliest, lowest = None, None
         for frame in rows:
             at = frame["at"].astype("datetime64[us]").astype("int64")
@@ -154,7 +155,8 @@ class Admission(StatefulProcessor):
             start = lowest if start is None else min(start, lowest)
         if earliest is not None:
             timer = self._timed(timer, earliest)
-        self.session.update((start, files, used, timer))
+        if (start, files, used, timer) != held:
+            self.session.update((start, files, used, timer))
 
     def _timed(self, timer: int, earliest: int) -> int:
         """The session's one timer, moved forward to ``earliest`` if that comes first."""
