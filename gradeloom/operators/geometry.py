@@ -52,11 +52,15 @@ def _at_offset(rects: DataFrame, x: str, y: str) -> DataFrame:
     ).drop("shift_x", "shift_y")
 
 
+def _placed(blocks: DataFrame, offsets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Blocks with the offset of each, dealt by ``keys``."""
+    offsets = spread(offsets.select(*keys, "block_index", "shift_x", "shift_y"), *keys)
+    return spread(blocks.drop("shift_x", "shift_y"), *keys).join(merged(offsets), [*keys, "block_index"], "left")
+
+
 def shifted_cells(blocks: DataFrame, offsets: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``shift_rects`` of ``cell_rects``: each block meets its offset before it is spelled out."""
-    offsets = spread(offsets.select(*keys, "block_index", "shift_x", "shift_y"), *keys)
-    placed = spread(blocks.drop("shift_x", "shift_y"), *keys).join(merged(offsets), [*keys, "block_index"], "left")
-    return _at_offset(cell_rects(placed, keys, carried=("shift_x", "shift_y")), "ix", "iy")
+    return _at_offset(cell_rects(_placed(blocks, offsets, keys), keys, carried=("shift_x", "shift_y")), "ix", "iy")
 
 
 def question_block(questions: DataFrame, blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -122,6 +126,29 @@ def geometry_drift(persisted: DataFrame, derived: DataFrame) -> DataFrame:
     return persisted.exceptAll(derived.select(*persisted.columns))
 
 
+def offset_drift(blocks: DataFrame, offsets: DataFrame, keys: Sequence[str], compared: Sequence[str] = ("ix", "iy")) -> DataFrame:
+    """``geometry_drift`` of ``shifted_cells`` against ``cell_rects``, by what ``compared`` names, without a shuffle of cells.
+
+    Within a block a cell has one counterpart, which it meets where both are
+    spelled out. Only templates that have a question in two blocks (or a block
+    twice) may lose a cell to another block: their cells are counted off.
+    """
+    placed = spread(_placed(blocks.where("question_start <= question_end"), offsets, keys), *keys)
+    by_start = Window.partitionBy(*keys).orderBy("question_start")
+    before = F.max("question_end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    shared = F.bool_or(yes(F.col("_before") >= F.col("question_start"))).over(Window.partitionBy(*keys))
+    placed = placed.withColumn("_before", before).withColumn("_shared", shared).drop("_before")
+    columns = [*keys, "question", "choice", *compared]
+    spelled = cell_rects(placed.where(~F.col("_shared")), keys, carried=("shift_x", "shift_y"))
+    moved = _at_offset(spelled.withColumns({f"_{name}": F.col(name) for name in compared}), "ix", "iy")
+    stays = [F.col(name).eqNullSafe(F.col(f"_{name}")) for name in compared]
+    alone = moved.where(~reduce(Column.__and__, stays)).select(*columns)
+    twice = placed.where("_shared")
+    held = _at_offset(cell_rects(twice, keys, carried=("shift_x", "shift_y")), "ix", "iy")
+    given = cell_rects(spread(blocks, *keys).join(merged(twice.select(*keys)), list(keys), "left_semi"), keys)
+    return alone.unionByName(geometry_drift(held.select(*columns), given))
+
+
 def check_template(blocks: DataFrame, templates: DataFrame, keys: Sequence[str], inset: int = 4) -> DataFrame:
     """Block rules, then coverage of 1..n exactly once and overlap between blocks.
 

@@ -6,6 +6,7 @@ import io
 import numpy as np
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from gradeloom.operators import changes, curation, evaluate, geometry, identity, review
 
 
@@ -48,6 +49,24 @@ def test_check_geometry_collects_no_side_and_spells_out_after_the_offsets_are_me
     assert rows(found) == sorted([(t, q, c, "leaves_block") for t, q, c in moved if 30 * "ABC".index(c) + 4 + t % 3 + 22 > 90], key=repr)
 
 
+def test_drift_shuffles_blocks_and_no_cells(spark):
+    # in every second template block 0 also covers the first question of block 1, and template 5 has a block twice
+    reach = F.col("question_end") + F.when((F.col("t") % 2 == 1) & (F.col("block_index") == 0), 1).otherwise(0)
+    blocks = layout(spark, 8).withColumn("question_end", reach)
+    blocks = blocks.unionByName(blocks.where("t = 5 AND block_index = 1"))
+    offsets = blocks.select("t", "block_index", F.when(F.col("t").isin(3, 4), 200).otherwise(F.col("shift_x")).alias("shift_x"), "shift_y").where("t <> 7")
+    found = geometry.offset_drift(blocks, offsets, ["t"], ["ix"])
+    columns = ["t", "question", "choice", "ix"]
+    want = geometry.geometry_drift(geometry.shifted_cells(blocks, offsets, ["t"]).select(*columns), geometry.cell_rects(blocks, ["t"]))
+    assert rows(found) == rows(want) and found.columns == columns
+    # question 3 of template 3: block 0 moved by 200 lies where block 1 was, block 1 moved lies nowhere
+    assert [row for row in rows(found) if row[0] == 3 and row[1] == 3] == [(3, 3, c, 404 + 30 * i) for i, c in enumerate("ABC")]
+    assert {row[0] for row in rows(found)} == {1, 2, 3, 4, 5}
+    query = plan(queries()["geometry_drift"](spark, "/root/testdata/sf0.001"))
+    assert "Exchange" not in query.split("Generate explode", 1)[0]
+    assert "Exchange" not in query[query.index("HashAggregate"):].split("Generate explode", 1)[0]
+
+
 def test_template_diff_and_check_template_collect_no_side(spark):
     blocks = layout(spark)
     moved = blocks.withColumn("cols", F.transform("cols", lambda x: x + F.col("shift_x")))
