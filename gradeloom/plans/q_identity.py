@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from gradeloom.operators import identity as I
+from gradeloom.operators.common import merged, spread
 from gradeloom.plans.registry import SHARED, query, widen
 
 SHARED.update(
@@ -169,21 +170,18 @@ SELECT source_id, candidate, confidence, margin, CASE WHEN prefer THEN 'measured
 
 @query("decide_identity", "C25 A17 A18 J19 C15 C16", "SELECT * FROM o_decide")
 def decide_identity(v):
-    positions = v.cut("positions", lambda: scored(v))
-    stitched, shapes = v.cut("stitched", lambda: I.stitch_segments(positions)), I.shape_suggestions(positions)
-    boxes = v.digit_positions.groupBy("source_id").agg(F.count(F.lit(1)).alias("boxes"))
-    measured = stitched.select("source_id", F.col("candidate").alias("_m"))
-    sid = F.col("source_id")
-    model = F.when(sid % 7 == 0, None).when(sid % 3 == 0, F.col("_m")).otherwise(F.col("processed"))
-    joined = v.reads.join(boxes, "source_id").join(measured, "source_id", "left").withColumn("model_candidate", model)
-    sheets_plan = joined.select(
-        "source_id", "boxes", (F.col("complete") == 1).alias("complete"), (F.col("merged") == 1).alias("merged"), (sid % 2 == 0).alias("narrow_lead"),
-        "model_candidate", (sid % 40).cast("double").alias("model_score"), F.lit(True).alias("calibrated"), "_m")
-    sheets = v.cut("sheets", lambda: sheets_plan)
-    known = sheets.where("model_candidate IS NOT NULL")
-    numbers = known.select("source_id", F.col("model_candidate").alias("candidate"), F.col("model_score").alias("score")).unionByName(
-        known.where(F.col("_m").isNotNull() & (sid % 2 == 0)).select("source_id", F.col("_m").alias("candidate"), (F.col("model_score") / 2).alias("score")))
-    return I.decide_identity(sheets.drop("_m"), votes_input(v), stitched, I.segment_alternatives(positions), numbers, shapes, 20.0, 5.0)
+    dealt = v.dealt("lineitem", "l_orderkey")
+    sid, known = F.col("source_id"), F.col("model_candidate").isNotNull()
+    model = F.when(sid % 7 == 0, None).when(sid % 3 == 0, F.col("measured")).otherwise(F.col("processed"))
+    reads = spread(v.reads.select("source_id", "processed", "complete", "merged"), "source_id")
+    number = lambda candidate, score: F.struct(candidate.alias("candidate"), score.alias("score"))
+    sheets = reads.join(merged(I.sheet_numbers(scored(dealt))), "source_id").withColumn("model_candidate", model).withColumn("model_score", (sid % 40).cast("double"))
+    numbers = F.array_compact(F.array(
+        F.when(known, number(F.col("model_candidate"), F.col("model_score"))),
+        F.when(known & F.col("measured").isNotNull() & (sid % 2 == 0), number(F.col("measured"), F.col("model_score") / 2))))
+    sheets = sheets.withColumns({
+        "complete": F.col("complete") == 1, "merged": F.col("merged") == 1, "narrow_lead": sid % 2 == 0, "calibrated": F.lit(True), "numbers": numbers})
+    return I.decide_identity(sheets, votes_input(dealt), 20.0, 5.0)
 
 
 def validation(v):

@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gradeloom.operators.common import spread
 from gradeloom.session import cut
 
 TABLES = (
@@ -359,6 +360,12 @@ class Views:
         other._frames = self._frames
         return other
 
+    def dealt(self, table: str, *keys: str) -> Views:
+        """Views that read ``table`` dealt by ``keys``: what they group or join by those keys is not shuffled again."""
+        other = Views(self.spark, self.folder)
+        other._frames[table] = spread(self.table(table), *keys)
+        return other
+
     def cut(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """Materialise an intermediate once for all branches of a query."""
         if name not in self._cuts:

@@ -159,3 +159,29 @@ def test_uniform_edit_meets_keys_as_bytes(spark):
     found = changes.uniform_edit(issues, selection, "dismiss")
     assert rows(found.select("source_id", "issue_key", "error")) == [(1, keys[1], None), (2, keys[2], "not_dismissable")]
     assert "unhex" in plan(found)
+
+
+def test_identity_shuffles_each_input_once(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = plan(queries()["decide_identity"](spark, "/root/testdata/sf0.001"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # reads, positions, digit runs and recogniser runs; no votes or sheets are written and shuffled again
+    assert found.count("Exchange") == found.count("REPARTITION_BY_NUM") == 4
+
+
+def test_sheet_numbers_are_those_of_the_single_steps(spark):
+    rng = np.random.default_rng(3)
+    positions = [(s, pos, None if rng.random() < 0.1 else int(rng.integers(0, 3)), int(rng.integers(0, 3)) if rng.random() < 0.3 else None) for s in range(80) for pos in range(1 + s % 8)]
+    runs = [(s, pos, int(rng.integers(0, 3)), float(rng.integers(0, 9)) if rng.random() < 0.95 else None) for s in range(80) for pos in range(9) for _ in range(4)]
+    positions = spark.createDataFrame(positions, "source_id bigint, pos int, digit bigint, shape bigint")
+    scored = identity.position_scores(positions, spark.createDataFrame(runs, "source_id bigint, pos int, digit bigint, raw_score double"))
+    assert scored.count() == positions.count()
+    found = identity.sheet_numbers(scored).cache()
+    assert rows(found.select("source_id", "boxes")) == sorted([(s, 1 + s % 8) for s in range(80)], key=repr)
+    assert rows(found.where("measured IS NOT NULL").select("source_id", "measured", "measured_score")) == rows(identity.stitch_segments(scored)) != []
+    others = found.select("source_id", F.inline("alternatives")).groupBy("source_id", "candidate").agg(F.max("score"))
+    assert rows(others) == rows(identity.segment_alternatives(scored)) != []
+    shapes = found.where("shape_candidate IS NOT NULL").select("source_id", "shape_candidate", "changed_positions")
+    assert rows(shapes) == rows(identity.shape_suggestions(scored)) != []
