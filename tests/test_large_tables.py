@@ -185,3 +185,10 @@ def test_sheet_numbers_are_those_of_the_single_steps(spark):
     assert rows(others) == rows(identity.segment_alternatives(scored)) != []
     shapes = found.where("shape_candidate IS NOT NULL").select("source_id", "shape_candidate", "changed_positions")
     assert rows(shapes) == rows(identity.shape_suggestions(scored)) != []
+
+
+def test_order_issues_samples_written_rows(spark):
+    found = plan(queries()["order_issues"](spark, "/root/testdata/sf0.001"))
+    # the range exchange reads its input twice: there must be no join or group below it
+    below = found.split("Exchange rangepartitioning", 1)[1]
+    assert "Join" not in below and "Generate" not in below and "Scan parquet" in below
