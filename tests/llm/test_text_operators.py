@@ -296,6 +296,39 @@ def test_words_side_by_side_equal_words_alone(encoder):
     assert encoder.lattice.best_two_of([]) == []
 
 
+def test_words_of_texts_are_numbered_together():
+    rng = random.Random(7)
+    texts = [None, "", " ", "\n", "\n\n  a\n b ", "a▁b ▁▁", *("".join(rng.choice("ab é▁\n 😀.") for _ in range(rng.randint(0, 12))) for _ in range(200)), "", None]
+    words, places, counts = pieces.words_of(texts)
+    want = [re.findall("\n|▁+[^▁\n]*|[^▁\n]+", pieces.SPACE + t.replace(" ", pieces.SPACE)) if t else [] for t in texts]
+    assert counts.tolist() == list(map(len, want)) and len(set(words)) == len(words)
+    assert [words[k].decode().replace(" ", pieces.SPACE) for k in places.tolist()] == sum(want, [])
+    assert [len(x) for x in pieces.words_of([None, ""])] == [0, 0, 2]
+
+
+def test_a_word_is_looked_up_once_a_step_not_once_an_occurrence(encoder):
+    asked = Counter()
+
+    class Counted(dict):
+        def __getitem__(self, key):
+            asked[key] += 1
+            return dict.__getitem__(self, key)
+
+    encoder.at = Counted(encoder.at)
+    texts = ["the cat sat on the mat. " * 500] * 20
+    assert len({library for _, library in encoder.encode(texts)}) == 1 and sum(asked.values()) < 100
+
+
+def test_ids_that_read_as_another_word_are_told(encoder):
+    words = ["▁a", "▁b", "😀", "▁cat"]
+    flat, sizes, _, _ = encoder.lattice.solved(words)
+    keys = [pieces._key(word) for word in words]
+    assert encoder.read_back(keys, words, flat, sizes).tolist() == [True] * 4
+    flat[0] = flat[1]
+    assert encoder.read_back(keys, words, flat, sizes).tolist() == [False, True, True, True]
+    assert all(back for _, _, back in encoder.told([None, "", "a b😀.", "\n x"]))
+
+
 def test_a_long_word_takes_steps_in_proportion(encoder):
     started = time.monotonic()
     got = encoder.segmentations("ab" * 50_000)
