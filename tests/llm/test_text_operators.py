@@ -170,6 +170,17 @@ def test_substrings_equal_brute_force(spark, hot, ranked):
     assert all(sum(s[1::2]) - sum(s[::2]) == w[1] for s, w in ((got[i]["spans"], want[i]) for i in range(len(texts))))
 
 
+def test_planted_passages_of_over_fifty_words_go_from_400_bytes_on(spark):
+    rng = random.Random(9)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(n))
+    passages = [prose(80)[: size - 1] + "." for size in (399, 400, 640)] + [" ".join("abcd"[rng.randrange(4)] * 5 for _ in range(66))]
+    texts = [f"{prose(60)}{a}{passage}{b}{prose(60)}" for passage in passages for a, b in ("<>", "[]")] + [prose(200) for _ in range(4)]
+    got = by_id(suffix.dedup_substrings(docs(spark, texts)))
+    assert [len(p) for p in passages] == [399, 400, 640, 395]
+    assert [got[i]["n_removed"] for i in range(len(texts))] == [0, 0, 400, 400, 640, 640] + [0] * 6
+    assert [bytes(got[i]["kept"]).decode() for i in range(2, 6)] == [texts[i].replace(passages[i // 2], "") for i in range(2, 6)]
+
+
 def test_substrings_of_nothing(spark):
     assert suffix.dedup_substrings(empty(spark)).count() == 0
 
