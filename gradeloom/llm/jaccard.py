@@ -14,11 +14,16 @@ set with m of at most D gives digests of its empty fragments as well, and all
 but D are equal where both sets of a pair are like that. The number of fragments depends on the size class
 alone; each set is cut for its own class and the one below, the only ones that
 hold sets small enough to link with it. Digests are shuffled once. Of those that
-several classes have, classes below their bound are left out, and the classes
-that remain of one digest are a star around the first.
-
-*Which links.* Classes that share digests form clusters (connected components
-of a star per digest, so linear in rows). Each cluster's sets are sent once; a
+several classes have, one of them in its own cut, cuts below their bound are
+left out, again until few digests go; linked sets still share their bound, so
+they share one of each other's rarest, and the bound less one of the most
+frequent (a passage's) are left out too. Cuts that keep a digest are a star
+around the first.
+
+*Which links.* Cuts that share digests form clusters (connected components
+of a star per digest, so linear in rows). The two cuts of a set are apart, as
+every pair meets in the cut of its smaller class: sets that share little would
+else form chains over all sizes, longer the more sets there are. Each cluster's sets are sent once; a
 cluster larger than one block is split, and pairs of blocks are compared. In a
 block every fragment of the order is one inverted list, which gives the partial
 overlaps of the pairs that meet in it; the sum over fragments decides. Pairs
@@ -56,6 +61,8 @@ FRAGMENTS = 16
 SALT = 16
 #: The number of a class from that of a cut.
 CLASS = "cut & ~1L"
+#: Rounds that leave out digests end when one leaves this share.
+GOING = 0.9
 _STEP = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
@@ -328,17 +335,39 @@ def _linker(percent: int):
 
 def _shared(given: DataFrame, n: int, percent: int) -> DataFrame:
     """(cut, sign) of the digests that several classes have, stored. All digests are shuffled once, with their cut 16 bytes each."""
-    signs = given.select("text").mapInArrow(_signer(n, percent), "cut long, sign long").withColumn("id", F.expr(CLASS))
+    signs = given.select("text").mapInArrow(_signer(n, percent), "cut long, sign long")
     of = Window.partitionBy("sign")
-    return stored(signs.withColumns({"low": F.min("id").over(of), "high": F.max("id").over(of)}).where("low < high").select("cut", "sign").distinct(), "shared")
+    return stored(signs.withColumns({"low": F.min("cut").over(of), "high": F.max("cut").over(of)}).where("(low & ~1L) < (high & ~1L)").select("cut", "sign").distinct(), "shared")
+
+
+def _live(shared: DataFrame, least: DataFrame) -> DataFrame:
+    """Digests that can be those of a link: several classes have them, one in its own cut, and each cut shares as many as a link takes. Stored."""
+    live, before = shared, None
+    while True:
+        own = Window.partitionBy("sign")
+        known = live.withColumns({"low": F.min("cut").over(own), "high": F.max("cut").over(own), "own": F.min(F.col("cut").bitwiseAND(1)).over(own)})
+        known = known.where("(low & ~1L) < (high & ~1L) AND own = 0").select("cut", "sign")
+        enough = known.groupBy("cut").count().join(least, "cut").where("count >= least").select("cut")
+        old, live = live, stored(known.join(enough, "cut", "left_semi"), "live")
+        if old is not shared:
+            done_with(old)
+        rows = live.count()
+        if before is not None and rows >= GOING * before:
+            return live
+        before = rows
 
 
 def _stars(shared: DataFrame, signed: DataFrame) -> DataFrame:
-    """Classes (a) with the first class (b) of each digest, those left out that share fewer digests than a link takes."""
+    """Cuts (a) with the first cut (b) of each digest, stored. What can't be of a link is left out, and of a cut's digests the most frequent, fewer than a link takes."""
     least = signed.select("id", F.posexplode("least").alias("below", "least")).groupBy((F.col("id") + F.col("below")).alias("cut")).agg(F.max("least").alias("least"))
-    enough = shared.groupBy("cut").count().join(least, "cut").where("count >= least").select("cut")
-    kept = shared.join(enough, "cut", "left_semi").select("sign", F.expr(CLASS).alias("id"))
-    return kept.select(F.col("id").alias("a"), F.first("id").over(Window.partitionBy("sign").orderBy("id")).alias("b"))
+    live = _live(shared, least)
+    of = Window.partitionBy("cut")
+    rated = live.withColumn("sharers", F.count("*").over(Window.partitionBy("sign")))
+    rated = rated.withColumns({"have": F.count("*").over(of), "place": F.row_number().over(of.orderBy("sharers", "sign"))})
+    kept = rated.join(least, "cut").where("place <= have - least + 1").select("cut", "sign")
+    stars = stored(kept.select(F.col("cut").alias("a"), F.min("cut").over(Window.partitionBy("sign")).alias("b")), "stars")
+    done_with(live)
+    return stars
 
 
 def similar_sets(docs: DataFrame, *, n: int = 3, percent: int = 90, text: str = "text", block_hashes: int = BLOCK_HASHES) -> tuple[DataFrame, DataFrame]:
@@ -348,11 +377,13 @@ def similar_sets(docs: DataFrame, *, n: int = 3, percent: int = 90, text: str =
     signed = stored(given.mapInArrow(_classed(n, percent), f"doc_id {kind}, mark long, set_key binary, id long, n long, least array<long>"), "signed")
     shared = _shared(given, n, percent)
     free_shuffles(docs.sparkSession)
-    clusters = components(_stars(shared, signed), "clusters")
-    done_with(shared)
+    stars = _stars(shared, signed)
+    clusters = components(stars, "clusters")
+    done_with(shared, stars)
     classes = signed.where("n > 0").groupBy("set_key", "id").agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.max("n").alias("n"))
-    placed = stored(classes.join(clusters, F.col("id") == F.col("node")).select("first.doc_id", "first.mark", "set_key", "n", F.col("component").alias("cluster")), "clustered")
+    placed = stored(classes.join(clusters, F.col("id") == F.col("node").bitwiseAND(~1)).select("first.doc_id", "first.mark", "set_key", "n", F.col("component").alias("cluster")), "clustered")
     done_with(clusters)
+    free_shuffles(docs.sparkSession)
     # A set weighs its hashes and what a row of the overlaps costs, so that a block of small sets isn't too many.
     sizes = placed.groupBy("cluster").agg(F.ceil(F.sum(F.col("n") + SET_COST) / block_hashes).alias("blocks"))
     # The set of a class is read again from one of its documents. The plan is the same at every size: texts meet their ids by shuffle.
@@ -366,6 +397,7 @@ def similar_sets(docs: DataFrame, *, n: int = 3, percent: int = 90, text: str =
     )
     links = stored(sent.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInPandas(_linker(percent), "a binary, b binary"), "links")
     done_with(placed)
+    free_shuffles(docs.sparkSession)
     return signed.select("doc_id", "set_key", "n"), links
 
 

@@ -521,6 +521,39 @@ def test_a_passage_of_many_documents_makes_no_cluster(spark):
     assert jaccard._stars(shared, signed).where("a <> b").select("a").distinct().count() == 1  # one of them enough
 
 
+def test_texts_that_grow_by_parts_make_no_chain_over_sizes(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(6000)]
+    texts = [" ".join(words[: int(100 * 1.28**k)]) for k in range(16)]  # each shares digests with the next, none links
+    given = docs(spark, texts).select("doc_id", "text", F.xxhash64("text").alias("mark"))
+    signed = given.mapInArrow(jaccard._classed(5, 80), "doc_id long, mark long, set_key binary, id long, n long, least array<long>")
+    found = components(jaccard._stars(jaccard._shared(given, 5, 80), signed))
+    sizes = found.groupBy("component").agg(F.count_distinct(F.expr("node & ~1L")).alias("n"))
+    assert sizes.agg(F.max("n")).first()[0] == 2
+
+
+def test_near_copies_of_many_sizes_with_a_common_passage_equal_brute_force(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    passage, texts = [word() for _ in range(40)], []
+    for _ in range(25):
+        base = [word() for _ in range(rng.randint(20, 400))] + passage
+        for _ in range(8):
+            rate = rng.choice((0.002, 0.01, 0.02))
+            own = [w if rng.random() > rate else word() for w in base]
+            texts.append(" ".join(own + [word() for _ in range(rng.randint(0, len(base) // 12))]))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    forest = jaccard.Forest(len(sets))
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        common = len(sets[i] & sets[j])
+        if 100 * common >= 80 * (len(sets[i]) + len(sets[j]) - common):
+            forest.join(i, j)
+    got = by_id(jaccard.linked_documents(docs(spark, texts), n=5, percent=80, block_hashes=3000))
+    want = [forest.top(i) for i in range(len(sets))]
+    assert 40 < len(set(want)) < 180
+    assert [got[i]["component_id"] for i in range(len(sets))] == want
+
+
 def test_words_made_to_collide_in_polynomial_hashes_stay_apart(spark):
     word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
     texts = [word, word.translate(str.maketrans("ab", "ba")), word, "x" * 63, "x" * 64, "x" * 65, "y" * 64 + "x"]
