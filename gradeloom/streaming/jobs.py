@@ -6,6 +6,7 @@ import time
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,16 +108,29 @@ def progress_rows(spark: SparkSession, name: str = "progress") -> Iterator[Progr
         spark.streams.removeListener(listener)
 
 
+#: Buckets that sessions are dealt to; each is one key of the state.
+BUCKETS = 256
+#: Decisions that are handed over at once.
+ANSWERS = 100_000
+DECISIONS = np.asarray(["accepted", "session_full", "too_many_files", "file_too_large", "session_expired"], dtype=object)
+
+
+def _unpacked(raw, width: int) -> np.ndarray:
+    """Rows of ``width`` numbers."""
+    return np.frombuffer(raw or b"", np.int64).reshape(-1, width)
+
+
 class Admission(StatefulProcessor):
-    """Decides the uploads of one session in (at, seq) order, whatever order they arrive in.
-
-    Arrivals wait in a list until the watermark has passed their time: nothing
-    earlier can come then. One timer a session stands at the earliest time that
-    waits. Once the start of a session is final, an arrival that is certain to be
-    refused (expired, too large, or the files are used up) is answered at once,
-    so that a hot session keeps no long list. What a session accepted stays as a
-    marker of four numbers after it has expired: a later upload is expired, it
-    does not open a new session.
+    """Decides the uploads of each session in (at, seq) order, whatever order they arrive in.
+
+    A key is a bucket of sessions: every call to the state store is a trip, so a
+    batch makes a few of them a bucket and none a session. Arrivals wait in a
+    list, packed, until the watermark has passed their time: nothing earlier can
+    come then. One timer a bucket stands at the earliest time that waits. Once
+    the start of a session is final, an arrival that is certain to be refused
+    (expired, too large, or the files are used up) is answered at once, so that
+    a hot session keeps no long list. A session that has expired stays as its
+    number: a later upload is expired, it does not open a new session.
     """
 
     def __init__(self, limits: Limits):
@@ -124,42 +138,40 @@ class Admission(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.session = handle.getValueState("session", "start bigint, files bigint, used bigint, timer bigint")
-        self.waiting = handle.getListState("waiting", "seq bigint, at bigint, bytes bigint")
+        self.live = handle.getValueState("live", "rows binary, timer bigint")  # session, start, files, used
+        self.gone = handle.getValueState("gone", "sessions binary")
+        self.waiting = handle.getListState("waiting", "rows binary")  # session, at, seq, bytes
+
+    def _gone(self) -> np.ndarray:
+        return _unpacked((self.gone.get() or (None,))[0], 1)[:, 0]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         done = timerValues.getCurrentWatermarkInMs() * 1000
-        held = self.session.get()  # every call is a trip to the state store
-        start, files, used, timer = held or (None, 0, 0, -1)
-        earliest, lowest = None, None
-        for frame in rows:
-            at = frame["at"].astype("datetime64[us]").astype("int64")
-            table = pd.DataFrame({"seq": frame["seq"], "at": at, "bytes": frame["bytes"]})
-            decisions = pd.Series(None, index=table.index, dtype=object)
-            if start is not None and start <= done:  # no earlier start can come
-                if files >= self.limits.files:
-                    decisions[:] = "too_many_files"
-                decisions[table["bytes"] > self.limits.file_bytes] = "file_too_large"
-                decisions[table["at"] - start >= self.limits.seconds * 1_000_000] = "session_expired"
-            told = decisions.notna()
-            if told.any():
-                yield _answers(key[0], [(*row, decision) for row, decision in zip(table[told].itertuples(index=False, name=None), decisions[told], strict=True)])
-            wait = table[~told]
-            if len(wait):
-                self.waiting.appendList([tuple(map(int, row)) for row in wait.itertuples(index=False)])
-                low = int(wait["at"].min())
-                earliest = low if earliest is None else min(earliest, low)
-            low = int(table["at"].min())
-            lowest = low if lowest is None else min(lowest, low)
-        if lowest is not None:
-            start = lowest if start is None else min(start, lowest)
-        if earliest is not None:
-            timer = self._timed(timer, earliest)
-        if (start, files, used, timer) != held:
-            self.session.update((start, files, used, timer))
+        held, timer = self.live.get() or (None, -1)
+        live, gone = _unpacked(held, 4), self._gone()
+        came = np.concatenate([_unpacked(None, 4), *(_arrivals(frame, key[0]) for frame in rows)])
+        session, at, size = came[:, 0], came[:, 1], came[:, 3]
+        old = np.isin(session, gone)
+        live = _opened(live, came[~old])
+        place = np.minimum(np.searchsorted(live[:, 0], session), max(len(live) - 1, 0))
+        decision = np.full(len(came), -1)
+        if len(live):
+            start, files = live[place, 1], live[place, 2]
+            sure = start <= done  # no earlier start can come
+            decision[sure & (files >= self.limits.files)] = 2
+            decision[sure & (size > self.limits.file_bytes)] = 3
+            decision[sure & (at - start >= self.limits.seconds * 1_000_000)] = 4
+        decision[old] = 4
+        told = decision >= 0
+        yield from _answers(key[0], came[told], decision[told])
+        wait = came[~told]
+        if len(wait):
+            self.waiting.appendValue((wait.tobytes(),))
+            timer = self._timed(timer, int(wait[:, 1].min()))
+        self.live.update((live.tobytes(), timer))
 
     def _timed(self, timer: int, earliest: int) -> int:
-        """The session's one timer, moved forward to ``earliest`` if that comes first."""
+        """The bucket's one timer, moved forward to ``earliest`` if that comes first."""
         wanted = -(-earliest // 1000)
         if timer < 0 or wanted < timer:
             if timer >= 0:
@@ -170,31 +182,76 @@ class Admission(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         done = timerValues.getCurrentWatermarkInMs() * 1000
-        start, files, used, _ = self.session.get()
-        rows = list(self.waiting.get())
-        ready, later, out = sorted((r[1], r[0], r[2]) for r in rows if r[1] <= done), [tuple(r) for r in rows if r[1] > done], []
-        for at, seq, size in ready:
+        live = _unpacked(self.live.get()[0], 4).copy()
+        rows = np.concatenate([_unpacked(None, 4), *(_unpacked(row[0], 4) for row in self.waiting.get())])
+        ready, later, timer = rows[rows[:, 1] <= done], rows[rows[:, 1] > done], -1
+        ready = ready[np.lexsort((ready[:, 2], ready[:, 1], ready[:, 0]))]
+        yield from _answers(key[0], ready, self._decided(live, ready))
+        if len(later):
+            self.waiting.put([(later.tobytes(),)])
+            timer = self._timed(-1, int(later[:, 1].min()))
+        else:
+            self.waiting.clear()
+        over = (live[:, 1] + self.limits.seconds * 1_000_000 <= done) & ~np.isin(live[:, 0], later[:, 0])
+        if over.any():
+            self.gone.update((np.union1d(self._gone(), live[over, 0]).tobytes(),))
+        self.live.update((live[~over].tobytes(), timer))
+
+    def _decided(self, live: np.ndarray, ready: np.ndarray) -> np.ndarray:
+        """Places in ``DECISIONS`` for rows by session, in order; ``live`` takes what is accepted."""
+        place, out, names = np.searchsorted(live[:, 0], ready[:, 0]), [], {name: i for i, name in enumerate(DECISIONS)}
+        own = start = files = used = None
+        for i, at, size in zip(place.tolist(), ready[:, 1].tolist(), ready[:, 3].tolist(), strict=True):
+            if i != own:
+                if own is not None:
+                    live[own, 2:] = files, used
+                own, (start, files, used) = i, live[i, 1:].tolist()
             decision = decide(start, files, used, at, size, self.limits)
             if decision == "accepted":
                 files, used = files + 1, used + size
-            out.append((seq, at, size, decision))
-        timer = -1
-        if later:
-            self.waiting.put(later)
-            timer = self._timed(-1, min(r[1] for r in later))
-        else:
-            self.waiting.clear()
-        self.session.update((start, files, used, timer))
-        yield _answers(key[0], out)
+            out.append(names[decision])
+        if own is not None:
+            live[own, 2:] = files, used
+        return np.asarray(out, np.int64)
 
     def close(self) -> None:
         pass
 
 
-def _answers(session: int, rows: list[tuple]) -> pd.DataFrame:
-    """Decisions (seq, at, bytes, decision) of one session."""
-    frame = pd.DataFrame(rows, columns=["seq", "at", "bytes", "decision"])
-    return frame.assign(session_id=session, at=pd.to_datetime(frame["at"], unit="us"))[["session_id", "seq", "at", "bytes", "decision"]]
+def _arrivals(frame: pd.DataFrame, bucket: int) -> np.ndarray:
+    """Rows (session, at, seq, bytes) as numbers; bucket -1 holds the uploads without a session, as session 0."""
+    at = frame["at"].astype("datetime64[us]").astype("int64")
+    session = frame["session_id"] if bucket >= 0 else np.zeros(len(frame), np.int64)
+    return np.column_stack([np.asarray(x).astype(np.int64) for x in (session, at, _whole(frame["seq"]), _whole(frame["bytes"]))])
+
+
+def _whole(values: pd.Series) -> pd.Series:
+    if values.isna().any():
+        raise ValueError(f"an upload without {values.name}")
+    return values
+
+
+def _opened(live: np.ndarray, came: np.ndarray) -> np.ndarray:
+    """Sessions with those that ``came``, each from its earliest upload, sorted."""
+    sessions, at = np.unique(came[:, 0], return_inverse=True)
+    first = np.full(len(sessions), np.iinfo(np.int64).max)
+    np.minimum.at(first, at, came[:, 1])
+    fresh = np.column_stack([sessions, first, np.zeros((len(sessions), 2), np.int64)])
+    both = np.concatenate([live, fresh])
+    both = both[np.argsort(both[:, 0], kind="stable")]  # what is held comes before what came
+    new = np.r_[True, both[1:, 0] != both[:-1, 0]] if len(both) else np.zeros(0, bool)
+    out = both[new]
+    if len(both):
+        out[:, 1] = np.minimum.reduceat(both[:, 1], np.flatnonzero(new))
+    return out
+
+
+def _answers(bucket: int, rows: np.ndarray, decision: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Decisions (session_id, seq, at, bytes, decision) of rows (session, at, seq, bytes)."""
+    for first in range(0, len(rows), ANSWERS):
+        session, at, seq, size = rows[first : first + ANSWERS].T
+        frame = pd.DataFrame({"session_id": session, "seq": seq, "at": pd.to_datetime(at, unit="us"), "bytes": size, "decision": DECISIONS[decision[first : first + ANSWERS]]})
+        yield frame if bucket >= 0 else frame.assign(session_id=pd.Series(None, index=frame.index, dtype="Int64"))
 
 
 #: The state store that the state API needs.
@@ -221,7 +278,8 @@ def stream_quota(uploads: DataFrame, limits: Limits = Limits()) -> DataFrame:
     later ones Spark drops. Gives session_id, seq, at, bytes, decision. Start the
     query in a session whose state store is ``ROCKSDB``.
     """
-    return uploads.groupBy("session_id").transformWithStateInPandas(
+    bucket = F.when(F.col("session_id").isNotNull(), F.pmod(F.xxhash64("session_id"), F.lit(BUCKETS))).otherwise(-1)
+    return uploads.withColumn("bucket", bucket).groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=Admission(limits), outputStructType="session_id bigint, seq bigint, at timestamp, bytes bigint, decision string", outputMode="Append", timeMode="EventTime"
     )
 

@@ -3,8 +3,10 @@
 import datetime
 import random
 import struct
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -332,3 +334,66 @@ def test_jpeg_sizes_from_marker_segments(spark, tmp_path):
     listed = files.inventory(spark, str(tmp_path))
     assert {r.path.rsplit("/", 1)[1]: (r.width, r.height, r.status) for r in listed.collect()} == {name: want for name, (_, want) in cases.items()}
     assert listed._jdf.queryExecution().sparkPlan().toString().count("FileScan") == 1
+
+
+class Store:
+    """A state store of one key that counts the calls."""
+
+    def __init__(self):
+        self.calls, self.kept = 0, {}
+
+    def getValueState(self, name, schema):
+        return Store.Value(self, name)
+
+    getListState = getValueState
+
+    def registerTimer(self, at):
+        self.calls += 1
+
+    deleteTimer = registerTimer
+
+    class Value:
+        def __init__(self, store, name):
+            self.store, self.name = store, name
+
+        def get(self):
+            self.store.calls += 1
+            return self.store.kept.get(self.name, () if self.name == "waiting" else None)
+
+        def put(self, value):
+            self.store.calls += 1
+            self.store.kept[self.name] = value
+
+        update = put
+
+        def appendValue(self, value):
+            self.put([*self.store.kept.get(self.name, ()), value])
+
+        def clear(self):
+            self.put(())
+
+
+def test_a_bucket_of_sessions_makes_a_few_trips_to_the_state_store():
+    rng = random.Random(6)
+    limits = quota.Limits(file_bytes=55, session_bytes=300, files=9, seconds=200)
+    uploads = [(rng.randint(1, 400), seq, rng.randint(0, 1_000_000_000), rng.randint(1, 60)) for seq in range(8000)]
+    store, got = Store(), []
+    own = jobs.Admission(limits)
+    own.init(store)
+    for first in range(0, 1000, 100):  # every third upload comes one batch late
+        came = [x for x in uploads if first <= x[2] / 1e6 + (100 if x[1] % 3 == 0 else 0) < first + 100 or (first == 900 and x[2] / 1e6 >= 900 and x[1] % 3 == 0)]
+        mark = SimpleNamespace(getCurrentWatermarkInMs=lambda at=first: (at - 100) * 1000 if at < 900 else 10**7)
+        frame = pd.DataFrame(came, columns=["session_id", "seq", "at", "bytes"]).assign(at=lambda x: pd.to_datetime(x["at"], unit="us"))
+        got += [own.handleInputRows((3,), iter([frame]), mark), own.handleExpiredTimer((3,), mark, None)]
+        got[-2:] = [pd.concat([pd.DataFrame(), *frames]) for frames in got[-2:]]
+    done = pd.concat(got)
+    want = []
+    for session in {x[0] for x in uploads}:
+        files, used, own = 0, 0, sorted((x for x in uploads if x[0] == session), key=lambda x: (x[2], x[1]))
+        for _, seq, at, size in own:
+            decision = quota.decide(own[0][2], files, used, at, size, limits)
+            files, used = files + (decision == "accepted"), used + size * (decision == "accepted")
+            want.append((session, seq, size, decision))
+    assert len({x[3] for x in want}) == 5
+    assert sorted(zip(done["session_id"], done["seq"], done["bytes"], done["decision"], strict=True)) == sorted(want)
+    assert store.calls < 200  # 400 sessions, ten batches
